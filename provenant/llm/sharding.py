@@ -28,7 +28,7 @@ def _u32(hex_digest):
 
 def interleave(
     docs: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text",
-    stratum_col: str = "source", seed: int = 20, rows_per_bucket: int = 20_000,
+    stratum_col: str = "source", seed: int = 20, rows_per_bucket: int = 1_000, max_buckets: int = 65_536,
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard), one row per row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -40,7 +40,7 @@ def interleave(
         F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), "UTF-8")).alias("_k"),
     )
     n = docs.count()
-    buckets = max(1, math.ceil(n / rows_per_bucket))
+    buckets = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
     base = base.withColumn("_b", F.floor(_u32(F.col("_k")) * F.lit(buckets) / F.lit(2**32)).cast("int"))
     order = ["_k", "doc_id", "text_crc32", "size"]
     ranked = salted_rank(base, ["_s"], order, "_b", "_r", "_ns")

@@ -164,12 +164,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return lines
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, rows_per_bucket: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, rows_per_bucket: int = 2_000, max_buckets: int = 65_536) -> DataFrame:
     """Pieces with the sequence and the offset where each lies."""
     p = materialize(pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer), "pieces")
     counts = {r[0]: r[1] for r in p.groupBy("length").count().collect()}  # at most `capacity` rows
     lines = plan(counts, capacity)  # a few lines per length
-    buckets = max(1, sum(counts.values()) // rows_per_bucket)
+    buckets = max(1, min(max_buckets, sum(counts.values()) // rows_per_bucket))
     spread = p.withColumn("_b", F.floor(order_hash(F.col("doc_id"), F.col("piece"), seed=6) * buckets / 2**32).cast("int"))
     ranked = salted_rank(spread, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_b", "_r")
     steps = F.broadcast(p.sparkSession.createDataFrame(lines or [(0, 0, 0, 0, 1, 0)], "length long, _lo long, _hi long, _bin long, _m long, _off long"))

@@ -1,6 +1,6 @@
 """Language identification by a byte convolutional network.
 
-Bytes are embedded, read by filters two, three and four bytes wide, pooled to
+The bytes of the lower-cased text are embedded, read by filters two, three and four bytes wide, pooled to
 their maximum over a window and classified by a softmax; all of it is trained
 in numpy on labelled windows. A whole text is cut into windows of fixed
 length; its language is the one with the largest mean probability, windows
@@ -117,7 +117,7 @@ def train(docs: DataFrame, per_class: int = PER_CLASS, total: int = TOTAL) -> tu
     for r in rows:
         for c in set(r["cuts"]):
             if _LETTER(c):
-                x.append(windows(c.encode("utf-8", "replace")[:WINDOW])[0])
+                x.append(windows(c.lower().encode("utf-8", "replace")[:WINDOW])[0])
                 y.append(langs.index(r["lang"]))
     if not x:
         return [], None
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: tuple[list[str], Net | None]) -> DataFrame:
             for i, t in enumerate(texts):
                 if net is None or not t or not _LETTER(t):
                     continue
-                data = t.encode("utf-8", "replace")
+                data = t.lower().encode("utf-8", "replace")
                 w = windows(data)
                 size = np.full(len(w), float(WINDOW))
                 size[-1] = len(data) - (len(w) - 1) * WINDOW

@@ -1,7 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams.
 
 Features of a text are the distinct words, word pairs and skip-grams (pairs
-one word apart) hashed to 2**20 places. The regression is trained in numpy
+one word apart), and the heads of its words (three to seven letters, where the
+word goes on), each told once, twice, three times and often; all are hashed to
+2**20 places. The regression is trained in numpy
 with a rate per coordinate and an L1 penalty, so few weights differ from zero;
 those alone are sent to the executors.
 
@@ -33,28 +35,59 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 words_of = re.compile(r"\w+").findall
 
 
+HEADS = (3, 4, 5, 6, 7)
+#: What is added to a head's place if it occurs, occurs twice, three times, and once in OFTEN words.
+_TIMES, OFTEN = np.array([0x15555, 0x2AAAA, 0x3CCCC, 0x4F0F0], np.int64), 100
+
+
 class Hashes(dict):
-    """64-bit hash by word; forgets all words when too many have come."""
+    """Row in ``table`` by word: its hash and those of its heads (0: no such
+    head). Forgets all words when too many have come."""
+
+    def __init__(self, size: int = 200_000):
+        super().__init__()
+        self.table = np.zeros((size, 1 + len(HEADS)), np.uint64)
 
     def __missing__(self, word):
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= 500_000:
+        i = len(self)
+        if i >= len(self.table):
+            raise OverflowError
+        code = lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        self.table[i] = [code(word), *(code("^" + word[:k]) if len(word) > k else 0 for k in HEADS)]
+        self[word] = i
+        return i
+
+    def of(self, words: list[str]) -> np.ndarray:
+        try:
+            return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+        except OverflowError:
             self.clear()
-        self[word] = h
-        return h
+            if len(set(words)) > len(self.table):
+                self.table = np.zeros((len(set(words)), self.table.shape[1]), np.uint64)
+            return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
-def features(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Places of the words, pairs and skip-grams of a text, with repeats."""
+def places(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of words, pairs and skip-grams, places of heads, both with
+    repeats, and the number of words."""
     words = words_of((text or "").lower())
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.concatenate([h * _MIX >> _SHIFT, (h[:-1] * _PAIR + h[1:]) * _MIX >> _SHIFT, (h[:-2] * _SKIP + h[2:]) * _MIX >> _SHIFT]).astype(np.int32)
+    rows = hashes.of(words)
+    h, heads = rows[:, 0], rows[:, 1:]
+    grams = np.concatenate([h * _MIX >> _SHIFT, (h[:-1] * _PAIR + h[1:]) * _MIX >> _SHIFT, (h[:-2] * _SKIP + h[2:]) * _MIX >> _SHIFT])
+    return grams.astype(np.int64), (heads[heads != 0] >> _SHIFT).astype(np.int64), len(words)
+
+
+def features(grams: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
+    """The distinct features that the places make."""
+    head, times = np.unique(heads, return_counts=True)
+    told = [head ^ _TIMES[0], head[times >= 2] ^ _TIMES[1], head[times >= 3] ^ _TIMES[2], head[times * OFTEN >= n] ^ _TIMES[3]]
+    return np.unique(np.concatenate([grams, *told]))
 
 
 class FTRL:
     """Logistic regression; z and n are the sums of McMahan et al.'s algorithm."""
 
-    def __init__(self, alpha=0.15, beta=1.0, l1=1.5, l2=1.0):
+    def __init__(self, alpha=0.15, beta=1.0, l1=6.0, l2=1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last place is the bias
 
@@ -74,7 +107,7 @@ class FTRL:
 def fit(rows: list[tuple[np.ndarray, int]], weight: dict[int, float], epochs: int = 4, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias) of the model learned from (places, label) rows."""
     model, rng = FTRL(), np.random.default_rng(seed)
-    rows = [(np.append(np.unique(x), np.int64(1 << BITS)), y) for x, y in rows]
+    rows = [(np.append(x, np.int64(1 << BITS)), y) for x, y in rows]
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             model.step(rows[i][0], rows[i][1], weight[rows[i][1]])
@@ -95,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            x = [np.unique(features(t, hashes)) for t in b.column(1).to_pylist()]
+            x = [features(*places(t, hashes)).astype(np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.int32()))], names=["toxic", "x"])
 
     got = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, x array<int>").toPandas()
@@ -115,15 +148,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     names = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, weights, bias = sent.value
+        at_, weights, bias = sent.value
         w = np.zeros(1 << BITS, np.float32)
-        w[places] = weights
+        w[at_] = weights
+        told = np.zeros(1 << BITS, bool)  # heads that have a weight
+        for k in _TIMES:
+            told[at_.astype(np.int64) ^ k] = True
         hashes = Hashes()
         for b in batches:
             out = np.empty(b.num_rows)
             for i, text in enumerate(b.column(at).to_pylist()):
-                x = features(text, hashes)
-                x = np.unique(x[w[x] != 0])
+                grams, heads, n = places(text, hashes)
+                x = features(grams[w[grams] != 0], heads[told[heads]], n)
                 out[i] = bias + w[x].sum(dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p)], names=[*names, "score"])

@@ -1 +1 @@
-
+"""Column expressions: everything here stays in the JVM."""

@@ -1 +1,74 @@
+"""Readers and writers; every schema is given, none is inferred."""
 
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..operators import segment as seg
+
+
+class ManualNotFoundError(FileNotFoundError):
+    """The manual is missing or blank."""
+
+
+class IndexNotFoundError(FileNotFoundError):
+    """No index was saved in that folder."""
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_manuals(spark: SparkSession, path: str) -> DataFrame:
+    """(source, text) of each file; any store that Spark reads."""
+    if not any(c in path for c in "*{[") and not _exists(spark, path):
+        raise ManualNotFoundError(f"manual not found: {path}")
+    out = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"), F.col("value").alias("text"))
+    if not out.where(F.regexp_replace("text", r"\s", "") != "").limit(1).count():
+        raise ManualNotFoundError(f"manual not found or blank: {path}")
+    return out
+
+
+def clause_table(manuals: DataFrame) -> DataFrame:
+    """The clause table of (source, text), positions counted from 0 by source."""
+    c = seg.split_oversized(seg.segment(seg.lines_of(manuals, "source", "text")))
+    w = Window.partitionBy("source").orderBy("line_start", "order")
+    none = lambda t: F.lit(None).cast(t)
+    return c.select(
+        "clause_id", "citation", "part_number", "part_title", "section_number", "section_title", "text", "order", "line_start", "line_end", "source",
+        none("date").alias("effective_from"), none("date").alias("effective_to"), none("string").alias("amendment_id"), none("string").alias("amendment_paragraph"),
+        F.lit(False).alias("is_amended_version"), none("string").alias("date_condition_type"), (F.row_number().over(w) - 1).cast("int").alias("pos"))
+
+
+def amendments(spark: SparkSession, specs: Iterable[dict]) -> DataFrame:
+    """Amendment specifications given in code."""
+    rows = spark.createDataFrame([(json.dumps(s, default=str),) for s in specs], "j string")
+    return rows.select(F.from_json("j", schemas.AMENDMENT).alias("s")).select("s.*")
+
+
+def read_amendments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.AMENDMENT).json(path, multiLine=True)
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.QUESTIONS).json(path, multiLine=True)
+
+
+TABLES = ("clauses", "postings", "vectors", "vector_idf", "rerank_idf")
+
+
+def save_index(index: dict[str, DataFrame], path: str) -> None:
+    for name in TABLES:
+        index[name].write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    if not _exists(spark, f"{path}/clauses"):
+        raise IndexNotFoundError(f"no index in {path}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample
+from .common import crc_mod, labelled_sample, materialize
 
 BITS, PER_CLASS, THRESHOLD = 20, 4_000, 0.5
 _PAIR, _SKIP, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - BITS)
@@ -107,13 +107,12 @@ class FTRL:
 def fit(rows: list[tuple[np.ndarray, int]], weight: dict[int, float], epochs: int = 4, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias) of the model learned from (places, label) rows."""
     model, rng = FTRL(), np.random.default_rng(seed)
-    rows = [(np.append(x, np.int64(1 << BITS)), y) for x, y in rows]
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            model.step(rows[i][0], rows[i][1], weight[rows[i][1]])
-    w = model.weights(np.arange((1 << BITS) + 1))
-    at = np.flatnonzero(w[:-1])
-    return at.astype(np.int32), w[at].astype(np.float32), float(w[-1])
+            x, y = rows[i]
+            model.step(np.append(x, 1 << BITS), y, weight[y])
+    at = np.flatnonzero(np.abs(model.z[:-1]) > model.l1)
+    return at.astype(np.int32), model.weights(at).astype(np.float32), float(model.weights(np.array([1 << BITS]))[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -128,11 +127,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            x = [features(*places(t, hashes)).astype(np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.int32()))], names=["toxic", "x"])
-
-    got = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, x array<int>").toPandas()
-    rows = sorted(((np.asarray(x, np.int64), int(y)) for y, x in zip(got["toxic"], got["x"], strict=True)), key=lambda r: (r[1], len(r[0]), r[0].tobytes()))
+            x = [features(*places(t, hashes)).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh64_intdigest(v) >> 1 for v in x], pa.int64()), pa.array(x, pa.binary())], names=["toxic", "h", "x"])
+
+    part = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, h long, x binary")
+    part = materialize(part, "toxicity-sample").coalesce(4)
+    # the driver holds the sample once, as the bytes that came; h puts it in the same order whatever the partitions
+    rows = [(h, int(y), np.frombuffer(x, np.int32)) for y, h, x in part.toLocalIterator(prefetchPartitions=False)]
+    rows = [r[2:0:-1] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
     seen = {y: sum(1 for r in rows if r[1] == y) for y in counts}
     if not rows:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0

@@ -146,7 +146,7 @@ def month_lookup(spark, sf):
 _LINE = """CASE l_linenumber WHEN 1 THEN '# Part ' || (l_orderkey % 12) || ' — Title ' || l_orderkey WHEN 2 THEN '## ' || (l_orderkey % 12) || '.' || (l_orderkey % 7) || ' Section ' || l_suppkey
 WHEN 3 THEN '**' || (l_orderkey % 12) || '.' || (l_orderkey % 7) || '.1 Term** — ' || l_shipmode_ WHEN 4 THEN '(a) ' || l_partkey WHEN 5 THEN CASE WHEN l_orderkey % 2 = 0 THEN '---' ELSE '' END
 WHEN 6 THEN '**' || (l_orderkey % 12) || '.' || (l_orderkey % 7) || '.2** rate ' || l_partkey ELSE 'end of ' || l_orderkey END""".replace("l_shipmode_", "l_linestatus")
-_SEG_SQL = rf"""WITH l AS (SELECT l_orderkey AS source, l_linenumber AS line_no, {_LINE} AS line FROM lineitem),
+_SEG_SQL = rf"""WITH l AS (SELECT l_orderkey AS source, l_linenumber AS line_no, {_LINE} AS line FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)),
 k AS (SELECT *, CASE WHEN regexp_matches(line, '{segment.PART}') THEN 'part' WHEN regexp_matches(line, '{segment.SECTION}') THEN 'section' WHEN regexp_matches(line, '{segment.RULE}') THEN 'rule'
   WHEN regexp_matches(line, '{segment.CLAUSE}') THEN 'clause' ELSE 'text' END AS kind FROM l),
 w AS (SELECT *, sum(CASE WHEN kind <> 'text' THEN 1 ELSE 0 END) OVER o AS island, sum(CASE WHEN kind = 'clause' THEN 1 ELSE 0 END) OVER o AS ord,
@@ -161,7 +161,8 @@ FROM w GROUP BY source, island HAVING max(CASE WHEN kind = 'clause' THEN 1 ELSE
 
 @query(_SEG_SQL)
 def segment_lines(spark, sf):
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line_no"), F.expr(_LINE).alias("line"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_linestatus")])
+    lines = lines.select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line_no"), F.expr(_LINE).alias("line"))
     s = segment.segment(lines)
     return s.select("source", "clause_id", "part_title", "section_number", "text", F.col("order").alias("ord"), "line_start", "line_end")
 
@@ -518,10 +519,14 @@ def period_spans(spark, sf):
 
 # ---------------------------------------------------------------- as-of resolution
 
+#: lines of an order in a fixed order; line numbers alone repeat
+_PLACE = "l_linenumber * CAST(10000000000 AS BIGINT) + l_partkey * 10000 + l_suppkey"
+
+
 def _hits(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("qid"), F.concat(F.lit("c"), (F.col("l_partkey") % 7).cast("string")).alias("clause_id"), (F.col("l_partkey") % 7).cast("int").alias("pos"),
-        (F.col("l_discount") + 0.1).alias("score"), F.col("l_linenumber").cast("int").alias("rank"))
+        (F.col("l_discount") + 0.1).alias("score"), F.expr(_PLACE).alias("rank"))
 
 
 def _hit_contexts(spark, sf) -> DataFrame:
@@ -543,7 +548,7 @@ def _hit_clauses(spark) -> DataFrame:
 
 _RES = f"""v AS (SELECT * FROM {sql_values(_VERSION_ROWS, 'clause_id, amended, cond, pos')}),
 a AS (SELECT clause_id, max(CASE WHEN NOT amended THEN pos END) AS original, max(CASE WHEN amended THEN pos END) AS new_, max(cond) AS cond FROM v GROUP BY 1 HAVING max(amended)),
-h AS (SELECT l_orderkey AS qid, 'c' || (l_partkey % 7) AS clause_id, CAST(l_partkey % 7 AS INTEGER) AS pos, l_discount + 0.1 AS score, CAST(l_linenumber AS INTEGER) AS rank FROM lineitem),
+h AS (SELECT l_orderkey AS qid, 'c' || (l_partkey % 7) AS clause_id, CAST(l_partkey % 7 AS INTEGER) AS pos, l_discount + 0.1 AS score, {_PLACE} AS rank FROM lineitem),
 fh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, clause_id ORDER BY rank) AS n FROM h) WHERE n = 1),
 d AS (SELECT fh.qid, fh.clause_id, fh.pos, fh.score, fh.rank, a.original, a.new_, a.cond, CASE WHEN a.cond = 'change_date' THEN CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day
   FROM fh JOIN orders ON o_orderkey = qid LEFT JOIN a USING (clause_id)),
@@ -557,9 +562,9 @@ def _resolved(spark, sf):
     return temporal.resolve(_hits(spark, sf), _hit_contexts(spark, sf), _hit_clauses(spark), replace(SET, suppressed_clause="c0", suppressing_clause="c1"))
 
 
-@query(f"WITH {_RES} SELECT qid, clause_id, chosen AS pos, excluded AS excluded_pos, use_amended FROM fin")
+@query(f"WITH {_RES} SELECT qid, clause_id, chosen AS pos, coalesce(excluded, -1) AS excluded_pos, use_amended FROM fin")
 def asof_version(spark, sf):
-    return _resolved(spark, sf).select("qid", "clause_id", "pos", "excluded_pos", "use_amended")
+    return _resolved(spark, sf).select("qid", "clause_id", "pos", F.coalesce("excluded_pos", F.lit(-1)).alias("excluded_pos"), "use_amended")
 
 
 @query(f"""WITH {_RES} SELECT qid, clause_id, cond AS condition, CASE WHEN new_ IS NOT NULL AND day IS NOT NULL THEN 'Amendment No. 1996-01 §' || CASE WHEN cond = 'change_date' THEN '5.2' ELSE '5.1' END END AS transitional,
@@ -731,11 +736,11 @@ def decision_precedence(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", render.decision(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") % 2 == 0).alias("decision"))
 
 
-@query("""SELECT l_orderkey, CASE WHEN count(*) = 1 THEN max(t) ELSE string_agg(t || ' [§' || l_partkey || ']', chr(10) || chr(10) ORDER BY l_linenumber) END AS text
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, 'The ' || l_returnflag || ' rate' || chr(10) || 'is ' || l_suppkey AS t FROM lineitem) GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, CASE WHEN count(*) = 1 THEN max(t) ELSE string_agg(t || ' [§' || l_partkey || ']', chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) END AS text
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'The ' || l_returnflag || ' rate' || chr(10) || 'is ' || l_suppkey AS t FROM lineitem) GROUP BY l_orderkey""")
 def render_answer(spark, sf):
     text = F.expr("'  The **' || l_returnflag || '**   rate' || chr(10) || chr(10) || 'is ' || l_suppkey")
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("text"), F.concat(F.lit("§"), F.col("l_partkey").cast("string")).alias("citation")))).alias("i"))
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("text"), F.concat(F.lit("§"), F.col("l_partkey").cast("string")).alias("citation")))).alias("i"))
     return g.select("l_orderkey", render.answer_text("i").alias("text"))
 
 
@@ -749,13 +754,13 @@ def refusal_text(spark, sf):
     return o.select("o_orderkey", render.refusal_text("reason", "detail").alias("text"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS qid, l_linenumber AS o, least(l_partkey % 4, l_suppkey % 4) AS x, greatest(l_partkey % 4, l_suppkey % 4) AS y, l_partkey % 4 AS a, l_suppkey % 4 AS b FROM lineitem WHERE l_partkey % 4 <> l_suppkey % 4),
+@query("""WITH f AS (SELECT l_orderkey AS qid, l_linenumber * CAST(10000000000 AS BIGINT) + l_partkey * 10000 + l_suppkey AS o, least(l_partkey % 4, l_suppkey % 4) AS x, greatest(l_partkey % 4, l_suppkey % 4) AS y, l_partkey % 4 AS a, l_suppkey % 4 AS b FROM lineitem WHERE l_partkey % 4 <> l_suppkey % 4),
 p AS (SELECT qid, x, y, min(o) AS o, min_by(a, o) AS a, min_by(b, o) AS b FROM f GROUP BY 1, 2, 3), c AS (SELECT qid, c, min(o) AS o FROM (SELECT qid, a AS c, o * 2 AS o FROM p UNION ALL SELECT qid, b, o * 2 + 1 FROM p) GROUP BY 1, 2)
 SELECT p.qid, CAST(count(*) AS BIGINT) AS n_blocks, (SELECT string_agg('§' || c, ' ' ORDER BY o) FROM c WHERE c.qid = p.qid) AS citations FROM p GROUP BY p.qid""")
 def conflict_texts(spark, sf):
     a, b = (F.col("l_partkey") % 4).cast("string"), (F.col("l_suppkey") % 4).cast("string")
     f = table(spark, sf, "lineitem").where("l_partkey % 4 <> l_suppkey % 4").select(
-        F.col("l_orderkey").alias("qid"), F.lit(0).alias("stage"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0").alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(0).alias("o4"), a.alias("a_id"), F.lit("x").alias("a_text"), b.alias("b_id"), F.lit("y").alias("b_text"))
+        F.col("l_orderkey").alias("qid"), F.lit(0).alias("stage"), F.lpad(F.expr(_PLACE).cast("string"), 20, "0").alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(0).alias("o4"), a.alias("a_id"), F.lit("x").alias("a_text"), b.alias("b_id"), F.lit("y").alias("b_text"))
     t = render.conflict_texts(f)
     return t.select("qid", (F.size(F.split("conflict_text", " states: ")) / 2).cast("long").alias("n_blocks"), joined(F.col("conflict_citations")).alias("citations"))
 

@@ -53,6 +53,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    name = "_pv"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
 def crc_mod(id_col: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -17,7 +17,8 @@ loses all its lines except those of the largest id that holds it.
 Defined cases: a null or empty text is one empty line; a null id holds lines
 like any other and is the smallest id; several lines of one document with
 one key count as one holder and stay or go together; an empty table gives no
-rows; rows with the same id are one document to the counts.
+rows; rows with the same id are one document to the counts; input columns named
+``n_lines`` or ``n_dropped`` are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -215,13 +216,14 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` cleaned, and ``n_lines`` and ``n_dropped`` added."""
-        drops = self.drops().select(F.col("doc_id").alias("_doc"), "_keys")
+        own = free_name(docs)
+        drops = self.drops().select(F.col("doc_id").alias(f"{own}_doc"), F.col("_keys").alias(f"{own}_keys"))
         names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-        joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-        touched = joined.where("_keys is not null").select(*names, "text", "_keys")
-        same = joined.where("_keys is null").select(
+        joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(f"{own}_doc")), "left")
+        touched = joined.where(F.col(f"{own}_keys").isNotNull()).select(*names, _clean(self.min_chars)("text", f"{own}_keys").alias(f"{own}_c"))
+        same = joined.where(F.col(f"{own}_keys").isNull()).select(
             *names, "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-        return same.unionByName(touched.withColumn("_c", _clean(self.min_chars)("text", "_keys")).select(*names, "_c.text", "_c.n_lines", "_c.n_dropped"))
+        return same.unionByName(touched.select(*names, f"{own}_c.text", f"{own}_c.n_lines", f"{own}_c.n_dropped"))
 
 
 def _clean(min_chars: int):

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, order_hash
+from .common import components, discard, free_name, materialize, order_hash
 
 BAND, SLACK = 1.5, 1.15  # ratio of a band's sizes; pieces made for each one sent
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -303,5 +303,6 @@ def join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> D
 def one_of_each(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component."""
     j = join(docs, words=words, num=num, den=den)
-    gone = j.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(docs)
+    gone = j.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

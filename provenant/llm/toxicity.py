@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample, materialize
+from .common import crc_mod, free_name, labelled_sample, materialize
 
 BITS, PER_CLASS, THRESHOLD = 20, 4_000, 0.5
 _PAIR, _SKIP, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - BITS)
@@ -143,11 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     return fit(rows, {y: w / mean for y, w in raw.items()})
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """``docs`` with ``score``: all columns pass through, no shuffle."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], to: str = "score") -> DataFrame:
+    """``docs`` with the score as column ``to`` (replaced if there is one); all
+    other columns pass through, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_, weights, bias = sent.value
@@ -164,9 +165,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 x = features(grams[w[grams] != 0], heads[told[heads]], n)
                 out[i] = bias + w[x].sum(dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p)], names=[*names, to])
 
-    schema = docs.select(*names).schema.add("score", "double")
+    schema = docs.select(*names).schema.add(to, "double")
     return docs.mapInArrow(run, schema)
 
 
@@ -178,4 +179,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS,
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that are scored toxic."""
-    return score(docs, train(docs, labels, per_class)).where(F.col("score") < threshold).select(*docs.columns)
+    name = free_name(docs)
+    return score(docs, train(docs, labels, per_class), name).where(F.col(name) < threshold).drop(name)

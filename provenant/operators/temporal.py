@@ -44,7 +44,7 @@ def resolve(hits: DataFrame, contexts: DataFrame, clauses: DataFrame, s: Setting
     ``condition``, ``transitional`` (citation), ``note`` and ``kept``; a version
     keeps the score of the hit it replaces.
     """
-    h = first_per_key(hits).join(contexts.select("qid", "ctx"), "qid").join(F.broadcast(amended_versions(clauses)), "clause_id", "left")
+    h = first_per_key(hits).join(contexts.select("qid", "ctx"), "qid").join(amended_versions(clauses), "clause_id", "left")
     date = relevant_date("condition")
     new, known = F.col("amended").isNotNull(), date.isNotNull()
     use = new & uses_amended(date, F.col("effective"))
@@ -79,7 +79,7 @@ def with_fallback(applicable: DataFrame, hits: DataFrame) -> DataFrame:
 
 def missing_date(hits: DataFrame, contexts: DataFrame, clauses: DataFrame) -> DataFrame:
     """(qid, missing_type, missing_note) of undated questions that hit an amended clause."""
-    h = hits.join(contexts.where(~F.col("ctx.has_any_date")).select("qid"), "qid").join(F.broadcast(amended_versions(clauses)), "clause_id")
+    h = hits.join(contexts.where(~F.col("ctx.has_any_date")).select("qid"), "qid").join(amended_versions(clauses), "clause_id")
     g = h.groupBy("qid").agg(F.min_by(F.struct("clause_id", "condition", "amendment", "effective"), "rank").alias("a"))
     reporting = F.col("a.condition") == "change_date"
     note = F.when(reporting, "The reporting period depends on when the change of circumstances occurred.").otherwise(

@@ -373,11 +373,18 @@ def tfidf_cosine_topk(spark, sf):
 s AS (SELECT qid, vec_id, round(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings ON vec_id <> qid)
 SELECT qid, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 12 AND score > 0""")
 def dense_cosine_topk(spark, sf):
-    """Every twentieth vector is a question to all others."""
+    """Every twentieth vector is a question to all others, in blocks of bounded
+    size: a block's questions are sent to all tasks, and its top-k is complete."""
     e = table(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe")))
-    s = e.join(q, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", r(retrieve.dense_cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
-    return retrieve.top_k(s, SET.retrieval_top_k, "qid", "vec_id").select("qid", "vec_id", "score", "rank")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
+    blocks = max(1, -(-asked.count() // 4_000))
+    out = None
+    for b in range(blocks):
+        q = F.broadcast(asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
+        s = e.join(q, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", r(retrieve.dense_cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+        part = retrieve.top_k(s, SET.retrieval_top_k, "qid", "vec_id").select("qid", "vec_id", "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _RRF = """rows_ AS (SELECT qid, 0 AS l, rank, doc_id, score, 'vector' AS r FROM dense UNION ALL SELECT qid, 1, rank, doc_id, score, 'bm25' FROM lex),

@@ -48,7 +48,7 @@ def candidates(ctx: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAUL
 def rerank(ctx: DataFrame, fused: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS) -> DataFrame:
     """The best of the fused hits by relevance: (qid, clause_id, pos, score, rank)."""
     q = retrieve.weighted_questions(ctx.select("qid", F.col("search").alias("question")), index["rerank_idf"])
-    passage = F.broadcast(index["clauses"].select("pos", F.concat_ws(" ", "section_title", "text").alias("_p")))
+    passage = index["clauses"].select("pos", F.concat_ws(" ", "section_title", "text").alias("_p"))
     j = fused.join(passage, "pos").join(q, "qid")
     scored = j.select("qid", "clause_id", "pos", retrieve.relevance(F.col("_p"), F.col("clause_id"), s).alias("score"), F.col("rank").alias("_r"))
     w = retrieve.Window.partitionBy("qid").orderBy(F.col("score").desc(), "_r")
@@ -70,7 +70,7 @@ def answer(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFA
     clauses = index["clauses"]
     lookup = cut(amend.latest(clauses).select("clause_id", "citation", "section_number", "section_title", "text", "pos", "amendment_paragraph"))
     ctx = cut(contexts(questions, s))
-    ids = F.broadcast(clauses.select("pos", "clause_id"))
+    ids = clauses.select("pos", "clause_id")
     hits = cut(candidates(ctx, index, s).join(ids, "pos"))
     fused_all = cut(retrieve.fuse(hits, s))
     fused = fused_all.where(F.col("rank") <= s.retrieval_top_k)
@@ -78,7 +78,7 @@ def answer(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFA
     resolved = cut(temporal.resolve(ranked, ctx, clauses, s))
     applied = cut(temporal.with_fallback(temporal.ordered(resolved), ranked))
     excluded = resolved.where("excluded_pos is not null").select("qid", "clause_id")
-    body = F.broadcast(clauses.select("pos", "citation", "section_title", "text", "is_amended_version"))
+    body = clauses.select("pos", "citation", "section_title", "text", "is_amended_version")
     items = evidence.relevant(applied, s).join(body, "pos").join(ctx.select("qid", "question"), "qid")
     judged = cut(evidence.judge(cut(evidence.check_deferrals(items, lookup, s)), s))
     assessed = evidence.assess(ctx, judged)
@@ -87,7 +87,7 @@ def answer(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFA
     # an undated question whose best clause has a date-dependent version
     undated = temporal.missing_date(ranked, ctx, clauses)
     versions = temporal.amended_versions(clauses).select("clause_id").withColumn("_v", F.lit(True))
-    top = applied.where("rank = 1").where(F.col("score") >= s.min_relevance).join(F.broadcast(versions), "clause_id").select("qid", F.lit(True).alias("_top"))
+    top = applied.where("rank = 1").where(F.col("score") >= s.min_relevance).join(versions, "clause_id").select("qid", F.lit(True).alias("_top"))
     pick = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("rank", "text", "citation", "clause_id")))), lambda x: x)
     shown = judged.groupBy("qid").agg(pick(F.col("supporting")).alias("_own"), pick(F.lit(True)).alias("_all"))
     count = lambda df, name: df.groupBy("qid").agg(F.count(F.lit(1)).alias(name))

@@ -11,8 +11,8 @@ spans always stay.
 All four kinds hold a digit or an ``@``, so windows without either cannot
 hold a span and are not read by the network; all windows with one are.
 
-Training takes windows of a bounded sample: the ``sample`` documents lowest by
-hash among those with a digit or ``@``, ``windows_each`` windows of each; labels are
+Training takes windows of a bounded sample: of about ``pool`` documents chosen by
+hash, at most ``sample`` with a digit or ``@``, ``windows_each`` windows of each; labels are
 their base spans, and copies whose separators are varied.
 
 Defined cases: a null text is empty; an empty text has no span; when no
@@ -243,9 +243,12 @@ def _varied(text: str, spans: dict[str, list[tuple[int, int]]], rng) -> tuple[st
     return "".join(chars), spans
 
 
-def train(docs: DataFrame, sample: int = 1_500, windows_each: int = 6, context: int = 2_000) -> Tagger | None:
-    """Learns from the base spans of a bounded sample of texts around their first digit or @."""
-    with_trigger = docs.where(F.col("text").rlike("[0-9@]")).select(
+def train(docs: DataFrame, sample: int = 1_500, windows_each: int = 6, context: int = 2_000, pool: int = 30_000) -> Tagger | None:
+    """Learns from the base spans of a bounded sample of texts around their first
+    digit or @. They are looked for in about ``pool`` documents, chosen by hash, so
+    neither the search nor what reaches the driver grows with the corpus."""
+    share = int(min(1.0, pool / max(1, docs.count())) * 2**32)
+    with_trigger = docs.where(order_hash(F.col("doc_id"), seed=9) < share).where(F.col("text").rlike("[0-9@]")).select(
         order_hash(F.col("doc_id"), F.col("text"), seed=9).alias("_h"), F.regexp_extract("text", f"(?s)[^0-9@]{{0,100}}[0-9@].{{0,{context}}}", 0).alias("t"))
     texts = [r["t"] for r in with_trigger.orderBy("_h", "t").limit(sample).collect()]
     rng, x, y = np.random.default_rng(8), [], []

@@ -61,6 +61,13 @@ def free_name(df: DataFrame) -> str:
     return name
 
 
+def texts(column, rows: int = 500):
+    """The values of an Arrow column, a slice at a time: a batch may hold many
+    long texts, and only a slice of them is copied into Python."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def crc_mod(id_col: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
+
 MIN_MATCH, THRESHOLD, BLOCK_TOKENS = 5, 0.5, 2_000_000
 tokens_of = re.compile(r"\w+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
             for b in batches:
                 rows = [
                     (doc, item, cover, n)
-                    for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+                    for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)
                     if text
                     for item, cover, n in index.leaks(text, threshold)
                 ]
@@ -194,7 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = _Index(sent.value, min_match)
             for b in batches:
-                keep = [not t or next(index.leaks(t, threshold), None) is None for t in b.column(at).to_pylist()]
+                keep = [not t or next(index.leaks(t, threshold), None) is None for t in texts(b.column(at))]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import free_name, materialize, texts
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -122,7 +122,7 @@ def holders(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, k2, ids = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 keys = {k for line in (text or "").split("\n") if len(line) >= min_chars and len(k := line_key(line)) >= min_chars}
                 for k in keys:
                     x, y = _digest(k)

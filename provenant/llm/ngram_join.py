@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, free_name, materialize, order_hash
+from .common import components, discard, free_name, materialize, order_hash, texts
 
 BAND, SLACK = 1.5, 1.15  # ratio of a band's sizes; pieces made for each one sent
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -56,7 +56,7 @@ class _Codes(dict):
 
     def __missing__(self, word):
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h
         return h
@@ -138,7 +138,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
         codes = _Codes()
         for b in batches:
             n, s1, s2 = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in texts(b.column(1)):
                 s = shingles(t, words, codes)
                 x, y = digest(s)
                 n.append(len(s)), s1.append(x), s2.append(y)
@@ -156,11 +156,11 @@ def keys_of(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
         for b in batches:
             keys, who = [], []
             size = 0
-            for t in b.column(0).to_pylist():
+            for t in texts(b.column(0)):
                 s = shingles(t, words, codes)
                 if not len(s) or (d := digest(s)[0]) in sent:
                     continue
-                if len(sent) >= 500_000:
+                if len(sent) >= 200_000:
                     sent.clear()
                 sent.add(d)
                 k = bands.keys(s).view(np.int64)

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, order_hash, salted_rank
+from .common import materialize, order_hash, salted_rank, texts
 
 CAPACITY, END_ID = 1024, 2
 _STATE: dict = {}
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 #: A run of white space that a split at single spaces would cut in two.
 _RUNS = re.compile(r"[^\S \n]| [ \n]|\n ").search
 
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, t
         end = array("I", [end_id]).tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 data = ids(text or "") + end
                 n = len(data) // 4
                 first = n % capacity or capacity

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, free_name, labelled_sample, materialize
+from .common import crc_mod, free_name, labelled_sample, materialize, texts
 
 BITS, PER_CLASS, THRESHOLD = 20, 4_000, 0.5
 _PAIR, _SKIP, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - BITS)
@@ -44,7 +44,7 @@ class Hashes(dict):
     """Row in ``table`` by word: its hash and those of its heads (0: no such
     head). Forgets all words when too many have come."""
 
-    def __init__(self, size: int = 200_000):
+    def __init__(self, size: int = 100_000):
         super().__init__()
         self.table = np.zeros((size, 1 + len(HEADS)), np.uint64)
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            x = [features(*places(t, hashes)).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
+            x = [features(*places(t, hashes)).astype(np.int32).tobytes() for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh64_intdigest(v) >> 1 for v in x], pa.int64()), pa.array(x, pa.binary())], names=["toxic", "h", "x"])
 
     part = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, h long, x binary")
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], to: str
         hashes = Hashes()
         for b in batches:
             out = np.empty(b.num_rows)
-            for i, text in enumerate(b.column(at).to_pylist()):
+            for i, text in enumerate(texts(b.column(at))):
                 grams, heads, n = places(text, hashes)
                 x = features(grams[w[grams] != 0], heads[told[heads]], n)
                 out[i] = bias + w[x].sum(dtype=np.float64)

@@ -110,11 +110,24 @@ def salted_rank(df: DataFrame, by: list[str], order: list[str], bucket: str, ran
     return out.withColumn(rank, F.col("_off") + F.col("_rn") - 1).drop("_off", "_rn")
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, parts: int = 1024) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row a key; ``n`` is its
+    number of rows, and ``total`` all of them. A key that holds more than a
+    ``parts``-th of the rows is sent about, and its rows stay where they are:
+    there are fewer than ``parts`` such keys, at any size. The others are
+    dealt by key. Rows of a null key find no partner."""
+    least = max(1, total // parts)
+    hot = F.broadcast(per_key.where(F.col(n) > least))
+    rest = rows.join(F.broadcast(per_key.where(F.col(n) > least).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(per_key.where(F.col(n) <= least), key))
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components of an edge list: rows (node, component), component
     the smallest node reachable. Alternating large-star and small-star steps;
-    no component and no adjacency list is ever gathered in one task, and every
-    round is written to the shared folder."""
+    no component and no adjacency list is ever gathered in one task (the rows
+    of a node with very many neighbours are not dealt by node), and every round
+    is written to the shared folder."""
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return r[0], r[1]
@@ -124,12 +137,14 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     was = mark(last)
     while was[0]:
         both = last.unionByName(last.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+        large = spread_join(both.where("v > u"), low, "u", "n", 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low, "u", "n", 2 * was[0]).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(last)
+        discard(large)
         last, old, was = now, was, mark(now)
         if was == old:
             break

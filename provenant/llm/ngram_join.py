@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, free_name, materialize, order_hash, texts
+from .common import components, discard, free_name, materialize, order_hash, spread_join, texts
 
 BAND, SLACK = 1.5, 1.15  # ratio of a band's sizes; pieces made for each one sent
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -246,7 +246,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, bands: Bands, block:
     groups = components(star).select(F.col("node").alias("s1"), F.col("component").alias("g"))
     members = materialize(classes.where("n > 0").join(groups, "s1").select("rep", "g", "n"), "members")
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    members = members.join(sizes, "g").where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    members = spread_join(members, sizes, "g", "m", members.count()).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     members = materialize(members.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("rep", "g", "b", "blocks"), "members")
     texts = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenant.llm import decontam, linededup, ngram_join, packing
-from provenant.llm.common import components
+from provenant.llm.common import components, spread_join
 
 SCHEMA = "doc_id long, text string, _keys string, n_lines long"
 
@@ -222,6 +222,22 @@ def test_components(spark):
 
 # ---- packing
 
+def test_components_with_hubs(spark):
+    """A chain of stars: nodes that hold far more than a 1024th of the edges."""
+    edges = [(hub, hub + k) for hub in (1, 1501, 3001) for k in range(1, 1500)] + [(1600, 3200)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: 1 if n <= 1500 else 1501 for e in edges for n in e}
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k, i) for k in range(40) for i in range(1 + 90 * (k == 3))] + [(None, 7)], "k long, i long")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(map(tuple, rows.join(sizes, "k").collect()))
+    for parts in (1, 10, 1024):
+        assert sorted(map(tuple, spread_join(rows, sizes, "k", "n", 131, parts).select("k", "i", "n").collect())) == want
+    assert not spread_join(rows.limit(0), sizes.limit(0), "k", "n", 0).count()
+
+
 def test_packing_round_trip(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer

@@ -1,8 +1,9 @@
-"""What the operators of this subpackage share: shared storage, materialised
+"""What the operators of this subpackage share: shared storage, written
 tables, bounded labelled samples, distributed ranks and connected components."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -18,14 +19,48 @@ def work_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
+    if not sc.getCheckpointDir():
+        if not path and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="provenant-"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/") + "/provenant"
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="provenant-"))
+    return (path or sc.getCheckpointDir()).rstrip("/") + "/provenant"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, for results that are
+    read later. Spark deletes the files once no plan refers to them any more,
+    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    work_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+class Scratch:
+    """Tables written for one call, as Parquet in the shared folder: they cut the
+    lineage, survive the loss of any executor, and go when the call ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{work_dir(spark)}/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.path)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._pv_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table before the call ends."""
+        self._delete(df._pv_path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -93,6 +128,12 @@ def labelled_sample(docs: DataFrame, label: str, classes: dict, per_class: int,
     return docs.where(h < share).select(*keep, h.alias("_h")).orderBy("_h").limit(total).drop("_h")
 
 
+def bucket_rows(n: int, least: int) -> int:
+    """Rows that a bucket of ``n`` rows should hold: their root, so that neither a
+    bucket nor the number of buckets grows as fast as the rows do."""
+    return max(least, math.isqrt(max(0, n)))
+
+
 def salted_rank(df: DataFrame, by: list[str], order: list[str], bucket: str, rank: str, total: str | None = None) -> DataFrame:
     """0-based rank in ``by`` ordered by (``bucket``, ``order``).
 
@@ -132,21 +173,22 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
-    e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v").distinct()
-    last = materialize(e, "edges")
-    was = mark(last)
-    while was[0]:
-        both = last.unionByName(last.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
-        large = spread_join(both.where("v > u"), low, "u", "n", 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = spread_join(large, low, "u", "n", 2 * was[0]).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(last)
-        discard(large)
-        last, old, was = now, was, mark(now)
-        if was == old:
-            break
-    tops = last.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return last.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+    with Scratch(edges.sparkSession) as tmp:
+        e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v").distinct()
+        last = tmp.table(e, "edges")
+        was = mark(last)
+        while was[0]:
+            both = last.unionByName(last.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+            large = spread_join(both.where("v > u"), low, "u", "n", 2 * was[0])
+            large = tmp.table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+            low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+            small = spread_join(large, low, "u", "n", 2 * was[0]).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = tmp.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            tmp.drop(last)
+            tmp.drop(large)
+            last, old, was = now, was, mark(now)
+            if was == old:
+                break
+        tops = last.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return checkpointed(last.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops))

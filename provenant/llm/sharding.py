@@ -8,8 +8,9 @@ one. Every prefix of the order, hence every shard, matches the mixture.
 
 Defined cases: a null stratum is a stratum of its own; a null text has no
 bytes (size 16, crc 0); a null or repeated id is an ordinary row, ties are
-broken by digest, id, crc and size; an empty table gives no rows; only the
-named columns are read, so further columns never clash.
+broken by digest, id, crc and size; an empty table gives no rows; a very long
+text is one row of its size; only the named columns are read, so further
+columns never clash.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_rank
+from .common import bucket_rows, checkpointed, salted_rank
 
 
 def _u32(hex_digest):
@@ -28,7 +29,7 @@ def _u32(hex_digest):
 
 def interleave(
     docs: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text",
-    stratum_col: str = "source", seed: int = 20, rows_per_bucket: int = 1_000, max_buckets: int = 65_536,
+    stratum_col: str = "source", seed: int = 20, rows_per_bucket: int = 1_000,
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard), one row per row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -40,13 +41,13 @@ def interleave(
         F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), "UTF-8")).alias("_k"),
     )
     n = docs.count()
-    buckets = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
+    buckets = max(1, math.ceil(n / bucket_rows(n, rows_per_bucket)))
     base = base.withColumn("_b", F.floor(_u32(F.col("_k")) * F.lit(buckets) / F.lit(2**32)).cast("int"))
     order = ["_k", "doc_id", "text_crc32", "size"]
     ranked = salted_rank(base, ["_s"], order, "_b", "_r", "_ns")
     start = _u32(F.md5(F.encode("_s", "UTF-8"))) / F.lit(float(2**32))
     ranked = ranked.withColumn("_f", (F.col("_r") + start) / F.col("_ns")).drop("_r", "_ns", "_b")
-    ranked = materialize(ranked, "shard-fractions")
+    ranked = checkpointed(ranked)
     ranked = ranked.withColumn("_g", F.least(F.floor(F.col("_f") * buckets), F.lit(buckets - 1)).cast("int"))
     placed = salted_rank(ranked, [], ["_f", "_s", *order], "_g", "_p")
     shard = F.expr(f"(_p * {n_shards}L) div {max(n, 1)}L")

@@ -6,12 +6,17 @@ in numpy on labelled windows. A whole text is cut into windows of fixed
 length; its language is the one with the largest mean probability, windows
 weighing as many bytes as they hold.
 
-Training takes a bounded sample: about ``per_class`` documents of each
-language, at most ``total``, each with the window at its start, middle and end.
+Training takes a bounded sample: about ``per_class`` documents of each of the
+``max_classes`` most frequent languages, at most ``total`` in all, and of each
+document's windows those ``windows_each`` whose hashes are least, wherever in
+the text they lie.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-with nothing to learn from every text is ``und``; an empty table gives no
-rows; repeated rows are labelled apiece.
+of equally probable languages the first by name is told; with nothing to learn
+from every text is ``und``; an empty table gives no rows; repeated rows are
+labelled apiece; a very long text is read whole, a slice of its windows at a
+time; only ``doc_id``, ``text`` and, in training, ``lang`` are read, so no further
+column can clash.
 """
 
 from __future__ import annotations
@@ -21,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample
+from .common import crc_mod, order_hash, texts
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
-PER_CLASS, TOTAL = 1_000, 20_000
+PER_CLASS, TOTAL, MAX_CLASSES, WINDOWS_EACH = 1_000, 20_000, 512, 3
 _LETTER = re.compile(r"[^\W\d_]").search
 _SPAN = max(WIDTHS)
 
@@ -103,22 +109,41 @@ class Net:
                 setattr(self, k, (getattr(self, k) - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32))
 
 
-def train(docs: DataFrame, per_class: int = PER_CLASS, total: int = TOTAL) -> tuple[list[str], Net | None]:
+def drawn(text: str, windows_each: int) -> list[tuple[int, np.ndarray]]:
+    """(hash, window) of the windows of a text that training takes; the last one
+    of a longer text is left out if it is not full."""
+    w = windows(text.lower().encode("utf-8", "replace"))
+    w = w[:-1] if len(w) > 1 and not w[-1].all() else w
+    codes = [xxhash.xxh64_intdigest(x.tobytes(), 5) >> 1 for x in w]
+    out: list[tuple[int, np.ndarray]] = []
+    for i in sorted(range(len(w)), key=codes.__getitem__):
+        if len(out) == windows_each:
+            break
+        if _LETTER(w[i].tobytes().decode("utf-8", "ignore")):
+            out.append((codes[i], w[i]))
+    return out
+
+
+def train(docs: DataFrame, per_class: int = PER_CLASS, total: int = TOTAL, max_classes: int = MAX_CLASSES, windows_each: int = WINDOWS_EACH) -> tuple[list[str], Net | None]:
     """Learns from labelled rows whose id's checksum modulo 4 is not 2."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes).collect()}
     if not counts:
         return [], None
-    n = F.char_length("text")
-    cuts = [F.substring("text", 1, WINDOW), F.col("text").substr(F.greatest((n / 2).cast("int"), F.lit(1)), F.lit(WINDOW)), F.col("text").substr(F.greatest(n - WINDOW + 1, F.lit(1)), F.lit(WINDOW))]
-    rows = labelled_sample(own, "lang", counts, per_class, total, F.col("lang"), F.array(*cuts).alias("cuts")).collect()
+    share = F.lit(0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, int(min(1.0, per_class / n) * 2**32)).otherwise(share)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(lang, *v) for lang, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True) for v in drawn(t, windows_each)]
+            cols = ([r[0] for r in rows], [r[1] for r in rows], [r[2].tobytes() for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "h", "x"])
+
+    part = own.where(order_hash(F.col("doc_id"), seed=7) < share).select("lang", "text").mapInArrow(draw, "lang string, h long, x binary")
+    rows = part.orderBy("h", "x", "lang").limit(total * windows_each).collect()  # windows of a fixed size
     langs = sorted(counts)
-    x, y = [], []
-    for r in rows:
-        for c in set(r["cuts"]):
-            if _LETTER(c):
-                x.append(windows(c.lower().encode("utf-8", "replace")[:WINDOW])[0])
-                y.append(langs.index(r["lang"]))
+    x, y = [np.frombuffer(r["x"], np.uint8) for r in rows], [langs.index(r["lang"]) for r in rows]
     if not x:
         return [], None
     order = sorted(range(len(x)), key=lambda i: (y[i], x[i].tobytes()))
@@ -143,7 +168,6 @@ def predict(docs: DataFrame, model: tuple[list[str], Net | None]) -> DataFrame:
         for b in batches:
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             rows, owner, weight = [], [], []
-            texts = b.column(1).to_pylist()
 
             def flush():
                 if rows:
@@ -156,7 +180,7 @@ def predict(docs: DataFrame, model: tuple[list[str], Net | None]) -> DataFrame:
                     rows.clear(), owner.clear(), weight.clear()
 
             held = 0
-            for i, t in enumerate(texts):
+            for i, t in enumerate(texts(b.column(1), 100)):
                 if net is None or not t or not _LETTER(t):
                     continue
                 data = t.lower().encode("utf-8", "replace")

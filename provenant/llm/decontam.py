@@ -12,21 +12,31 @@ The benchmark is the query set: it is cut into blocks of at most
 document passes every block. Only the item tokens are ever sent; documents
 are neither shuffled nor gathered.
 
+A seed that many items or many places of a document share: each distinct seed
+of a document is met once with the items that have it, which bounds how much of
+an item can be covered; only items that may reach the threshold get their pairs
+of places, a chunk at a time, and keep them as runs on diagonals.
+
 Defined cases: null or empty texts have no tokens and never match; an item of
 fewer tokens than ``min_match`` leaks only where its whole token run occurs;
-equal items are reported apiece; an empty table on either side gives no rows;
-rows with one id are reported once, with their largest coverage.
+equal items are reported apiece; of equally long tiles the one of the least
+place in the item, then in the document, comes first; an empty table on either
+side gives no rows; rows with one id are reported once, with their largest
+coverage; a very long text is read whole, one at a time; only ``doc_id`` and
+``text`` are read, and :func:`decontaminate` passes all columns through.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,29 +60,52 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, pairs: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs_of(pos: np.ndarray, spot: np.ndarray, width: int) -> Runs:
+    """(item start, document start, length) of the maximal runs that equal windows
+    of ``width`` tokens at these places make: neighbours on one diagonal."""
+    diag = spot - pos
+    order = np.lexsort((pos, diag))
+    p, d = pos[order], diag[order]
+    cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(d) != 0)) + 1
+    first, last = np.r_[0, cut], np.r_[cut, len(p)] - 1
+    return p[first], p[first] + d[first], p[last] - p[first] + width
+
+
+def joined(parts: list[Runs], width: int) -> Runs:
+    """Runs of several chunks of an item as one: those that a chunk's end cut are
+    one run again."""
+    a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((a, b - a))
+    a, b, n = a[order], b[order], n[order]
+    whole = np.r_[True, (np.diff(b - a) != 0) | (a[1:] != a[:-1] + n[:-1] - width + 1)]
+    first = np.flatnonzero(whole)
+    last = np.r_[first[1:], len(a)] - 1
+    return a[first], b[first], a[last] + n[last] - a[first]
+
+
+def tiles(item_len: int, runs: Runs, width: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item start, document start, length).
 
-    ``pairs`` has the (item position, document position) of every equal window
-    of ``width`` tokens. Runs on one diagonal are maximal matches; the longest
-    is marked first, and what marks cut off re-enters with its shorter length.
+    ``runs`` are maximal matches. The longest unmarked one is marked first (of
+    equals that of the least item place, then document place), and what marks
+    cut off re-enters with its shorter length.
     """
-    diag = pairs[:, 1] - pairs[:, 0]
-    order = np.lexsort((pairs[:, 0], diag))
-    p, d = pairs[order, 0], diag[order]
-    cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(d) != 0)) + 1
-    runs = [(-(int(p[e - 1]) - int(p[s]) + width), int(p[s]), int(p[s] + d[s])) for s, e in zip(np.r_[0, cut], np.r_[cut, len(p)], strict=True)]
-    heapq.heapify(runs)
-    in_item, in_doc, out = np.zeros(len(item), bool), {}, []
-    marked = in_doc.get
-    while runs and not in_item.all():
-        neg, a, b = heapq.heappop(runs)
+    heap = list(zip((-runs[2]).tolist(), runs[0].tolist(), runs[1].tolist(), strict=True))
+    heapq.heapify(heap)
+    in_item, in_doc, out = bytearray(item_len), set(), []
+    left = item_len
+    while heap and left:
+        neg, a, b = heapq.heappop(heap)
         n = -neg
-        free = [not in_item[a + i] and not marked(b + i) for i in range(n)]
+        free = [not in_item[a + i] and b + i not in in_doc for i in range(n)]
         if all(free):
-            in_item[a : a + n] = True
-            in_doc.update((b + i, True) for i in range(n))
+            in_item[a : a + n] = b"\1" * n
+            in_doc.update(range(b, b + n))
             out.append((a, b, n))
+            left -= n
             continue
         start = None
         for i, ok in enumerate([*free, False]):
@@ -80,7 +113,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, pairs: np.ndarray, width: int) -> l
                 start = i
             elif not ok and start is not None:
                 if i - start >= width:
-                    heapq.heappush(runs, (start - i, a + start, b + start))
+                    heapq.heappush(heap, (start - i, a + start, b + start))
                 start = None
     return out
 
@@ -88,6 +121,8 @@ def tiles(item: np.ndarray, doc: np.ndarray, pairs: np.ndarray, width: int) -> l
 class _Index:
     """Seed windows of a block of items, by their rolling hash."""
 
+    CHUNK = 500_000  # pairs of places held at a time
+
     def __init__(self, items: list[tuple[int, list[str]]], width: int):
         self.width, self.ids, self.vocabulary = width, [], {}
         for _, toks in items:
@@ -112,46 +147,87 @@ class _Index:
         for w, (hashes, who, at) in self.seeds.items():
             if len(doc) < w:
                 continue
-            run = np.convolve(known, np.ones(w, np.int64), "valid") == w if w > 1 else known
-            spots = np.flatnonzero(run)
+            spots = np.flatnonzero(np.convolve(known, np.ones(w, np.int64), "valid") == w if w > 1 else known)
             if not len(spots):
                 continue
             h = rolling(doc, w)[spots]
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            many = hi - lo
-            if not many.any():
+            order = np.argsort(h, kind="stable")
+            h, spots = h[order], spots[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            lo, hi = np.searchsorted(hashes, h[first], "left"), np.searchsorted(hashes, h[first], "right")
+            met = hi > lo
+            if not met.any():
                 continue
-            spot = np.repeat(spots, many)
+            # the items' windows that the document has, each once however often it has them
+            lo, hi = lo[met], hi[met]
+            from_, to = first[met], np.r_[first[1:], len(h)][met]
+            many = hi - lo
             hit = np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            own = np.repeat(np.arange(len(lo)), many)
             item, pos = who[hit], at[hit]
-            for k in np.unique(item):
-                mine = item == k
-                ids, pairs = self.ids[k], np.stack([pos[mine], spot[mine]], 1)
-                window = np.arange(w)
-                real = (ids[pairs[:, :1] + window] == doc[pairs[:, 1:] + window]).all(1)  # settles equal hashes
-                pairs = pairs[real]
-                reach = np.zeros(len(ids), bool)
-                reach[(pairs[:, :1] + window).ravel()] = True
-                if reach.sum() < threshold * len(ids):  # no tiling covers more than this
+            order = np.lexsort((pos, item))
+            item, pos, own = item[order], pos[order], own[order]
+            ends = np.r_[np.flatnonzero(np.diff(item)) + 1, len(item)]
+            # tokens of the item that its windows reach; no tiling covers more
+            reach = np.minimum(np.r_[np.where(np.diff(item) == 0, np.diff(pos), w), w], w)
+            total = np.add.reduceat(reach, np.r_[0, ends[:-1]])
+            for s, e, most in zip(np.r_[0, ends[:-1]], ends, total, strict=True):
+                k = int(item[s])
+                ids = self.ids[k]
+                if most < threshold * len(ids):
                     continue
-                found = tiles(ids, doc, pairs, w)
+                found = self._tiled(ids, doc, pos[s:e], spots, from_[own[s:e]], to[own[s:e]], w)
                 covered = sum(n for *_, n in found)
-                if covered >= threshold * len(ids):
+                if covered and covered >= threshold * len(ids):
                     yield self.names[k], covered / len(ids), len(found)
 
+    def _tiled(self, ids, doc, pos, spots, from_, to, w) -> list[tuple[int, int, int]]:
+        """Tiles of an item whose windows at ``pos`` meet the document's ``spots`` from
+        ``from_`` to ``to``; their pairs are made a chunk at a time and kept as runs."""
+        parts, window = [], np.arange(w)
+        size = np.cumsum(to - from_)
+        cuts = np.unique(np.searchsorted(size, np.arange(self.CHUNK, size[-1] + self.CHUNK, self.CHUNK), "left") + 1)
+        for s, e in zip(np.r_[0, cuts[:-1]], np.minimum(cuts, len(pos)), strict=True):
+            if e <= s:
+                continue
+            many = to[s:e] - from_[s:e]
+            p = np.repeat(pos[s:e], many)
+            d = spots[np.repeat(from_[s:e] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+            real = np.ones(len(p), bool)
+            for i in window:  # settles equal hashes
+                real &= ids[p + i] == doc[d + i]
+            if real.any():
+                parts.append(runs_of(p[real], d[real], w))
+        return tiles(len(ids), joined(parts, w), w) if parts else []
+
+
+_INDEXES: dict = {}
+
+
+def _index(key: str, sent: Broadcast, width: int) -> _Index:
+    """The index of a block, built once in a worker process."""
+    if key not in _INDEXES:
+        if len(_INDEXES) >= 4:
+            _INDEXES.pop(next(iter(_INDEXES)))
+        _INDEXES[key] = _Index(sent.value, width)
+    return _INDEXES[key]
+
 
 def _blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in blocks of bounded size, streamed to the driver one at a time."""
+    """The items in blocks of bounded size (a block that one item exceeds has that
+    item alone; six letters count as a token at least), streamed to the driver one
+    item at a time."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         toks = tokens_of((r["text"] or "").lower())
         if not toks:
             continue
-        if block and size + len(toks) > block_tokens:
+        cost = max(len(toks), len(r["text"]) // 6)
+        if block and size + cost > block_tokens:
             yield block
             block, size = [], 0
         block.append((r["item_id"], toks))
-        size += len(toks)
+        size += cost
     if block:
         yield block
 
@@ -164,10 +240,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
     spark = docs.sparkSession
     out = None
     for block in _blocks(benchmark, block_tokens):
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _Index(sent.value, min_match)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index(key, sent, min_match)
             for b in batches:
                 rows = [
                     (doc, item, cover, n)
@@ -191,10 +267,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN
     block, no shuffle; all columns pass through unchanged."""
     at = docs.columns.index("text")
     for block in _blocks(benchmark, block_tokens):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _Index(sent.value, min_match)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index(key, sent, min_match)
             for b in batches:
                 keep = [not t or next(index.leaks(t, threshold), None) is None for t in texts(b.column(at))]
                 yield b.filter(pa.array(keep, pa.bool_()))

@@ -13,26 +13,30 @@ the sample's pooled vectors (about ``per_class`` rows of each label, at most
 ``2 * per_class``).
 
 Defined cases: a null or empty text has no words and pools to zeros; without
-labelled rows every score is 0.5; an empty table gives no rows; repeated rows
-are scored apiece.
+labelled rows every score is 0.5; a score of the threshold counts as 1; an empty
+table gives no rows; repeated rows are scored apiece; a very long text is read
+whole, a slice of its words at a time; :func:`score` puts its score into the
+column that it is told, and passes all others through.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import crc_mod, labelled_sample
+from .common import crc_mod, labelled_sample, texts
 
 ROWS, DIMS, WINDOW, NONZERO = 1 << 13, 32, 2, 4
 PER_CLASS, THRESHOLD = 5_000, 0.3
 tokens_of = re.compile(r"\w+|[^\w\s]+").findall
+_SPACE = re.compile(r"\s").search
 
 
 class _Rows(dict):
@@ -53,9 +57,39 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return places, rng.choice(np.array([-1.0, 1.0]), (ROWS, NONZERO))
 
 
-def _ids(text: str | None, rows: _Rows) -> np.ndarray:
-    toks = tokens_of(text or "")
-    return np.fromiter(map(rows.__getitem__, toks), np.int64, len(toks))
+def _slices(text: str | None, rows: _Rows, size: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Rows of the tokens of a text, a slice of about ``size`` characters at a time;
+    slices end at white space, which no token holds."""
+    text, at = text or "", 0
+    while at < len(text):
+        m = _SPACE(text, at + size) if at + size < len(text) else None
+        end = m.start() if m else len(text)
+        toks = tokens_of(text, at, end)
+        if toks:
+            yield np.fromiter(map(rows.__getitem__, toks), np.int64, len(toks))
+        at = end
+
+
+def cooccurrences(many: Iterable[str | None], rows: _Rows, places: np.ndarray, signs: np.ndarray, size: int = 1 << 18) -> np.ndarray:
+    """Sums of the index vectors of the neighbours of each row's words."""
+    total = np.zeros(ROWS * DIMS)
+    for text in many:
+        before = np.zeros(0, np.int64)
+        for part in _slices(text, rows, size):
+            w = np.concatenate([before, part])
+            at, by = [], []
+            for k in range(1, WINDOW + 1):
+                lo = max(0, len(before) - k)  # pairs within what came before are counted already
+                for word, context in ((w[lo:-k], w[lo + k :]), (w[lo + k :], w[lo:-k])):
+                    at.append((word[:, None] * DIMS + places[context]).ravel())
+                    by.append(signs[context].ravel())
+            at, by = np.concatenate(at), np.concatenate(by)
+            if len(at) < ROWS * DIMS:
+                np.add.at(total, at, by)
+            else:
+                total += np.bincount(at, by, ROWS * DIMS)
+            before = w[-WINDOW:]
+    return total
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -63,24 +97,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     cols = [f"d{i}" for i in range(DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = _index_vectors()
-        total, rows = np.zeros(ROWS * DIMS), _Rows()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                w = _ids(text, rows)
-                if len(w) < 2:
-                    continue
-                at, by = [], []
-                for k in range(1, WINDOW + 1):
-                    for word, context in ((w[:-k], w[k:]), (w[k:], w[:-k])):
-                        at.append((word[:, None] * DIMS + places[context]).ravel())
-                        by.append(signs[context].ravel())
-                at, by = np.concatenate(at), np.concatenate(by)
-                if len(at) < ROWS * DIMS:
-                    np.add.at(total, at, by)
-                else:
-                    total += np.bincount(at, by, ROWS * DIMS)
-        t = total.reshape(ROWS, DIMS)
+        all_ = (t for b in batches for t in texts(b.column(0), 100))
+        t = cooccurrences(all_, _Rows(), *_index_vectors()).reshape(ROWS, DIMS)
         own = np.flatnonzero(t.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(t[own, i].astype(np.int64)) for i in range(DIMS))], names=["row", *cols])
 
@@ -93,11 +111,17 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(text: str | None, vectors: np.ndarray, rows: _Rows) -> np.ndarray:
-    w = _ids(text, rows)
-    if not len(w):
+    n, total, square = 0, np.zeros(DIMS), np.zeros(DIMS)
+    for w in _slices(text, rows):
+        v = vectors[w]
+        n += len(w)
+        total += v.sum(0, dtype=np.float64)
+        square += np.einsum("ij,ij->j", v, v, dtype=np.float64)
+    if not n:
         return np.zeros(2 * DIMS + 1, np.float32)
-    v = vectors[w]
-    return np.concatenate([v.mean(0), v.std(0), [np.float32(np.log1p(len(w)) / 10)]])
+    mean = total / n
+    spread = np.sqrt(np.maximum(square / n - mean * mean, 0))
+    return np.concatenate([mean, spread, [np.log1p(n) / 10]]).astype(np.float32)
 
 
 class Network:
@@ -161,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
         for b in batches:
-            x = [pooled(t, sent.value, rows) for t in b.column(1).to_pylist()]
+            x = [pooled(t, sent.value, rows) for t in texts(b.column(1), 100)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], names=["quality", "x"])
 
     got = docs.select("doc_id", "text").join(few, "doc_id").select("quality", "text").mapInArrow(run, "quality int, x array<float>").toPandas()
@@ -174,11 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     return vectors, fit(x, y, weight / weight.mean())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFrame:
-    """``docs`` with ``score``: all columns pass through, no shuffle."""
+def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], to: str = "score") -> DataFrame:
+    """``docs`` with the score as column ``to`` (replaced if there is one); all
+    other columns pass through, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    names = [c for c in docs.columns if c != "score"]
+    kept = [i for i, c in enumerate(docs.columns) if c != to]
+    names = [docs.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = sent.value
@@ -187,10 +213,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFram
             if net is None or not b.num_rows:
                 p = np.full(b.num_rows, 0.5)
             else:
-                p = net.proba(np.stack([pooled(t, vectors, rows) for t in b.column(at).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p)], names=[*names, "score"])
+                p = net.proba(np.stack([pooled(t, vectors, rows) for t in texts(b.column(at), 100)]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(p)], names=[*names, to])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add("score", "double"))
+    schema = StructType([docs.schema[i] for i in kept]).add(to, "double")
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:

@@ -13,13 +13,16 @@ is spread over tasks.
 
 Defined cases: a null text is empty (one end id); an empty table gives no
 rows; equal rows are packed apiece; a null or repeated id is a row like any
-other. Token ids are those of the public vocabulary; the merge ranks are
-applied by the faster of two public libraries, which give equal ids.
+other; pieces of one length are told apart by id, piece, start and checksum; a
+very long text is encoded whole, one at a time; only ``doc_id`` and ``text`` are
+read, so no further column can clash. Token ids are those of the public
+vocabulary; the merge ranks are applied by the faster of two public libraries,
+which give equal ids, and a text that tells one of the vocabulary's own tokens
+goes to the library that knows them.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,27 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, order_hash, salted_rank, texts
+from .common import bucket_rows, checkpointed, order_hash, salted_rank, texts
 
 CAPACITY, END_ID = 1024, 2
 _STATE: dict = {}
-_CACHE_WORDS = 200_000
-#: A run of white space that a split at single spaces would cut in two.
-_RUNS = re.compile(r"[^\S \n]| [ \n]|\n ").search
-
-
-class _Words(dict):
-    """Little-endian ids of a space-led word, by word."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word):
-        v = array("I", self.encode(" " + word)).tobytes()
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        self[word] = v
-        return v
 
 
 def _encoder(tokenizer: str | None):
@@ -63,26 +49,26 @@ def _encoder(tokenizer: str | None):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        encode = lambda t: slow.encode(t, add_special_tokens=False).ids
-        if tokenizer is None:
-            import base64
+        whole = lambda t: array("I", slow.encode(t, add_special_tokens=False).ids).tobytes()
+        if tokenizer is not None:
+            _STATE[tokenizer] = whole
+            return whole
+        import base64
 
-            import public_tokenizers
-            import tiktoken
+        import public_tokenizers
+        import tiktoken
 
-            with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        words = _Words(encode)
+        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
         def ids(text: str) -> bytes:
-            if _RUNS(text):
-                return array("I", encode(text)).tobytes()
-            head, *rest = text.split(" ")
-            return array("I", encode(head)).tobytes() + b"".join(map(words.__getitem__, rest))
+            if any(t in text for t in special):  # the vocabulary's own tokens, told in a text, have ids of their own
+                return whole(text)
+            return array("I", fast(text)).tobytes()
 
-        _STATE[tokenizer] = ids if tokenizer is None else (lambda t: array("I", encode(t)).tobytes())
+        _STATE[tokenizer] = ids
     return _STATE[tokenizer]
 
 
@@ -164,13 +150,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return lines
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, rows_per_bucket: int = 2_000, max_buckets: int = 65_536) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, rows_per_bucket: int = 500) -> DataFrame:
     """Pieces with the sequence and the offset where each lies."""
-    p = materialize(pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer), "pieces")
+    p = checkpointed(pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer))
     counts = {r[0]: r[1] for r in p.groupBy("length").count().collect()}  # at most `capacity` rows
     lines = plan(counts, capacity)  # a few lines per length
-    buckets = max(1, min(max_buckets, sum(counts.values()) // rows_per_bucket))
-    spread = p.withColumn("_b", F.floor(order_hash(F.col("doc_id"), F.col("piece"), seed=6) * buckets / 2**32).cast("int"))
+    rows = bucket_rows(sum(counts.values()), rows_per_bucket)
+    steps = p.sparkSession.createDataFrame([(k, -(-n // rows)) for k, n in counts.items()] or [(0, 1)], "length long, _n int")
+    spread = p.join(F.broadcast(steps), "length")  # buckets of a length, by how common it is
+    spread = spread.withColumn("_b", F.floor(order_hash(F.col("doc_id"), F.col("piece"), seed=6) * F.col("_n") / 2**32).cast("int")).drop("_n")
     ranked = salted_rank(spread, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_b", "_r")
     steps = F.broadcast(p.sparkSession.createDataFrame(lines or [(0, 0, 0, 0, 1, 0)], "length long, _lo long, _hi long, _bin long, _m long, _off long"))
     at = ranked.join(steps, "length").where("_r >= _lo and _r < _hi")

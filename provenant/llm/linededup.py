@@ -1,14 +1,23 @@
 """Reversible line deduplication: sharded cuckoo filters over exact counts.
 
-``LineIndex`` keeps three tables. ``holders`` has a row for each (key, document);
-``refs`` has, for each key, the exact number of documents that hold it and the
-largest such id; ``filters`` has one cuckoo filter per shard with the keys that
-are held by at least ``min_docs`` documents. Inserting documents adds holders,
-deleting documents takes them away again, and keys whose count crosses the
-threshold enter or leave the filter of their shard, so the state after a
-deletion is that of an index which never saw the document. A filter may report
-a key that is not repeated; every report is settled against ``refs``, so the
-result is exact.
+``LineIndex`` keeps three tables, each cut into shards by the leading bits of a
+key's hash. ``holders`` has a row for each (key, document); ``refs`` has, for each
+key, the exact number of documents that hold it and the largest such id;
+``filters`` has the cuckoo filters of a shard with the keys that are held by at
+least ``min_docs`` documents. Inserting documents adds holders, deleting
+documents takes them away again, and keys whose count crosses the threshold
+enter or leave the filter of their shard, so the state after a deletion is that
+of an index which never saw the document. Only the shards of keys that came or
+went are read and written again; when shards have twice the rows that they
+should, each is cut in two (rows stay where they are: a shard is a range of
+hashes).
+
+What a document loses: holders, reference counts and the filter of a shard meet
+in one task (the filter first, then the counts, then the holders one batch
+after another), the filter screens the holders and the counts settle what it
+reports, so the result is exact. No filter is collected or sent about. A key
+that holds more than a 1024th of all rows is not dealt by shard: there are
+fewer than 1024 of these, and their rows are settled where they lie.
 
 A key is the line stripped of ``[\\x20\\x09-\\x0D]`` and with A-Z lower-cased; it
 is held as its 128-bit digest. A key of at least ``min_chars`` code points
@@ -17,8 +26,9 @@ loses all its lines except those of the largest id that holds it.
 Defined cases: a null or empty text is one empty line; a null id holds lines
 like any other and is the smallest id; several lines of one document with
 one key count as one holder and stay or go together; an empty table gives no
-rows; rows with the same id are one document to the counts; input columns named
-``n_lines`` or ``n_dropped`` are replaced, all others pass through.
+rows; rows with the same id are one document to the counts; a very long text or
+line is handled whole; input columns named ``n_lines`` or ``n_dropped`` are
+replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, texts
+from .common import Scratch, bucket_rows, checkpointed, free_name, texts
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 SLOTS, KICKS, LOAD = 4, 500, 0.85
-FILTER_BYTES = 64 << 20  # filters up to this size in all are sent to every task
 
 
 class CuckooFilter:
@@ -91,19 +100,53 @@ class CuckooFilter:
                 return True
         return False
 
-    @classmethod
-    def of(cls, keys: np.ndarray) -> CuckooFilter:
-        room = max(8, len(keys))
-        while True:
-            f = cls(room)
-            if all(f.insert(int(k)) for k in keys):
-                return f
-            room *= 2
+    def held(self) -> list[tuple[int, int]]:
+        """What is stored, as (tag, lesser place) in order: the same for the same
+        keys, however they came and whatever was there between."""
+        at, slot = np.nonzero(self.table)
+        tag = self.table[at, slot].astype(np.int64)
+        other = at ^ (tag * 0x5BD1E995 & len(self.table) - 1)
+        return sorted(zip(tag.tolist(), np.minimum(at, other).tolist(), strict=True))
 
     def to_bytes(self) -> bytes:
         return self.table.tobytes()
 
 
+class ShardFilter:
+    """The filters of a shard, all of one size: a key that finds no room opens a
+    further one, and a key can be deleted from whichever holds its tag."""
+
+    LEAST, PARTS = 64, 4  # room of the smallest; a shard of more parts is built anew
+
+    def __init__(self, parts: list[CuckooFilter]):
+        self.parts = parts
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> ShardFilter:
+        f = cls([CuckooFilter(max(cls.LEAST, len(keys)))])
+        for k in keys:
+            f.insert(int(k))
+        return f
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(keys), bool)
+        for p in self.parts:
+            hit |= p.contains(keys)
+        return hit
+
+    def insert(self, key: int) -> None:
+        if any(p.insert(key) for p in self.parts):
+            return
+        self.parts.append(CuckooFilter(data=bytes(self.parts[0].table.nbytes)))
+        self.parts[-1].insert(key)
+
+    def delete(self, key: int) -> None:
+        any(p.delete(key) for p in self.parts)
+
+    def held(self) -> list[tuple[int, int]]:
+        return sorted(x for p in self.parts for x in p.held())
+
+
 def line_key(line: str) -> str:
     return line.strip(STRIP).translate(_LOWER)
 
@@ -114,6 +157,7 @@ def _digest(key: str) -> tuple[int, int]:
 
 
 HOLDERS = "k1 long, k2 long, doc_id long"
+FILTERS = "shard int, part int, filter binary"
 
 
 def holders(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -138,92 +182,234 @@ def _refs(held: DataFrame) -> DataFrame:
     return held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_doc"))
 
 
+def shard_of(key: str | Column, bits: int) -> Column:
+    """The leading ``bits`` bits of a hash."""
+    return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
+
+
+class _Table:
+    """Rows by shard, in parts written one after another: a later part has all
+    rows of the shards that it replaces in the earlier ones."""
+
+    PARTS, DEAD = 8, 4096  # beyond so many parts, or shards replaced, all is written anew
+
+    def __init__(self, store: Scratch, name: str, parts: list[tuple[DataFrame, set[int]]]):
+        self.store, self.name, self.parts = store, name, parts
+
+    def _shard(self, bits: int) -> Column:
+        return F.col("shard") if self.name == "filters" else shard_of("k2", bits)
+
+    def read(self, bits: int, shards: set[int] | None = None) -> DataFrame:
+        out = None
+        for df, dead in self.parts:
+            if dead:
+                df = df.where(~self._shard(bits).isin(sorted(dead)))
+            if shards is not None:
+                df = df.where(self._shard(bits).isin(sorted(shards)))
+                if self.name != "filters" and bits and len(shards) <= 64:  # as ranges, which the files' statistics serve
+                    width = 1 << (64 - bits)
+                    sign = lambda x: x - 2**64 if x >= 2**63 else x
+                    near = F.lit(False)
+                    for s in sorted(shards):
+                        near = near | F.col("k2").between(sign(s * width), sign(s * width + width - 1))
+                    df = df.where(near)
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def replaced(self, bits: int, shards: set[int], rows: DataFrame) -> _Table:
+        """The table whose rows of ``shards`` are ``rows``."""
+        order = "shard" if self.name == "filters" else "k2"
+        parts = [(df, dead | shards) for df, dead in self.parts]
+        new = [*parts, (self.store.table(rows.sortWithinPartitions(order), self.name), set())]
+        if len(new) > self.PARTS or sum(len(dead) for _, dead in new) > self.DEAD:
+            whole = _Table(self.store, self.name, new).read(bits)
+            new = [(self.store.table(whole.sortWithinPartitions(order), self.name), set())]
+        return _Table(self.store, self.name, new)
+
+    def split(self) -> _Table:
+        """The same table for shards that are half as wide."""
+        return _Table(self.store, self.name, [(df, {x for s in dead for x in (2 * s, 2 * s + 1)}) for df, dead in self.parts])
+
+
 class LineIndex:
-    """Holders, reference counts and filters; every table lies in the shared folder."""
+    """Holders, reference counts and filters in the shared folder. An index is a
+    value: inserting and deleting give another one, which shares the files of
+    untouched shards; :meth:`close` deletes the files of them all."""
 
-    def __init__(self, held: DataFrame, min_docs: int = 5, min_chars: int = 40, keys_per_shard: int = 50_000, refs: DataFrame | None = None, filters: DataFrame | None = None, shards: int = 0):
-        self.min_docs, self.min_chars, self.keys_per_shard = min_docs, min_chars, keys_per_shard
-        self.held = held
-        self.refs = refs if refs is not None else materialize(_refs(held), "line-refs")
-        self.repeated = self.refs.where(F.col("n_docs") >= min_docs)
-        self.shards = shards or max(1, math.ceil(self.repeated.count() / keys_per_shard))
-        self.filters = filters if filters is not None else materialize(self._built(self.repeated), "line-filters")
+    def __init__(self, store: Scratch, held: _Table, refs: _Table, filters: _Table, bits: int, rows: int, min_docs: int, min_chars: int, shard_rows: int):
+        self.store, self._held, self._refs, self._filters, self.bits, self.rows = store, held, refs, filters, bits, rows
+        self.min_docs, self.min_chars, self.shard_rows = min_docs, min_chars, shard_rows
 
     @classmethod
-    def build(cls, docs: DataFrame, **options) -> LineIndex:
+    def build(cls, docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, shard_rows: int = 20_000, lasting: bool = True) -> LineIndex:
+        """``lasting``: files are put in order of the shards, so that an update
+        finds its own; of no use to an index that is read once."""
+        order = (lambda df: df.sortWithinPartitions("k2")) if lasting else (lambda df: df)
         # a document that repeats a line within itself has emitted it once;
         # distinct() joins rows that share an id
-        return cls(materialize(holders(docs, options.get("min_chars", 40)).distinct(), "line-holders"), **options)
-
-    def _shard(self):
-        return F.pmod(F.col("k2"), F.lit(self.shards)).cast("int")
-
-    def _built(self, keys: DataFrame) -> DataFrame:
+        store = Scratch(docs.sparkSession)
+        held = store.table(order(holders(docs, min_chars).distinct()), "holders")
+        refs = store.table(order(_refs(held)), "refs")
+        rows = held.count()
+        bits = max(0, math.ceil(math.log2(max(1, rows) / bucket_rows(rows, shard_rows))))
+        out = cls(store, _Table(store, "holders", [(held, set())]), _Table(store, "refs", [(refs, set())]), _Table(store, "filters", []), bits, rows, min_docs, min_chars, shard_rows)
+        out._filters = _Table(store, "filters", [(store.table(out._built(), "filters"), set())])
+        return out
+
+    def close(self) -> None:
+        self.store.__exit__()
+
+    @property
+    def held(self) -> DataFrame:
+        return self._held.read(self.bits)
+
+    @property
+    def refs(self) -> DataFrame:
+        return self._refs.read(self.bits)
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._filters.read(self.bits)
+
+    def _built(self, shards: set[int] | None = None) -> DataFrame:
+        """Filters made from the counts, of some or all shards."""
         def build(pdf):
             import pandas as pd
 
-            f = CuckooFilter.of(np.unique(pdf["k1"].to_numpy().astype(np.uint64)))
-            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [f.to_bytes()]})
+            f = ShardFilter.of(np.sort(pdf["k1"].to_numpy().astype(np.uint64)))
+            return pd.DataFrame([(int(pdf["shard"].iloc[0]), i, p.to_bytes()) for i, p in enumerate(f.parts)], columns=["shard", "part", "filter"])
 
-        return keys.select(self._shard().alias("shard"), "k1").groupBy("shard").applyInPandas(build, "shard int, filter binary")
+        keys = self._refs.read(self.bits, shards).where(F.col("n_docs") >= self.min_docs).select(shard_of("k2", self.bits).alias("shard"), "k1")
+        return keys.groupBy("shard").applyInPandas(build, FILTERS)
 
-    def _touched(self, changed: DataFrame, held: DataFrame) -> LineIndex:
-        """The index after ``changed`` holders came or went: counts are made anew
-        for the keys they name, and filters only in the shards of those keys."""
-        keys = materialize(changed.select("k1", "k2").distinct(), "line-changed")
-        fresh = _refs(held.join(keys, ["k1", "k2"], "left_semi"))
-        refs = materialize(self.refs.join(keys, ["k1", "k2"], "left_anti").unionByName(fresh), "line-refs")
-        crossed = keys.select(self._shard().alias("shard")).distinct()
-        live = refs.where(F.col("n_docs") >= self.min_docs).withColumn("shard", self._shard())
-        new = self._built(live.join(crossed, "shard", "left_semi"))
-        filters = materialize(self.filters.join(crossed, "shard", "left_anti").unionByName(new), "line-filters")
-        return LineIndex(held, self.min_docs, self.min_chars, self.keys_per_shard, refs, filters, self.shards)
+    def _changed(self, shards: set[int], held: _Table, keys: DataFrame, rows: int) -> LineIndex:
+        """The index with these holders, which differ in ``keys`` of ``shards`` only."""
+        old = self._refs.read(self.bits, shards)
+        fresh = self.store.table(_refs(held.read(self.bits, shards).join(keys, ["k1", "k2"], "left_semi")), "fresh")
+        refs = self._refs.replaced(self.bits, shards, old.join(keys, ["k1", "k2"], "left_anti").unionByName(fresh))
+        many = lambda df: df.where(F.col("n_docs") >= self.min_docs).select("k1", "k2")
+        was, now = many(old.join(keys, ["k1", "k2"], "left_semi")), many(fresh)
+        moves = now.join(was, ["k1", "k2"], "left_anti").withColumn("comes", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("comes", F.lit(False)))
+
+        def update(moved, stored):
+            import pandas as pd
+
+            f = ShardFilter([CuckooFilter(data=bytes(x)) for x in stored.sort_values("part")["filter"]] or [CuckooFilter(ShardFilter.LEAST)])
+            moved = moved.sort_values(["comes", "k1"])  # what leaves goes first
+            for k, comes in zip(moved["k1"].to_numpy().astype(np.uint64), moved["comes"], strict=True):
+                (f.insert if comes else f.delete)(int(k))
+            shard = int((moved if len(moved) else stored)["shard"].iloc[0])
+            return pd.DataFrame([(shard, i, p.to_bytes()) for i, p in enumerate(f.parts)], columns=["shard", "part", "filter"])
+
+        moves = moves.select(shard_of("k2", self.bits).alias("shard"), "k1", "comes")
+        stored = self._filters.read(self.bits, shards)
+        filters = self._filters.replaced(self.bits, shards, moves.groupBy("shard").cogroup(stored.groupBy("shard")).applyInPandas(update, FILTERS))
+        out = LineIndex(self.store, held, refs, filters, self.bits, rows, self.min_docs, self.min_chars, self.shard_rows)
+        while out.rows > 2 * bucket_rows(out.rows, self.shard_rows) << out.bits:
+            out._held, out._refs, out.bits = out._held.split(), out._refs.split(), out.bits + 1
+        if out.bits != self.bits:
+            out._filters = _Table(self.store, "filters", [(self.store.table(out._built(), "filters"), set())])
+            return out
+        grown = {r[0] for r in filters.read(self.bits, shards).where(F.col("part") >= ShardFilter.PARTS).select("shard").distinct().collect()}
+        if grown:
+            out._filters = filters.replaced(self.bits, grown, out._built(grown))
+        return out
+
+    def _shards(self, rows: DataFrame) -> set[int]:
+        return {r[0] for r in rows.select(shard_of("k2", self.bits)).distinct().collect()}  # at most 2**bits numbers
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = materialize(holders(docs, self.min_chars).distinct().join(self.held, ["k1", "k2", "doc_id"], "left_anti"), "line-new")
-        return self._touched(new, materialize(self.held.unionByName(new), "line-holders"))
+        new = self.store.table(holders(docs, self.min_chars).distinct(), "came")
+        shards = self._shards(new)
+        if not shards:
+            return self
+        own = self._held.read(self.bits, shards)
+        new = self.store.table(_minus(new, own), "new")
+        held = self._held.replaced(self.bits, shards, own.unionByName(new))
+        return self._changed(shards, held, new.select("k1", "k2").distinct(), self.rows + new.count())
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        gone = materialize(self.held.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("k1", "k2", "doc_id"), "line-gone")
-        return self._touched(gone, materialize(self.held.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-holders"))
-
-    def _screened(self) -> DataFrame:
-        """Holders that the filters report; a superset of those of repeated keys."""
-        size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        if size > FILTER_BYTES:  # too large to send about: the exact join does it all
-            return self.held
-        tables = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
-        sent, shards = self.held.sparkSession.sparkContext.broadcast(tables), self.shards
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter(data=d) for s, d in sent.value.items()}
-            for b in batches:
-                k1, k2 = (b.column(i).to_numpy() for i in (0, 1))
-                hit = np.zeros(len(k1), bool)
-                shard = np.mod(k2, shards)
-                for s, f in filters.items():
-                    mine = np.flatnonzero(shard == s)
-                    hit[mine] = f.contains(k1[mine].astype(np.uint64))
-                yield b.filter(pa.array(hit))
-
-        return self.held.select("k1", "k2", "doc_id").mapInArrow(run, HOLDERS)
+        """Without the documents of these ids. If ``ids`` has their texts too, only
+        the shards of their lines are read; else all holders are looked through."""
+        if "text" in ids.columns:
+            known = self.store.table(holders(ids, self.min_chars).distinct(), "went")
+            shards = self._shards(known)
+            gone = _common(self._held.read(self.bits, shards), known) if shards else known
+        else:
+            own = ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct()
+            gone = self.held.join(own, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi")
+        gone = self.store.table(gone.select("k1", "k2", "doc_id"), "gone")
+        shards = self._shards(gone)
+        if not shards:
+            return self
+        held = self._held.replaced(self.bits, shards, _minus(self._held.read(self.bits, shards), gone))
+        return self._changed(shards, held, gone.select("k1", "k2").distinct(), self.rows - gone.count())
 
     def drops(self) -> DataFrame:
-        """(doc_id, keys): the keys whose lines that document loses."""
-        live = self.repeated.select("k1", "k2", "keep_doc")
-        lost = self._screened().join(live, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
+        """(doc_id, _keys): the keys whose lines that document loses."""
+        repeated = self.refs.where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "n_docs", "keep_doc")
+        least = self.rows // 1024
+        hot = repeated.where(F.col("n_docs") > least).drop("n_docs")  # fewer than 1024 rows
+        lost = self.held.join(F.broadcast(hot), ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc"))).select("k1", "k2", "doc_id")
+        none = lambda t: F.lit(None).cast(t)
+        shard = shard_of("k2", self.bits).alias("shard")
+        rows = self.filters.select("shard", F.lit(0).alias("kind"), none("long").alias("k1"), none("long").alias("k2"), none("long").alias("doc_id"), "filter")
+        rows = rows.unionByName(repeated.where(F.col("n_docs") <= least).select(shard, F.lit(1).alias("kind"), "k1", "k2", F.col("keep_doc").alias("doc_id"), none("binary").alias("filter")))
+        rest = self.held.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
+        rows = rows.unionByName(rest.select(shard, F.lit(2).alias("kind"), "k1", "k2", "doc_id", none("binary").alias("filter")))
+        lost = lost.unionByName(rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_settle, HOLDERS))
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` cleaned, and ``n_lines`` and ``n_dropped`` added."""
         own = free_name(docs)
-        drops = self.drops().select(F.col("doc_id").alias(f"{own}_doc"), F.col("_keys").alias(f"{own}_keys"))
-        names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+        keys = F.col(f"{own}_keys")
+        drops = checkpointed(self.drops()).select(F.col("doc_id").alias(f"{own}_doc"), F.col("_keys").alias(f"{own}_keys"))
+        names = [f"`{c}`" for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
         joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(f"{own}_doc")), "left")
-        touched = joined.where(F.col(f"{own}_keys").isNotNull()).select(*names, _clean(self.min_chars)("text", f"{own}_keys").alias(f"{own}_c"))
-        same = joined.where(F.col(f"{own}_keys").isNull()).select(
-            *names, "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-        return same.unionByName(touched.select(*names, f"{own}_c.text", f"{own}_c.n_lines", f"{own}_c.n_dropped"))
+        out = joined.withColumn(f"{own}_c", _clean(self.min_chars)(F.when(keys.isNotNull(), F.col("text")), keys))  # other texts stay in the JVM
+        pick = lambda plain, name: F.when(keys.isNull(), plain).otherwise(F.col(f"{own}_c.{name}")).alias(name)
+        lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+        return out.select(*names, pick(F.col("text"), "text"), pick(lines, "n_lines"), pick(F.lit(0).cast("long"), "n_dropped"))
+
+
+def _same(a: str, b: str) -> Column:
+    return (F.col(f"{a}.k1") == F.col(f"{b}.k1")) & (F.col(f"{a}.k2") == F.col(f"{b}.k2")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+
+
+def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.alias("a").join(b.alias("b"), _same("a", "b"), "left_anti")
+
+
+def _common(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.alias("a").join(b.alias("b"), _same("a", "b"), "left_semi")
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holders that lose their lines. A shard's rows come as its filters (kind 0),
+    the counts of its repeated keys (1, the document to keep in ``doc_id``), and
+    its holders (2); only the filters and repeated keys of one shard are held."""
+    now, screen, keep = None, None, {}
+    for b in batches:
+        shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
+        lost = []
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(shard)], strict=True):
+            if e == s:
+                continue
+            if shard[s] != now:
+                now, screen, keep = shard[s], ShardFilter([]), {}
+            part = b.slice(s, e - s)
+            if kind[s] == 0:
+                screen.parts += [CuckooFilter(data=bytes(x)) for x in part.column(5).to_pylist()]
+            elif kind[s] == 1:
+                keep.update(zip(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True), part.column(4).to_pylist(), strict=True))
+            elif keep:
+                hit = part.filter(pa.array(screen.contains(part.column(2).to_numpy().astype(np.uint64))))
+                k1, k2, doc = (hit.column(i).to_pylist() for i in (2, 3, 4))
+                lost += [x for x in zip(k1, k2, doc, strict=True) if x[:2] in keep and keep[x[:2]] != x[2]]
+        cols = list(zip(*lost, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "doc_id"])
 
 
 def _clean(min_chars: int):
@@ -233,8 +419,11 @@ def _clean(min_chars: int):
 
         out = []
         for t, ks in zip(text, keys, strict=True):
+            if ks is None or t is None:
+                out.append((None, 1, 0))  # a null text is one line and stays null
+                continue
             gone = {(int(k["k1"]), int(k["k2"])) for k in ks}
-            lines = (t or "").split("\n")
+            lines = t.split("\n")
             kept = [x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or _digest(k) not in gone]
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
@@ -243,4 +432,8 @@ def _clean(min_chars: int):
 
 
 def deduplicate_lines(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
-    return LineIndex.build(docs, min_docs=min_docs, min_chars=min_chars).apply(docs)
+    index = LineIndex.build(docs, min_docs=min_docs, min_chars=min_chars, lasting=False)
+    try:
+        return index.apply(docs)
+    finally:
+        index.close()

@@ -33,6 +33,7 @@ def test_language_odd_rows(spark):
     got = langid.identify(spark.createDataFrame(ODD, SCHEMA)).collect()
     assert len(got) == len(ODD)
     assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"}
+    assert {r["lang_pred"] for r in got} <= {"und", "en", "fr"}
     assert langid.identify(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -44,7 +45,7 @@ def test_classifiers(spark, op, label, cut):
     assert len(got) == len(pdf) and got.score.between(0, 1).all() and (got.predicted == (got.score >= cut)).all()
     m = got.merge(lab, on="doc_id")
     held = m[m.held_out]
-    assert (held.predicted == held[label]).mean() > 0.88
+    assert (held.predicted == held[label]).mean() > 0.93
     text = got.merge(pdf[["doc_id", "text"]], on="doc_id").groupby("text").score.nunique()
     assert (text == 1).all()
 
@@ -108,24 +109,58 @@ def test_pii(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
-def test_tagger_learns_and_windows_join():
-    rng = np.random.default_rng(3)
-    words = ["lorem", "ipsum", "dolor", "12", "sit"]
-    texts, spans = [], []
-    for _ in range(150):
-        head = " ".join(rng.choice(words, rng.integers(3, 25)))
-        mail = f"{rng.choice(words[:3])}.{rng.integers(10, 99)}@{rng.choice(words[:3])}.org"
-        texts.append(f"{head} {mail} " + " ".join(rng.choice(words, 12)))
-        spans.append((len(head) + 1, len(head) + 1 + len(mail)))
-    x = np.concatenate([pii.cut(pii.classes(t), pii.starts(t)) for t in texts])
-    y = np.concatenate([pii.cut(pii.tags_of(len(t), pii.base_spans(t)), pii.starts(t)).astype(np.int64) for t in texts])
-    net = pii.Tagger()
-    net.train(x, y, steps=200)
-    hit = 0
-    for t, s in zip(texts, spans, strict=True):
-        at = pii.starts(t)
-        hit += ("email", *s) in pii.reconcile(len(t), at, net.decode(pii.cut(pii.classes(t), at)))
-    assert hit > 0.85 * len(texts)
+@needs
+def test_network_finds_what_patterns_cannot(spark):
+    """A held-out set with planted spans of other notations and near misses: most
+    are found to the character, and little else is added."""
+    import random
+
+    net = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+
+    rng, writer = random.Random(5), pii.Writer(1234)
+    vocabulary = [writer.word(2, 9) for _ in range(400)]
+    rows, want = [], {}
+    for i in range(400):
+        text, own = "", []
+        for _ in range(rng.randint(20, 120)):
+            text += rng.choice(vocabulary) + rng.choice([" ", " ", " ", ", ", ". "])
+            if rng.random() < 0.03:
+                what, k, base = writer.any()
+                if k is not None and not base:
+                    own.append((pii.KINDS[k], len(text), len(text) + len(what)))
+                text += what + " "
+        taken = [x for v in pii.base_spans(text).values() for x in v] + pii.failed_spans(text)
+        want[i] = {f"{k}:{s}:{e}" for k, s, e in own if all(e <= p or q <= s for p, q in taken)}
+        rows.append((i, text, "en", 0.0))
+    rows += [(None, rows[0][1], "en", 0.0), (900, "plain words " * 30_000 + " call (212) 555-0199 or so " + "plain words " * 30_000, "en", 0.0)]
+    got = pii.find(spark.createDataFrame(rows, SCHEMA), net=net).collect()
+    found = {r["doc_id"]: r["spans"] for r in got}
+    assert found[None] == found[0]
+    at = len("plain words " * 30_000 + " call ")
+    assert found[900] == f"phone:{at}:{at + 14}"
+    hit = more = all_ = 0
+    for i, t in ((r[0], r[1]) for r in rows[:400]):
+        base = {f"{k}:{s}:{e}" for k, v in pii.base_spans(t).items() for s, e in v}
+        new = set(found[i].split(",")) - base - {""}
+        hit, more, all_ = hit + len(new & want[i]), more + len(new), all_ + len(want[i])
+    assert all_ > 300 and hit > 0.95 * all_ and hit > 0.95 * more
+    # the driver's texts have no other notation; what is added there is wrong
+    pdf = pd.read_parquet(f"{SF}/documents.parquet")
+    plain = dict(zip(pdf.doc_id, pdf.text.fillna(""), strict=True))
+    got = pii.find(spark.read.parquet(f"{SF}/documents.parquet"), net=net).collect()
+    assert sum(len(set(r["spans"].split(",")) - {f"{k}:{s}:{e}" for k, v in pii.base_spans(plain[r["doc_id"]]).items() for s, e in v} - {""}) for r in got) <= 2
+
+
+def test_windows_join():
+    """A span over many windows is one span, and a new begin starts another."""
+    text = "x" * 300
+    at = np.arange(0, 240, pii.STRIDE)
+    tags = np.zeros(300, np.uint8)
+    tags[20:200], tags[20], tags[100] = 2, 1, 1
+    paths = np.stack([np.pad(tags[s : s + pii.WINDOW], (0, max(0, s + pii.WINDOW - 300))) for s in at])
+    assert pii.reconcile(len(text), at, paths) == [("email", 20, 100), ("email", 100, 200)]
+    assert pii.reconcile(len(text), at[:0], paths[:0]) == [] and list(pii.starts("plain")) == []
+    assert [s for s in pii.starts("a" * 200 + "@" + "b" * 200)] == [144, 192]
 
 
 def test_crf_gradient():
@@ -146,7 +181,7 @@ def test_crf_gradient():
         return total / 3
 
     g = net.grads(x, y)
-    for k, at in (("trans", (1, 2)), ("out", (3, 4)), ("wf", (2, 5)), ("wb", (9, 20))):
+    for k, at in (("trans", (1, 2)), ("out", (3, 4)), ("wx", (0, int(x[0, 3]), 5)), ("wx", (1, int(x[1, 2]), 70)), ("wh", (0, 2, 25)), ("wh", (1, 9, 20))):
         v, e = getattr(net, k), 1e-3
         v[at] += e
         up = loss()
@@ -154,3 +189,101 @@ def test_crf_gradient():
         down = loss()
         v[at] += e
         assert abs((up - down) / (2 * e) - g[k][at]) < 2e-3 + 0.02 * abs(g[k][at])
+
+
+def test_word_vectors_are_the_stated_sums(spark):
+    """Co-occurrences over all documents, by plain loops; slices change nothing."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)] + ["!!", "é", "don't"]
+    docs = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(50)] + [None, "", "one", "a\nb"]
+    places, signs = quality._index_vectors()
+    total, rows = np.zeros((quality.ROWS, quality.DIMS)), quality._Rows()
+    for t in docs:
+        w = [rows[x] for x in quality.tokens_of(t or "")]
+        for i, a in enumerate(w):
+            for j, b in enumerate(w):
+                if 0 < abs(i - j) <= quality.WINDOW:
+                    total[a, places[b]] += signs[b]
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in docs], "text string"))
+    assert np.allclose(got, want, atol=1e-5)
+    long = " ".join(docs[:40])
+    assert [x for part in quality._slices(long, rows, 20) for x in part] == [x for part in quality._slices(long, rows) for x in part]
+    assert np.allclose(quality.pooled(long, got, rows)[: quality.DIMS], got[[rows[x] for x in quality.tokens_of(long)]].mean(0), atol=1e-5)
+
+
+def test_word_vectors_in_slices(spark, monkeypatch):
+    """Pairs over the end of a slice count once."""
+    text = " ".join(f"w{i % 17}" for i in range(3000))
+    rows = quality._Rows()
+    whole = [x for part in quality._slices(text, rows) for x in part]
+    places, signs = quality._index_vectors()
+    want = np.zeros((quality.ROWS, quality.DIMS))
+    for k in range(1, quality.WINDOW + 1):
+        for a, b in [*zip(whole, whole[k:], strict=False), *zip(whole[k:], whole, strict=False)]:
+            want[a, places[b]] += signs[b]
+    got = quality.cooccurrences([text], rows, places, signs, size=50)
+    assert np.allclose(got.reshape(want.shape), want)
+
+
+def test_convolution_is_the_stated_one():
+    """Window probabilities by plain loops over filters and places."""
+    net = langid.Net(3)
+    x = langid.windows("The quick brown fox, a naïve test of filters".encode())
+    e = net.emb[x[0]]
+    top = []
+    for i, w in enumerate(langid.WIDTHS):
+        for f in range(langid.FILTERS):
+            col = net.conv[: w * langid.EMBED, i * langid.FILTERS + f].reshape(w, langid.EMBED)
+            top.append(max((e[p : p + w] * col).sum() for p in range(langid.WINDOW - langid._SPAN + 1)) + net.cb[i * langid.FILTERS + f])
+    z = np.maximum(top, 0) @ net.out + net.ob
+    assert np.allclose(net.proba(x)[0], np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+
+
+def test_training_windows_come_from_the_whole_text():
+    text = "".join(f"sentence number {i} of a text. " for i in range(2000))
+    from_ = [text.encode().find(w.tobytes()) for _, w in langid.drawn(text, 8)]
+    assert len(from_) == 8 and min(from_) >= 0 and max(from_) > len(text) / 2
+    spans = pii.drawn(text, 40)
+    assert len(spans) > 30 and all(len(a) == len(b) == pii.WINDOW for _, a, b in spans)
+
+
+def test_ftrl_is_the_stated_algorithm():
+    """McMahan et al.'s updates, coordinate by coordinate."""
+    import math
+
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 30, 6)), int(rng.integers(0, 2))) for _ in range(200)]
+    rows = [(x, rng.random(len(x)) + 0.5, y) for x, y in rows]
+    model = toxicity.FTRL(l1=0.3)
+    z, n = {}, {}
+    weight = lambda i: 0.0 if i != 1 << toxicity.BITS and abs(z.get(i, 0)) <= 0.3 else (math.copysign(0.0 if i == 1 << toxicity.BITS else 0.3, z.get(i, 0)) - z.get(i, 0)) / ((1 + math.sqrt(n.get(i, 0))) / 0.15 + 1)
+    for x, v, y in rows:
+        idx, val = [*x.tolist(), 1 << toxicity.BITS], [*v.tolist(), 1.0]
+        model.step(np.array(idx), np.array(val), y, 1.0)
+        w = [weight(i) for i in idx]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, val, strict=True))))
+        for i, a, b in zip(idx, w, val, strict=True):
+            g = (p - y) * b
+            s = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / 0.15
+            z[i], n[i] = z.get(i, 0) + g - s * a, n.get(i, 0) + g * g
+    idx = np.array([*range(30), 1 << toxicity.BITS])
+    assert np.allclose(model.weights(idx), [weight(i) for i in idx.tolist()], atol=1e-9)
+
+
+def test_features_are_the_stated_ones():
+    hashes = toxicity.Hashes(4)  # forgets words all the time
+    x, v = toxicity.features(toxicity.places("Alpha beta alpha beta", hashes))
+    y, u = toxicity.features(toxicity.places("alpha  beta, alpha-beta", toxicity.Hashes()))
+    assert (x == y).all() and (v == u).all()
+    # alpha, beta, alpha beta, beta alpha, two skip pairs, alph (alpha's only stem)
+    assert len(x) == 7 and sorted(np.round(v**2).astype(int).tolist()) == [1, 1, 1, 2, 2, 2, 2]
+
+
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_scores_keep_other_columns(spark, op):
+    docs = spark.createDataFrame([(1, "some words", 7, "a"), (2, None, 8, "b"), (3, "many words " * 100_000, 9, "c")], "doc_id long, text string, score int, `a.b` string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    got = op.score(docs, op.train(docs, labels), "mine")
+    assert got.columns == [*docs.columns, "mine"] and [tuple(r)[2:4] for r in got.orderBy("doc_id").collect()] == [(7, "a"), (8, "b"), (9, "c")]
+    assert op.score(docs, op.train(docs, labels)).columns == ["doc_id", "text", "a.b", "score"]

@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from provenant.llm import fingerprint, sharding
@@ -55,6 +57,13 @@ def test_sharding_is_the_stated_order(spark):
         assert out[i] == (shard, p - -(-shard * n // 5))
 
 
+def test_sharding_odd_rows(spark):
+    rows = [(None, None, None, "x"), (None, "a", "s", "x"), (1, "x" * 100_000, "s", "x"), (1, "x" * 100_000, "s", "x"), (2, "", None, "x")]
+    out = sharding.interleave(docs(spark, rows).withColumn("shard", F.lit("clash")).withColumn("_k", F.lit(0)), 3).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((r[0], 16 + len(r[1] or "")) for r in rows)
+    assert Counter(r["shard"] for r in out) == Counter({0: 2, 1: 2, 2: 1})
+
+
 def test_sharding_empty(spark):
     assert sharding.interleave(docs(spark, []), 4).count() == 0
 
@@ -90,6 +99,54 @@ def test_edited_pairs_nulls_and_empty(spark):
     assert [r["edited"] for r in fingerprint.edited_pairs(docs(spark, [(1, "abcd", "s", "x")])).collect()] == ["abab"]
 
 
+def chained(values, seed=42):
+    """What xxhash64 makes of a row of long values."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
+    return seed
+
+
+def by_hand(text, words=5, bits=3):
+    """(sketch, hash of all words) as signed numbers."""
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in (text or "").strip(" ").lower().split()] or [xxhash.xxh64_intdigest(b"", 42)]
+    hashes = {chained(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    return sorted(h for h in map(signed, hashes) if h < -(2**63) + 2 ** (64 - bits)), signed(chained(w))
+
+
+def test_sketch_is_the_stated_one(spark):
+    rows = [(i, t, "s", "x") for i, (_, t, *_) in enumerate(corpus(200))] + [(900, "A b\tC  d\ne f", "s", "x"), (901, "one", "s", "x"), (902, "word " * 30_000, "s", "x")]
+    d = docs(spark, rows).withColumn("_pv_w", F.lit("taken")).withColumn("_pv_h", F.lit(1))
+    out = fingerprint.with_sketch(d, "text", "k").collect()
+    assert out[0].asDict().keys() == {*d.columns, "k", "k_whole"} and all(r["_pv_w"] == "taken" for r in out)
+    text = {r[0]: r[1] for r in rows}
+    assert {r["doc_id"]: (r["k"], r["k_whole"]) for r in out} == {i: by_hand(t) for i, t in text.items()}
+
+
+def test_report_is_the_stated_one(spark):
+    rows = [r for r in corpus(120) if r[0] != 5000]
+    out = {r["doc_id"]: r for r in fingerprint.fingerprint_report(docs(spark, rows)).collect()}
+    order = sorted((r[0], r[1]) for r in rows)
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        a, b, c = (by_hand(x) for x in (t, t[: len(t) - half] + nxt[:half], nxt))
+        alike = lambda x, y: len({*x[0]} & {*y[0]}) / len({*x[0]} | {*y[0]}) if x[0] or y[0] else float(x[1] == y[1])
+        assert out[i]["near_edited"] == pytest.approx(alike(a, b)) and out[i]["near_next"] == pytest.approx(alike(a, c))
+        shown = ".".join(f"{h % 2**64:X}" for h in a[0]) or f"={a[1] % 2**64:X}"
+        assert out[i]["fingerprint"] == shown
+
+
+def test_containment_of_short_texts(spark):
+    """A short text's containment in a long one is 1 or unknown, never wrong; a union's sketch is the union of sketches."""
+    rng = random.Random(3)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(407)]
+    rows = [(i, " ".join(long[i : i + 7]), "s", "") for i in range(300)]
+    big = fingerprint.with_sketch(docs(spark, [(1000, " ".join(long), "s", "")]), "text", "big").select("big")
+    both = fingerprint.fingerprints(docs(spark, rows)).crossJoin(big).select(fingerprint.containment("sketch", "big").alias("c"), (fingerprint.merged("sketch", "big") == F.col("big")).alias("m")).collect()
+    assert {r["c"] for r in both} == {None, 1.0} and all(r["m"] for r in both)
+    assert sum(r["c"] == 1.0 for r in both) > 60
+
+
 def test_sketch_estimates(spark):
     rng = random.Random(5)
     a = [f"t{rng.randint(0, 10**6)}" for _ in range(6000)]

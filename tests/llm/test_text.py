@@ -55,28 +55,87 @@ def test_line_dedup(spark):
     assert linededup.deduplicate_lines(docs(spark, [])).count() == 0
 
 
-def test_line_index_is_reversible(spark):
+def texts_of(df):
+    return {r["doc_id"]: (r["text"] or "", r["n_lines"], r["n_dropped"]) for r in df.collect()}
+
+
+def state(ix):
+    stored = defaultdict(list)
+    for r in ix.filters.collect():
+        stored[r["shard"]].append(linededup.CuckooFilter(data=bytes(r["filter"])))
+    held = {s: linededup.ShardFilter(p).held() for s, p in stored.items()}
+    return sorted(map(tuple, ix.refs.collect()), key=repr), sorted(map(tuple, ix.held.collect()), key=repr), {s: h for s, h in held.items() if h}
+
+
+@pytest.mark.parametrize("with_text", [True, False])
+def test_line_index_is_reversible(spark, with_text):
     rows = line_rows()
-    state = lambda ix: (sorted(map(tuple, ix.refs.collect()), key=repr), sorted(map(tuple, ix.held.collect())))
-    first = linededup.LineIndex.build(docs(spark, rows[:40]))
-    grown = first.insert(docs(spark, rows[40:]))
-    got = {r["doc_id"]: (r["text"] or "", r["n_lines"], r["n_dropped"]) for r in grown.apply(docs(spark, rows)).collect()}
-    assert got == by_hand(rows)
-    back = grown.delete(docs(spark, rows[40:]).select("doc_id"))
-    assert state(back) == state(first)
-    got = {r["doc_id"]: (r["text"] or "", r["n_lines"], r["n_dropped"]) for r in back.apply(docs(spark, rows[:40])).collect()}
-    assert got == by_hand(rows[:40])
+    gone = docs(spark, rows[40:])
+    first = linededup.LineIndex.build(docs(spark, rows[:40]), shard_rows=20)
+    assert first.bits > 0
+    grown = first.insert(gone)
+    assert texts_of(grown.apply(docs(spark, rows))) == by_hand(rows)
+    assert grown.insert(gone).rows == grown.rows  # what is there already does not count again
+    back = grown.delete(gone if with_text else gone.select("doc_id"))
+    assert state(back) == state(first) and back.rows == first.rows
+    assert texts_of(back.apply(docs(spark, rows[:40]))) == by_hand(rows[:40])
+    first.close()
+
+
+def test_line_index_touches_its_shards_only(spark):
+    rows = [(i, "\n".join(f"line number {k % 400:>4} of a long list of long lines" for k in range(i, i + 20))) for i in range(300)]
+    first = linededup.LineIndex.build(docs(spark, rows), shard_rows=200)
+    grown = first.insert(docs(spark, [(1000, rows[7][1].split("\n")[0])]))
+    assert first.bits >= 4
+    for table in (grown._held, grown._refs, grown._filters):
+        assert len(table.parts) == 2 and len(table.parts[0][1]) == 1  # one shard replaced
+        shard = table._shard(grown.bits)
+        assert {r[0] for r in table.parts[1][0].select(shard).distinct().collect()} <= table.parts[0][1]
+    assert texts_of(grown.apply(docs(spark, [*rows, (1000, rows[7][1].split("\n")[0])]))) == by_hand([*rows, (1000, rows[7][1].split("\n")[0])])
+    first.close()
+
+
+def test_line_index_grows(spark):
+    """Shards split, tables are compacted, filters get further parts."""
+    rows = [(i, "\n".join(f"line {k:>6} is one of very many long lines here" for k in range(i % 40 * 10, i % 40 * 10 + 12))) for i in range(400)]
+    ix = first = linededup.LineIndex.build(docs(spark, rows[:40]), shard_rows=400)
+    for k in range(40, 400, 120):
+        ix = ix.insert(docs(spark, rows[k : k + 120]))
+    assert ix.bits > first.bits
+    assert texts_of(ix.apply(docs(spark, rows))) == by_hand(rows)
+    first.close()
+
+
+def test_line_dedup_hot_line_nulls_and_repeated_rows(spark):
+    line = "a line that a third of all documents hold, word for word"
+    rows = [(i, line + f"\nand {i}") for i in range(3000)] + [(None, line), (None, line), (7, line + "\nand 7"), (8, None)]
+    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.deduplicate_lines(docs(spark, rows)).collect())
+    want = Counter((i, f"and {i}", 2, 1) for i in range(2999))
+    want += Counter({(2999, rows[2999][1], 2, 0): 1, (None, "", 1, 1): 2, (7, "and 7", 2, 1): 1, (8, None, 1, 0): 1})
+    assert got == want
 
 
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
-    f = linededup.CuckooFilter.of(keys)
+    f = linededup.ShardFilter.of(keys)
     assert f.contains(keys).all()
     other = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     assert f.contains(other).mean() < 0.01
-    again = linededup.CuckooFilter(data=f.to_bytes())
-    assert all(again.delete(int(k)) for k in keys[:1000]) and again.contains(keys[1000:]).all() and again.contains(keys[:1000]).mean() < 0.05
+    again = linededup.ShardFilter([linededup.CuckooFilter(data=p.to_bytes()) for p in f.parts])
+    for k in keys[:1000]:
+        again.delete(int(k))
+    assert again.contains(keys[1000:]).all() and again.contains(keys[:1000]).mean() < 0.05
+    for k in keys[:1000]:
+        again.insert(int(k))
+    assert again.held() == f.held()
+    small = linededup.ShardFilter([linededup.CuckooFilter(64)])  # opens further parts
+    for k in keys:
+        small.insert(int(k))
+    assert len(small.parts) > 1 and small.contains(keys).all()
+    for k in keys:
+        small.delete(int(k))
+    assert not small.held()
 
 
 # ---- decontamination
@@ -120,17 +179,54 @@ def greedy(a, b, width):
 
 def test_tiles():
     rng = np.random.default_rng(6)
-    for _ in range(60):
+    for _ in range(150):
         a, b = rng.integers(0, 3, 14), rng.integers(0, 3, 25)
-        pairs = [(i, j) for i in range(12) for j in range(23) if (a[i : i + 3] == b[j : j + 3]).all()]
-        if not pairs:
+        pairs = np.array([(i, j) for i in range(12) for j in range(23) if (a[i : i + 3] == b[j : j + 3]).all()])
+        if not len(pairs):
             continue
-        found = decontam.tiles(a, b, np.array(pairs), 3)
+        runs = decontam.runs_of(pairs[:, 0], pairs[:, 1], 3)
+        found = decontam.tiles(len(a), runs, 3)
         assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in found)
         for side in (0, 1):
             cells = [f[side] + k for f in found for k in range(f[2])]
             assert len(cells) == len(set(cells))
-        assert max(n for *_, n in found) == max(k for k in range(3, 15) for i in range(15 - k) for j in range(26 - k) if (a[i : i + k] == b[j : j + k]).all())
+        assert sum(n for *_, n in found) == greedy(a.tolist(), b.tolist(), 3)
+
+
+def test_leaks_are_those_of_brute_force(monkeypatch):
+    """All pairs of short texts of few words, in chunks of few places too."""
+    rng = random.Random(11)
+    items = [(k, rng.choices("abcd", k=rng.randint(2, 14))) for k in range(25)]
+    for chunk in (500_000, 3):
+        monkeypatch.setattr(decontam._Index, "CHUNK", chunk)
+        index = decontam._Index(items, 3)
+        for _ in range(40):
+            doc = rng.choices("abcde", k=rng.randint(1, 40))
+            want = {k: greedy(t, doc, min(3, len(t))) / len(t) for k, t in items}
+            got = {k: c for k, c, _ in index.leaks(" ".join(doc), 0.5)}
+            assert got == {k: c for k, c in want.items() if c >= 0.5}
+
+
+def test_a_shared_passage_costs_no_pairs(monkeypatch):
+    """Items that a passage cannot make a leak are never tiled, however often it is told."""
+    passage = "ten words that very many items of the benchmark share"
+    items = [(k, (passage + f" q{k} " + " ".join(f"w{k}x{j}" for j in range(40))).split()) for k in range(20_000)]
+    index = decontam._Index(items, 5)
+    calls = []
+    tiled = index._tiled
+    monkeypatch.setattr(index, "_tiled", lambda *a: (calls.append(1), tiled(*a))[1])
+    text = " ".join([passage] * 20 + ["and", "more"]) + " " + " ".join(items[3][1])
+    assert [k for k, *_ in index.leaks(text, 0.5)] == [3] and len(calls) == 1
+
+
+def test_one_word_said_very_often():
+    import tracemalloc
+
+    index = decontam._Index([(0, ["so"] * 200)], 5)
+    tracemalloc.start()
+    assert list(index.leaks("so " * 20_000, 0.5)) == [(0, 1.0, 1)]
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
 
 
 # ---- n-gram join
@@ -189,25 +285,70 @@ def test_ngram_join_nulls_and_empty(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({(None, None): 1, (4, 4): 2, (8, 4): 1, (9, 4): 1})
 
 
+@pytest.mark.parametrize("num", [50, 60, 66, 100])
+def test_ngram_join_at_other_thresholds(spark, num):
+    rng = random.Random(num)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(30):
+        base = rng.choices(words, k=rng.choice([5, 9, 20, 45, 90]))
+        keep = rng.randint(len(base) * max(num - 8, 1) // 100, len(base))
+        rows += [base, base[:keep], base[len(base) - keep :], base[:keep] + rng.choices(words, k=rng.randint(0, 4))]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), words=1, num=num).collect()}
+    assert got == brute(rows, 1, num, 100)
+
+
+def test_bands_refuse_what_they_cannot_do():
+    for num in (0, -1, 101):
+        with pytest.raises(ValueError, match="similarity"):
+            ngram_join.Bands(num, 100)
+
+
 def test_ngram_blocks_and_salts(spark, monkeypatch):
-    """Blocks of two sets and salted pieces give the same components."""
+    """Blocks of two sets and pieces spread over many salts give the same components."""
     rows = near_rows(8)
     links, stars = ngram_join.links, ngram_join.stars
     monkeypatch.setattr(ngram_join, "links", lambda *a: links(*a, block=2))
-    monkeypatch.setattr(ngram_join, "stars", lambda d, w, b: stars(d, w, b, salts=3, sample=1, heavy=50))
+    monkeypatch.setattr(ngram_join, "stars", lambda *a: stars(*a, per_salt=3, sample=1, heavy=50))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), words=3, num=90).collect()}
     assert got == brute(rows, 3, 90, 100)
+    monkeypatch.setattr(ngram_join, "links", lambda *a: links(*a, block=1_000, block_bytes=1_000))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), words=5, num=80).collect()}
+    assert got == brute(rows, 5, 80, 100)
+
+
+def test_sets_of_one_name_are_candidates(spark):
+    """Where the short names of different sets clash, no link can be lost."""
+    classes = spark.createDataFrame([(c, c, s1, c, 9) for c, s1 in enumerate([5, 5, 6, 7, 8, 8, 8])], "cid long, rep long, s1 long, s2 long, n long")
+    star = spark.createDataFrame([(6, 8)], "u long, v long")
+    got = {r["cid"]: r["g"] for r in ngram_join.grouped(classes, star).collect()}
+    assert got == {0: 5, 1: 5, 2: 6, 4: 6, 5: 6, 6: 6}
+
+
+def test_rows_with_one_id(spark):
+    """Any order of rows gives the same components, and one row of each stays."""
+    a, b = "a b c d e f g h i j k l m n o p q r s t", "some other words that stand in quite another text of this table here"
+    rows = [(1, a), (1, b), (2, b + " more")]
+    for order in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
+        got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join(docs(spark, order), words=3, num=80).collect()}
+        assert got == {(1, 1), (2, 1)}
+    rows = [(1, a), (1, a), (5, a), (3, b), (3, ""), (4, ""), (None, a), (None, a), (6, None), (6, None)]
+    kept = ngram_join.one_of_each(docs(spark, rows))
+    assert kept.columns == docs(spark, []).columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({1: 1, 3: 1, 4: 1, None: 2, 6: 1})
+    assert ngram_join.one_of_each(docs(spark, [])).count() == 0
 
 
 def test_pigeonhole_never_misses():
     rng = np.random.default_rng(2)
-    for num in (80, 90):
+    for num in (50, 60, 66, 80, 90):
         bands = ngram_join.Bands(num, 100)
         for _ in range(150):
             n = int(rng.integers(2, 400))
             s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             d = bands.allowed(len(s))
-            out, add = int(rng.integers(0, d + 1)), int(rng.integers(0, d + 1))
+            out, add = int(rng.integers(0, min(d, len(s) - 1) + 1)), int(rng.integers(0, d + 1))
             t = np.unique(np.concatenate([rng.permutation(s)[out:], rng.integers(0, 2**63, add).astype(np.uint64)]))
             both = len(np.intersect1d(s, t))
             if both * 100 >= num * (len(s) + len(t) - both) and len(s) + len(t) != 2 * both:
@@ -266,6 +407,20 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_ids_of_the_vocabularys_own_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    rows = [(i, f"before {t} after  {t}{t} x") for i, t in enumerate(special)] + [(90, "<|end of text|> <|endoftext"), (91, " ".join(special))]
+    got = {r["doc_id"]: r for r in packing.pack(docs(spark, rows)).collect()}
+    assert special
+    for i, t in rows:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert (got[i]["length"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_plan_fills_bins():
     rng = random.Random(10)
     counts = Counter(rng.randint(1, 1024) for _ in range(4000))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm import decontam, linededup, ngram_join, packing, toxicity
-from provenant.llm.common import materialize
+from provenant.llm.common import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    """All stages over ``documents``; each stage's rows are written and read again,
+    and go when the next stage's are there. The last stage keeps what it needs."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with Scratch(spark) as tmp:
+        for name, stage in STAGES[:-1]:
+            docs = tmp.table(stage(spark, docs, sf_dir), f"stage-{name}")
+            if last is not None:
+                tmp.drop(last)
+            last = docs
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,6 +41,7 @@ class Settings:
     suppressed_clause: str = "9.1.4"
     suppressing_clause: str = "4.3.2"
     strict_effective: bool = False
+    jurisdiction: str = ""
     llm_enabled: bool = False
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,24 +22,30 @@ ASSERTION_REF = r"(?i)(?:required|permitted|specified|provided|set out|establish
 MODIFIERS = ["extended to", "extended when", "increased to", "increases to", "increase to", "reduced to", "reduces to", "in place of", "instead of", "rather than"]
 DEFERRALS = ["see §", "addressed separately", "dealt with separately", "treated separately", "provided for separately"]
 BARE_DEFERRALS = ["addressed separately", "dealt with separately", "treated separately"]
-EVIDENCE_STOPWORDS = (
-    "the a an is are was were be been being of to in on for and or if do does did what when how can could would should "
-    "i my me it this that with as at by from not"
-).split()
-RERANK_STOPWORDS = (
-    "the a an is are was were be been being of to in on for and or if do does did what when how can could would should "
-    "i my me it this that with as at by from have has had having they them their there many much long more most who whom "
-    "whose which calder county manual"
-).split()
-CONDITION_WORDS = "see refer under clause section case except in the of to for".split()
-#: Our own list of English function words for the vector space.
-VECTOR_STOPWORDS = (
-    "a about above after again against all also am an and any are as at be because been before being below between both but by can "
-    "cannot could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is "
-    "it its itself just may me might more most must my no nor not of off on once only or other our out over own same shall she should so "
-    "some such than that the their them then there these they this those through to too under until up us very was we were what when where "
-    "which while who whom whose why will with would you your"
-).split()
+EVIDENCE_STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "of", "to", "in", "on", "for", "and", "or", "if",
+    "do", "does", "did", "what", "when", "how", "can", "could", "would", "should", "i", "my", "me", "it", "this", "that",
+    "with", "as", "at", "by", "from", "not",
+]
+RERANK_STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "of", "to", "in", "on", "for", "and", "or", "if",
+    "do", "does", "did", "what", "when", "how", "can", "could", "would", "should", "i", "my", "me", "it", "this", "that",
+    "with", "as", "at", "by", "from", "have", "has", "had", "having", "they", "them", "their", "there", "many", "much",
+    "long", "more", "most", "who", "whom", "whose", "which", "calder", "county", "manual",
+]
+CONDITION_WORDS = ["see", "refer", "under", "clause", "section", "case", "except", "in", "the", "of", "to", "for"]
+#: Our own list of English function words, the default of the vector space; a longer
+#: list, as libraries have it, is handed in (see :func:`provenant.sources.read_words`).
+VECTOR_STOPWORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be",
+    "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "cannot", "could", "did", "do",
+    "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her",
+    "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "may", "me", "might",
+    "more", "most", "must", "my", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over",
+    "own", "same", "shall", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there",
+    "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "us", "very", "was", "we", "were",
+    "what", "when", "where", "which", "while", "who", "whom", "whose", "why", "will", "with", "would", "you", "your",
+]
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -75,19 +83,19 @@ def tokens(c: str | Column) -> Column:
 
 def rerank_tokens(c: str | Column) -> Column:
     """Stemmed, freed of stopwords, and stemmed again."""
-    return F.transform(F.filter(tokens(c), lambda t: ~F.array_contains(texts(RERANK_STOPWORDS), t)), stem)
+    return F.transform(F.filter(tokens(c), lambda t: ~t.isin(RERANK_STOPWORDS)), stem)
 
 
 def content_tokens(c: str | Column) -> Column:
     """Distinct stemmed tokens that are neither stopwords nor figures."""
-    keep = lambda t: ~F.array_contains(texts(EVIDENCE_STOPWORDS), t) & ~t.rlike("^[0-9]+$")
+    keep = lambda t: ~t.isin(EVIDENCE_STOPWORDS) & ~t.rlike("^[0-9]+$")
     return F.array_distinct(F.filter(tokens(c), keep))
 
 
-def words(c: str | Column) -> Column:
+def words(c: str | Column, stopwords: Sequence[str] = VECTOR_STOPWORDS) -> Column:
     """Words of the vector space, freed of stopwords."""
     w = F.regexp_extract_all(F.lower(col(c)), F.lit(WORD), F.lit(0))
-    return F.filter(w, lambda t: ~F.array_contains(texts(VECTOR_STOPWORDS), t))
+    return F.filter(w, lambda t: ~t.isin(list(stopwords))) if stopwords else w
 
 
 def word_grams(w: str | Column) -> Column:

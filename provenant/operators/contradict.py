@@ -53,6 +53,25 @@ def pair_key(a: str | Column, b: str | Column) -> Column:
     return F.array_sort(F.array(T.col(a), T.col(b)))
 
 
+def overlapping(rows: DataFrame, key: str, tokens: str, s: Settings = DEFAULTS) -> DataFrame:
+    """(a, b, jaccard) of rows whose token sets overlap enough, ``a`` before ``b``.
+
+    Only pairs that share a token among a set's rarest are made: of n tokens, n -
+    ceil(jaccard_min n) + 1 are enough, for a pair that shares none of these
+    shares too few (prefix filter). No token is so common that all its rows meet.
+    """
+    t = rows.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("w"))
+    t = t.join(t.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w")
+    sets = t.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s")).select(key, "n", F.transform("s", lambda x: x["w"]).alias("s"))
+    least = F.ceil(F.col("n") * s.jaccard_min - 1e-9).cast("int")
+    seeds = sets.select(key, F.explode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("w"))
+    a, b = seeds.select(F.col(key).alias("a"), "w"), seeds.select(F.col(key).alias("b"), "w")
+    pairs = a.join(b, "w").where("a < b").select("a", "b").distinct()
+    of = lambda x: sets.select(F.col(key).alias(x), F.col("s").alias(f"_{x}"))
+    j = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("jaccard", T.jaccard(F.col("_a"), F.col("_b")))
+    return j.where(F.col("jaccard") >= s.jaccard_min).select("a", "b", "jaccard")
+
+
 def mismatched(candidates: DataFrame, found: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Findings between candidates of one question whose texts overlap and whose
     unmodified figures of one unit differ; pairs already ``found`` are left out.

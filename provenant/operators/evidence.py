@@ -10,8 +10,12 @@ from ..functions import text as T
 
 DEFAULTS = Settings()
 INSUFFICIENT, AMBIGUOUS = "INSUFFICIENT_EVIDENCE", "AMBIGUOUS_POLICY"
+# What a detail and a note say.
 DETAIL_NONE = "No clause in the manual scored above the relevance threshold for this question."
 DETAIL_WEAK = "The manual contains related content, but no retrieved clause clears the support threshold for a confident answer."
+NOTE_BARE = " states the matter is addressed separately, but names no clause and no such provision was found elsewhere in the manual."
+NOTE_MISSING = ", which does not exist in the manual."
+NOTE_ELSEWHERE = ") does not actually address it."
 
 
 def deferral_targets(c: str | Column, s: Settings = DEFAULTS) -> Column:
@@ -67,13 +71,13 @@ def check_deferrals(items: DataFrame, lookup: DataFrame, s: Settings = DEFAULTS)
     guarded = (F.size(cond) > 0) & ~F.arrays_overlap(cond, "_q")
     known = F.col("t_id").isNotNull()
     fails = known & (overlap < s.deferral_overlap) & ~guarded
-    note = F.when(~known, F.concat(F.lit("§"), "clause_id", F.lit(" refers to §"), "ref", F.lit(", which does not exist in the manual."))).when(
-        fails, F.concat(F.lit("§"), "clause_id", F.lit(" defers to §"), "ref", F.lit(" for this point, but §"), "ref", F.lit(" ("), "t_title", F.lit(") does not actually address it.")))
+    note = F.when(~known, F.concat(F.lit("§"), "clause_id", F.lit(" refers to §"), "ref", F.lit(NOTE_MISSING))).when(
+        fails, F.concat(F.lit("§"), "clause_id", F.lit(" defers to §"), "ref", F.lit(" for this point, but §"), "ref", F.lit(" ("), "t_title", F.lit(NOTE_ELSEWHERE)))
     g = g.withColumn("_note", note).withColumn("_fails", fails)
     first = F.min(F.when(F.col("_fails"), F.col("ord"))).over(Window.partitionBy("qid", "pos"))
     g = g.withColumn("_first", first).where("_first is null or ord <= _first")
     judged = g.groupBy("qid", "pos").agg(F.max("_fails").alias("_failed"), F.array_sort(F.collect_list(F.when(F.col("_note").isNotNull(), F.struct("ord", "_note")))).alias("_notes"))
-    bare = F.concat(F.lit("§"), "clause_id", F.lit(" states the matter is addressed separately, but names no clause and no such provision was found elsewhere in the manual."))
+    bare = F.concat(F.lit("§"), "clause_id", F.lit(NOTE_BARE))
     none = F.array().cast("array<string>")
     alone = F.col("_bare") & (F.size("_targets") == 0)
     out = base.join(judged, ["qid", "pos"], "left")
@@ -82,17 +86,18 @@ def check_deferrals(items: DataFrame, lookup: DataFrame, s: Settings = DEFAULTS)
 
 
 def judge(items: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Items (qid, score, unresolved, ..) with ``support_score`` and ``supporting``."""
+    """Items (qid, score, unresolved, ..) with ``support_score``, ``guarded`` (an
+    unresolved item is about as good as the best) and ``supporting``."""
     w = Window.partitionBy("qid")
     out = items.withColumn("support_score", F.col("score") * F.when(F.col("unresolved"), s.unresolved_factor).otherwise(1.0))
     out = out.withColumn("_s", ~F.col("unresolved") & (F.col("support_score") >= s.min_support))
     top = F.max("score").over(w)
     deferred = F.max(F.when(F.col("unresolved"), F.col("score"))).over(w)
-    out = out.withColumn("_g", F.coalesce(deferred >= s.guard_share * top, F.lit(False))).withColumn("_d", deferred)
-    out = out.withColumn("_s", F.col("_s") & (~F.col("_g") | (F.col("score") > s.guard_margin * F.coalesce("_d", F.lit(0.0)))))
+    out = out.withColumn("guarded", F.coalesce(deferred >= s.guard_share * top, F.lit(False))).withColumn("_d", deferred)
+    out = out.withColumn("_s", F.col("_s") & (~F.col("guarded") | (F.col("score") > s.guard_margin * F.coalesce("_d", F.lit(0.0)))))
     best = F.max(F.when(F.col("_s"), F.col("support_score"))).over(w)
     many = F.count_if(F.col("_s")).over(w) > 1
-    return out.withColumn("supporting", F.col("_s") & (~many | (F.col("support_score") >= s.support_margin * best))).drop("_s", "_g", "_d")
+    return out.withColumn("supporting", F.col("_s") & (~many | (F.col("support_score") >= s.support_margin * best))).drop("_s", "_d")
 
 
 def relevant(hits: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

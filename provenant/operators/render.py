@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# What an answer that is no answer says.
 ESCALATION = "Please consult the appropriate policy administrator or benefits supervisor."
-# What a refusal says.
 REFUSALS = {
     "INSUFFICIENT_EVIDENCE": "I can't determine this from the policy manual.\n\nThe manual does not provide enough information to answer this question confidently.\n\n" + ESCALATION,
     "AMBIGUOUS_POLICY": "The policy manual contains related information, but it does not clearly establish the answer to this question.\n\nI cannot determine the correct interpretation from the manual alone.\n\n" + ESCALATION,
-    "OUT_OF_SCOPE": "This question falls outside the policy manual, which is the only source that answers may come from.\n\n" + ESCALATION,
+    "OUT_OF_SCOPE": "This question falls outside the {jurisdiction}policy manual, which is the only source this assistant is authorised to answer from.\n\n" + ESCALATION,
     "CITATION_UNVERIFIABLE": "I found a candidate answer, but could not verify its citation against the retrieved evidence, so I'm not returning it as a grounded answer.\n\n" + ESCALATION,
     "MISSING_DATE_CONTEXT": "The applicable reporting period depends on when the change of circumstances occurred.\n\nPlease provide the relevant date so I can determine which policy provision applies.\n\n" + ESCALATION,
 }
@@ -24,10 +24,15 @@ def decision(conflicts: Column, sufficient: Column) -> Column:
     return F.when(conflicts, "CONFLICT").when(sufficient, "ANSWER").otherwise("REFUSE")
 
 
-def refusal_text(reason: str | Column, detail: str | Column) -> Column:
+def refusals(jurisdiction: str = "") -> dict[str, str]:
+    """The texts, the manual named by whose it is, if that is given."""
+    return {k: v.replace("{jurisdiction}", jurisdiction + " " if jurisdiction else "") for k, v in REFUSALS.items()}
+
+
+def refusal_text(reason: str | Column, detail: str | Column, jurisdiction: str = "") -> Column:
     r, d = T.col(reason), T.col(detail)
     base = F.lit(REFUSALS["INSUFFICIENT_EVIDENCE"])
-    for k, v in REFUSALS.items():
+    for k, v in refusals(jurisdiction).items():
         base = F.when(r == k, v).otherwise(base)
     more = F.coalesce(d, F.lit("")) != ""
     return F.when(more & ~F.coalesce(r == "MISSING_DATE_CONTEXT", F.lit(False)), F.concat(base, F.lit("\n\n("), d, F.lit(")"))).otherwise(base)

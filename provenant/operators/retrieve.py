@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..plans.storage import Scratch, cut
 
 DEFAULTS = Settings()
 
@@ -16,6 +22,12 @@ def term_counts(docs: DataFrame, key: str, tokens: Column, many: str = "f") -> D
     return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias(many))
 
 
+def stemmed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dl, term): a row for each token, with its document's length."""
+    raw = docs.select(key, T.raw_tokens(text).alias("_a"))
+    return raw.select(key, F.size("_a").alias("dl"), F.explode("_a").alias("_t")).select(key, "dl", T.stem(F.col("_t")).alias("term"))
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -28,33 +40,71 @@ def smooth_idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
+def bm25_weights(counts: DataFrame, docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
+    """(key, term, w) from (key, dl, term, f) of all documents that have these terms;
+    number and mean length are those of all ``docs``."""
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))).alias("avg_dl"))
+    df = counts.groupBy("term").agg(F.sum((F.col("f") > 0).cast("long")).alias("df"))
+    j = counts.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    mean = F.when(F.coalesce(F.col("avg_dl"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("avg_dl"))
+    tf = F.col("f") * (s.bm25_k1 + 1) / (F.col("f") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / mean))
+    return j.select(key, "term", (bm25_idf(F.col("n"), F.col("df")) * tf).alias("w"))
+
+
 def bm25_postings(docs: DataFrame, key: str, text: str, s: Settings = DEFAULTS) -> DataFrame:
     """(key, term, w): what a term that a question has adds to a document's score.
 
     Everything that does not depend on the question is folded into one weight,
     so a question costs an equi-join on its terms and a sum.
     """
-    counts = term_counts(docs, key, T.tokens(text))
-    length = docs.select(F.size(T.tokens(text)).alias("dl"))
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-    lens = counts.groupBy(key).agg(F.sum("f").alias("dl"))
-    df = document_frequency(counts)
-    j = counts.join(lens, key).join(df, "term").crossJoin(F.broadcast(stats))
-    mean = F.when(F.coalesce(F.col("avg_dl"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("avg_dl"))
-    tf = F.col("f") * (s.bm25_k1 + 1) / (F.col("f") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / mean))
-    return j.select(key, "term", (bm25_idf(F.col("n"), F.col("df")) * tf).alias("w"))
+    counts = stemmed(docs, key, text).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+    return bm25_weights(counts, docs, key, text, s)
 
 
-def tfidf_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return term_counts(docs.withColumn("_w", T.words(text)), key, T.word_grams("_w"), "tf")
+def bm25_topk(questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, s: Settings = DEFAULTS, qid: str = "qid", question: str = "question", digits: int | None = None) -> DataFrame:
+    """The best ``k`` documents of each question, without an index: tokens that no
+    question has are left before anything is shuffled."""
+    terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(question))).alias("term"))
+    met = stemmed(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi")
+    w = bm25_weights(met.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("f")), docs, key, text, s)
+    scores = terms.join(w, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
+    return top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
 
 
-def tfidf_vectors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def tfidf_counts(docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = T.VECTOR_STOPWORDS) -> DataFrame:
+    """(key, term, tf) of words and word pairs. Texts are dealt by key, which is less
+    than their terms, and nothing else need be for the counts."""
+    own = docs.select(key, text).repartition(key)
+    return term_counts(own.withColumn("_w", T.words(text, stopwords)), key, T.word_grams("_w"), "tf")
+
+
+def _tf_idf() -> Column:
+    return (1 + F.log("tf")) * F.col("idf")
+
+
+def tfidf_vectors(docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = T.VECTOR_STOPWORDS) -> tuple[DataFrame, DataFrame]:
     """(key, term, w) unit vectors, and (term, idf) to weigh questions with."""
-    counts = tfidf_counts(docs, key, text)
+    counts = tfidf_counts(docs, key, text, stopwords)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = document_frequency(counts).crossJoin(F.broadcast(n)).select("term", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
-    return unit(counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), key), idf
+    return unit(counts.join(idf, "term").select(key, "term", _tf_idf().alias("w")), key), idf
+
+
+def tfidf_topk(questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, qid: str = "qid", question: str = "question", stopwords: Sequence[str] = T.VECTOR_STOPWORDS, digits: int | None = None) -> DataFrame:
+    """The best ``k`` documents of each question by cosine, without an index. Of the
+    postings that no question asks for only the sum of squares per document is made."""
+    with Scratch(docs.sparkSession) as tmp:
+        counts = tmp.table(tfidf_counts(docs, key, text, stopwords), "counts")
+        n = F.lit(docs.count())
+        idf = lambda c: document_frequency(c).select("term", smooth_idf(n, F.col("df")).alias("idf"))
+        norm = counts.join(idf(counts), "term").groupBy(key).agg(F.greatest(F.sqrt(F.sum(_tf_idf() * _tf_idf())), F.lit(1e-12)).alias("norm"))
+        asked = term_counts(questions.withColumn("_w", T.words(question, stopwords)), qid, T.word_grams("_w"), "tf")
+        met = counts.join(asked.select("term").distinct(), "term", "left_semi")
+        known = idf(met)
+        query = unit(asked.join(known, "term").select(qid, "term", _tf_idf().alias("w")), qid)
+        hits = cosine_scores(query, met.join(known, "term").select(key, "term", _tf_idf().alias("w")), key, qid)
+        scores = hits.join(norm, key).select(qid, key, (F.col("score") / F.col("norm")).alias("score"))
+        return cut(top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key))
 
 
 def unit(weights: DataFrame, key: str) -> DataFrame:
@@ -62,9 +112,9 @@ def unit(weights: DataFrame, key: str) -> DataFrame:
     return weights.withColumn("w", F.col("w") / F.greatest(norm, F.lit(1e-12)))
 
 
-def question_vectors(questions: DataFrame, idf: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:
+def question_vectors(questions: DataFrame, idf: DataFrame, qid: str = "qid", text: str = "question", stopwords: Sequence[str] = T.VECTOR_STOPWORDS) -> DataFrame:
     """Unit vectors of questions; terms that no document has are dropped."""
-    counts = tfidf_counts(questions, qid, text)
+    counts = tfidf_counts(questions, qid, text, stopwords)
     return unit(counts.join(idf, "term").select(qid, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), qid)
 
 
@@ -79,6 +129,54 @@ def cosine_scores(query: DataFrame, docs: DataFrame, key: str, qid: str = "qid")
     return query.select(qid, "term", F.col("w").alias("_q")).join(docs, "term").groupBy(qid, key).agg(F.sum(F.col("_q") * F.col("w")).alias("score"))
 
 
+def _best(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows of each question; ties go to the lower id."""
+    order = np.lexsort((ids, -scores, asked))
+    asked, ids, scores = asked[order], ids[order], scores[order]
+    first = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]) if len(asked) else np.zeros(0, np.int64)
+    place = np.arange(len(asked)) - np.repeat(first, np.diff(np.r_[first, len(asked)]))
+    return asked[place < k], ids[place < k], scores[place < k]
+
+
+def dense_topk(questions: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, qid: str = "qid", asked: str = "qe", digits: int | None = None, block: int = 4_000) -> DataFrame:
+    """(qid, key, score, rank): the ``k`` vectors of the highest cosine for each
+    question but itself (an equal id). A block of questions, at most ``block``
+    vectors, is sent to all tasks; a task multiplies its vectors by the block and
+    keeps the best of each question, so what is shuffled is ``k`` rows of a
+    question and task. The blocks' results are appended to one table."""
+    spark = vectors.sparkSession
+    blocks = max(1, -(-questions.count() // block))
+    kept = vectors.select(F.col(key).cast("long"), F.col(vector).cast("array<double>"))
+    with Scratch(spark) as tmp:
+        out = None
+        for b in range(blocks):
+            rows = questions.select(F.col(qid).cast("long").alias("q"), F.col(asked).cast("array<double>").alias("v")).where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b).collect()
+            ids = np.array([r["q"] for r in rows], np.int64)
+            m = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+            sent = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                own, unit_q = sent.value
+                held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                for batch in batches if len(own) else ():
+                    for at in range(0, batch.num_rows, 2_000):
+                        part = batch.slice(at, 2_000)
+                        these = part.column(0).to_numpy()
+                        e = part.column(1).flatten().to_numpy().reshape(len(these), -1)
+                        c = unit_q @ (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)).T
+                        c = np.round(c, digits) if digits is not None else c
+                        c[own[:, None] == these] = -np.inf
+                        least = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(own), -np.inf)
+                        q, d = np.nonzero((c >= least[:, None]) & (c > 0))
+                        held = _best(*(np.concatenate(x) for x in zip(held, (own[q], these[d], c[q, d]), strict=True)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["q", "d", "score"])
+
+            best = kept.mapInArrow(run, "q long, d long, score double").select(F.col("q").alias(qid), F.col("d").alias(key), "score")
+            best = top_k(best, k, qid, key)
+            out = best if blocks == 1 else tmp.table(best, "best", append=True)
+        return cut(out)
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -141,3 +239,75 @@ def relevance(passage: Column, clause_id: Column, s: Settings = DEFAULTS) -> Col
     number = F.when(F.arrays_overlap("_numbers", T.numbers(passage)), s.number_bonus).otherwise(0.0)
     ref = F.when(F.array_contains("_refs", clause_id), s.clause_bonus).otherwise(0.0)
     return F.least(s.overlap_weight * share + number + ref, F.lit(1.0))
+
+
+class Embedding(Protocol):
+    """How texts become vectors. ``index`` makes the tables of a corpus (pos, text),
+    by name; ``scores`` compares questions (qid, question) with them."""
+
+    def index(self, docs: DataFrame) -> dict[str, DataFrame]: ...
+
+    def scores(self, questions: DataFrame, tables: dict[str, DataFrame], k: int) -> DataFrame:
+        """(qid, pos, score), at least the best ``k`` of each question."""
+
+
+class TfidfEmbedding:
+    """Words and word pairs; the default."""
+
+    def __init__(self, stopwords: Sequence[str] = T.VECTOR_STOPWORDS):
+        self.stopwords = stopwords
+
+    def index(self, docs: DataFrame) -> dict[str, DataFrame]:
+        vectors, idf = tfidf_vectors(docs, "pos", "text", self.stopwords)
+        return {"vectors": vectors, "vector_idf": idf}
+
+    def scores(self, questions: DataFrame, tables: dict[str, DataFrame], k: int) -> DataFrame:
+        return cosine_scores(question_vectors(questions, tables["vector_idf"], stopwords=self.stopwords), tables["vectors"], "pos")
+
+
+class DenseEmbedding:
+    """Vectors of a model that is handed in: ``encode`` gets a list of texts and
+    returns a matrix with a row for each; it runs in the executors."""
+
+    def __init__(self, encode: Callable[[list[str]], np.ndarray]):
+        self.encode = encode
+
+    def _vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        encode = self.encode
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    p = b.slice(at, 256)
+                    rows = np.asarray(encode([t or "" for t in p.column(1).to_pylist()]), np.float64)
+                    yield pa.RecordBatch.from_arrays([p.column(0), pa.array(list(rows), pa.list_(pa.float64()))], names=["k", "v"])
+
+        kind = df.schema[key].dataType.simpleString()
+        return df.select(key, text).mapInArrow(run, f"k {kind}, v array<double>")
+
+    def index(self, docs: DataFrame) -> dict[str, DataFrame]:
+        return {"vectors": self._vectors(docs, "pos", "text").select(F.col("k").alias("pos"), F.col("v").alias("vector"))}
+
+    def scores(self, questions: DataFrame, tables: dict[str, DataFrame], k: int) -> DataFrame:
+        q = cut(self._vectors(questions, "qid", "question").withColumn("n", -1 - F.monotonically_increasing_id()))  # numbers that no position has
+        best = dense_topk(q.select(F.col("n").alias("qid"), F.col("v").alias("qe")), tables["vectors"], "pos", "vector", k)
+        return best.join(q.select(F.col("n").alias("qid"), F.col("k").alias("_q")), "qid").select(F.col("_q").alias("qid"), F.col("pos").cast("int").alias("pos"), "score")
+
+
+class Scorer(Protocol):
+    """How a passage is judged beside a question: ``score`` gets (qid, question, pos,
+    clause_id, passage, ..) and returns it with ``score`` from 0 to 1."""
+
+    def score(self, pairs: DataFrame, index: dict[str, DataFrame]) -> DataFrame: ...
+
+
+class LexicalScorer:
+    """Weighted shared terms, figures and references; the default."""
+
+    def __init__(self, s: Settings = DEFAULTS):
+        self.s = s
+
+    def score(self, pairs: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+        q = weighted_questions(pairs.select("qid", "question").distinct(), index["rerank_idf"])
+        out = pairs.join(q, "qid").withColumn("score", relevance(F.col("passage"), F.col("clause_id"), self.s))
+        return out.drop("_terms", "_numbers", "_refs")

@@ -302,8 +302,7 @@ _TOPK = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)"
 
 def _bm25_hits(spark, sf, k):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    s = retrieve.bm25_scores(q, retrieve.bm25_postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
-    return retrieve.top_k(s.withColumn("score", r("score", 6)), k, "qid", "doc_id")
+    return retrieve.bm25_topk(q, table(spark, sf, "documents"), "doc_id", "text", k, digits=6)
 
 
 _BM25_HITS = f"""q AS (SELECT item_id AS qid, unnest(list_distinct({S.tokens('text')})) AS term FROM benchmark),
@@ -353,9 +352,7 @@ def tfidf_weights(spark, sf):
 
 def _vector_hits(spark, sf, k):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    v, idf = retrieve.tfidf_vectors(table(spark, sf, "documents"), "doc_id", "text")
-    s = retrieve.cosine_scores(retrieve.question_vectors(q, idf), v, "doc_id")
-    return retrieve.top_k(s.withColumn("score", r("score", 6)), k, "qid", "doc_id")
+    return retrieve.tfidf_topk(q, table(spark, sf, "documents"), "doc_id", "text", k, digits=6)
 
 
 _VEC_HITS = f"""qg AS (SELECT item_id AS qid, unnest({S.grams('w')}) AS term FROM (SELECT item_id, {S.words('text')} AS w FROM benchmark)), qtf AS (SELECT qid, term, count(*) AS tf FROM qg GROUP BY 1, 2),
@@ -373,18 +370,10 @@ def tfidf_cosine_topk(spark, sf):
 s AS (SELECT qid, vec_id, round(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings ON vec_id <> qid)
 SELECT qid, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 12 AND score > 0""")
 def dense_cosine_topk(spark, sf):
-    """Every twentieth vector is a question to all others, in blocks of bounded
-    size: a block's questions are sent to all tasks, and its top-k is complete."""
+    """Every twentieth vector is a question to all others."""
     e = table(spark, sf, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    blocks = max(1, -(-asked.count() // 4_000))
-    out = None
-    for b in range(blocks):
-        q = F.broadcast(asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
-        s = e.join(q, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", r(retrieve.dense_cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
-        part = retrieve.top_k(s, SET.retrieval_top_k, "qid", "vec_id").select("qid", "vec_id", "score", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return retrieve.dense_topk(asked, e, "vec_id", "embedding", SET.retrieval_top_k, digits=6)
 
 
 _RRF = """rows_ AS (SELECT qid, 0 AS l, rank, doc_id, score, 'vector' AS r FROM dense UNION ALL SELECT qid, 1, rank, doc_id, score, 'bm25' FROM lex),
@@ -539,9 +528,11 @@ def _hits(spark, sf) -> DataFrame:
 def _hit_contexts(spark, sf) -> DataFrame:
     day = F.to_date("o_orderdate")
     none = F.lit(None).cast("date")
-    kind = F.col("o_orderkey") % 3
+    kind = F.col("o_orderkey") % 5
+    on = lambda k, name: F.when(kind == k, day).otherwise(none).alias(name)
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), F.struct(
-        none.alias("claim_date"), F.when(kind == 0, day).alias("change_date"), F.when(kind == 1, day).alias("determination_date"), none.alias("period_start"), (kind != 2).alias("has_any_date"), F.lit(False).alias("spans_boundary")).alias("ctx"))
+        on(0, "change_date"), on(1, "determination_date"), on(3, "claim_date"), on(4, "period_start"),
+        (kind != 2).alias("has_any_date"), ((kind == 4) & (F.col("o_custkey") % 2 == 0)).alias("spans_boundary")).alias("ctx"))
 
 
 #: c0 and c1 have a change-dated version, c2 and c3 a determination-dated one, c4 only an inserted one.
@@ -557,7 +548,7 @@ _RES = f"""v AS (SELECT * FROM {sql_values(_VERSION_ROWS, 'clause_id, amended, c
 a AS (SELECT clause_id, max(CASE WHEN NOT amended THEN pos END) AS original, max(CASE WHEN amended THEN pos END) AS new_, max(cond) AS cond FROM v GROUP BY 1 HAVING max(amended)),
 h AS (SELECT l_orderkey AS qid, 'c' || (l_partkey % 7) AS clause_id, CAST(l_partkey % 7 AS INTEGER) AS pos, l_discount + 0.1 AS score, {_PLACE} AS rank FROM lineitem),
 fh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, clause_id ORDER BY rank) AS n FROM h) WHERE n = 1),
-d AS (SELECT fh.qid, fh.clause_id, fh.pos, fh.score, fh.rank, a.original, a.new_, a.cond, CASE WHEN a.cond = 'change_date' THEN CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day
+d AS (SELECT fh.qid, fh.clause_id, fh.pos, fh.score, fh.rank, a.original, a.new_, a.cond, CASE WHEN a.cond = 'change_date' THEN CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) END WHEN o_orderkey % 5 <> 2 THEN CAST(o_orderdate AS DATE) END AS day
   FROM fh JOIN orders ON o_orderkey = qid LEFT JOIN a USING (clause_id)),
 res AS (SELECT *, coalesce(new_ IS NOT NULL AND day >= DATE '1996-03-01', false) AS use_amended FROM d),
 fin AS (SELECT *, CASE WHEN use_amended THEN new_ WHEN new_ IS NOT NULL THEN coalesce(original, pos) ELSE pos END AS chosen, CASE WHEN use_amended THEN original WHEN new_ IS NOT NULL THEN new_ END AS excluded FROM res)"""
@@ -600,7 +591,7 @@ def temporal_fallback(spark, sf):
     return temporal.with_fallback(_resolved(spark, sf).where("use_amended"), _hits(spark, sf))
 
 
-@query(f"""WITH {_RES}, u AS (SELECT h.qid, min_by(h.clause_id, h.rank) AS clause_id FROM h JOIN a USING (clause_id) WHERE h.qid % 3 = 2 GROUP BY 1)
+@query(f"""WITH {_RES}, u AS (SELECT h.qid, min_by(h.clause_id, h.rank) AS clause_id FROM h JOIN a USING (clause_id) WHERE h.qid % 5 = 2 GROUP BY 1)
 SELECT qid, CASE WHEN cond = 'change_date' THEN 'change_date' ELSE 'determination_date' END AS missing_type, CASE WHEN cond = 'change_date' THEN 'The reporting period depends on when the change of circumstances occurred.'
 ELSE '§' || clause_id || ' was amended by Amendment No. 1996-01 effective 1 March 1996. Applicability depends on determination date.' END AS missing_note FROM u JOIN a USING (clause_id)""")
 def missing_date_guard(spark, sf):
@@ -609,7 +600,8 @@ def missing_date_guard(spark, sf):
 
 @query(f"""WITH {_RES}, t AS (SELECT qid, 'Amendment No. 1996-01 §' || CASE WHEN cond = 'change_date' THEN '5.2' ELSE '5.1' END AS c, min(rank) AS k FROM fin WHERE new_ IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT qid, string_agg(c, ';' ORDER BY k) AS c FROM t GROUP BY 1)
-SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x' || CASE WHEN g.c IS NULL THEN '' ELSE ';' || g.c END END AS citations FROM orders LEFT JOIN g ON g.qid = o_orderkey""")
+SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x' || CASE WHEN g.c IS NULL THEN '' ELSE ';' || g.c END
+|| CASE WHEN o_orderkey % 5 = 4 AND o_custkey % 2 = 0 THEN ';Amendment No. 1996-01 §5.3' ELSE '' END END AS citations FROM orders LEFT JOIN g ON g.qid = o_orderkey""")
 def append_citations(spark, sf):
     ctx = _hit_contexts(spark, sf)
     t = temporal.transitional_citations(_resolved(spark, sf), ctx, _hit_clauses(spark))
@@ -642,17 +634,21 @@ def support_margin(spark, sf):
 @query(f"WITH {_JUDGED} SELECT qid, bool_or(guard) AS guarded, CAST(sum(CASE WHEN supporting THEN 1 ELSE 0 END) AS BIGINT) AS n_supporting FROM j GROUP BY qid")
 def deferred_guard(spark, sf):
     j = evidence.judge(_items(spark, sf))
-    g = j.groupBy("qid").agg(F.max("score").alias("t"), F.max(F.when(F.col("unresolved"), F.col("score"))).alias("d"), F.count_if(F.col("supporting")).alias("n_supporting"))
-    return g.select("qid", F.coalesce(F.col("d") >= 0.85 * F.col("t"), F.lit(False)).alias("guarded"), "n_supporting")
+    return j.groupBy("qid").agg(F.max("guarded").alias("guarded"), F.count_if(F.col("supporting")).alias("n_supporting"))
 
 
-@query(f"""WITH {_JUDGED}, g AS (SELECT qid, bool_or(supporting) AS s, bool_or(unresolved) AS u FROM j WHERE score >= 0.12 GROUP BY qid)
+@query(f"""WITH {_JUDGED}, one AS (SELECT qid, rank, min(unresolved) AS unresolved, max(supporting) AS s, bool_or(unresolved) AS u FROM j WHERE score >= 0.12 GROUP BY qid, rank),
+n AS (SELECT qid, rank, unnest(CASE WHEN u THEN ['first of ' || rank, 'second of ' || rank] ELSE ['aside of ' || rank] END) AS note, unnest([1, 2]) AS i FROM one),
+t AS (SELECT qid, note, row_number() OVER (PARTITION BY qid ORDER BY rank, i) AS k FROM n WHERE note IS NOT NULL),
+d AS (SELECT qid, string_agg(note, ' ' ORDER BY k) AS gap FROM t WHERE k <= 2 GROUP BY qid), g AS (SELECT qid, bool_or(s) AS s, bool_or(u) AS u FROM one GROUP BY qid)
 SELECT o_orderkey AS qid, coalesce(g.s, false) AS sufficient, CASE WHEN g.s IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN NOT g.s THEN 'AMBIGUOUS_POLICY' END AS reason,
-CASE WHEN g.s IS NULL THEN {S.lit(evidence.DETAIL_NONE)} WHEN NOT g.s AND g.u THEN 'n' WHEN NOT g.s THEN {S.lit(evidence.DETAIL_WEAK)} END AS detail FROM orders LEFT JOIN g ON g.qid = o_orderkey""")
+CASE WHEN g.s IS NULL THEN {S.lit(evidence.DETAIL_NONE)} WHEN NOT g.s AND g.u THEN d.gap WHEN NOT g.s THEN {S.lit(evidence.DETAIL_WEAK)} END AS detail FROM orders LEFT JOIN g ON g.qid = o_orderkey LEFT JOIN d ON d.qid = o_orderkey""")
 def evidence_outcome(spark, sf):
-    j = evidence.judge(_items(spark, sf)).where(F.col("score") >= 0.12).withColumn("notes", F.when((F.col("unresolved")), F.array(F.lit("n"))).otherwise(F.array().cast("array<string>")))
-    a = evidence.assess(table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid")), j)
-    return a.select("qid", "sufficient", "reason", F.when(F.startswith("detail", F.lit("n")), "n").otherwise(F.col("detail")).alias("detail"))
+    """The first two notes of an order's items, by rank, are the gap that it states."""
+    j = evidence.judge(_items(spark, sf)).where(F.col("score") >= 0.12).groupBy("qid", "rank").agg(F.max("supporting").alias("supporting"), F.max("unresolved").alias("unresolved"))
+    of = lambda what: F.concat(F.lit(f"{what} of "), F.col("rank").cast("string"))
+    j = j.withColumn("notes", F.when(F.col("unresolved"), F.array(of("first"), of("second"))).otherwise(F.array(of("aside"))))
+    return evidence.assess(table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid")), j)
 
 
 _DEFER = "'Where a claim is ' || CASE o_orderkey % 4 WHEN 0 THEN 'late (see §' || (o_custkey % 9 + 1) || '.' || (o_orderkey % 5) || '), it is dealt with separately' WHEN 1 THEN 'large; it is addressed separately.' WHEN 2 THEN 'Treated separately under §3.2.' || (o_custkey % 7) || ' and §5.1' ELSE 'small, nothing more' END"
@@ -713,27 +709,44 @@ def assertion_mismatch(spark, sf):
     return contradict.asserted(c, _lookup(spark, sf)).select("qid", "b_id", "unit", "value_a", "value_b")
 
 
-_PAIR_TEXT = "'Pay ' || l_suppkey % 3 || ' fee within ' || (l_partkey % 3 + 5) || ' days of notice'"
+#: Two wordings of a fee and one of something else; one in seven figures is modified.
+_PAIR_TEXT = """CASE l_suppkey % 3 WHEN 0 THEN 'Pay the berth fee within ' || (l_partkey % 3 + 5) || ' days of notice' WHEN 1 THEN 'Pay each mooring charge within ' || (l_partkey % 3 + 5) || ' days of notice'
+ELSE 'Surveyors inspect hulls once, the term ' || CASE WHEN l_partkey % 7 = 0 THEN 'extended to ' ELSE 'being ' END || (l_partkey % 3 + 5) || ' days' END"""
+_PAIRS = f"""c AS (SELECT l_orderkey AS qid, l_linenumber AS idx, CAST(l_linenumber AS VARCHAR) AS clause_id, text, {S.content_tokens('text')} AS t, CAST(l_partkey % 3 + 5 AS VARCHAR) AS v, l_suppkey % 3 = 2 AND l_partkey % 7 = 0 AS modified
+  FROM (SELECT *, {_PAIR_TEXT} AS text FROM lineitem)),
+p AS (SELECT a.qid, a.clause_id AS a_id, b.clause_id AS b_id, a.v AS value_a, b.v AS value_b, a.modified OR b.modified AS modified, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) AS jaccard
+  FROM c a JOIN c b ON a.qid = b.qid AND a.idx < b.idx)"""
 
 
-@query(f"""WITH c AS (SELECT l_orderkey AS qid, l_linenumber AS idx, CAST(l_linenumber AS VARCHAR) AS clause_id, {_PAIR_TEXT} AS text, CAST(l_partkey % 3 + 5 AS VARCHAR) AS v FROM lineitem)
-SELECT a.qid, a.clause_id AS a_id, b.clause_id AS b_id, 'day' AS unit, a.v AS value_a, b.v AS value_b FROM c a JOIN c b ON a.qid = b.qid AND a.idx < b.idx AND a.v <> b.v""")
+def _pair_candidates(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("idx"), F.col("l_linenumber").cast("string").alias("clause_id"), F.expr(_PAIR_TEXT).alias("text"))
+
+
+@query(f"WITH {_PAIRS} SELECT qid, a_id, b_id, 'day' AS unit, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b")
 def numeric_mismatch_pairs(spark, sf):
-    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("idx"), F.col("l_linenumber").cast("string").alias("clause_id"), F.expr(_PAIR_TEXT).alias("text"))
+    """Wordings on both sides of the overlap that counts, with and without modifiers."""
     none = values(spark, [], "qid long, a_id string, b_id string")
-    return contradict.mismatched(c, none).select("qid", "a_id", "b_id", "unit", "value_a", "value_b")
+    return contradict.mismatched(_pair_candidates(spark, sf), none).select("qid", "a_id", "b_id", "unit", "value_a", "value_b")
+
+
+@query(f"WITH {_PAIRS} SELECT qid, a_id, b_id, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b AND NOT (qid % 2 = 0 AND (a_id, b_id) IN (('1', '2'), ('3', '4')))")
+def found_pairs_left_out(spark, sf):
+    """Pairs that were found before, in either order of their ids, do not come again."""
+    found = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("qid"), F.explode(F.array(F.struct(F.lit("2").alias("a_id"), F.lit("1").alias("b_id")), F.struct(F.lit("3").alias("a_id"), F.lit("4").alias("b_id")))).alias("p")).select("qid", "p.*")
+    return contradict.mismatched(_pair_candidates(spark, sf), found).select("qid", "a_id", "b_id", "value_a", "value_b")
 
 
-@query(f"""WITH t AS (SELECT item_id, {S.content_tokens('text')} AS t FROM benchmark), e AS (SELECT item_id, unnest(t) AS w FROM t),
+@query(f"""WITH t AS (SELECT item_id, {S.content_tokens("text || CASE WHEN item_id % 3 = 0 THEN '' ELSE ' ' || item_id % 5 || 'th clause' END")} AS t FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, left(text, length(text) * (item_id % 4 + 1) // 5) FROM benchmark)),
+e AS (SELECT item_id, unnest(t) AS w FROM t),
 p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM e a JOIN e b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2)
 SELECT a, b, round(k / (len(x.t) + len(y.t) - k), 6) AS jaccard FROM p JOIN t x ON x.item_id = a JOIN t y ON y.item_id = b WHERE k / (len(x.t) + len(y.t) - k) >= 0.4""")
 def jaccard_pairs(spark, sf):
-    t = table(spark, sf, "benchmark").select("item_id", T.content_tokens("text").alias("t"))
-    e = t.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    p = e.alias("x").join(e.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.item_id") < F.col("y.item_id")))
-    g = p.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-    j = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    return g.where(j >= SET.jaccard_min).select("a", "b", r(j, 6).alias("jaccard"))
+    """Benchmark texts and beginnings of them, of one to four fifths."""
+    t = table(spark, sf, "benchmark").select("item_id", "text")
+    part = t.select((F.col("item_id") + 1_000_000).alias("item_id"), F.expr("substring(text, 1, cast(char_length(text) * (item_id % 4 + 1) div 5 as int))").alias("text"))
+    tail = F.when(F.col("item_id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), (F.col("item_id") % 5).cast("string"), F.lit("th clause")))
+    t = t.unionByName(part).select("item_id", T.content_tokens(F.concat("text", tail)).alias("t"))
+    return contradict.overlapping(t, "item_id", "t").select("a", "b", r("jaccard", 6).alias("jaccard"))
 
 
 # ---------------------------------------------------------------- decisions and texts
@@ -751,14 +764,14 @@ def render_answer(spark, sf):
     return g.select("l_orderkey", render.answer_text("i").alias("text"))
 
 
-_REASON = "CASE o_orderkey % 4 WHEN 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN 1 THEN 'AMBIGUOUS_POLICY' WHEN 2 THEN 'MISSING_DATE_CONTEXT' ELSE 'UNHEARD_OF' END"
+_REASON = "CASE o_orderkey % 5 WHEN 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN 1 THEN 'AMBIGUOUS_POLICY' WHEN 2 THEN 'MISSING_DATE_CONTEXT' WHEN 3 THEN 'OUT_OF_SCOPE' ELSE 'UNHEARD_OF' END"
 
 
-@query(f"""SELECT o_orderkey, CASE reason {' '.join(f'WHEN {S.lit(k)} THEN {S.lit(v)}' for k, v in render.REFUSALS.items())} ELSE {S.lit(render.REFUSALS['INSUFFICIENT_EVIDENCE'])} END
+@query(f"""SELECT o_orderkey, CASE reason {' '.join(f'WHEN {S.lit(k)} THEN {S.lit(v)}' for k, v in render.refusals('Harbour').items())} ELSE {S.lit(render.REFUSALS['INSUFFICIENT_EVIDENCE'])} END
 || CASE WHEN o_custkey % 2 = 0 AND reason <> 'MISSING_DATE_CONTEXT' THEN chr(10) || chr(10) || '(' || o_orderpriority || ')' ELSE '' END AS text FROM (SELECT *, {_REASON} AS reason FROM orders)""")
 def refusal_text(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.expr(_REASON).alias("reason"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).alias("detail"))
-    return o.select("o_orderkey", render.refusal_text("reason", "detail").alias("text"))
+    return o.select("o_orderkey", render.refusal_text("reason", "detail", "Harbour").alias("text"))
 
 
 @query("""WITH f AS (SELECT l_orderkey AS qid, l_linenumber * CAST(10000000000 AS BIGINT) + l_partkey * 10000 + l_suppkey AS o, least(l_partkey % 4, l_suppkey % 4) AS x, greatest(l_partkey % 4, l_suppkey % 4) AS y, l_partkey % 4 AS a, l_suppkey % 4 AS b FROM lineitem WHERE l_partkey % 4 <> l_suppkey % 4),
@@ -810,13 +823,4 @@ def part_count(spark, sf):
     return table(spark, sf, "documents").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_langs"))
 
 
-@query()
-def answer_batch(spark, sf):
-    """Every order asks one of the sample questions on its own date; each
-    distinct question is answered once and the answers are joined back."""
-    index = engine.build_index(sample.clauses(spark), sample.specs(spark))
-    ask = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("How many days does a holder have to report a change of ownership occurring on "), F.date_format(F.add_months("o_orderdate", F.lit(360)), "MMMM yyyy"), F.lit("?"))).otherwise("What sum is the berth fee due for each month?")
-    orders = table(spark, sf, "orders").select("o_orderkey", ask.alias("question"))
-    distinct = orders.select("question").distinct().withColumn("qid", F.md5("question"))
-    a = engine.answer(distinct.unionByName(sample.questions(spark).select("question", "qid")), index)
-    return orders.join(a.drop("qid"), "question").select("o_orderkey", "question", "decision", "reason", "text", F.array_join("citations", "; ").alias("citations"))
+from . import driver_cases  # noqa: E402, F401  registers its queries here

@@ -20,12 +20,13 @@ class EmptyQuestionError(ValueError):
     """A question has no text."""
 
 
-def build_index(clauses: DataFrame, specs: DataFrame | None = None, s: Settings = DEFAULTS) -> dict[str, DataFrame]:
-    """All tables that answering needs, from originals and amendments."""
+def build_index(clauses: DataFrame, specs: DataFrame | None = None, s: Settings = DEFAULTS, embedding: retrieve.Embedding | None = None) -> dict[str, DataFrame]:
+    """All tables that answering needs, from originals and amendments. Another
+    ``embedding`` than the default is handed to :func:`answer` too."""
     c = cut(amend.versions(clauses, specs) if specs is not None else clauses)
-    docs = c.select("pos", T.embed_text("section_title", "text").alias("e"), T.lexical_text("citation", "section_title", "text").alias("l"), F.concat_ws(" ", "section_title", "text").alias("p"))
-    vectors, idf = retrieve.tfidf_vectors(docs, "pos", "e")
-    out = {"postings": retrieve.bm25_postings(docs, "pos", "l", s), "vectors": vectors, "vector_idf": idf, "rerank_idf": retrieve.rerank_idf(docs, "p")}
+    docs = c.select("pos", T.embed_text("section_title", "text").alias("text"), T.lexical_text("citation", "section_title", "text").alias("l"), F.concat_ws(" ", "section_title", "text").alias("p"))
+    out = (embedding or retrieve.TfidfEmbedding()).index(docs.select("pos", "text"))
+    out |= {"postings": retrieve.bm25_postings(docs, "pos", "l", s), "rerank_idf": retrieve.rerank_idf(docs, "p")}
     return {"clauses": c} | {name: cut(df) for name, df in out.items()}
 
 
@@ -36,21 +37,20 @@ def contexts(questions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return q.withColumn("search", F.when(F.col("ctx.cleaned_question") != "", F.col("ctx.cleaned_question")).otherwise(F.col("question")))
 
 
-def candidates(ctx: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS) -> DataFrame:
+def candidates(ctx: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS, embedding: retrieve.Embedding | None = None) -> DataFrame:
     """Both retrievers' best hits: (qid, list_no, rank, pos, score, retriever)."""
     q = ctx.select("qid", F.col("search").alias("question"))
-    vec = retrieve.top_k(retrieve.cosine_scores(retrieve.question_vectors(q, index["vector_idf"]), index["vectors"], "pos"), s.retrieval_top_k, "qid", "pos")
+    vec = retrieve.top_k((embedding or retrieve.TfidfEmbedding()).scores(q, index, s.retrieval_top_k), s.retrieval_top_k, "qid", "pos")
     lex = retrieve.top_k(retrieve.bm25_scores(q, index["postings"], "pos"), s.retrieval_top_k, "qid", "pos")
     rows = lambda df, no, name: df.select("qid", F.lit(no).alias("list_no"), "rank", "pos", "score", F.lit(name).alias("retriever"))
     return rows(vec, 0, "vector").unionByName(rows(lex, 1, "bm25"))
 
 
-def rerank(ctx: DataFrame, fused: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS) -> DataFrame:
+def rerank(ctx: DataFrame, fused: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS, scorer: retrieve.Scorer | None = None) -> DataFrame:
     """The best of the fused hits by relevance: (qid, clause_id, pos, score, rank)."""
-    q = retrieve.weighted_questions(ctx.select("qid", F.col("search").alias("question")), index["rerank_idf"])
-    passage = index["clauses"].select("pos", F.concat_ws(" ", "section_title", "text").alias("_p"))
-    j = fused.join(passage, "pos").join(q, "qid")
-    scored = j.select("qid", "clause_id", "pos", retrieve.relevance(F.col("_p"), F.col("clause_id"), s).alias("score"), F.col("rank").alias("_r"))
+    passage = index["clauses"].select("pos", F.concat_ws(" ", "section_title", "text").alias("passage"))
+    pairs = fused.select("qid", "clause_id", "pos", F.col("rank").alias("_r")).join(passage, "pos").join(ctx.select("qid", F.col("search").alias("question")), "qid")
+    scored = (scorer or retrieve.LexicalScorer(s)).score(pairs, index).select("qid", "clause_id", "pos", "score", "_r")
     w = retrieve.Window.partitionBy("qid").orderBy(F.col("score").desc(), "_r")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.rerank_top_k).drop("_r")
 
@@ -58,10 +58,12 @@ def rerank(ctx: DataFrame, fused: DataFrame, index: dict[str, DataFrame], s: Set
 Phrase = Callable[[DataFrame], DataFrame]
 
 
-def answer(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS, phrase: Phrase | None = None) -> DataFrame:
+def answer(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS, phrase: Phrase | None = None, embedding: retrieve.Embedding | None = None, scorer: retrieve.Scorer | None = None) -> DataFrame:
     """(qid, question, decision, reason, text, citations, related, missing_type,
     transitional, n_vector, n_bm25, n_fused) of every question of (qid, question).
 
+    ``embedding`` and ``scorer`` may be others than the default ones.
+
     ``phrase`` may reword answers: it gets (qid, question, messages, supporting)
     and returns (qid, text); what cites anything but the evidence is discarded.
     """
@@ -71,10 +73,10 @@ def answer(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFA
     lookup = cut(amend.latest(clauses).select("clause_id", "citation", "section_number", "section_title", "text", "pos", "amendment_paragraph"))
     ctx = cut(contexts(questions, s))
     ids = clauses.select("pos", "clause_id")
-    hits = cut(candidates(ctx, index, s).join(ids, "pos"))
+    hits = cut(candidates(ctx, index, s, embedding).join(ids, "pos"))
     fused_all = cut(retrieve.fuse(hits, s))
     fused = fused_all.where(F.col("rank") <= s.retrieval_top_k)
-    ranked = cut(rerank(ctx, fused, index, s))
+    ranked = cut(rerank(ctx, fused, index, s, scorer))
     resolved = cut(temporal.resolve(ranked, ctx, clauses, s))
     applied = cut(temporal.with_fallback(temporal.ordered(resolved), ranked))
     excluded = resolved.where("excluded_pos is not null").select("qid", "clause_id")
@@ -106,20 +108,20 @@ def answer(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFA
         worded = phrase(own).select("qid", T.without_thinking("text").alias("text")).join(own.select("qid", "supporting"), "qid")
         good = render.validate_citations(worded, lookup).where("valid and size(checked) > 0").select("qid")
         j = j.join(worded.join(good, "qid", "left_semi").select("qid", F.col("text").alias("_worded")), "qid", "left").withColumn("_plain", F.coalesce("_worded", "_plain")).drop("_worded")
-    text = F.when(F.col("decision") == "CONFLICT", F.col("conflict_text")).when(F.col("decision") == "REFUSE", render.refusal_text("reason", "detail")).otherwise(F.col("_plain"))
+    text = F.when(F.col("decision") == "CONFLICT", F.col("conflict_text")).when(F.col("decision") == "REFUSE", render.refusal_text("reason", "detail", s.jurisdiction)).otherwise(F.col("_plain"))
     citations = F.when(F.col("decision") == "CONFLICT", F.col("conflict_citations")).when(F.col("decision") == "ANSWER", cited("_own")).otherwise(none)
     return j.select(
         "qid", "question", "decision", "reason", text.alias("text"), render.append_citations(citations, F.coalesce("transitional", none)).alias("citations"),
         F.when(F.col("_missing"), none).otherwise(cited("_all")).alias("related"), "missing_type", F.coalesce("transitional", none).alias("transitional"), "n_vector", "n_bm25", "n_fused")
 
 
-def evidence_items(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS) -> DataFrame:
+def evidence_items(questions: DataFrame, index: dict[str, DataFrame], s: Settings = DEFAULTS, embedding: retrieve.Embedding | None = None, scorer: retrieve.Scorer | None = None) -> DataFrame:
     """The evidence table behind an answer, one row per judged clause."""
     clauses = index["clauses"]
     lookup = cut(amend.latest(clauses))
     ctx = cut(contexts(questions, s))
-    hits = candidates(ctx, index, s).join(clauses.select("pos", "clause_id"), "pos")
-    ranked = cut(rerank(ctx, retrieve.fuse(hits, s).where(F.col("rank") <= s.retrieval_top_k), index, s))
+    hits = candidates(ctx, index, s, embedding).join(clauses.select("pos", "clause_id"), "pos")
+    ranked = cut(rerank(ctx, retrieve.fuse(hits, s).where(F.col("rank") <= s.retrieval_top_k), index, s, scorer))
     applied = cut(temporal.with_fallback(temporal.ordered(temporal.resolve(ranked, ctx, clauses, s)), ranked))
     items = evidence.relevant(applied, s).join(clauses.select("pos", "citation", "section_title", "text"), "pos").join(ctx.select("qid", "question"), "qid")
     judged = evidence.judge(cut(evidence.check_deferrals(items, lookup, s)), s)

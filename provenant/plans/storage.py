@@ -12,18 +12,48 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local session without that
     setting gets one of its own, a cluster without it is an error."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not sc.getCheckpointDir():
+        if not path and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="provenant-"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/") + "/provenant-plans"
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="provenant-"))
+    return (path or sc.getCheckpointDir()).rstrip("/") + "/provenant"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written out and read again: a short plan behind it, computed once,
-    and safe from the loss of an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` computed once and kept in the shared folder: a short plan behind it,
+    safe from the loss of an executor. Spark deletes the files once no plan
+    refers to them any more, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+class Scratch:
+    """Tables written for one call, as Parquet in the shared folder: they cut the
+    lineage, survive the loss of any executor, and go when the call ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.path)
+
+    def table(self, df: DataFrame, name: str, append: bool = False) -> DataFrame:
+        """``df`` as a new table, or at the end of the one of that name."""
+        path = f"{self.path}/{name}" if append else f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.mode("append" if append else "errorifexists").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._pv_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table before the call ends."""
+        self._delete(df._pv_path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -60,15 +60,20 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.QUESTIONS).json(path, multiLine=True)
 
 
-TABLES = ("clauses", "postings", "vectors", "vector_idf", "rerank_idf")
+def read_words(spark: SparkSession, path: str) -> list[str]:
+    """A word list, one word a line, as for the stopwords of the vector space."""
+    return [w for r in spark.read.text(path).collect() if (w := r[0].strip().lower())]
 
 
 def save_index(index: dict[str, DataFrame], path: str) -> None:
-    for name in TABLES:
-        index[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, df in index.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that were saved there, whatever the embedding keeps."""
     if not _exists(spark, f"{path}/clauses"):
         raise IndexNotFoundError(f"no index in {path}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return {name: spark.read.parquet(f"{path}/{name}") for name in sorted(f.getPath().getName() for f in found)}

@@ -1,66 +1,14 @@
-"""What the operators of this subpackage share: shared storage, written
-tables, bounded labelled samples, distributed ranks and connected components."""
+"""What the operators of this subpackage share: written tables, bounded labelled samples, distributed ranks and connected components."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would not be seen by the other executors.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
-    if not sc.getCheckpointDir():
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="provenant-"))
-    return (path or sc.getCheckpointDir()).rstrip("/") + "/provenant"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, for results that are
-    read later. Spark deletes the files once no plan refers to them any more,
-    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-class Scratch:
-    """Tables written for one call, as Parquet in the shared folder: they cut the
-    lineage, survive the loss of any executor, and go when the call ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{work_dir(spark)}/{uuid.uuid4().hex}"
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self._delete(self.path)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._pv_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table before the call ends."""
-        self._delete(df._pv_path)
-
-    def _delete(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from ..plans.storage import Scratch, shared_dir  # noqa: F401
+from ..plans.storage import cut as checkpointed
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

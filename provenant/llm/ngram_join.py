@@ -303,7 +303,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, bands: Bands, tmp: Sc
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (rep, s1, s2)), pa.array(out, pa.binary())], names=["rep", "s1", "s2", "codes"])
 
     sets = mine.mapInArrow(load, "rep long, s1 long, s2 long, codes binary").join(members, ["rep", "s1", "s2"])  # of rows with one id, the class's own
-    sets = tmp.table(sets.select("cid", "n", "g", "blocks", "codes").dropDuplicates(["cid"]), "class-sets")
+    sets = tmp.table(sets.dropDuplicates(["rep", "s1", "s2"]).select("cid", "n", "g", "blocks", "codes"), "class-sets")
     once = sets.withColumn("h", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     once = once.withColumn("b", F.pmod(F.xxhash64("cid", "h"), F.col("blocks")).cast("int"))
     once = once.select("g", "h", "b", "cid", F.col("cid").alias("known"), F.lit(0).alias("own"), F.lit(True).alias("alone"), "codes")

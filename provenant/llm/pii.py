@@ -355,7 +355,7 @@ def drawn(text: str, windows_each: int) -> list[tuple[int, bytes, bytes]]:
     return [(h, x[i].tobytes(), y[i].tobytes()) for i, (h, _) in enumerate(take)]
 
 
-def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int = 30_000, batch: int = 48) -> Tagger | None:
+def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int = 6_000, batch: int = 48) -> Tagger | None:
     """Learns from windows of about ``pool`` documents, chosen by hash, so neither the
     search nor what reaches the driver grows with the corpus. None without text."""
     share = int(min(1.0, pool / max(1, docs.count())) * 2**32)
@@ -366,7 +366,8 @@ def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["h", "x", "y"])
 
     part = docs.where(order_hash(F.col("doc_id"), seed=9) < share).select("text").mapInArrow(draw, "h long, x binary, y binary")
-    rows = part.orderBy("h", "x").limit(sample).collect()  # of a fixed size each
+    # rows of a fixed size; behind the last condition the limit is kept by an executor, not by the driver
+    rows = part.orderBy("h", "x").limit(sample).where("h is not null").collect()
     if not rows:
         return None
     x, y = (np.stack([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("x", "y"))

@@ -19,7 +19,8 @@ hash, ``windows_each`` windows of each, chosen by hash from the whole text (half
 them with a digit or ``@``), at most ``sample`` windows in all. Their labels are the
 base spans. Into copies of them labelled spans of both sorts, base and other, are
 written, and near misses without a label (dates, amounts, hashes, versions,
-numbers that fail the checks), also across the ends of a window.
+numbers that fail the checks), also across the ends of a window; there are
+``written`` of them, and a step takes a part of ``crop`` characters of each of its windows.
 
 Defined cases: a null text is empty; an empty text has no span; an empty table
 gives no rows; repeated rows are read apiece; a null id is a row like any other;
@@ -224,7 +225,7 @@ class Tagger:
         dwx, dwh = self._back(np.stack([dh[:, :, :HIDDEN], dh[::-1, :, HIDDEN:]]), kept)
         return dict(zip(self.NAMES, (dwx, dwh, np.tensordot(h, dz, ([0, 1], [0, 1])), dz.sum((0, 1)), dtrans), strict=True))
 
-    def train(self, draw: Callable[[], tuple[np.ndarray, np.ndarray]], steps: int = 800, rate: float = 0.03) -> None:
+    def train(self, draw: Callable[[], tuple[np.ndarray, np.ndarray]], steps: int = 1_000, rate: float = 0.03) -> None:
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         v = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         for t in range(1, steps + 1):
@@ -355,7 +356,7 @@ def drawn(text: str, windows_each: int) -> list[tuple[int, bytes, bytes]]:
     return [(h, x[i].tobytes(), y[i].tobytes()) for i, (h, _) in enumerate(take)]
 
 
-def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int = 6_000, batch: int = 48) -> Tagger | None:
+def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int = 6_000, written: int = 8_000, batch: int = 48, crop: int = 64) -> Tagger | None:
     """Learns from windows of about ``pool`` documents, chosen by hash, so neither the
     search nor what reaches the driver grows with the corpus. None without text."""
     share = int(min(1.0, pool / max(1, docs.count())) * 2**32)
@@ -376,13 +377,16 @@ def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int
     signs = np.array([1, *(_CHARS[c] for c in "@()[]{}")])
     ground = np.where(np.isin(x, signs) & (y == 0), 2, x).astype(np.uint8)
     rng, writer = np.random.default_rng(8), Writer(4)
+    wx, wy = (np.stack(v) for v in zip(*(writer.write(ground[i], y[i]) for i in rng.integers(0, len(x), written)), strict=True))
 
     def step() -> tuple[np.ndarray, np.ndarray]:
         # a text's own figures may be spans that no pattern says: as misses they count little
         plain = rng.integers(0, len(x), batch // 8)
         own = full[rng.integers(0, len(full), batch // 8)] if len(full) else plain[: batch // 8]
-        more = [writer.write(ground[i], y[i]) for i in rng.integers(0, len(x), batch - len(plain) - len(own))]
-        return np.concatenate([x[plain], ground[own], [v for v, _ in more]]), np.concatenate([y[plain], y[own], [v for _, v in more]]).astype(np.int64)
+        more = rng.integers(0, written, batch - len(plain) - len(own))
+        at = int(rng.integers(0, WINDOW - crop + 1))  # a part of each window, so that spans begin and end anywhere
+        part = lambda *v: np.concatenate(v)[:, at : at + crop]
+        return part(x[plain], ground[own], wx[more]), part(y[plain], y[own], wy[more]).astype(np.int64)
 
     net = Tagger()
     net.train(step)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.storage import Scratch, shared_dir  # noqa: F401
 from ..plans.storage import cut as checkpointed
@@ -23,6 +27,14 @@ def free_name(df: DataFrame) -> str:
     return name
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names: inside, the columns of
+    what comes and of what is returned are called c0, c1 and so on."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    inside = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    return plain.mapInArrow(run, inside).toDF(*schema.names)
+
+
 def texts(column, rows: int = 500):
     """The values of an Arrow column, a slice at a time: a batch may hold many
     long texts, and only a slice of them is copied into Python."""

@@ -40,7 +40,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_rows, texts
 
 MIN_MATCH, THRESHOLD, BLOCK_TOKENS = 5, 0.5, 2_000_000
 tokens_of = re.compile(r"\w+").findall
@@ -275,5 +275,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN
                 keep = [not t or next(index.leaks(t, threshold), None) is None for t in texts(b.column(at))]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run, docs.schema)
     return docs

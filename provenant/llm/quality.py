@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import crc_mod, labelled_sample, texts
+from .common import crc_mod, labelled_sample, map_rows, texts
 
 ROWS, DIMS, WINDOW, NONZERO = 1 << 13, 32, 2, 4
 PER_CLASS, THRESHOLD = 5_000, 0.3
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], to: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     kept = [i for i, c in enumerate(docs.columns) if c != to]
-    names = [docs.columns[i] for i in kept]
+    names = [f"c{i}" for i in range(len(kept) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = sent.value
@@ -214,10 +214,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], to: str = "
                 p = np.full(b.num_rows, 0.5)
             else:
                 p = net.proba(np.stack([pooled(t, vectors, rows) for t in texts(b.column(at), 100)]))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(p)], names=[*names, to])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(p)], names=names)
 
     schema = StructType([docs.schema[i] for i in kept]).add(to, "double")
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, crc_mod, free_name, labelled_sample, texts
+from .common import Scratch, crc_mod, free_name, labelled_sample, map_rows, texts
 
 BITS, PER_CLASS, THRESHOLD, EPOCHS = 20, 4_000, 0.5, 4
 STEMS = (4, 5, 6)
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     kept = [i for i, c in enumerate(docs.columns) if c != to]
-    names = [docs.columns[i] for i in kept]
+    names = [f"c{i}" for i in range(len(kept) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_, weights, bias = sent.value
@@ -171,10 +171,10 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
                 x, v = features(x[w[x] != 0])
                 out[i] = bias + (w[x] * v).sum(dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(p)], names=[*names, to])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(p)], names=names)
 
     schema = StructType([docs.schema[i] for i in kept]).add(to, "double")
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:

@@ -32,7 +32,7 @@ ROWS = [(i, f"document number {i} has a few words of its own, as {i * i} and {i
 
 def small(spark, sf, rows):
     """A folder of tables, documents with names that the stages use themselves."""
-    docs = spark.createDataFrame([(*r, "en", "s", 5, "x", 1, 0.5, "y", "z") for r in rows], "doc_id long, text string, lang string, source string, n_chars int, _keys string, n_lines int, score double, `_pv` string, item_id string")
+    docs = spark.createDataFrame([(*r, "en", "s", 5, "x", 1, 0.5, "y", "z", 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, _keys string, n_lines int, score double, `_pv` string, item_id string, `a.b` int")
     docs.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(i, q, int(t)) for i, q, t in LABELS], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, "a benchmark item of ten words or so that leaks"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")

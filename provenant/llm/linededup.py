@@ -242,18 +242,20 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, shard_rows: int = 20_000, lasting: bool = True) -> LineIndex:
-        """``lasting``: files are put in order of the shards, so that an update
-        finds its own; of no use to an index that is read once."""
+        """``lasting``: files are put in order of the shards, so that an update finds
+        its own, and counts and filters are files too. An index that is read once
+        needs neither: only its holders are written."""
         order = (lambda df: df.sortWithinPartitions("k2")) if lasting else (lambda df: df)
         # a document that repeats a line within itself has emitted it once;
         # distinct() joins rows that share an id
         store = Scratch(docs.sparkSession)
+        keep = store.table if lasting else (lambda df, name: df)
         held = store.table(order(holders(docs, min_chars).distinct()), "holders")
-        refs = store.table(order(_refs(held)), "refs")
+        refs = keep(order(_refs(held)), "refs")
         rows = held.count()
         bits = max(0, math.ceil(math.log2(max(1, rows) / bucket_rows(rows, shard_rows))))
         out = cls(store, _Table(store, "holders", [(held, set())]), _Table(store, "refs", [(refs, set())]), _Table(store, "filters", []), bits, rows, min_docs, min_chars, shard_rows)
-        out._filters = _Table(store, "filters", [(store.table(out._built(), "filters"), set())])
+        out._filters = _Table(store, "filters", [(keep(out._built(), "filters"), set())])
         return out
 
     def close(self) -> None:
@@ -349,7 +351,8 @@ class LineIndex:
         """(doc_id, _keys): the keys whose lines that document loses."""
         repeated = self.refs.where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "n_docs", "keep_doc")
         least = self.rows // 1024
-        hot = repeated.where(F.col("n_docs") > least).drop("n_docs")  # fewer than 1024 rows
+        rows = [tuple(r) for r in repeated.where(F.col("n_docs") > least).drop("n_docs").collect()]  # fewer than 1024
+        hot = repeated.sparkSession.createDataFrame(rows, "k1 long, k2 long, keep_doc long")
         lost = self.held.join(F.broadcast(hot), ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc"))).select("k1", "k2", "doc_id")
         none = lambda t: F.lit(None).cast(t)
         shard = shard_of("k2", self.bits).alias("shard")

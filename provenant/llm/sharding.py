@@ -29,7 +29,7 @@ def _u32(hex_digest):
 
 def interleave(
     docs: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text",
-    stratum_col: str = "source", seed: int = 20, rows_per_bucket: int = 1_000,
+    stratum_col: str = "source", seed: int = 20, rows_per_bucket: int = 500,
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard), one row per row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -11,8 +11,11 @@ from .text import col
 DEFAULTS = Settings()
 
 # Month names and the patterns of each notation.
-MONTHS = "January February March April May June July August September October November December".split()
-SHORT_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Sept Oct Nov Dec".split()
+MONTHS = [
+    "January", "February", "March", "April", "May", "June",
+    "July", "August", "September", "October", "November", "December",
+]
+SHORT_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec"]
 _LONG, _SHORT = "|".join(MONTHS), "|".join(SHORT_MONTHS)
 _TAIL = r"(?:\s*,?\s*|\s+)(\d{4})\b"
 ISO = r"\b(\d{4})-(\d{2})-(\d{2})\b"

@@ -104,11 +104,25 @@ def versions(clauses: DataFrame, specs: DataFrame, with_transitional: bool = Fal
     if with_transitional:
         new = new.unionByName(transitional(clauses, specs))
     n = clauses.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_n"))
-    w = Window.orderBy("amendment_id", F.coalesce("pos", F.lit(2**31 - 1)), "order", "amendment_paragraph")  # rows made by rules: few
-    new = new.crossJoin(F.broadcast(n)).withColumn("pos", (F.col("_n") + F.row_number().over(w) - 1).cast("int")).drop("_n")
+    new = numbered(new).crossJoin(F.broadcast(n)).withColumn("pos", (F.col("_n") + F.col("_at")).cast("int")).drop("_n", "_at")
     return superseded(clauses, specs).unionByName(new)
 
 
+def numbered(new: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Amended clauses with ``_at``, their place from 0 by amendment, clause, order and
+    paragraph. Rows are ordered within an amendment and ``rows`` positions; what comes
+    before these is summed from counts, a row for each."""
+    at = F.coalesce("pos", F.lit(2**31 - 1))
+    part = [F.col("amendment_id"), F.floor(at / rows).alias("_b")]
+    counts = new.groupBy(*part).agg(F.count(F.lit(1)).alias("_m"))
+    before = F.sum("_m").over(Window.orderBy("amendment_id", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("amendment_id").alias("_a"), F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_off"))
+    own = new.withColumn("_b", F.floor(at / rows))
+    own = own.withColumn("_rn", F.row_number().over(Window.partitionBy("amendment_id", "_b").orderBy(at, "order", "amendment_paragraph")))
+    met = own.join(counts, F.col("amendment_id").eqNullSafe(F.col("_a")) & (F.col("_b") == F.col("_c")))
+    return met.withColumn("_at", F.col("_off") + F.col("_rn") - 1).select(*new.columns, "_at")
+
+
 def latest(df: DataFrame, key: str = "clause_id", order: str = "pos") -> DataFrame:
     """The last row of each key."""
     best = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), order).alias("_r"))

@@ -82,3 +82,13 @@ def test_bm25_by_hand(spark):
     got = {(r["pos"], r["term"]): r["w"] for r in retrieve.bm25_postings(docs, "pos", "text").collect()}
     want = math.log(1 + (3 - 1 + 0.5) / 1.5) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2))
     assert abs(got[0, "cat"] - want) < 1e-12
+
+
+def test_amended_rows_are_numbered_in_order(spark):
+    rows = [("A2", 1, 9000, "1"), ("A1", None, 9000, "2"), ("A1", 5, 9000, "1"), ("A1", 4, 9000, "1"), (None, 7, 9000, "1"), ("A1", 4, 9000, "0")]
+    df = spark.createDataFrame(rows, "amendment_id string, pos int, order int, amendment_paragraph string")
+    got = amend.numbered(df, rows=2).orderBy("_at").collect()
+    assert [r["_at"] for r in got] == list(range(6))
+    assert [(r["amendment_id"], r["pos"], r["amendment_paragraph"]) for r in got] == [
+        (None, 7, "1"), ("A1", 4, "0"), ("A1", 4, "1"), ("A1", 5, "1"), ("A1", None, "2"), ("A2", 1, "1")]
+    assert amend.numbered(df.limit(0)).count() == 0

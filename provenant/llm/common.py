@@ -27,7 +27,9 @@ def free_name(df: DataFrame) -> str:
     return name
 
 
-def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+def map_rows(
+    docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType
+) -> DataFrame:
     """``mapInArrow`` over all columns, whatever their names: inside, the columns of
     what comes and of what is returned are called c0, c1 and so on."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -62,7 +64,9 @@ def labelled_sample(docs: DataFrame, label: str, classes: dict, per_class: int,
     """
     share = F.lit(0)
     for value, n in classes.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, per_class / max(1, n)) * 2**32))).otherwise(share)
+        share = F.when(
+            F.col(label) == F.lit(value), F.lit(int(min(1.0, per_class / max(1, n)) * 2**32))
+        ).otherwise(share)
     h = order_hash(F.col("doc_id"), seed=7)
     return docs.where(h < share).select(*keep, h.alias("_h")).orderBy("_h").limit(total).drop("_h")
 
@@ -73,7 +77,9 @@ def bucket_rows(n: int, least: int) -> int:
     return max(least, math.isqrt(max(0, n)))
 
 
-def salted_rank(df: DataFrame, by: list[str], order: list[str], bucket: str, rank: str, total: str | None = None) -> DataFrame:
+def salted_rank(
+    df: DataFrame, by: list[str], order: list[str], bucket: str, rank: str, total: str | None = None
+) -> DataFrame:
     """0-based rank in ``by`` ordered by (``bucket``, ``order``).
 
     ``bucket`` is an integer column that splits every group over tasks; only
@@ -82,7 +88,9 @@ def salted_rank(df: DataFrame, by: list[str], order: list[str], bucket: str, ran
     """
     counts = df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by) if by else Window.partitionBy()
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.withColumn(
+        "_off", F.coalesce(F.sum("_n").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
     if total:
         counts = counts.withColumn(total, F.sum("_n").over(w))
     own = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order)))
@@ -113,16 +121,24 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         return r[0], r[1]
 
     with Scratch(edges.sparkSession) as tmp:
-        e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v").distinct()
+        e = edges.select(
+            F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")
+        ).where("u <> v").distinct()
         last = tmp.table(e, "edges")
         was = mark(last)
         while was[0]:
             both = last.unionByName(last.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+            low = both.groupBy("u").agg(
+                F.min("v").alias("m"), F.count(F.lit(1)).alias("n")
+            ).withColumn("m", F.least("m", "u"))
             large = spread_join(both.where("v > u"), low, "u", "n", 2 * was[0])
-            large = tmp.table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+            large = tmp.table(
+                large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges"
+            )
             low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-            small = spread_join(large, low, "u", "n", 2 * was[0]).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            small = spread_join(large, low, "u", "n", 2 * was[0]).select("v", "m").where("v <> m").select(
+                F.col("v").alias("u"), F.col("m").alias("v")
+            )
             now = tmp.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
             tmp.drop(last)
             tmp.drop(large)

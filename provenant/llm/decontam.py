@@ -235,7 +235,10 @@ def _blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[list[tuple[int,
 LEAKS = "doc_id long, item_id long, coverage double, n_tiles int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, threshold: float = THRESHOLD,
+    block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles) of every document that holds a test item."""
     spark = docs.sparkSession
     out = None
@@ -252,7 +255,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
                     for item, cover, n in index.leaks(text, threshold)
                 ]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "coverage", "n_tiles"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(c, t)
+                        for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)
+                    ],
+                    names=["doc_id", "item_id", "coverage", "n_tiles"]
+                )
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, LEAKS)
         out = part if out is None else out.unionByName(part)
@@ -262,7 +271,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
     return best.select("doc_id", "item_id", "_m.coverage", "_m.n_tiles")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, threshold: float = THRESHOLD,
+    block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
     """``docs`` without the documents that hold a test item: one pass for each
     block, no shuffle; all columns pass through unchanged."""
     at = docs.columns.index("text")

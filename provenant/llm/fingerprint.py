@@ -32,13 +32,18 @@ FRACTION_BITS = 3  # the lowest 2**-3 of all hashes is kept
 WORDS = 5
 
 
-def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS, fraction_bits: int = FRACTION_BITS) -> DataFrame:
+def with_sketch(
+    df: DataFrame, text: str, out: str, words: int = WORDS, fraction_bits: int = FRACTION_BITS
+) -> DataFrame:
     """``df`` with the sketch (sorted ``array<long>``) of column ``text`` and, as
     ``out`` with ``_whole`` behind it, a hash of all its words."""
     bound = -(2**63) + 2 ** (64 - fraction_bits)
     own = free_name(df)
     # a word is hashed once, and a shingle from the hashes of its words
-    df = df.withColumn(f"{own}_w", F.transform(F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+"), lambda w: F.xxhash64(w)))
+    df = df.withColumn(
+        f"{own}_w",
+        F.transform(F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+"), lambda w: F.xxhash64(w))
+    )
     at = F.sequence(F.lit(0), F.greatest(F.size(f"{own}_w") - words, F.lit(0)))
     hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col(f"{own}_w"), i + k) for k in range(words)]))
     df = df.withColumn(out, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(bound)))))
@@ -87,7 +92,9 @@ def _bucket_of(value: Column, firsts: list[int]) -> Column:
     heads = F.array(*[F.lit(b[0]) for b in blocks])
     inner = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
     block = F.size(F.filter(heads, lambda x: x <= value))
-    at = F.size(F.filter(F.coalesce(F.try_element_at(inner, block), F.array().cast("array<bigint>")), lambda x: x <= value))
+    at = F.size(
+        F.filter(F.coalesce(F.try_element_at(inner, block), F.array().cast("array<bigint>")), lambda x: x <= value)
+    )
     return F.when(block <= 0, F.lit(0)).otherwise((block - 1) * step + at)
 
 
@@ -114,13 +121,19 @@ def edited_pairs(docs: DataFrame, *, rows_per_bucket: int = 2_000) -> DataFrame:
         rows = d.withColumn("_b", F.lit(0)).withColumn("_g", F.lit(0))
         rows = rows.unionByName(rows.withColumn("_g", F.lit(1)))
     else:
-        own = d.withColumn("_b", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket_of(F.col("doc_id"), firsts))).withColumn("_g", F.lit(0))
+        own = d.withColumn(
+            "_b", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket_of(F.col("doc_id"), firsts))
+        ).withColumn("_g", F.lit(0))
         before = [(x, i if i else (0 if nulls else last)) for i, x in enumerate(firsts)]
         guards = F.broadcast(docs.sparkSession.createDataFrame(before, "_first long, _to int"))
-        guard = d.join(guards, F.col("doc_id") == F.col("_first")).select("doc_id", "text", F.col("_to").alias("_b"), F.lit(1).alias("_g"))
+        guard = d.join(guards, F.col("doc_id") == F.col("_first")).select(
+            "doc_id", "text", F.col("_to").alias("_b"), F.lit(1).alias("_g")
+        )
         rows = own.unionByName(guard)
         if nulls:
-            rows = rows.unionByName(d.where("doc_id is null").select("doc_id", "text", F.lit(last).alias("_b"), F.lit(1).alias("_g")))
+            rows = rows.unionByName(
+                d.where("doc_id is null").select("doc_id", "text", F.lit(last).alias("_b"), F.lit(1).alias("_g"))
+            )
     rows = with_sketch(rows.repartition("_b"), "text", "sketch")
     w = Window.partitionBy("_b").orderBy("_g", F.col("doc_id").asc_nulls_first(), "text")
     nxt = F.lead(F.struct("text", "sketch", "sketch_whole")).over(w)

@@ -74,7 +74,10 @@ class Net:
             out[s : s + chunk] = z / z.sum(1, keepdims=True)
         return out
 
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 700, batch: int = 96, rate: float = 0.004, seed: int = 4) -> None:
+    def train(
+        self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 700, batch: int = 96, rate: float = 0.004,
+        seed: int = 4
+    ) -> None:
         rng = np.random.default_rng(seed)
         names = ("emb", "conv", "cb", "out", "ob")
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
@@ -106,7 +109,12 @@ class Net:
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                setattr(self, k, (getattr(self, k) - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32))
+                setattr(
+                    self, k,
+                    (
+                        getattr(self, k) - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+                    ).astype(np.float32)
+                )
 
 
 def drawn(text: str, windows_each: int) -> list[tuple[int, np.ndarray]]:
@@ -124,10 +132,15 @@ def drawn(text: str, windows_each: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def train(docs: DataFrame, per_class: int = PER_CLASS, total: int = TOTAL, max_classes: int = MAX_CLASSES, windows_each: int = WINDOWS_EACH) -> tuple[list[str], Net | None]:
+def train(
+    docs: DataFrame, per_class: int = PER_CLASS, total: int = TOTAL, max_classes: int = MAX_CLASSES,
+    windows_each: int = WINDOWS_EACH
+) -> tuple[list[str], Net | None]:
     """Learns from labelled rows whose id's checksum modulo 4 is not 2."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes).collect()}
+    counts = {
+        r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes).collect()
+    }
     if not counts:
         return [], None
     share = F.lit(0)
@@ -136,11 +149,19 @@ def train(docs: DataFrame, per_class: int = PER_CLASS, total: int = TOTAL, max_c
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(lang, *v) for lang, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True) for v in drawn(t, windows_each)]
+            rows = [
+                (lang, *v) for lang, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)
+                for v in drawn(t, windows_each)
+            ]
             cols = ([r[0] for r in rows], [r[1] for r in rows], [r[2].tobytes() for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "h", "x"])
-
-    part = own.where(order_hash(F.col("doc_id"), seed=7) < share).select("lang", "text").mapInArrow(draw, "lang string, h long, x binary")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary()), strict=True)],
+                names=["lang", "h", "x"]
+            )
+
+    part = own.where(
+        order_hash(F.col("doc_id"), seed=7) < share
+    ).select("lang", "text").mapInArrow(draw, "lang string, h long, x binary")
     rows = part.orderBy("h", "x", "lang").limit(total * windows_each).collect()  # windows of a fixed size
     langs = sorted(counts)
     x, y = [np.frombuffer(r["x"], np.uint8) for r in rows], [langs.index(r["lang"]) for r in rows]
@@ -193,11 +214,17 @@ def predict(docs: DataFrame, model: tuple[list[str], Net | None]) -> DataFrame:
                     flush()
                     held = 0
             flush()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(pred), pa.array(score)], names=["doc_id", "lang_pred", "score"]
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, lang_pred string, score double"
+    )
 
 
 def identify(docs: DataFrame, *, per_class: int = PER_CLASS, total: int = TOTAL) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    return predict(docs, train(docs, per_class, total)).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs, train(docs, per_class, total)).select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )

@@ -167,13 +167,18 @@ def holders(docs: DataFrame, min_chars: int = 40) -> DataFrame:
         for b in batches:
             k1, k2, ids = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                keys = {k for line in (text or "").split("\n") if len(line) >= min_chars and len(k := line_key(line)) >= min_chars}
+                keys = {
+                    k for line in (text or "").split("\n")
+                    if len(line) >= min_chars and len(k := line_key(line)) >= min_chars
+                }
                 for k in keys:
                     x, y = _digest(k)
                     k1.append(x)
                     k2.append(y)
                 ids += [doc] * len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k1, k2, ids)], names=["k1", "k2", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (k1, k2, ids)], names=["k1", "k2", "doc_id"]
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HOLDERS)
 
@@ -228,7 +233,9 @@ class _Table:
 
     def split(self) -> _Table:
         """The same table for shards that are half as wide."""
-        return _Table(self.store, self.name, [(df, {x for s in dead for x in (2 * s, 2 * s + 1)}) for df, dead in self.parts])
+        return _Table(
+            self.store, self.name, [(df, {x for s in dead for x in (2 * s, 2 * s + 1)}) for df, dead in self.parts]
+        )
 
 
 class LineIndex:
@@ -236,12 +243,17 @@ class LineIndex:
     value: inserting and deleting give another one, which shares the files of
     untouched shards; :meth:`close` deletes the files of them all."""
 
-    def __init__(self, store: Scratch, held: _Table, refs: _Table, filters: _Table, bits: int, rows: int, min_docs: int, min_chars: int, shard_rows: int):
+    def __init__(
+        self, store: Scratch, held: _Table, refs: _Table, filters: _Table, bits: int, rows: int, min_docs: int,
+        min_chars: int, shard_rows: int
+    ):
         self.store, self._held, self._refs, self._filters, self.bits, self.rows = store, held, refs, filters, bits, rows
         self.min_docs, self.min_chars, self.shard_rows = min_docs, min_chars, shard_rows
 
     @classmethod
-    def build(cls, docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, shard_rows: int = 20_000, lasting: bool = True) -> LineIndex:
+    def build(
+        cls, docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, shard_rows: int = 20_000, lasting: bool = True
+    ) -> LineIndex:
         """``lasting``: files are put in order of the shards, so that an update finds
         its own, and counts and filters are files too. An index that is read once
         needs neither: only its holders are written."""
@@ -254,7 +266,10 @@ class LineIndex:
         refs = keep(order(_refs(held)), "refs")
         rows = held.count()
         bits = max(0, math.ceil(math.log2(max(1, rows) / bucket_rows(rows, shard_rows))))
-        out = cls(store, _Table(store, "holders", [(held, set())]), _Table(store, "refs", [(refs, set())]), _Table(store, "filters", []), bits, rows, min_docs, min_chars, shard_rows)
+        out = cls(
+            store, _Table(store, "holders", [(held, set())]), _Table(store, "refs", [(refs, set())]),
+            _Table(store, "filters", []), bits, rows, min_docs, min_chars, shard_rows
+        )
         out._filters = _Table(store, "filters", [(keep(out._built(), "filters"), set())])
         return out
 
@@ -279,9 +294,14 @@ class LineIndex:
             import pandas as pd
 
             f = ShardFilter.of(np.sort(pdf["k1"].to_numpy().astype(np.uint64)))
-            return pd.DataFrame([(int(pdf["shard"].iloc[0]), i, p.to_bytes()) for i, p in enumerate(f.parts)], columns=["shard", "part", "filter"])
-
-        keys = self._refs.read(self.bits, shards).where(F.col("n_docs") >= self.min_docs).select(shard_of("k2", self.bits).alias("shard"), "k1")
+            return pd.DataFrame(
+                [(int(pdf["shard"].iloc[0]), i, p.to_bytes()) for i, p in enumerate(f.parts)],
+                columns=["shard", "part", "filter"]
+            )
+
+        keys = self._refs.read(self.bits, shards).where(F.col("n_docs") >= self.min_docs).select(
+            shard_of("k2", self.bits).alias("shard"), "k1"
+        )
         return keys.groupBy("shard").applyInPandas(build, FILTERS)
 
     def _changed(self, shards: set[int], held: _Table, keys: DataFrame, rows: int) -> LineIndex:
@@ -291,28 +311,44 @@ class LineIndex:
         refs = self._refs.replaced(self.bits, shards, old.join(keys, ["k1", "k2"], "left_anti").unionByName(fresh))
         many = lambda df: df.where(F.col("n_docs") >= self.min_docs).select("k1", "k2")
         was, now = many(old.join(keys, ["k1", "k2"], "left_semi")), many(fresh)
-        moves = now.join(was, ["k1", "k2"], "left_anti").withColumn("comes", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("comes", F.lit(False)))
+        moves = now.join(was, ["k1", "k2"], "left_anti").withColumn("comes", F.lit(True)).unionByName(
+            was.join(now, ["k1", "k2"], "left_anti").withColumn("comes", F.lit(False))
+        )
 
         def update(moved, stored):
             import pandas as pd
 
-            f = ShardFilter([CuckooFilter(data=bytes(x)) for x in stored.sort_values("part")["filter"]] or [CuckooFilter(ShardFilter.LEAST)])
+            f = ShardFilter(
+                [CuckooFilter(data=bytes(x)) for x in stored.sort_values("part")["filter"]]
+                or [CuckooFilter(ShardFilter.LEAST)]
+            )
             moved = moved.sort_values(["comes", "k1"])  # what leaves goes first
             for k, comes in zip(moved["k1"].to_numpy().astype(np.uint64), moved["comes"], strict=True):
                 (f.insert if comes else f.delete)(int(k))
             shard = int((moved if len(moved) else stored)["shard"].iloc[0])
-            return pd.DataFrame([(shard, i, p.to_bytes()) for i, p in enumerate(f.parts)], columns=["shard", "part", "filter"])
+            return pd.DataFrame(
+                [(shard, i, p.to_bytes()) for i, p in enumerate(f.parts)], columns=["shard", "part", "filter"]
+            )
 
         moves = moves.select(shard_of("k2", self.bits).alias("shard"), "k1", "comes")
         stored = self._filters.read(self.bits, shards)
-        filters = self._filters.replaced(self.bits, shards, moves.groupBy("shard").cogroup(stored.groupBy("shard")).applyInPandas(update, FILTERS))
-        out = LineIndex(self.store, held, refs, filters, self.bits, rows, self.min_docs, self.min_chars, self.shard_rows)
+        filters = self._filters.replaced(
+            self.bits, shards, moves.groupBy("shard").cogroup(stored.groupBy("shard")).applyInPandas(update, FILTERS)
+        )
+        out = LineIndex(
+            self.store, held, refs, filters, self.bits, rows, self.min_docs, self.min_chars, self.shard_rows
+        )
         while out.rows > 2 * bucket_rows(out.rows, self.shard_rows) << out.bits:
             out._held, out._refs, out.bits = out._held.split(), out._refs.split(), out.bits + 1
         if out.bits != self.bits:
             out._filters = _Table(self.store, "filters", [(self.store.table(out._built(), "filters"), set())])
             return out
-        grown = {r[0] for r in filters.read(self.bits, shards).where(F.col("part") >= ShardFilter.PARTS).select("shard").distinct().collect()}
+        grown = {
+            r[0]
+            for r in filters.read(self.bits, shards).where(
+                F.col("part") >= ShardFilter.PARTS
+            ).select("shard").distinct().collect()
+        }
         if grown:
             out._filters = filters.replaced(self.bits, grown, out._built(grown))
         return out
@@ -353,31 +389,51 @@ class LineIndex:
         least = self.rows // 1024
         rows = [tuple(r) for r in repeated.where(F.col("n_docs") > least).drop("n_docs").collect()]  # fewer than 1024
         hot = repeated.sparkSession.createDataFrame(rows, "k1 long, k2 long, keep_doc long")
-        lost = self.held.join(F.broadcast(hot), ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc"))).select("k1", "k2", "doc_id")
+        lost = self.held.join(F.broadcast(hot), ["k1", "k2"]).where(
+            ~F.col("doc_id").eqNullSafe(F.col("keep_doc"))
+        ).select("k1", "k2", "doc_id")
         none = lambda t: F.lit(None).cast(t)
         shard = shard_of("k2", self.bits).alias("shard")
-        rows = self.filters.select("shard", F.lit(0).alias("kind"), none("long").alias("k1"), none("long").alias("k2"), none("long").alias("doc_id"), "filter")
-        rows = rows.unionByName(repeated.where(F.col("n_docs") <= least).select(shard, F.lit(1).alias("kind"), "k1", "k2", F.col("keep_doc").alias("doc_id"), none("binary").alias("filter")))
+        rows = self.filters.select(
+            "shard", F.lit(0).alias("kind"), none("long").alias("k1"), none("long").alias("k2"),
+            none("long").alias("doc_id"), "filter"
+        )
+        rows = rows.unionByName(
+            repeated.where(F.col("n_docs") <= least).select(
+                shard, F.lit(1).alias("kind"), "k1", "k2", F.col("keep_doc").alias("doc_id"),
+                none("binary").alias("filter")
+            )
+        )
         rest = self.held.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
-        rows = rows.unionByName(rest.select(shard, F.lit(2).alias("kind"), "k1", "k2", "doc_id", none("binary").alias("filter")))
-        lost = lost.unionByName(rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_settle, HOLDERS))
+        rows = rows.unionByName(
+            rest.select(shard, F.lit(2).alias("kind"), "k1", "k2", "doc_id", none("binary").alias("filter"))
+        )
+        lost = lost.unionByName(
+            rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_settle, HOLDERS)
+        )
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` cleaned, and ``n_lines`` and ``n_dropped`` added."""
         own = free_name(docs)
         keys = F.col(f"{own}_keys")
-        drops = checkpointed(self.drops()).select(F.col("doc_id").alias(f"{own}_doc"), F.col("_keys").alias(f"{own}_keys"))
+        drops = checkpointed(self.drops()).select(
+            F.col("doc_id").alias(f"{own}_doc"), F.col("_keys").alias(f"{own}_keys")
+        )
         names = [f"`{c}`" for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
         joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(f"{own}_doc")), "left")
         out = joined.withColumn(f"{own}_c", _clean(self.min_chars)(F.when(keys.isNotNull(), F.col("text")), keys))  # other texts stay in the JVM
         pick = lambda plain, name: F.when(keys.isNull(), plain).otherwise(F.col(f"{own}_c.{name}")).alias(name)
         lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-        return out.select(*names, pick(F.col("text"), "text"), pick(lines, "n_lines"), pick(F.lit(0).cast("long"), "n_dropped"))
+        return out.select(
+            *names, pick(F.col("text"), "text"), pick(lines, "n_lines"), pick(F.lit(0).cast("long"), "n_dropped")
+        )
 
 
 def _same(a: str, b: str) -> Column:
-    return (F.col(f"{a}.k1") == F.col(f"{b}.k1")) & (F.col(f"{a}.k2") == F.col(f"{b}.k2")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    return (
+        F.col(f"{a}.k1") == F.col(f"{b}.k1")
+    ) & (F.col(f"{a}.k2") == F.col(f"{b}.k2")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
 
 
 def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -406,7 +462,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind[s] == 0:
                 screen.parts += [CuckooFilter(data=bytes(x)) for x in part.column(5).to_pylist()]
             elif kind[s] == 1:
-                keep.update(zip(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True), part.column(4).to_pylist(), strict=True))
+                keep.update(
+                    zip(
+                        zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True),
+                        part.column(4).to_pylist(), strict=True
+                    )
+                )
             elif keep:
                 hit = part.filter(pa.array(screen.contains(part.column(2).to_numpy().astype(np.uint64))))
                 k1, k2, doc = (hit.column(i).to_pylist() for i in (2, 3, 4))
@@ -427,7 +488,9 @@ def _clean(min_chars: int):
                 continue
             gone = {(int(k["k1"]), int(k["k2"])) for k in ks}
             lines = t.split("\n")
-            kept = [x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or _digest(k) not in gone]
+            kept = [
+                x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or _digest(k) not in gone
+            ]
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 

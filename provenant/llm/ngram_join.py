@@ -151,7 +151,9 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(t, words, codes)
                 x, y = digest(s)
                 n.append(len(s)), s1.append(x), s2.append(y)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, s1, s2))], names=["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, pa.int64()) for c in (n, s1, s2))], names=["doc_id", "n", "s1", "s2"]
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
@@ -176,15 +178,22 @@ def keys_of(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 keys.append(k), who.append(np.full(len(k), both[0], np.int64))
                 size += len(k)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(who))], names=["key", "s1"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(who))], names=["key", "s1"]
+                    )
                     keys, who, size = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(who))], names=["key", "s1"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(who))], names=["key", "s1"]
+                )
 
     return docs.select("text").mapInArrow(run, "key long, s1 long")
 
 
-def stars(docs: DataFrame, words: int, bands: Bands, tmp: Scratch, per_salt: int = 20_000, sample: int = 64, heavy: int = 10_000) -> DataFrame:
+def stars(
+    docs: DataFrame, words: int, bands: Bands, tmp: Scratch, per_salt: int = 20_000, sample: int = 64,
+    heavy: int = 10_000
+) -> DataFrame:
     """(u, v): every set beside the smallest set that shares one of its pieces.
 
     The heaviest pieces are looked for in about one of ``sample`` documents; at
@@ -195,7 +204,10 @@ def stars(docs: DataFrame, words: int, bands: Bands, tmp: Scratch, per_salt: int
     keys = keys_of(docs, words, bands)
     part = keys_of(docs.where(order_hash(F.col("doc_id"), seed=5) % sample == 0), words, bands).groupBy("key").count()
     least = max(2, per_salt // (10 * sample))
-    hot = [(r[0], -(-r[1] * sample // per_salt)) for r in part.where(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(heavy).collect()]
+    hot = [
+        (r[0], -(-r[1] * sample // per_salt))
+        for r in part.where(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(heavy).collect()
+    ]
     if hot:
         table = F.broadcast(keys.sparkSession.createDataFrame(hot, "key long, _salts int"))  # at most `heavy` rows
         salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.shiftright("s1", 8), F.col("_salts"))).otherwise(-1)
@@ -208,7 +220,11 @@ def stars(docs: DataFrame, words: int, bands: Bands, tmp: Scratch, per_salt: int
     out = star.where("_m <> s1").select(F.col("_m").alias("u"), F.col("s1").alias("v"))
     if hot:
         tops = star.where("_salt >= 0").groupBy("key", "_salt").agg(F.min("_m").alias("t"))
-        out = out.unionByName(tops.withColumn("m", F.min("t").over(Window.partitionBy("key"))).where("t <> m").select(F.col("m").alias("u"), F.col("t").alias("v")))
+        out = out.unionByName(
+            tops.withColumn(
+                "m", F.min("t").over(Window.partitionBy("key"))
+            ).where("t <> m").select(F.col("m").alias("u"), F.col("t").alias("v"))
+        )
     return out.distinct()
 
 
@@ -259,12 +275,17 @@ def _meet(pairs: DataFrame, by: list[str], bands: Bands) -> DataFrame:
     num, den = bands.num, bands.den
 
     def link(table: pa.Table) -> pa.Table:
-        rows = [(own, c, k, np.frombuffer(x, np.uint64)) for own, c, k, x in zip(*(table[x].to_pylist() for x in ("own", "cid", "known", "codes")), strict=True)]
+        rows = [
+            (own, c, k, np.frombuffer(x, np.uint64))
+            for own, c, k, x in zip(*(table[x].to_pylist() for x in ("own", "cid", "known", "codes")), strict=True)
+        ]
         rows.sort(key=lambda r: r[:2])
         sides = [[r[1:] for r in rows if r[0] == own] for own in sorted({r[0] for r in rows})]
         whole = bool(table["alone"][0].as_py())
         found = _linked(sides[0], None if whole else sides[1], num, den) if whole or len(sides) == 2 else []
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
+        return pa.table(
+            {"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())}
+        )
 
     return pairs.groupBy(*by).applyInArrow(link, "u long, v long")
 
@@ -274,19 +295,28 @@ def grouped(classes: DataFrame, star: DataFrame) -> DataFrame:
     without a candidate are left out."""
     groups = components(star).select(F.col("node").alias("s1"), F.col("component").alias("g"))
     # different sets with one name: candidates even if no piece says so
-    twins = classes.groupBy("s1").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s1").join(groups, "s1", "left_anti")
+    twins = classes.groupBy("s1").agg(
+        F.count(F.lit(1)).alias("k")
+    ).where("k > 1").select("s1").join(groups, "s1", "left_anti")
     groups = groups.unionByName(twins.select("s1", F.col("s1").alias("g")))
     return classes.join(groups, "s1").select("cid", "rep", "s1", "s2", "n", "g")
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, bands: Bands, tmp: Scratch, block: int = 256, block_bytes: int = 16 << 20) -> DataFrame:
+def links(
+    docs: DataFrame, classes: DataFrame, words: int, bands: Bands, tmp: Scratch, block: int = 256,
+    block_bytes: int = 16 << 20
+) -> DataFrame:
     """(u, v): links between classes (their numbers) that connect what is linked."""
     members = tmp.table(grouped(classes, tmp.table(stars(docs, words, bands, tmp), "candidates")), "members")
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
     blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("t") * 8 / block_bytes)).cast("int").alias("blocks")
-    members = spread_join(members, sizes, "g", "m", members.count()).where("m > 1").select("cid", "rep", "s1", "s2", "n", "g", blocks)
+    members = spread_join(members, sizes, "g", "m", members.count()).where("m > 1").select(
+        "cid", "rep", "s1", "s2", "n", "g", blocks
+    )
     members = tmp.table(members, "members")
-    mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi")
+    mine = docs.select(
+        F.col("doc_id").cast("long").alias("rep"), "text"
+    ).join(members.select("rep"), "rep", "left_semi")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -298,18 +328,30 @@ def links(docs: DataFrame, classes: DataFrame, words: int, bands: Bands, tmp: Sc
                 rep.append(i), s1.append(x), s2.append(y), out.append(s.tobytes())
                 size += s.nbytes
                 if size > block_bytes:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (rep, s1, s2)), pa.array(out, pa.binary())], names=["rep", "s1", "s2", "codes"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(c, pa.int64()) for c in (rep, s1, s2)), pa.array(out, pa.binary())],
+                        names=["rep", "s1", "s2", "codes"]
+                    )
                     rep, s1, s2, out, size = [], [], [], [], 0
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (rep, s1, s2)), pa.array(out, pa.binary())], names=["rep", "s1", "s2", "codes"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in (rep, s1, s2)), pa.array(out, pa.binary())],
+                names=["rep", "s1", "s2", "codes"]
+            )
 
     sets = mine.mapInArrow(load, "rep long, s1 long, s2 long, codes binary").join(members, ["rep", "s1", "s2"])  # of rows with one id, the class's own
     sets = tmp.table(sets.dropDuplicates(["rep", "s1", "s2"]).select("cid", "n", "g", "blocks", "codes"), "class-sets")
-    once = sets.withColumn("h", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    once = sets.withColumn(
+        "h", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    )
     once = once.withColumn("b", F.pmod(F.xxhash64("cid", "h"), F.col("blocks")).cast("int"))
-    once = once.select("g", "h", "b", "cid", F.col("cid").alias("known"), F.lit(0).alias("own"), F.lit(True).alias("alone"), "codes")
+    once = once.select(
+        "g", "h", "b", "cid", F.col("cid").alias("known"), F.lit(0).alias("own"), F.lit(True).alias("alone"), "codes"
+    )
     found = tmp.table(_meet(once, ["g", "h", "b"], bands), "links")
     if sets.where("blocks > 1").limit(1).count():
-        found = found.unionByName(tmp.table(_across(sets.where("blocks > 1"), found, bands, tmp, block, block_bytes), "links"))
+        found = found.unionByName(
+            tmp.table(_across(sets.where("blocks > 1"), found, bands, tmp, block, block_bytes), "links")
+        )
     return found
 
 
@@ -318,26 +360,45 @@ def _across(sets: DataFrame, found: DataFrame, bands: Bands, tmp: Scratch, block
     is cut by size, a band's width the largest ratio of linked sizes, and bands
     into blocks; a block meets those of its band and of the band above."""
     total = sets.count()
-    known = sets.select("cid", "g", "n").join(components(found), F.col("cid") == F.col("node"), "left").select("cid", "g", "n", F.coalesce("component", "cid").alias("known"))
-    known = tmp.table(known.withColumn("band", F.floor(F.log("n") / math.log(bands.den / bands.num * 1.0001 + 1e-9)).cast("int")), "known")
+    known = sets.select("cid", "g", "n").join(components(found), F.col("cid") == F.col("node"), "left").select(
+        "cid", "g", "n", F.coalesce("component", "cid").alias("known")
+    )
+    known = tmp.table(
+        known.withColumn("band", F.floor(F.log("n") / math.log(bands.den / bands.num * 1.0001 + 1e-9)).cast("int")),
+        "known"
+    )
     state = known.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (F.min("known") < F.max("known")).alias("apart"))
     apart = spread_join(known.drop("n"), state, "g", "m", total).where("apart").select("cid", "known", "band")
     rows = sets.select("cid", "g", "n", "codes").join(apart, "cid").withColumn("gb", F.struct("g", "band"))
     size = known.groupBy("g", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    size = size.withColumn("own_n", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("t") * 8 / block_bytes)).cast("int"))
+    size = size.withColumn(
+        "own_n", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("t") * 8 / block_bytes)).cast("int")
+    )
     w = Window.partitionBy("g").orderBy("band")  # a row for each band of a group
     beside = lambda c, d: F.when(c("band").over(w) == F.col("band") + d, c("own_n").over(w)).otherwise(0)
     size = size.withColumn("above_n", beside(F.lead, 1)).withColumn("below_n", beside(F.lag, -1))
     size = tmp.table(size.select(F.struct("g", "band").alias("gb"), "m", "own_n", "above_n", "below_n"), "bands")
-    rows = spread_join(rows, size, "gb", "m", total).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("own_n")).cast("int"))
+    rows = spread_join(rows, size, "gb", "m", total).withColumn(
+        "b", F.pmod(F.xxhash64("cid"), F.col("own_n")).cast("int")
+    )
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda band, lo, band2, hi, own: F.struct(band.alias("band"), lo.alias("lo"), band2.alias("band2"), hi.alias("hi"), F.lit(own).alias("own"))
     at, b = F.col("band"), F.col("b")
     meets = F.concat(
-        F.transform(upto("own_n"), lambda c: F.struct(at.alias("band"), F.least(b, c).alias("lo"), at.alias("band2"), F.greatest(b, c).alias("hi"), F.when(b <= c, 0).otherwise(1).alias("own"))),
-        F.transform(upto("above_n"), lambda c: pair(at, b, at + 1, c, 0)), F.transform(upto("below_n"), lambda c: pair(at - 1, c, at, b, 1)))
+        F.transform(
+            upto("own_n"),
+            lambda c: F.struct(
+                at.alias("band"), F.least(b, c).alias("lo"), at.alias("band2"), F.greatest(b, c).alias("hi"),
+                F.when(b <= c, 0).otherwise(1).alias("own")
+            )
+        ),
+        F.transform(
+            upto("above_n"), lambda c: pair(at, b, at + 1, c, 0)
+        ), F.transform(upto("below_n"), lambda c: pair(at - 1, c, at, b, 1)))
     pairs = rows.withColumn("p", F.explode(meets)).select("g", "p.*", "cid", "known", "codes")
-    return _meet(pairs.withColumn("alone", F.expr("band = band2 and lo = hi")), ["g", "band", "lo", "band2", "hi"], bands)
+    return _meet(
+        pairs.withColumn("alone", F.expr("band = band2 and lo = hi")), ["g", "band", "lo", "band2", "hi"], bands
+    )
 
 
 def join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -350,7 +411,9 @@ def join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> D
     with Scratch(docs.sparkSession) as tmp:
         own = tmp.table(sets_of(docs, words), "sets")
         real = own.where("n > 0 and doc_id is not null")
-        classes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
+        classes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn(
+            "cid", F.monotonically_increasing_id()
+        )
         classes = tmp.table(classes, "classes")  # written, so the numbers stay
         found = links(docs.where("doc_id is not null"), classes, words, bands, tmp)
         again = tmp.table(real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
@@ -358,14 +421,25 @@ def join(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> D
         if rows:  # rows that share an id link their classes
             ids = real.join(classes, ["n", "s1", "s2"]).select("doc_id", "cid")
             low = ids.groupBy("doc_id").agg(F.min("cid").alias("low")).join(again, "doc_id")
-            found = found.unionByName(spread_join(ids, low, "doc_id", "k", rows).select(F.col("low").alias("u"), F.col("cid").alias("v")))
+            found = found.unionByName(
+                spread_join(ids, low, "doc_id", "k", rows).select(F.col("low").alias("u"), F.col("cid").alias("v"))
+            )
         comps = components(found).withColumnRenamed("node", "cid")
-        least = classes.join(comps, "cid").groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
+        least = classes.join(comps, "cid").groupBy("component").agg(
+            F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m")
+        )
         named = spread_join(comps, least, "component", "m", classes.count()).select("cid", "component_id")
-        named = classes.join(named, "cid", "left").select("n", "s1", "s2", "rep", F.coalesce("component_id", "rep").alias("component_id"))
+        named = classes.join(named, "cid", "left").select(
+            "n", "s1", "s2", "rep", F.coalesce("component_id", "rep").alias("component_id")
+        )
         out = own.join(named, ["n", "s1", "s2"], "left")
         mine = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
-        return checkpointed(out.select("doc_id", F.col("n").alias("n_shingles"), mine("rep").alias("class_id"), mine("component_id").alias("component_id")))
+        return checkpointed(
+            out.select(
+                "doc_id", F.col("n").alias("n_shingles"), mine("rep").alias("class_id"),
+                mine("component_id").alias("component_id")
+            )
+        )
 
 
 def one_of_each(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -374,11 +448,17 @@ def one_of_each(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 10
     j = join(docs, words=words, num=num, den=den)
     name = free_name(docs)
     other = j.where("doc_id <> component_id").select(F.col("doc_id").alias(name))
-    again = j.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias(name))
+    again = j.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("k")
+    ).where("k > 1").select(F.col("doc_id").alias(name))
     again = checkpointed(again)
     if not again.limit(1).count():
         return docs.join(other, F.col("doc_id") == F.col(name), "left_anti")
-    one = docs.join(again, F.col("doc_id") == F.col(name), "left_semi").join(other, F.col("doc_id") == F.col(name), "left_anti")
+    one = docs.join(
+        again, F.col("doc_id") == F.col(name), "left_semi"
+    ).join(other, F.col("doc_id") == F.col(name), "left_anti")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = one.groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias(name)).select(f"{name}.*")
+    one = one.groupBy("doc_id").agg(
+        F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias(name)
+    ).select(f"{name}.*")
     return docs.join(other.unionByName(again), F.col("doc_id") == F.col(name), "left_anti").unionByName(one)

@@ -60,7 +60,9 @@ def _encoder(tokenizer: str | None):
 
         with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding(
+            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
         special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
         def ids(text: str) -> bytes:
@@ -75,7 +77,9 @@ def _encoder(tokenizer: str | None):
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+def pieces(
+    docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +97,10 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, t
                     for col, v in zip(out, (doc, k, s, e - s, zlib.crc32(data[4 * s : 4 * e])), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                [
+                    pa.array(c, t)
+                    for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
+                ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
@@ -150,17 +157,28 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return lines
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, rows_per_bucket: int = 500) -> DataFrame:
+def pack(
+    docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None,
+    rows_per_bucket: int = 500
+) -> DataFrame:
     """Pieces with the sequence and the offset where each lies."""
     p = checkpointed(pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer))
     counts = {r[0]: r[1] for r in p.groupBy("length").count().collect()}  # at most `capacity` rows
     lines = plan(counts, capacity)  # a few lines per length
     rows = bucket_rows(sum(counts.values()), rows_per_bucket)
-    steps = p.sparkSession.createDataFrame([(k, -(-n // rows)) for k, n in counts.items()] or [(0, 1)], "length long, _n int")
+    steps = p.sparkSession.createDataFrame(
+        [(k, -(-n // rows)) for k, n in counts.items()] or [(0, 1)], "length long, _n int"
+    )
     spread = p.join(F.broadcast(steps), "length")  # buckets of a length, by how common it is
-    spread = spread.withColumn("_b", F.floor(order_hash(F.col("doc_id"), F.col("piece"), seed=6) * F.col("_n") / 2**32).cast("int")).drop("_n")
+    spread = spread.withColumn(
+        "_b", F.floor(order_hash(F.col("doc_id"), F.col("piece"), seed=6) * F.col("_n") / 2**32).cast("int")
+    ).drop("_n")
     ranked = salted_rank(spread, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_b", "_r")
-    steps = F.broadcast(p.sparkSession.createDataFrame(lines or [(0, 0, 0, 0, 1, 0)], "length long, _lo long, _hi long, _bin long, _m long, _off long"))
+    steps = F.broadcast(
+        p.sparkSession.createDataFrame(
+            lines or [(0, 0, 0, 0, 1, 0)], "length long, _lo long, _hi long, _bin long, _m long, _off long"
+        )
+    )
     at = ranked.join(steps, "length").where("_r >= _lo and _r < _hi")
     return at.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

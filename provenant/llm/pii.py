@@ -90,7 +90,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         at = text.find("@", max(at + 1, free))
     if _DIGIT(text):
         # int() of a part of unbounded length is avoided: more than three figures exceed 255 unless zeros lead
-        out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split("."))]
+        out["ip"] = [
+            m.span() for m in IP.finditer(text)
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split("."))
+        ]
         for m in CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(d) <= 19 and luhn(d):
@@ -103,7 +106,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def failed_spans(text: str) -> list[tuple[int, int]]:
     """Matches of the base patterns that only the check of their figures dropped:
     the base rules have the last word on their own notations."""
-    out = [m.span() for m in IP.finditer(text) if all(len(x) <= 3 for x in m[0].split(".")) and any(int(x) > 255 for x in m[0].split("."))]
+    out = [
+        m.span() for m in IP.finditer(text)
+        if all(len(x) <= 3 for x in m[0].split(".")) and any(int(x) > 255 for x in m[0].split("."))
+    ]
     for m in CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(d) <= 19 and not luhn(d):
@@ -152,7 +158,9 @@ class Tagger:
         n = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
         self.wx, self.wh = n(2, CLASSES, 4 * HIDDEN), n(2, HIDDEN, 4 * HIDDEN)
         self.wx[:, :, HIDDEN : 2 * HIDDEN] += 1  # a character's row has the bias in it; forget gates begin open
-        self.out, self.ob, self.trans = n(2 * HIDDEN, TAGS), np.zeros(TAGS, np.float32), np.zeros((TAGS, TAGS), np.float32)
+        self.out, self.ob, self.trans = n(2 * HIDDEN, TAGS), np.zeros(TAGS, np.float32), np.zeros(
+            (TAGS, TAGS), np.float32
+        )
 
     def _run(self, x: np.ndarray, keep: bool):
         """Hidden states (2, time, windows, HIDDEN), each direction in its own time,
@@ -223,7 +231,9 @@ class Tagger:
         dz, dtrans = dz / batch, dtrans / batch
         dh = dz @ self.out.T
         dwx, dwh = self._back(np.stack([dh[:, :, :HIDDEN], dh[::-1, :, HIDDEN:]]), kept)
-        return dict(zip(self.NAMES, (dwx, dwh, np.tensordot(h, dz, ([0, 1], [0, 1])), dz.sum((0, 1)), dtrans), strict=True))
+        return dict(
+            zip(self.NAMES, (dwx, dwh, np.tensordot(h, dz, ([0, 1], [0, 1])), dz.sum((0, 1)), dtrans), strict=True)
+        )
 
     def train(self, draw: Callable[[], tuple[np.ndarray, np.ndarray]], steps: int = 1_000, rate: float = 0.03) -> None:
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
@@ -232,7 +242,14 @@ class Tagger:
             for k, g in self.grads(*draw()).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                setattr(self, k, (getattr(self, k) - rate * (1 - 0.95 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32))
+                setattr(
+                    self, k,
+                    (
+                        getattr(self, k) - rate * (1 - 0.95 * t / steps) * (m[k] / (1 - 0.9**t)) / (
+                            np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6
+                        )
+                    ).astype(np.float32)
+                )
 
     def decode(self, x: np.ndarray, chunk: int = 1024) -> np.ndarray:
         """Best tag paths (Viterbi) of the windows."""
@@ -268,16 +285,27 @@ class Writer:
         return "".join(chr(97 + c) for c in self.rng.integers(0, 26, int(self.rng.integers(least, most + 1))))
 
     def email(self, base: bool) -> str:
-        name = self.word() + self.pick("", "", "." + self.word(), "_" + self.word(), "." + self.digits(2), self.digits(2))
-        host = [self.word() + self.pick("", "", self.digits(1)), *([self.word()] if self.rng.random() < 0.4 else []), self.pick("com", "org", "net", "de", "info", self.word(2, 4))]
+        name = self.word() + self.pick(
+            "", "", "." + self.word(), "_" + self.word(), "." + self.digits(2), self.digits(2)
+        )
+        host = [
+            self.word() + self.pick("", "", self.digits(1)), *([self.word()] if self.rng.random() < 0.4 else []),
+            self.pick("com", "org", "net", "de", "info", self.word(2, 4))
+        ]
         if base:
             return name + "@" + ".".join(host)
-        at, dot = self.pick((" @ ", "."), ("@ ", "."), (" @", "."), (" @ ", " . "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), ("(at)", "."), (" [at] ", "."), (" {at} ", " {dot} "))
+        at, dot = self.pick(
+            (" @ ", "."), ("@ ", "."), (" @", "."), (" @ ", " . "), (" (at) ", " (dot) "), ("(at)", "(dot)"),
+            (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), ("(at)", "."), (" [at] ", "."),
+            (" {at} ", " {dot} ")
+        )
         return name + at + dot.join(host)
 
     def ip(self, base: bool) -> str:
         parts = [str(x) for x in self.rng.integers(0, 256, 4)]
-        return (self.pick(".") if base else self.pick(" . ", "[.]", "(.)", " [.] ", "{.}", " [dot] ", "(dot)")).join(parts)
+        return (
+            self.pick(".") if base else self.pick(" . ", "[.]", "(.)", " [.] ", "{.}", " [dot] ", "(dot)")
+        ).join(parts)
 
     def card(self, base: bool) -> str:
         """Sixteen to nineteen digits that pass the check."""
@@ -290,8 +318,14 @@ class Writer:
         a, b, c = self.digits(3), self.digits(3), self.digits(4)
         cc = self.pick("1", "44", "49", "33", "34", "351")
         if base:
-            return "+" + cc + self.pick(f" ({a}) {b}-{c}", f" {a} {b} {c}", f"-{a}-{b}-{c}", f"{a}{b}{c}", f".{a}.{b}.{c}", f" {a} {b}{c}")
-        return self.pick(f"({a}) {b}-{c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"00{cc} {a} {b} {c}", f"00{cc}-{a}-{b}-{c}", f"+{cc}/{a}/{b}/{c}", f"({a}) {b}/{c}", f"+ {cc} ({a}) {b}-{c}", f"+{cc}  {a}  {b}  {c}")
+            return "+" + cc + self.pick(
+                f" ({a}) {b}-{c}", f" {a} {b} {c}", f"-{a}-{b}-{c}", f"{a}{b}{c}", f".{a}.{b}.{c}", f" {a} {b}{c}"
+            )
+        return self.pick(
+            f"({a}) {b}-{c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1 ({a}) {b}-{c}",
+            f"1-{a}-{b}-{c}", f"00{cc} {a} {b} {c}", f"00{cc}-{a}-{b}-{c}", f"+{cc}/{a}/{b}/{c}", f"({a}) {b}/{c}",
+            f"+ {cc} ({a}) {b}-{c}", f"+{cc}  {a}  {b}  {c}"
+        )
 
     def miss(self) -> str:
         d, n, w = self.digits, lambda lo, hi: str(int(self.rng.integers(lo, hi))), self.word
@@ -299,11 +333,21 @@ class Writer:
         wrong = number + next(str(k) for k in range(10) if not luhn(number + str(k)))
         hexes = lambda k: "".join("0123456789abcdef"[x] for x in self.rng.integers(0, 16, k))
         return self.pick(
-            n(0, 99), n(0, 10_000), d(int(self.rng.integers(4, 16))), d(int(self.rng.integers(20, 26))), wrong, wrong, " ".join(wrong[i : i + 4] for i in range(0, len(wrong), 4)),
-            f"{n(1900, 2100)}-{d(2)}-{d(2)}", f"{n(1, 32)}/{n(1, 13)}/{n(1900, 2100)}", f"{n(1, 32)}.{n(1, 13)}.{n(1900, 2100)}", f"{d(2)}:{d(2)}:{d(2)}", f"{n(1900, 2100)}-{d(2)}-{d(2)}T{d(2)}:{d(2)}:{d(2)}.{d(3)}Z",
-            f"${n(1, 999)},{d(3)}.{d(2)}", f"{n(0, 100)}.{d(2)}%", f"{n(1, 20)}.{n(0, 20)}.{n(0, 20)}", f"v{n(1, 20)}.{n(0, 20)}", hexes(40), hexes(32), f'"{hexes(40)}"', f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
-            f"{w(2, 3).upper()}-{d(4)}-{w(2, 2).upper()}", f"{n(300, 999)}.{n(256, 999)}.{n(0, 999)}.{n(300, 999)}", f"{n(1, 9)}, {n(1, 9)}, {n(1, 99)}, {n(1, 99)}", f"{n(1, 99)} {n(1, 99)} {n(1, 99)} {n(1, 99)}", f"@{w()}", f"{w()} @ {n(1, 99)} {w()}", f"{n(1, 9)} @ {n(1, 99)}",
-            f"{n(1900, 2000)}-{n(2000, 2100)}", f"{n(1, 99)} of {n(100, 999)}", f"{d(2)}.{d(4)}, {d(1)}.{d(4)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(3)}-{d(4)}", f"§{n(1, 20)}.{n(1, 20)}.{n(1, 20)}", f"{w()} ({w(2, 3)}) {w()}", f"{w()} [{w(2, 3)}] {n(1, 99)}", f"({n(1, 99)})", f"{w()}{d(2)}", f"{w()}.{d(2)}", f"+{n(1, 99)}", f"+{n(1, 99)}.{d(1)}%",
+            n(0, 99), n(0, 10_000), d(int(self.rng.integers(4, 16))), d(int(self.rng.integers(20, 26))), wrong, wrong,
+            " ".join(wrong[i : i + 4] for i in range(0, len(wrong), 4)),
+            f"{n(1900, 2100)}-{d(2)}-{d(2)}", f"{n(1, 32)}/{n(1, 13)}/{n(1900, 2100)}",
+            f"{n(1, 32)}.{n(1, 13)}.{n(1900, 2100)}", f"{d(2)}:{d(2)}:{d(2)}",
+            f"{n(1900, 2100)}-{d(2)}-{d(2)}T{d(2)}:{d(2)}:{d(2)}.{d(3)}Z",
+            f"${n(1, 999)},{d(3)}.{d(2)}", f"{n(0, 100)}.{d(2)}%", f"{n(1, 20)}.{n(0, 20)}.{n(0, 20)}",
+            f"v{n(1, 20)}.{n(0, 20)}", hexes(40), hexes(32), f'"{hexes(40)}"',
+            f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
+            f"{w(2, 3).upper()}-{d(4)}-{w(2, 2).upper()}", f"{n(300, 999)}.{n(256, 999)}.{n(0, 999)}.{n(300, 999)}",
+            f"{n(1, 9)}, {n(1, 9)}, {n(1, 99)}, {n(1, 99)}", f"{n(1, 99)} {n(1, 99)} {n(1, 99)} {n(1, 99)}", f"@{w()}",
+            f"{w()} @ {n(1, 99)} {w()}", f"{n(1, 9)} @ {n(1, 99)}",
+            f"{n(1900, 2000)}-{n(2000, 2100)}", f"{n(1, 99)} of {n(100, 999)}", f"{d(2)}.{d(4)}, {d(1)}.{d(4)}",
+            f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(3)}-{d(4)}", f"§{n(1, 20)}.{n(1, 20)}.{n(1, 20)}",
+            f"{w()} ({w(2, 3)}) {w()}", f"{w()} [{w(2, 3)}] {n(1, 99)}", f"({n(1, 99)})", f"{w()}{d(2)}",
+            f"{w()}.{d(2)}", f"+{n(1, 99)}", f"+{n(1, 99)}.{d(1)}%",
         )
 
     def any(self) -> tuple[str, int | None, bool]:
@@ -320,7 +364,9 @@ class Writer:
         at = int(self.rng.integers(-30, 40))
         for _ in range(int(self.rng.integers(1, 4))):
             what, k, _ = self.any()
-            before, after = self.pick(" ", " ", " ", "\n", " (", ": ", ' "', ", ", "|"), self.pick(" ", " ", " ", "\n", ")", ". ", ", ", '"', "### ", "!! ", " | ", "? ")
+            before, after = self.pick(" ", " ", " ", "\n", " (", ": ", ' "', ", ", "|"), self.pick(
+                " ", " ", " ", "\n", ")", ". ", ", ", '"', "### ", "!! ", " | ", "? "
+            )
             lo, text = at + len(before), before + what + after
             if lo >= WINDOW - 1:
                 break
@@ -356,7 +402,10 @@ def drawn(text: str, windows_each: int) -> list[tuple[int, bytes, bytes]]:
     return [(h, x[i].tobytes(), y[i].tobytes()) for i, (h, _) in enumerate(take)]
 
 
-def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int = 6_000, written: int = 8_000, batch: int = 48, crop: int = 64) -> Tagger | None:
+def train(
+    docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int = 6_000, written: int = 8_000,
+    batch: int = 48, crop: int = 64
+) -> Tagger | None:
     """Learns from windows of about ``pool`` documents, chosen by hash, so neither the
     search nor what reaches the driver grows with the corpus. None without text."""
     share = int(min(1.0, pool / max(1, docs.count())) * 2**32)
@@ -364,9 +413,14 @@ def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [r for t in texts(b.column(0), 100) if t for r in drawn(t, windows_each)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["h", "x", "y"])
-
-    part = docs.where(order_hash(F.col("doc_id"), seed=9) < share).select("text").mapInArrow(draw, "h long, x binary, y binary")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))],
+                names=["h", "x", "y"]
+            )
+
+    part = docs.where(
+        order_hash(F.col("doc_id"), seed=9) < share
+    ).select("text").mapInArrow(draw, "h long, x binary, y binary")
     # rows of a fixed size; behind the last condition the limit is kept by an executor, not by the driver
     rows = part.orderBy("h", "x").limit(sample).where("h is not null").collect()
     if not rows:
@@ -377,7 +431,10 @@ def train(docs: DataFrame, sample: int = 6_000, windows_each: int = 6, pool: int
     signs = np.array([1, *(_CHARS[c] for c in "@()[]{}")])
     ground = np.where(np.isin(x, signs) & (y == 0), 2, x).astype(np.uint8)
     rng, writer = np.random.default_rng(8), Writer(4)
-    wx, wy = (np.stack(v) for v in zip(*(writer.write(ground[i], y[i]) for i in rng.integers(0, len(x), written)), strict=True))
+    wx, wy = (
+        np.stack(v)
+        for v in zip(*(writer.write(ground[i], y[i]) for i in rng.integers(0, len(x), written)), strict=True)
+    )
 
     def step() -> tuple[np.ndarray, np.ndarray]:
         # a text's own figures may be spans that no pattern says: as misses they count little
@@ -419,7 +476,9 @@ def _joined(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in sorted(spans[k]))
 
 
-def added(text: str, base: dict[str, list[tuple[int, int]]], decoded: list[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+def added(
+    text: str, base: dict[str, list[tuple[int, int]]], decoded: list[tuple[str, int, int]]
+) -> dict[str, list[tuple[int, int]]]:
     """Base spans and the decoded ones that meet neither these nor failed ones."""
     out = {k: list(v) for k, v in base.items()}
     taken = sorted([*(x for v in base.values() for x in v), *(failed_spans(text) if decoded else ())])
@@ -458,7 +517,10 @@ def find(docs: DataFrame, *, sample: int = 6_000, net: Tagger | None = None) ->
                     decoded = reconcile(len(text), at, paths[k : k + len(x)]) if paths is not None else []
                     k += len(x)
                     joined = _joined(base)
-                    rows[i] = (*(len(base[kind]) for kind in KINDS), hashlib.sha256(joined.encode()).hexdigest(), _joined(added(text, base, decoded)))
+                    rows[i] = (
+                        *(len(base[kind]) for kind in KINDS), hashlib.sha256(joined.encode()).hexdigest(),
+                        _joined(added(text, base, decoded))
+                    )
                 held.clear()
 
             for i, t in enumerate(texts(b.column(1), 100)):
@@ -474,6 +536,9 @@ def find(docs: DataFrame, *, sample: int = 6_000, net: Tagger | None = None) ->
                     size = 0
             flush()
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64() if j < 4 else pa.string()) for j, c in enumerate(cols))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, pa.int64() if j < 4 else pa.string()) for j, c in enumerate(cols))],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, COLUMNS)

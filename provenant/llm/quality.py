@@ -70,7 +70,9 @@ def _slices(text: str | None, rows: _Rows, size: int = 1 << 18) -> Iterator[np.n
         at = end
 
 
-def cooccurrences(many: Iterable[str | None], rows: _Rows, places: np.ndarray, signs: np.ndarray, size: int = 1 << 18) -> np.ndarray:
+def cooccurrences(
+    many: Iterable[str | None], rows: _Rows, places: np.ndarray, signs: np.ndarray, size: int = 1 << 18
+) -> np.ndarray:
     """Sums of the index vectors of the neighbours of each row's words."""
     total = np.zeros(ROWS * DIMS)
     for text in many:
@@ -100,7 +102,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         all_ = (t for b in batches for t in texts(b.column(0), 100))
         t = cooccurrences(all_, _Rows(), *_index_vectors()).reshape(ROWS, DIMS)
         own = np.flatnonzero(t.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(t[own, i].astype(np.int64)) for i in range(DIMS))], names=["row", *cols])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.int32()), *(pa.array(t[own, i].astype(np.int64)) for i in range(DIMS))],
+            names=["row", *cols]
+        )
 
     part = docs.select("text").mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in cols))
     got = part.groupBy("row").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # at most ROWS rows
@@ -148,7 +153,10 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int = 32, epoc
     if not len(tx):
         tx, ty, tw = x, y, weight
     mean, scale = tx.mean(0), tx.std(0) + 1e-6
-    p = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(())]
+    p = [
+        rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), np.zeros(hidden),
+        rng.normal(0, hidden**-0.5, hidden), np.zeros(())
+    ]
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     tx = (tx - mean) / scale
     for epoch in range(epochs):
@@ -162,7 +170,9 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int = 32, epoc
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
-                p[i] = p[i] - 0.003 * (1 - epoch / epochs / 1.2) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+                p[i] = p[i] - 0.003 * (1 - epoch / epochs / 1.2) * (m[i] / (1 - 0.9**t)) / (
+                    np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8
+                )
     net = Network([mean, scale, *p, np.float64(1.0)])
     if held.any():
         z = net.logits(x[held])
@@ -175,11 +185,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     """Word vectors of all documents, and the network learned from the labels of
     rows whose id's checksum is not divisible by 5."""
     vectors = word_vectors(docs)
-    own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", "quality")
+    own = labels.where(
+        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)
+    ).select("doc_id", "quality")
     counts = {r[0]: r[1] for r in own.groupBy("quality").count().collect()}
     if not counts:
         return vectors, None
-    few = F.broadcast(labelled_sample(own, "quality", counts, per_class, 2 * per_class, F.col("doc_id"), F.col("quality")))
+    few = F.broadcast(
+        labelled_sample(own, "quality", counts, per_class, 2 * per_class, F.col("doc_id"), F.col("quality"))
+    )
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
             x = [pooled(t, sent.value, rows) for t in texts(b.column(1), 100)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], names=["quality", "x"])
 
-    got = docs.select("doc_id", "text").join(few, "doc_id").select("quality", "text").mapInArrow(run, "quality int, x array<float>").toPandas()
+    got = docs.select("doc_id", "text").join(few, "doc_id").select("quality", "text").mapInArrow(
+        run, "quality int, x array<float>"
+    ).toPandas()
     if not len(got):
         return vectors, None
     x, y = np.stack(got["x"].to_list()), got["quality"].to_numpy()
@@ -220,7 +236,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], to: str = "
     return map_rows(docs, run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     s = score(docs.select("doc_id", "text"), train(docs, labels, per_class))
-    return s.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return s.select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted")
+    )

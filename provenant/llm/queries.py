@@ -28,7 +28,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(documents(spark, sf_dir), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join(
+        documents(spark, sf_dir), words=3, num=90, den=100
+    ).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduplicate_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_lines", "n_dropped",
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256")
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

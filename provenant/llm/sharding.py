@@ -38,7 +38,9 @@ def interleave(
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("")).alias("_s"),
-        F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), "UTF-8")).alias("_k"),
+        F.md5(
+            F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), "UTF-8")
+        ).alias("_k"),
     )
     n = docs.count()
     buckets = max(1, math.ceil(n / bucket_rows(n, rows_per_bucket)))

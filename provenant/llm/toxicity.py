@@ -106,7 +106,9 @@ Model = tuple[np.ndarray, np.ndarray, float]
 NOTHING: Model = (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
 
 
-def fit(rows: Callable[[int], Iterable[tuple[np.ndarray, np.ndarray, int]]], weight: dict[int, float], epochs: int = EPOCHS) -> Model:
+def fit(
+    rows: Callable[[int], Iterable[tuple[np.ndarray, np.ndarray, int]]], weight: dict[int, float], epochs: int = EPOCHS
+) -> Model:
     """(places, weights, bias) of the model learned from (places, values, label) rows,
     which ``rows`` gives anew for each epoch."""
     model = FTRL()
@@ -119,7 +121,9 @@ def fit(rows: Callable[[int], Iterable[tuple[np.ndarray, np.ndarray, int]]], wei
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns from rows whose id's checksum is not divisible by 5."""
-    own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", "toxic")
+    own = labels.where(
+        F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)
+    ).select("doc_id", "toxic")
     counts = {r[0]: r[1] for r in own.groupBy("toxic").count().collect()}
     if not counts:
         return NOTHING
@@ -132,9 +136,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             for y, t in zip(b.column(0).to_pylist(), texts(b.column(1), 50), strict=True):
                 x, v = features(places(t, hashes))
                 x, v = x.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([xxhash.xxh64_intdigest(x + v) >> 1], pa.int64()), pa.array([x], pa.binary()), pa.array([v], pa.binary())], names=["toxic", "h", "x", "v"])
-
-    part = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, h long, x binary, v binary")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([y], pa.int32()), pa.array([xxhash.xxh64_intdigest(x + v) >> 1], pa.int64()),
+                        pa.array([x], pa.binary()), pa.array([v], pa.binary())
+                    ],
+                    names=["toxic", "h", "x", "v"]
+                )
+
+    part = docs.select("doc_id", "text").join(few, "doc_id").select("toxic", "text").mapInArrow(
+        run, "toxic int, h long, x binary, v binary"
+    )
     with Scratch(docs.sparkSession) as tmp:
         part = tmp.table(part, "toxicity-sample")
         seen = {r[0]: r[1] for r in part.groupBy("toxic").count().collect()}
@@ -177,13 +189,20 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     return map_rows(docs, run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     s = score(docs.select("doc_id", "text"), train(docs, labels, per_class))
-    return s.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return s.select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def reject_toxic(
+    docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD
+) -> DataFrame:
     """``docs`` without those that are scored toxic."""
     name = free_name(docs)
     return score(docs, train(docs, labels, per_class), name).where(F.col(name) < threshold).drop(name)

@@ -13,11 +13,18 @@ from provenant.llm import langid, pii, quality, toxicity
 SF = "/root/testdata/sf0.01"
 needs = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 SCHEMA = "doc_id long, text string, lang string, score double"
-ODD = [(1, None, "en", 0.0), (2, "", "en", 0.0), (3, "1234 !!", "fr", 0.0), (None, "the word", "en", 0.0), (4, "x" * 60_000, None, 0.0), (4, "the word", "en", 0.0), (5, "é", "fr", 0.0)]
+ODD = [
+    (1, None, "en", 0.0), (2, "", "en", 0.0), (3, "1234 !!", "fr", 0.0), (None, "the word", "en", 0.0),
+    (4, "x" * 60_000, None, 0.0), (4, "the word", "en", 0.0), (5, "é", "fr", 0.0)
+]
 
 
 def tables(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), pd.read_parquet(f"{SF}/documents.parquet"), pd.read_parquet(f"{SF}/labels.parquet")
+    return spark.read.parquet(
+        f"{SF}/documents.parquet"
+    ), spark.read.parquet(f"{SF}/labels.parquet"), pd.read_parquet(
+        f"{SF}/documents.parquet"
+    ), pd.read_parquet(f"{SF}/labels.parquet")
 
 
 @needs
@@ -53,7 +60,9 @@ def test_classifiers(spark, op, label, cut):
 @pytest.mark.parametrize(("op", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_odd_rows(spark, op, label):
     docs = spark.createDataFrame(ODD, SCHEMA)
-    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate((1, 2, 3, 4, 5))] + [(None, 1), (6, None)], f"doc_id long, {label} int")
+    labels = spark.createDataFrame(
+        [(i, k % 2) for k, i in enumerate((1, 2, 3, 4, 5))] + [(None, 1), (6, None)], f"doc_id long, {label} int"
+    )
     got = op.classify(docs, labels).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert op.classify(docs, labels.limit(0)).count() == len(ODD)
@@ -71,8 +80,11 @@ def test_toxic_documents_go(spark):
 
 
 BASE = [
-    ("mail a.b+c@ex-ample.co.uk, x@y z@w.com.", {"email": [(5, 25), (31, 38)]}), ("ip 10.0.255.1 and 10.0.256.1 or 1.2.3", {"ip": [(3, 13)]}),
-    ("card 4111 1111 1111 1111 or 4111111111111112", {"card": [(5, 24)]}), ("call +1 (555) 010-9999 or +12 34", {"phone": [(5, 22)]}), ("1.2.3.4.5.6.7.8", {"ip": [(0, 7), (8, 15)]}), ("a@b@c.d", {"email": [(2, 7)]}),
+    ("mail a.b+c@ex-ample.co.uk, x@y z@w.com.", {"email": [(5, 25), (31, 38)]}),
+    ("ip 10.0.255.1 and 10.0.256.1 or 1.2.3", {"ip": [(3, 13)]}),
+    ("card 4111 1111 1111 1111 or 4111111111111112", {"card": [(5, 24)]}),
+    ("call +1 (555) 010-9999 or +12 34", {"phone": [(5, 22)]}), ("1.2.3.4.5.6.7.8", {"ip": [(0, 7), (8, 15)]}),
+    ("a@b@c.d", {"email": [(2, 7)]}),
     ("é +441234567890", {"phone": [(2, 15)]}), ("", {}),
 ]
 
@@ -93,7 +105,10 @@ def test_email_is_the_stated_pattern():
 
 
 def test_pii(spark):
-    rows = [(i, f"Plain words here {i} and more.\n" * (i % 4) + BASE[i % len(BASE)][0] + " tail " * (i % 30), "en", 0.0) for i in range(200)] + [(900, None, "en", 0.0), (901, "", "en", 0.0), (901, "7", "en", 0.0)]
+    rows = [
+        (i, f"Plain words here {i} and more.\n" * (i % 4) + BASE[i % len(BASE)][0] + " tail " * (i % 30), "en", 0.0)
+        for i in range(200)
+    ] + [(900, None, "en", 0.0), (901, "", "en", 0.0), (901, "7", "en", 0.0)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = pii.find(docs).collect()
     assert len(got) == len(rows)
@@ -148,7 +163,14 @@ def test_network_finds_what_patterns_cannot(spark):
     pdf = pd.read_parquet(f"{SF}/documents.parquet")
     plain = dict(zip(pdf.doc_id, pdf.text.fillna(""), strict=True))
     got = pii.find(spark.read.parquet(f"{SF}/documents.parquet"), net=net).collect()
-    assert sum(len(set(r["spans"].split(",")) - {f"{k}:{s}:{e}" for k, v in pii.base_spans(plain[r["doc_id"]]).items() for s, e in v} - {""}) for r in got) <= 2
+    assert sum(
+        len(
+            set(r["spans"].split(",")) - {
+                f"{k}:{s}:{e}" for k, v in pii.base_spans(plain[r["doc_id"]]).items() for s, e in v
+            } - {""}
+        )
+        for r in got
+    ) <= 2
 
 
 def test_windows_join():
@@ -181,7 +203,10 @@ def test_crf_gradient():
         return total / 3
 
     g = net.grads(x, y)
-    for k, at in (("trans", (1, 2)), ("out", (3, 4)), ("wx", (0, int(x[0, 3]), 5)), ("wx", (1, int(x[1, 2]), 70)), ("wh", (0, 2, 25)), ("wh", (1, 9, 20))):
+    for k, at in (
+        ("trans", (1, 2)), ("out", (3, 4)), ("wx", (0, int(x[0, 3]), 5)), ("wx", (1, int(x[1, 2]), 70)),
+        ("wh", (0, 2, 25)), ("wh", (1, 9, 20))
+    ):
         v, e = getattr(net, k), 1e-3
         v[at] += e
         up = loss()
@@ -209,7 +234,10 @@ def test_word_vectors_are_the_stated_sums(spark):
     assert np.allclose(got, want, atol=1e-5)
     long = " ".join(docs[:40])
     assert [x for part in quality._slices(long, rows, 20) for x in part] == [x for part in quality._slices(long, rows) for x in part]
-    assert np.allclose(quality.pooled(long, got, rows)[: quality.DIMS], got[[rows[x] for x in quality.tokens_of(long)]].mean(0), atol=1e-5)
+    assert np.allclose(
+        quality.pooled(long, got, rows)[: quality.DIMS], got[[rows[x] for x in quality.tokens_of(long)]].mean(0),
+        atol=1e-5
+    )
 
 
 def test_word_vectors_in_slices(spark, monkeypatch):
@@ -235,7 +263,10 @@ def test_convolution_is_the_stated_one():
     for i, w in enumerate(langid.WIDTHS):
         for f in range(langid.FILTERS):
             col = net.conv[: w * langid.EMBED, i * langid.FILTERS + f].reshape(w, langid.EMBED)
-            top.append(max((e[p : p + w] * col).sum() for p in range(langid.WINDOW - langid._SPAN + 1)) + net.cb[i * langid.FILTERS + f])
+            top.append(
+                max((e[p : p + w] * col).sum() for p in range(langid.WINDOW - langid._SPAN + 1))
+                + net.cb[i * langid.FILTERS + f]
+            )
     z = np.maximum(top, 0) @ net.out + net.ob
     assert np.allclose(net.proba(x)[0], np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
 
@@ -282,7 +313,10 @@ def test_features_are_the_stated_ones():
 
 @pytest.mark.parametrize("op", [quality, toxicity])
 def test_scores_keep_other_columns(spark, op):
-    docs = spark.createDataFrame([(1, "some words", 7, "a"), (2, None, 8, "b"), (3, "many words " * 100_000, 9, "c")], "doc_id long, text string, score int, `a.b` string")
+    docs = spark.createDataFrame(
+        [(1, "some words", 7, "a"), (2, None, 8, "b"), (3, "many words " * 100_000, 9, "c")],
+        "doc_id long, text string, score int, `a.b` string"
+    )
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     got = op.score(docs, op.train(docs, labels), "mine")
     assert got.columns == [*docs.columns, "mine"] and [tuple(r)[2:4] for r in got.orderBy("doc_id").collect()] == [(7, "a"), (8, "b"), (9, "c")]

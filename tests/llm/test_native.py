@@ -19,7 +19,13 @@ def docs(spark, rows, schema="doc_id long, text string, source string, size stri
 def corpus(n=400, seed=1):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
-    rows = [(i * 3, " ".join(rng.choices(words, k=rng.randint(1, 60))), "hot" if rng.random() < 0.4 else f"s{rng.randint(0, 6)}", "clash") for i in range(n)]
+    rows = [
+        (
+            i * 3, " ".join(rng.choices(words, k=rng.randint(1, 60))),
+            "hot" if rng.random() < 0.4 else f"s{rng.randint(0, 6)}", "clash"
+        )
+        for i in range(n)
+    ]
     return rows + [(5000, None, None, "x"), (5001, "", "s1", "x"), (5002, "same text", "s1", "x"), (5003, "same text", "s1", "x")]
 
 
@@ -32,7 +38,11 @@ def test_sharding_law(spark):
     for s in range(7):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sizes[s]))
     text = {r[0]: r[1] or "" for r in rows}
-    assert all(r["size"] == len(text[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) and r["law"] == "rows" for r in out)
+    assert all(
+        r["size"] == len(text[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode())
+        and r["law"] == "rows"
+        for r in out
+    )
     source = {r[0]: r[2] for r in rows}
     for k, n in Counter(source.values()).items():
         per = Counter(r["shard"] for r in out if source[r["doc_id"]] == k)
@@ -42,7 +52,10 @@ def test_sharding_law(spark):
 def test_sharding_is_the_stated_order(spark):
     """The same order by plain Python."""
     rows = corpus(120)
-    out = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleave(docs(spark, rows), 5, rows_per_bucket=10).collect()}
+    out = {
+        r["doc_id"]: (r["shard"], r["slot"])
+        for r in sharding.interleave(docs(spark, rows), 5, rows_per_bucket=10).collect()
+    }
     u32 = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
     strata = {}
     for r in rows:
@@ -58,8 +71,13 @@ def test_sharding_is_the_stated_order(spark):
 
 
 def test_sharding_odd_rows(spark):
-    rows = [(None, None, None, "x"), (None, "a", "s", "x"), (1, "x" * 100_000, "s", "x"), (1, "x" * 100_000, "s", "x"), (2, "", None, "x")]
-    out = sharding.interleave(docs(spark, rows).withColumn("shard", F.lit("clash")).withColumn("_k", F.lit(0)), 3).collect()
+    rows = [
+        (None, None, None, "x"), (None, "a", "s", "x"), (1, "x" * 100_000, "s", "x"), (1, "x" * 100_000, "s", "x"),
+        (2, "", None, "x")
+    ]
+    out = sharding.interleave(
+        docs(spark, rows).withColumn("shard", F.lit("clash")).withColumn("_k", F.lit(0)), 3
+    ).collect()
     assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((r[0], 16 + len(r[1] or "")) for r in rows)
     assert Counter(r["shard"] for r in out) == Counter({0: 2, 1: 2, 2: 1})
 
@@ -87,7 +105,12 @@ def test_edited_pairs(spark):
 
 def test_edited_pairs_over_many_buckets(spark):
     rows = [(i * i, f"text number {i} of many", "s", "x") for i in range(300)]
-    few, many = (fingerprint.edited_pairs(docs(spark, rows), rows_per_bucket=k).select("doc_id", "edited").orderBy("doc_id").collect() for k in (10_000, 7))
+    few, many = (
+        fingerprint.edited_pairs(
+            docs(spark, rows), rows_per_bucket=k
+        ).select("doc_id", "edited").orderBy("doc_id").collect()
+        for k in (10_000, 7)
+    )
     assert few == many
 
 
@@ -108,14 +131,18 @@ def chained(values, seed=42):
 
 def by_hand(text, words=5, bits=3):
     """(sketch, hash of all words) as signed numbers."""
-    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in (text or "").strip(" ").lower().split()] or [xxhash.xxh64_intdigest(b"", 42)]
+    w = [
+        xxhash.xxh64_intdigest(x.encode(), 42) for x in (text or "").strip(" ").lower().split()
+    ] or [xxhash.xxh64_intdigest(b"", 42)]
     hashes = {chained(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     return sorted(h for h in map(signed, hashes) if h < -(2**63) + 2 ** (64 - bits)), signed(chained(w))
 
 
 def test_sketch_is_the_stated_one(spark):
-    rows = [(i, t, "s", "x") for i, (_, t, *_) in enumerate(corpus(200))] + [(900, "A b\tC  d\ne f", "s", "x"), (901, "one", "s", "x"), (902, "word " * 30_000, "s", "x")]
+    rows = [
+        (i, t, "s", "x") for i, (_, t, *_) in enumerate(corpus(200))
+    ] + [(900, "A b\tC  d\ne f", "s", "x"), (901, "one", "s", "x"), (902, "word " * 30_000, "s", "x")]
     d = docs(spark, rows).withColumn("_pv_w", F.lit("taken")).withColumn("_pv_h", F.lit(1))
     out = fingerprint.with_sketch(d, "text", "k").collect()
     assert out[0].asDict().keys() == {*d.columns, "k", "k_whole"} and all(r["_pv_w"] == "taken" for r in out)
@@ -142,7 +169,10 @@ def test_containment_of_short_texts(spark):
     long = [f"w{rng.randint(0, 10**6)}" for _ in range(407)]
     rows = [(i, " ".join(long[i : i + 7]), "s", "") for i in range(300)]
     big = fingerprint.with_sketch(docs(spark, [(1000, " ".join(long), "s", "")]), "text", "big").select("big")
-    both = fingerprint.fingerprints(docs(spark, rows)).crossJoin(big).select(fingerprint.containment("sketch", "big").alias("c"), (fingerprint.merged("sketch", "big") == F.col("big")).alias("m")).collect()
+    both = fingerprint.fingerprints(docs(spark, rows)).crossJoin(big).select(
+        fingerprint.containment("sketch", "big").alias("c"),
+        (fingerprint.merged("sketch", "big") == F.col("big")).alias("m")
+    ).collect()
     assert {r["c"] for r in both} == {None, 1.0} and all(r["m"] for r in both)
     assert sum(r["c"] == 1.0 for r in both) > 60
 
@@ -150,8 +180,16 @@ def test_containment_of_short_texts(spark):
 def test_sketch_estimates(spark):
     rng = random.Random(5)
     a = [f"t{rng.randint(0, 10**6)}" for _ in range(6000)]
-    rows = [(1, " ".join(a), "s", ""), (2, " ".join(a[:3000]), "s", ""), (3, " ".join(f"z{i}" for i in range(3000)), "s", "")]
+    rows = [
+        (1, " ".join(a), "s", ""), (2, " ".join(a[:3000]), "s", ""),
+        (3, " ".join(f"z{i}" for i in range(3000)), "s", "")
+    ]
     f = fingerprint.fingerprints(docs(spark, rows)).alias("f")
     p = f.join(f.withColumnRenamed("doc_id", "other").withColumnRenamed("sketch", "o"), F.lit(True))
-    got = {(r[0], r[1]): r for r in p.select("doc_id", "other", fingerprint.jaccard("sketch", "o"), fingerprint.containment("sketch", "o")).collect()}
+    got = {
+        (r[0], r[1]): r
+        for r in p.select(
+            "doc_id", "other", fingerprint.jaccard("sketch", "o"), fingerprint.containment("sketch", "o")
+        ).collect()
+    }
     assert abs(got[1, 2][2] - 0.5) < 0.1 and got[2, 1][3] > 0.95 and got[1, 3][2] < 0.02 and got[1, 1][2] == 1

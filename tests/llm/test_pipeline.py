@@ -22,20 +22,32 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         seen.append(docs.count())
     assert seen[0] >= seen[1] >= seen[3] >= seen[4] > 0 and seen[1] == seen[2]
-    kept = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "benchmark_decontamination")).select("doc_id").collect()}
+    kept = {
+        r["doc_id"] for r in spark.read.parquet(str(tmp_path / "benchmark_decontamination")).select("doc_id").collect()
+    }
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} == kept
 
 
 LABELS = [(i, i % 2, i % 3 == 0) for i in range(40)]
-ROWS = [(i, f"document number {i} has a few words of its own, as {i * i} and {i * 7} are\nand a second line") for i in range(40)] + [(41, None), (42, ""), (None, "no id at all"), (None, None), (7, "again the id of another"), (43, "long " * 50_000)]
+ROWS = [
+    (i, f"document number {i} has a few words of its own, as {i * i} and {i * 7} are\nand a second line")
+    for i in range(40)
+] + [(41, None), (42, ""), (None, "no id at all"), (None, None), (7, "again the id of another"), (43, "long " * 50_000)]
 
 
 def small(spark, sf, rows):
     """A folder of tables, documents with names that the stages use themselves."""
-    docs = spark.createDataFrame([(*r, "en", "s", 5, "x", 1, 0.5, "y", "z", 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, _keys string, n_lines int, score double, `_pv` string, item_id string, `a.b` int")
+    docs = spark.createDataFrame(
+        [(*r, "en", "s", 5, "x", 1, 0.5, "y", "z", 3) for r in rows],
+        "doc_id long, text string, lang string, source string, n_chars int, _keys string, n_lines int, score double, `_pv` string, item_id string, `a.b` int"
+    )
     docs.write.parquet(f"{sf}/documents.parquet")
-    spark.createDataFrame([(i, q, int(t)) for i, q, t in LABELS], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
-    spark.createDataFrame([(1, "a benchmark item of ten words or so that leaks"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame(
+        [(i, q, int(t)) for i, q, t in LABELS], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(
+        [(1, "a benchmark item of ten words or so that leaks"), (2, None)], "item_id long, text string"
+    ).write.parquet(f"{sf}/benchmark.parquet")
 
 
 @pytest.mark.parametrize("rows", [[], ROWS])
@@ -70,7 +82,9 @@ def left(spark) -> list[str]:
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["op1_sharding", "op5_ngram_join", "op6_packing", "op8_toxicity", "op10_line_dedup", "pipeline"])
+@pytest.mark.parametrize(
+    "name", ["op1_sharding", "op5_ngram_join", "op6_packing", "op8_toxicity", "op10_line_dedup", "pipeline"]
+)
 def test_no_table_is_left(spark, tmp_path, name):
     """What a query wrote on its way is gone once its result is written and let go."""
     out = entry.queries()[name](spark, SF)

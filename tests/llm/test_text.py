@@ -30,7 +30,10 @@ def by_hand(rows, min_docs=5, min_chars=40):
     out = {}
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (len(key(x)) >= min_chars and len(held[key(x)]) >= min_docs and i != max(held[key(x)]))]
+        kept = [
+            x for x in lines
+            if not (len(key(x)) >= min_chars and len(held[key(x)]) >= min_docs and i != max(held[key(x)]))
+        ]
         out[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
     return out
 
@@ -41,7 +44,10 @@ def line_rows(n=60, seed=2):
     rows = []
     for i in range(n):
         lines = [f"own {i} {j}" for j in range(rng.randint(0, 3))] + rng.sample(common, rng.randint(0, 3))
-        lines = [x.upper() if rng.random() < 0.1 and "é" not in x else f" \t{x}\r" if rng.random() < 0.3 else x for x in lines]
+        lines = [
+            x.upper() if rng.random() < 0.1 and "é" not in x else f" \t{x}\r" if rng.random() < 0.3 else x
+            for x in lines
+        ]
         lines += lines[-1:] if rng.random() < 0.3 else []
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines)))
@@ -50,7 +56,10 @@ def line_rows(n=60, seed=2):
 
 def test_line_dedup(spark):
     rows = line_rows()
-    got = {r["doc_id"]: (r["text"] or "", r["n_lines"], r["n_dropped"]) for r in linededup.deduplicate_lines(docs(spark, rows)).collect()}
+    got = {
+        r["doc_id"]: (r["text"] or "", r["n_lines"], r["n_dropped"])
+        for r in linededup.deduplicate_lines(docs(spark, rows)).collect()
+    }
     assert got == by_hand(rows)
     assert linededup.deduplicate_lines(docs(spark, [])).count() == 0
 
@@ -64,7 +73,9 @@ def state(ix):
     for r in ix.filters.collect():
         stored[r["shard"]].append(linededup.CuckooFilter(data=bytes(r["filter"])))
     held = {s: linededup.ShardFilter(p).held() for s, p in stored.items()}
-    return sorted(map(tuple, ix.refs.collect()), key=repr), sorted(map(tuple, ix.held.collect()), key=repr), {s: h for s, h in held.items() if h}
+    return sorted(
+        map(tuple, ix.refs.collect()), key=repr
+    ), sorted(map(tuple, ix.held.collect()), key=repr), {s: h for s, h in held.items() if h}
 
 
 @pytest.mark.parametrize("with_text", [True, False])
@@ -83,7 +94,10 @@ def test_line_index_is_reversible(spark, with_text):
 
 
 def test_line_index_touches_its_shards_only(spark):
-    rows = [(i, "\n".join(f"line number {k % 400:>4} of a long list of long lines" for k in range(i, i + 20))) for i in range(300)]
+    rows = [
+        (i, "\n".join(f"line number {k % 400:>4} of a long list of long lines" for k in range(i, i + 20)))
+        for i in range(300)
+    ]
     first = linededup.LineIndex.build(docs(spark, rows), shard_rows=200)
     grown = first.insert(docs(spark, [(1000, rows[7][1].split("\n")[0])]))
     assert first.bits >= 4
@@ -91,13 +105,18 @@ def test_line_index_touches_its_shards_only(spark):
         assert len(table.parts) == 2 and len(table.parts[0][1]) == 1  # one shard replaced
         shard = table._shard(grown.bits)
         assert {r[0] for r in table.parts[1][0].select(shard).distinct().collect()} <= table.parts[0][1]
-    assert texts_of(grown.apply(docs(spark, [*rows, (1000, rows[7][1].split("\n")[0])]))) == by_hand([*rows, (1000, rows[7][1].split("\n")[0])])
+    assert texts_of(
+        grown.apply(docs(spark, [*rows, (1000, rows[7][1].split("\n")[0])]))
+    ) == by_hand([*rows, (1000, rows[7][1].split("\n")[0])])
     first.close()
 
 
 def test_line_index_grows(spark):
     """Shards split, tables are compacted, filters get further parts."""
-    rows = [(i, "\n".join(f"line {k:>6} is one of very many long lines here" for k in range(i % 40 * 10, i % 40 * 10 + 12))) for i in range(400)]
+    rows = [
+        (i, "\n".join(f"line {k:>6} is one of very many long lines here" for k in range(i % 40 * 10, i % 40 * 10 + 12)))
+        for i in range(400)
+    ]
     ix = first = linededup.LineIndex.build(docs(spark, rows[:40]), shard_rows=400)
     for k in range(40, 400, 120):
         ix = ix.insert(docs(spark, rows[k : k + 120]))
@@ -108,8 +127,13 @@ def test_line_index_grows(spark):
 
 def test_line_dedup_hot_line_nulls_and_repeated_rows(spark):
     line = "a line that a third of all documents hold, word for word"
-    rows = [(i, line + f"\nand {i}") for i in range(3000)] + [(None, line), (None, line), (7, line + "\nand 7"), (8, None)]
-    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.deduplicate_lines(docs(spark, rows)).collect())
+    rows = [
+        (i, line + f"\nand {i}") for i in range(3000)
+    ] + [(None, line), (None, line), (7, line + "\nand 7"), (8, None)]
+    got = Counter(
+        (r["doc_id"], r["text"], r["n_lines"], r["n_dropped"])
+        for r in linededup.deduplicate_lines(docs(spark, rows)).collect()
+    )
     want = Counter((i, f"and {i}", 2, 1) for i in range(2999))
     want += Counter({(2999, rows[2999][1], 2, 0): 1, (None, "", 1, 1): 2, (7, "and 7", 2, 1): 1, (8, None, 1, 0): 1})
     assert got == want
@@ -146,16 +170,23 @@ def test_leaks(spark):
     item = [(k, " ".join(rng.choices(words, k=30))) for k in range(6)] + [(6, None), (7, ""), (8, "three short words")]
     toks = [x[1].split() if x[1] else [] for x in item]
     rows = [
-        (0, " ".join(rng.choices(words, k=400))), (1, "before " + item[0][1].upper() + " after"), (2, " ".join(toks[1][15:] + ["x"] * 5 + toks[1][:15])),
-        (3, " ".join(toks[2][:10])), (4, None), (5, ""), (6, "say three short words again"), (7, " ".join(toks[3] * 50)), (1, "nothing"), (None, item[4][1]),
+        (0, " ".join(rng.choices(words, k=400))), (1, "before " + item[0][1].upper() + " after"),
+        (2, " ".join(toks[1][15:] + ["x"] * 5 + toks[1][:15])),
+        (3, " ".join(toks[2][:10])), (4, None), (5, ""), (6, "say three short words again"),
+        (7, " ".join(toks[3] * 50)), (1, "nothing"), (None, item[4][1]),
     ]
     bench = spark.createDataFrame(item, "item_id long, text string")
     for block in (10, 2_000_000):
-        got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.leaks(docs(spark, rows), bench, block_tokens=block).collect()}
+        got = {
+            (r["doc_id"], r["item_id"]): r["coverage"]
+            for r in decontam.leaks(docs(spark, rows), bench, block_tokens=block).collect()
+        }
         assert got == {(1, 0): 1.0, (2, 1): 1.0, (6, 8): 1.0, (7, 3): 1.0, (None, 4): 1.0}
     kept = decontam.decontaminate(docs(spark, rows), bench, block_tokens=10)
     assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 4, 5]
-    assert decontam.leaks(docs(spark, []), bench).count() == 0 and decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
+    assert decontam.leaks(docs(spark, []), bench).count() == 0 and decontam.leaks(
+        docs(spark, rows), bench.limit(0)
+    ).count() == 0
 
 
 def greedy(a, b, width):
@@ -275,14 +306,24 @@ def near_rows(seed=7):
 @pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, words, num):
     rows = near_rows()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), words=words, num=num).collect()}
+    got = {
+        r["doc_id"]: (r["n_shingles"], r["component_id"])
+        for r in ngram_join.join(docs(spark, rows), words=words, num=num).collect()
+    }
     assert got == brute(rows, words, num, 100)
 
 
 def test_ngram_join_nulls_and_empty(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
-    got = ngram_join.join(docs(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "q r s t u v"), (8, "q r s t u v"), (9, "a b c d e f")])).collect()
-    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({(None, None): 1, (4, 4): 2, (8, 4): 1, (9, 4): 1})
+    got = ngram_join.join(
+        docs(
+            spark,
+            [(None, "a b c d e f"), (4, "a b c d e f"), (4, "q r s t u v"), (8, "q r s t u v"), (9, "a b c d e f")]
+        )
+    ).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter(
+        {(None, None): 1, (4, 4): 2, (8, 4): 1, (9, 4): 1}
+    )
 
 
 @pytest.mark.parametrize("num", [50, 60, 66, 100])
@@ -295,7 +336,10 @@ def test_ngram_join_at_other_thresholds(spark, num):
         keep = rng.randint(len(base) * max(num - 8, 1) // 100, len(base))
         rows += [base, base[:keep], base[len(base) - keep :], base[:keep] + rng.choices(words, k=rng.randint(0, 4))]
     rows = list(enumerate(" ".join(r) for r in rows))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), words=1, num=num).collect()}
+    got = {
+        r["doc_id"]: (r["n_shingles"], r["component_id"])
+        for r in ngram_join.join(docs(spark, rows), words=1, num=num).collect()
+    }
     assert got == brute(rows, 1, num, 100)
 
 
@@ -311,16 +355,24 @@ def test_ngram_blocks_and_salts(spark, monkeypatch):
     links, stars = ngram_join.links, ngram_join.stars
     monkeypatch.setattr(ngram_join, "links", lambda *a: links(*a, block=2))
     monkeypatch.setattr(ngram_join, "stars", lambda *a: stars(*a, per_salt=3, sample=1, heavy=50))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), words=3, num=90).collect()}
+    got = {
+        r["doc_id"]: (r["n_shingles"], r["component_id"])
+        for r in ngram_join.join(docs(spark, rows), words=3, num=90).collect()
+    }
     assert got == brute(rows, 3, 90, 100)
     monkeypatch.setattr(ngram_join, "links", lambda *a: links(*a, block=1_000, block_bytes=1_000))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), words=5, num=80).collect()}
+    got = {
+        r["doc_id"]: (r["n_shingles"], r["component_id"])
+        for r in ngram_join.join(docs(spark, rows), words=5, num=80).collect()
+    }
     assert got == brute(rows, 5, 80, 100)
 
 
 def test_sets_of_one_name_are_candidates(spark):
     """Where the short names of different sets clash, no link can be lost."""
-    classes = spark.createDataFrame([(c, c, s1, c, 9) for c, s1 in enumerate([5, 5, 6, 7, 8, 8, 8])], "cid long, rep long, s1 long, s2 long, n long")
+    classes = spark.createDataFrame(
+        [(c, c, s1, c, 9) for c, s1 in enumerate([5, 5, 6, 7, 8, 8, 8])], "cid long, rep long, s1 long, s2 long, n long"
+    )
     star = spark.createDataFrame([(6, 8)], "u long, v long")
     got = {r["cid"]: r["g"] for r in ngram_join.grouped(classes, star).collect()}
     assert got == {0: 5, 1: 5, 2: 6, 4: 6, 5: 6, 6: 6}
@@ -371,11 +423,15 @@ def test_components_with_hubs(spark):
 
 
 def test_spread_join(spark):
-    rows = spark.createDataFrame([(k, i) for k in range(40) for i in range(1 + 90 * (k == 3))] + [(None, 7)], "k long, i long")
+    rows = spark.createDataFrame(
+        [(k, i) for k in range(40) for i in range(1 + 90 * (k == 3))] + [(None, 7)], "k long, i long"
+    )
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     want = sorted(map(tuple, rows.join(sizes, "k").collect()))
     for parts in (1, 10, 1024):
-        assert sorted(map(tuple, spread_join(rows, sizes, "k", "n", 131, parts).select("k", "i", "n").collect())) == want
+        assert sorted(
+            map(tuple, spread_join(rows, sizes, "k", "n", 131, parts).select("k", "i", "n").collect())
+        ) == want
     assert not spread_join(rows.limit(0), sizes.limit(0), "k", "n", 0).count()
 
 
@@ -385,7 +441,14 @@ def test_packing_round_trip(spark):
 
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
     rng = random.Random(9)
-    texts = [" ".join(rng.choices(["the", "thinble", "Öre", "x1", "a\n", "\n\nb", "  two", "tab\t", "don't", "…"], k=rng.randint(0, 700))) for _ in range(60)] + [None, "", " ", "\n", "word " * 3000, "a  \n \n b"]
+    texts = [
+        " ".join(
+            rng.choices(
+                ["the", "thinble", "Öre", "x1", "a\n", "\n\nb", "  two", "tab\t", "don't", "…"], k=rng.randint(0, 700)
+            )
+        )
+        for _ in range(60)
+    ] + [None, "", " ", "\n", "word " * 3000, "a  \n \n b"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
     out = packing.pack(docs(spark, rows), rows_per_bucket=7).collect()
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
@@ -413,7 +476,9 @@ def test_packing_ids_of_the_vocabularys_own_tokens(spark):
 
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    rows = [(i, f"before {t} after  {t}{t} x") for i, t in enumerate(special)] + [(90, "<|end of text|> <|endoftext"), (91, " ".join(special))]
+    rows = [
+        (i, f"before {t} after  {t}{t} x") for i, t in enumerate(special)
+    ] + [(90, "<|end of text|> <|endoftext"), (91, " ".join(special))]
     got = {r["doc_id"]: r for r in packing.pack(docs(spark, rows)).collect()}
     assert special
     for i, t in rows:
@@ -440,5 +505,7 @@ def test_plan_fills_bins():
 
 def test_hash_of_texts(spark):
     t = docs(spark, line_rows())
-    n = t.select(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("h")).where(F.col("h") == hashlib.sha256(b"").hexdigest()).count()
+    n = t.select(
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("h")
+    ).where(F.col("h") == hashlib.sha256(b"").hexdigest()).count()
     assert n >= 2

@@ -27,11 +27,16 @@ MONTH_YEAR = rf"(?i)\b({_LONG})\s+(\d{{4}})\b"
 SHORT_MONTH_YEAR = rf"(?i)\b({_SHORT})\.?\s+(\d{{4}})\b"
 MONTH_DAY = rf"(?i)\b({_LONG})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?!\s*,?\s*\d{{4}})"
 CHANGE = [
-    r"change[sd]?\s+(on|in|of|occurring)", r"(income|circumstances?)\s+(changed|change[sd]?)\s+(on|in)", r"report\w*\s+(a|the)?\s*change",
-    r"change\s+of\s+circumstances", r"change\s+occur", r"reported?\s+(a|the)?\s*change", r"reporting\s+(deadline|period|requirement)",
+    r"change[sd]?\s+(on|in|of|occurring)", r"(income|circumstances?)\s+(changed|change[sd]?)\s+(on|in)",
+    r"report\w*\s+(a|the)?\s*change",
+    r"change\s+of\s+circumstances", r"change\s+occur", r"reported?\s+(a|the)?\s*change",
+    r"reporting\s+(deadline|period|requirement)",
     r"how\s+(many|long)\s+.*days?\s+.*report",
 ]
-DETERMINATION = [r"determination\s+(made|on|in|dated)", r"(assessed|decided|determined)\s+(on|in)", r"disregard\s+(for|in|on)", r"earnings?\s+disregard", r"income\s+threshold", r"sanction"]
+DETERMINATION = [
+    r"determination\s+(made|on|in|dated)", r"(assessed|decided|determined)\s+(on|in)", r"disregard\s+(for|in|on)",
+    r"earnings?\s+disregard", r"income\s+threshold", r"sanction"
+]
 PERIOD = [r"(claim|period)\s+(cover|span|from|running)", r"(from|between)\s+.*\s+(to|through|and)\s+", r"spanning"]
 REPORT = r"(?i)report|reporting|days?\s+.*report"
 _ANY = _LONG + "|" + _SHORT
@@ -67,10 +72,17 @@ def families(c: str | Column, s: Settings = DEFAULTS) -> dict[str, Column]:
         "dmy": _family(c, DMY, 3, lambda d, m, y: _day(y, month_number(m), number(d))),
         "mdy": _family(c, MDY, 3, lambda m, d, y: _day(y, month_number(m), number(d))),
         "short_mdy": _family(c, SHORT_MDY, 3, lambda m, d, y: _day(y, month_number(m), number(d))),
-        "slash": _family(c, SLASH, 3, lambda a, b, y: F.when(number(a) > 12, _day(y, number(b), number(a))).otherwise(_day(y, number(a), number(b)))),
+        "slash": _family(
+            c, SLASH, 3,
+            lambda a, b, y: F.when(
+                number(a) > 12, _day(y, number(b), number(a))
+            ).otherwise(_day(y, number(a), number(b)))
+        ),
         "month_year": _family(c, MONTH_YEAR, 2, lambda m, y: _day(y, month_number(m), F.lit(s.mid_month))),
         "short_month_year": _family(c, SHORT_MONTH_YEAR, 2, lambda m, y: _day(y, month_number(m), F.lit(s.mid_month))),
-        "month_day": _family(c, MONTH_DAY, 2, lambda m, d: _day(F.lit(str(s.default_year)), month_number(m), number(d))),
+        "month_day": _family(
+            c, MONTH_DAY, 2, lambda m, d: _day(F.lit(str(s.default_year)), month_number(m), number(d))
+        ),
     }
 
 
@@ -85,7 +97,9 @@ def any_of(c: Column, patterns: list[str]) -> Column:
 
 def date_type(c: str | Column) -> Column:
     q = F.lower(col(c))
-    return F.when(any_of(q, CHANGE), "change_date").when(any_of(q, DETERMINATION), "determination_date").when(any_of(q, PERIOD), "period").otherwise("unspecified")
+    return F.when(any_of(q, CHANGE), "change_date").when(
+        any_of(q, DETERMINATION), "determination_date"
+    ).when(any_of(q, PERIOD), "period").otherwise("unspecified")
 
 
 def without_dates(c: str | Column) -> Column:

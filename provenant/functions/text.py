@@ -19,17 +19,24 @@ CLAUSE_REF = r"§\s*(\d+\.\d+(?:\.\d+)?)"
 CITATION = r"(?:Amendment\s+No\.\s*[\d-]+\s+)?§\s*(\d+(?:\.\d+)+(?:[A-Z])?|\d+\.\d+)"
 UNIT_NUMBER = r"(?i)(\d[\d,]*)\s*(?:calendar\s+|business\s+|working\s+)?(day|days|week|weeks|month|months|year|years|per\s*cent|percent|%)"
 ASSERTION_REF = r"(?i)(?:required|permitted|specified|provided|set out|established)\s+under\s+§\s*(\d+\.\d+(?:\.\d+)?)"
-MODIFIERS = ["extended to", "extended when", "increased to", "increases to", "increase to", "reduced to", "reduces to", "in place of", "instead of", "rather than"]
+MODIFIERS = [
+    "extended to", "extended when", "increased to", "increases to", "increase to", "reduced to", "reduces to",
+    "in place of", "instead of", "rather than"
+]
 DEFERRALS = ["see §", "addressed separately", "dealt with separately", "treated separately", "provided for separately"]
 BARE_DEFERRALS = ["addressed separately", "dealt with separately", "treated separately"]
 EVIDENCE_STOPWORDS = [
-    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "of", "to", "in", "on", "for", "and", "or", "if",
-    "do", "does", "did", "what", "when", "how", "can", "could", "would", "should", "i", "my", "me", "it", "this", "that",
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "of", "to", "in", "on", "for", "and", "or",
+    "if",
+    "do", "does", "did", "what", "when", "how", "can", "could", "would", "should", "i", "my", "me", "it", "this",
+    "that",
     "with", "as", "at", "by", "from", "not",
 ]
 RERANK_STOPWORDS = [
-    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "of", "to", "in", "on", "for", "and", "or", "if",
-    "do", "does", "did", "what", "when", "how", "can", "could", "would", "should", "i", "my", "me", "it", "this", "that",
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "of", "to", "in", "on", "for", "and", "or",
+    "if",
+    "do", "does", "did", "what", "when", "how", "can", "could", "would", "should", "i", "my", "me", "it", "this",
+    "that",
     "with", "as", "at", "by", "from", "have", "has", "had", "having", "they", "them", "their", "there", "many", "much",
     "long", "more", "most", "who", "whom", "whose", "which", "calder", "county", "manual",
 ]
@@ -37,12 +44,18 @@ CONDITION_WORDS = ["see", "refer", "under", "clause", "section", "case", "except
 #: Our own list of English function words, the default of the vector space; a longer
 #: list, as libraries have it, is handed in (see :func:`provenant.sources.read_words`).
 VECTOR_STOPWORDS = [
-    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be",
-    "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "cannot", "could", "did", "do",
-    "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her",
-    "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "may", "me", "might",
-    "more", "most", "must", "my", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over",
-    "own", "same", "shall", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there",
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at",
+    "be",
+    "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "cannot", "could", "did",
+    "do",
+    "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he",
+    "her",
+    "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "may", "me",
+    "might",
+    "more", "most", "must", "my", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "out",
+    "over",
+    "own", "same", "shall", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then",
+    "there",
     "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "us", "very", "was", "we", "were",
     "what", "when", "where", "which", "while", "who", "whom", "whose", "why", "will", "with", "would", "you", "your",
 ]
@@ -101,7 +114,9 @@ def words(c: str | Column, stopwords: Sequence[str] = VECTOR_STOPWORDS) -> Colum
 def word_grams(w: str | Column) -> Column:
     """Words and pairs of neighbouring words of an array of words."""
     w = col(w)
-    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda t, i: F.concat_ws(" ", t, F.get(w, i + 1)))
+    pairs = F.transform(
+        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda t, i: F.concat_ws(" ", t, F.get(w, i + 1))
+    )
     return F.concat(w, pairs)
 
 
@@ -131,7 +146,10 @@ def spans(c: str | Column, pattern: str, groups: int = 0) -> Column:
 
     def one(m: Column, i: Column) -> Column:
         start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("text"), *[F.get(g, i).alias(f"g{k + 1}") for k, g in enumerate(caught)])
+        return F.struct(
+            start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("text"),
+            *[F.get(g, i).alias(f"g{k + 1}") for k, g in enumerate(caught)]
+        )
 
     return F.transform(found, one)
 
@@ -158,7 +176,8 @@ def claims(c: str | Column, s: Settings = DEFAULTS) -> Column:
         before = F.lower(window(c, m["start"] - s.modifier_window, m["start"]))
         modified = F.exists(texts(MODIFIERS), lambda p: F.contains(before, p))
         return F.struct(
-            F.replace(m["g1"], F.lit(",")).alias("value"), unit_family(m["g2"]).alias("unit"), modified.alias("has_modifier"),
+            F.replace(m["g1"], F.lit(",")).alias("value"), unit_family(m["g2"]).alias("unit"),
+            modified.alias("has_modifier"),
             F.trim(window(c, m["start"] - 40, m["end"] + 10)).alias("context"))
 
     return F.transform(spans(c, UNIT_NUMBER, 2), one)
@@ -167,7 +186,10 @@ def claims(c: str | Column, s: Settings = DEFAULTS) -> Column:
 def cleaned(c: str | Column) -> Column:
     """Without bold marks, runs of blanks and blank lines."""
     plain = F.regexp_replace(col(c), r"\*\*(.*?)\*\*", "$1")
-    lines = F.transform(F.split(plain, r"\r\n|[\n\r]", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", ""))
+    lines = F.transform(
+        F.split(plain, r"\r\n|[\n\r]", -1),
+        lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", "")
+    )
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

@@ -20,7 +20,9 @@ def replaced_all(text: str | Column, find: str | Column, to: str | Column) -> Co
 def replaced_first(text: str | Column, find: str | Column, to: str | Column) -> Column:
     t, f, r = col(text), col(find), col(to)
     at = F.locate_col(f, t) if hasattr(F, "locate_col") else F.instr(t, f)
-    return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), r, F.substring(t, at + F.char_length(f), F.char_length(t)))).otherwise(t)
+    return F.when(
+        at > 0, F.concat(F.substring(t, F.lit(1), at - 1), r, F.substring(t, at + F.char_length(f), F.char_length(t)))
+    ).otherwise(t)
 
 
 def replaced_table(text: str | Column, table: str | Column) -> Column:
@@ -44,13 +46,17 @@ def _stamp(df: DataFrame) -> DataFrame:
 
 
 def _for_join(rules: DataFrame) -> DataFrame:
-    return rules.withColumnRenamed("amendment_id", "_amendment").withColumnRenamed("date_condition_type", "_condition").withColumnRenamed("text", "_text")
+    return rules.withColumnRenamed("amendment_id", "_amendment").withColumnRenamed(
+        "date_condition_type", "_condition"
+    ).withColumnRenamed("text", "_text")
 
 
 def substitutions(clauses: DataFrame, specs: DataFrame) -> DataFrame:
     rules = _for_join(_rules(specs, "substitutions"))
     j = clauses.join(rules, F.col("clause_id") == F.col("target_clause_id"))
-    text = F.when(F.col("replace_all"), replaced_all("text", "find_text", "replace_text")).otherwise(replaced_first("text", "find_text", "replace_text"))
+    text = F.when(
+        F.col("replace_all"), replaced_all("text", "find_text", "replace_text")
+    ).otherwise(replaced_first("text", "find_text", "replace_text"))
     return _stamp(j.withColumn("text", text)).select(*clauses.columns)
 
 
@@ -63,11 +69,15 @@ def table_replacements(clauses: DataFrame, specs: DataFrame) -> DataFrame:
 def insertions(clauses: DataFrame, specs: DataFrame) -> DataFrame:
     """Inserted clauses; titles are those of the clause they follow."""
     rules = _for_join(_rules(specs, "insertions"))
-    after = clauses.select(F.col("clause_id").alias("after_clause_id"), F.col("part_title").alias("_pt"), F.col("section_title").alias("_st"))
+    after = clauses.select(
+        F.col("clause_id").alias("after_clause_id"), F.col("part_title").alias("_pt"),
+        F.col("section_title").alias("_st")
+    )
     j = rules.join(after, "after_clause_id", "left")
     own = {
         "clause_id": F.col("new_clause_id"), "citation": F.concat(F.lit("§"), "new_clause_id"), "text": F.col("_text"),
-        "part_number": F.substring_index("after_clause_id", ".", 1), "section_number": F.substring_index("after_clause_id", ".", 2),
+        "part_number": F.substring_index("after_clause_id", ".", 1),
+        "section_number": F.substring_index("after_clause_id", ".", 2),
         "part_title": F.coalesce("_pt", F.lit("")), "section_title": F.coalesce("_st", F.lit("")), "order": F.lit(9000),
         "line_start": F.lit(0), "line_end": F.lit(0), "effective_to": F.lit(None).cast("date"),
     }
@@ -80,10 +90,14 @@ def transitional(clauses: DataFrame, specs: DataFrame) -> DataFrame:
     """Transitional provisions as clause rows; not part of :func:`versions` by default."""
     r = _rules(specs, "transitional_provisions")
     own = {
-        "clause_id": F.concat(F.lit("A"), "amendment_id", F.lit("-"), "provision_id"), "citation": F.concat(F.lit("Amendment No. "), "amendment_id", F.lit(" §"), "provision_id"),
-        "part_number": F.lit("0"), "part_title": F.concat(F.lit("Amendment No. "), "amendment_id"), "section_number": F.lit("5"), "section_title": F.lit("Transitional provision"),
-        "order": F.lit(9100), "line_start": F.lit(0), "line_end": F.lit(0), "source": F.col("source_file"), "effective_from": F.col("effective_date"),
-        "effective_to": F.lit(None).cast("date"), "amendment_paragraph": F.col("provision_id"), "is_amended_version": F.lit(False), "pos": F.lit(None).cast("int"),
+        "clause_id": F.concat(F.lit("A"), "amendment_id", F.lit("-"), "provision_id"),
+        "citation": F.concat(F.lit("Amendment No. "), "amendment_id", F.lit(" §"), "provision_id"),
+        "part_number": F.lit("0"), "part_title": F.concat(F.lit("Amendment No. "), "amendment_id"),
+        "section_number": F.lit("5"), "section_title": F.lit("Transitional provision"),
+        "order": F.lit(9100), "line_start": F.lit(0), "line_end": F.lit(0), "source": F.col("source_file"),
+        "effective_from": F.col("effective_date"),
+        "effective_to": F.lit(None).cast("date"), "amendment_paragraph": F.col("provision_id"),
+        "is_amended_version": F.lit(False), "pos": F.lit(None).cast("int"),
     }
     for k, v in own.items():
         r = r.withColumn(k, v)
@@ -92,7 +106,9 @@ def transitional(clauses: DataFrame, specs: DataFrame) -> DataFrame:
 
 def superseded(clauses: DataFrame, specs: DataFrame) -> DataFrame:
     """The originals; those a rule rewrites end the day before it takes effect."""
-    hit = _rules(specs, "substitutions").select("target_clause_id", "effective_date").unionByName(_rules(specs, "table_replacements").select("target_clause_id", "effective_date"))
+    hit = _rules(specs, "substitutions").select("target_clause_id", "effective_date").unionByName(
+        _rules(specs, "table_replacements").select("target_clause_id", "effective_date")
+    )
     last = hit.groupBy("target_clause_id").agg(F.max("effective_date").alias("_e"))
     j = clauses.join(last, F.col("clause_id") == F.col("target_clause_id"), "left")
     return j.withColumn("effective_to", F.coalesce(F.date_sub("_e", 1), "effective_to")).select(*clauses.columns)
@@ -100,11 +116,15 @@ def superseded(clauses: DataFrame, specs: DataFrame) -> DataFrame:
 
 def versions(clauses: DataFrame, specs: DataFrame, with_transitional: bool = False) -> DataFrame:
     """Originals and amended versions with ``pos``, the order in which they count."""
-    new = substitutions(clauses, specs).unionByName(table_replacements(clauses, specs)).unionByName(insertions(clauses, specs))
+    new = substitutions(clauses, specs).unionByName(
+        table_replacements(clauses, specs)
+    ).unionByName(insertions(clauses, specs))
     if with_transitional:
         new = new.unionByName(transitional(clauses, specs))
     n = clauses.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_n"))
-    new = numbered(new).crossJoin(F.broadcast(n)).withColumn("pos", (F.col("_n") + F.col("_at")).cast("int")).drop("_n", "_at")
+    new = numbered(new).crossJoin(F.broadcast(n)).withColumn(
+        "pos", (F.col("_n") + F.col("_at")).cast("int")
+    ).drop("_n", "_at")
     return superseded(clauses, specs).unionByName(new)
 
 
@@ -116,9 +136,13 @@ def numbered(new: DataFrame, rows: int = 10_000) -> DataFrame:
     part = [F.col("amendment_id"), F.floor(at / rows).alias("_b")]
     counts = new.groupBy(*part).agg(F.count(F.lit(1)).alias("_m"))
     before = F.sum("_m").over(Window.orderBy("amendment_id", "_b").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col("amendment_id").alias("_a"), F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_off"))
+    counts = counts.select(
+        F.col("amendment_id").alias("_a"), F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_off")
+    )
     own = new.withColumn("_b", F.floor(at / rows))
-    own = own.withColumn("_rn", F.row_number().over(Window.partitionBy("amendment_id", "_b").orderBy(at, "order", "amendment_paragraph")))
+    own = own.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("amendment_id", "_b").orderBy(at, "order", "amendment_paragraph"))
+    )
     met = own.join(counts, F.col("amendment_id").eqNullSafe(F.col("_a")) & (F.col("_b") == F.col("_c")))
     return met.withColumn("_at", F.col("_off") + F.col("_rn") - 1).select(*new.columns, "_at")
 
@@ -131,4 +155,7 @@ def latest(df: DataFrame, key: str = "clause_id", order: str = "pos") -> DataFra
 
 def version_pairs(df: DataFrame) -> DataFrame:
     """(clause_id, original, amended): positions of the two versions of a clause."""
-    return df.groupBy("clause_id").agg(F.max(F.when(~F.col("is_amended_version"), F.col("pos"))).alias("original"), F.max(F.when(F.col("is_amended_version"), F.col("pos"))).alias("amended"))
+    return df.groupBy("clause_id").agg(
+        F.max(F.when(~F.col("is_amended_version"), F.col("pos"))).alias("original"),
+        F.max(F.when(F.col("is_amended_version"), F.col("pos"))).alias("amended")
+    )

@@ -10,16 +10,27 @@ from ..functions import text as T
 from .evidence import targets_of
 
 DEFAULTS = Settings()
-FINDING = ("qid", "stage", "o1", "o2", "o3", "o4", "a_id", "a_text", "b_id", "b_text", "unit", "value_a", "value_b", "context_a", "context_b")
+FINDING = (
+    "qid", "stage", "o1", "o2", "o3", "o4", "a_id", "a_text", "b_id", "b_text", "unit", "value_a", "value_b",
+    "context_a", "context_b"
+)
 
 
 def expand(items: DataFrame, lookup: DataFrame, excluded: DataFrame) -> DataFrame:
     """Candidates (qid, idx, clause_id, text): the items, then the clauses that
     their texts refer to. ``excluded`` holds (qid, clause_id) that stay out."""
-    own = items.select("qid", F.struct(F.lit(0).alias("k"), F.col("rank").alias("r"), F.lit(0).alias("o"), F.lit(0).alias("p")).alias("idx"), "clause_id", "text")
+    own = items.select(
+        "qid",
+        F.struct(F.lit(0).alias("k"), F.col("rank").alias("r"), F.lit(0).alias("o"), F.lit(0).alias("p")).alias("idx"),
+        "clause_id", "text"
+    )
     refs = items.select("qid", "rank", F.posexplode(T.clause_refs("text")).alias("o", "ref"))
     met = targets_of(refs, lookup).where("t_id is not null")
-    more = met.select("qid", F.struct(F.lit(1).alias("k"), F.col("rank").alias("r"), F.col("o"), F.col("t_pos").alias("p")).alias("idx"), F.col("t_id").alias("clause_id"), F.col("t_text").alias("text"), "ref")
+    more = met.select(
+        "qid",
+        F.struct(F.lit(1).alias("k"), F.col("rank").alias("r"), F.col("o"), F.col("t_pos").alias("p")).alias("idx"),
+        F.col("t_id").alias("clause_id"), F.col("t_text").alias("text"), "ref"
+    )
     more = more.join(excluded.select("qid", "clause_id"), ["qid", "clause_id"], "left_anti")
     more = more.join(excluded.select("qid", F.col("clause_id").alias("ref")), ["qid", "ref"], "left_anti")
     more = more.join(own.select("qid", "clause_id"), ["qid", "clause_id"], "left_anti")
@@ -34,18 +45,28 @@ def assertions(c: str | Column) -> Column:
 
     def one(m: Column) -> Column:
         figure = F.try_element_at(T.spans(T.window(c, F.lit(0), m["start"]), T.UNIT_NUMBER, 2), F.lit(-1))
-        return F.struct(m["g1"].alias("ref"), F.replace(figure["g1"], F.lit(",")).alias("value"), T.unit_family(figure["g2"]).alias("unit"), F.trim(T.window(c, figure["start"] - 30, m["end"] + 5)).alias("context"))
+        return F.struct(
+            m["g1"].alias("ref"), F.replace(figure["g1"], F.lit(",")).alias("value"),
+            T.unit_family(figure["g2"]).alias("unit"),
+            F.trim(T.window(c, figure["start"] - 30, m["end"] + 5)).alias("context")
+        )
 
     return F.filter(F.transform(T.spans(c, T.ASSERTION_REF, 1), one), lambda a: a["value"].isNotNull())
 
 
 def asserted(candidates: DataFrame, lookup: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Findings where a clause misstates the figure of the clause it names."""
-    each = candidates.select("qid", "idx", F.col("clause_id").alias("a_id"), F.col("text").alias("a_text"), F.posexplode(assertions("text")).alias("o2", "a")).select("*", F.col("a.ref").alias("ref"))
+    each = candidates.select(
+        "qid", "idx", F.col("clause_id").alias("a_id"), F.col("text").alias("a_text"),
+        F.posexplode(assertions("text")).alias("o2", "a")
+    ).select("*", F.col("a.ref").alias("ref"))
     met = targets_of(each, lookup).where("t_id is not null and t_id <> a_id")
-    out = met.select("*", F.posexplode(T.claims("t_text", s)).alias("o4", "c")).where("not c.has_modifier and c.unit = a.unit and c.value <> a.value")
+    out = met.select("*", F.posexplode(T.claims("t_text", s)).alias("o4", "c")).where(
+        "not c.has_modifier and c.unit = a.unit and c.value <> a.value"
+    )
     return out.select(
-        "qid", F.lit(0).alias("stage"), F.col("idx").cast("string").alias("o1"), "o2", F.col("t_pos").alias("o3"), "o4", "a_id", "a_text", F.col("t_id").alias("b_id"), F.col("t_text").alias("b_text"),
+        "qid", F.lit(0).alias("stage"), F.col("idx").cast("string").alias("o1"), "o2", F.col("t_pos").alias("o3"), "o4",
+        "a_id", "a_text", F.col("t_id").alias("b_id"), F.col("t_text").alias("b_text"),
         F.col("a.unit").alias("unit"), F.col("a.value").alias("value_a"), F.col("c.value").alias("value_b"), F.col("a.context").alias("context_a"), F.col("c.context").alias("context_b"))
 
 
@@ -62,7 +83,9 @@ def overlapping(rows: DataFrame, key: str, tokens: str, s: Settings = DEFAULTS)
     """
     t = rows.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("w"))
     t = t.join(t.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w")
-    sets = t.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s")).select(key, "n", F.transform("s", lambda x: x["w"]).alias("s"))
+    sets = t.groupBy(key, "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s")
+    ).select(key, "n", F.transform("s", lambda x: x["w"]).alias("s"))
     least = F.ceil(F.col("n") * s.jaccard_min - 1e-9).cast("int")
     seeds = sets.select(key, F.explode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("w"))
     a, b = seeds.select(F.col(key).alias("a"), "w"), seeds.select(F.col(key).alias("b"), "w")
@@ -76,15 +99,30 @@ def mismatched(candidates: DataFrame, found: DataFrame, s: Settings = DEFAULTS)
     """Findings between candidates of one question whose texts overlap and whose
     unmodified figures of one unit differ; pairs already ``found`` are left out.
     A question has at most its few candidates, so the pairs stay few."""
-    c = candidates.select("qid", "idx", "clause_id", "text", T.content_tokens("text").alias("_t"), F.filter(T.claims("text", s), lambda x: ~x["has_modifier"]).alias("_c"))
-    a, b = c.select(*[F.col(x).alias(f"a_{x}") for x in c.columns]), c.select(*[F.col(x).alias(f"b_{x}") for x in c.columns])
-    p = a.join(b, (F.col("a_qid") == F.col("b_qid")) & (F.col("a_idx") < F.col("b_idx")) & (F.col("a_clause_id") != F.col("b_clause_id")))
-    p = p.where(T.jaccard(F.col("a__t"), F.col("b__t")) >= s.jaccard_min).withColumn("_k", pair_key("a_clause_id", "b_clause_id"))
+    c = candidates.select(
+        "qid", "idx", "clause_id", "text", T.content_tokens("text").alias("_t"),
+        F.filter(T.claims("text", s), lambda x: ~x["has_modifier"]).alias("_c")
+    )
+    a, b = c.select(
+        *[F.col(x).alias(f"a_{x}") for x in c.columns]
+    ), c.select(*[F.col(x).alias(f"b_{x}") for x in c.columns])
+    p = a.join(
+        b,
+        (F.col("a_qid") == F.col("b_qid")) & (F.col("a_idx") < F.col("b_idx"))
+        & (F.col("a_clause_id") != F.col("b_clause_id"))
+    )
+    p = p.where(
+        T.jaccard(F.col("a__t"), F.col("b__t")) >= s.jaccard_min
+    ).withColumn("_k", pair_key("a_clause_id", "b_clause_id"))
     seen = found.select(F.col("qid").alias("a_qid"), pair_key("a_id", "b_id").alias("_k")).distinct()
     p = p.join(seen, ["a_qid", "_k"], "left_anti")
-    out = p.select("*", F.posexplode("a__c").alias("o3", "x")).select("*", F.posexplode("b__c").alias("o4", "y")).where("x.unit = y.unit and x.value <> y.value")
+    out = p.select(
+        "*", F.posexplode("a__c").alias("o3", "x")
+    ).select("*", F.posexplode("b__c").alias("o4", "y")).where("x.unit = y.unit and x.value <> y.value")
     return out.select(
-        F.col("a_qid").alias("qid"), F.lit(1).alias("stage"), F.concat_ws("/", F.col("a_idx").cast("string"), F.col("b_idx").cast("string")).alias("o1"), F.lit(0).alias("o2"), "o3", "o4", F.col("a_clause_id").alias("a_id"), "a_text",
+        F.col("a_qid").alias("qid"), F.lit(1).alias("stage"),
+        F.concat_ws("/", F.col("a_idx").cast("string"), F.col("b_idx").cast("string")).alias("o1"),
+        F.lit(0).alias("o2"), "o3", "o4", F.col("a_clause_id").alias("a_id"), "a_text",
         F.col("b_clause_id").alias("b_id"), "b_text", F.col("x.unit").alias("unit"), F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b"), F.col("x.context").alias("context_a"), F.col("y.context").alias("context_b"))
 
 

@@ -25,7 +25,9 @@ def term_counts(docs: DataFrame, key: str, tokens: Column, many: str = "f") -> D
 def stemmed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, dl, term): a row for each token, with its document's length."""
     raw = docs.select(key, T.raw_tokens(text).alias("_a"))
-    return raw.select(key, F.size("_a").alias("dl"), F.explode("_a").alias("_t")).select(key, "dl", T.stem(F.col("_t")).alias("term"))
+    return raw.select(
+        key, F.size("_a").alias("dl"), F.explode("_a").alias("_t")
+    ).select(key, "dl", T.stem(F.col("_t")).alias("term"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -43,7 +45,9 @@ def smooth_idf(n: Column, df: Column) -> Column:
 def bm25_weights(counts: DataFrame, docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
     """(key, term, w) from (key, dl, term, f) of all documents that have these terms;
     number and mean length are those of all ``docs``."""
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))).alias("avg_dl"))
+    stats = docs.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))).alias("avg_dl")
+    )
     df = counts.groupBy("term").agg(F.sum((F.col("f") > 0).cast("long")).alias("df"))
     j = counts.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     mean = F.when(F.coalesce(F.col("avg_dl"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("avg_dl"))
@@ -61,7 +65,10 @@ def bm25_postings(docs: DataFrame, key: str, text: str, s: Settings = DEFAULTS)
     return bm25_weights(counts, docs, key, text, s)
 
 
-def bm25_topk(questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, s: Settings = DEFAULTS, qid: str = "qid", question: str = "question", digits: int | None = None) -> DataFrame:
+def bm25_topk(
+    questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, s: Settings = DEFAULTS, qid: str = "qid",
+    question: str = "question", digits: int | None = None
+) -> DataFrame:
     """The best ``k`` documents of each question, without an index: tokens that no
     question has are left before anything is shuffled."""
     terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(question))).alias("term"))
@@ -82,22 +89,31 @@ def _tf_idf() -> Column:
     return (1 + F.log("tf")) * F.col("idf")
 
 
-def tfidf_vectors(docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = T.VECTOR_STOPWORDS) -> tuple[DataFrame, DataFrame]:
+def tfidf_vectors(
+    docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = T.VECTOR_STOPWORDS
+) -> tuple[DataFrame, DataFrame]:
     """(key, term, w) unit vectors, and (term, idf) to weigh questions with."""
     counts = tfidf_counts(docs, key, text, stopwords)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    idf = document_frequency(counts).crossJoin(F.broadcast(n)).select("term", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
+    idf = document_frequency(counts).crossJoin(F.broadcast(n)).select(
+        "term", smooth_idf(F.col("n"), F.col("df")).alias("idf")
+    )
     return unit(counts.join(idf, "term").select(key, "term", _tf_idf().alias("w")), key), idf
 
 
-def tfidf_topk(questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, qid: str = "qid", question: str = "question", stopwords: Sequence[str] = T.VECTOR_STOPWORDS, digits: int | None = None) -> DataFrame:
+def tfidf_topk(
+    questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, qid: str = "qid", question: str = "question",
+    stopwords: Sequence[str] = T.VECTOR_STOPWORDS, digits: int | None = None
+) -> DataFrame:
     """The best ``k`` documents of each question by cosine, without an index. Of the
     postings that no question asks for only the sum of squares per document is made."""
     with Scratch(docs.sparkSession) as tmp:
         counts = tmp.table(tfidf_counts(docs, key, text, stopwords), "counts")
         n = F.lit(docs.count())
         idf = lambda c: document_frequency(c).select("term", smooth_idf(n, F.col("df")).alias("idf"))
-        norm = counts.join(idf(counts), "term").groupBy(key).agg(F.greatest(F.sqrt(F.sum(_tf_idf() * _tf_idf())), F.lit(1e-12)).alias("norm"))
+        norm = counts.join(idf(counts), "term").groupBy(key).agg(
+            F.greatest(F.sqrt(F.sum(_tf_idf() * _tf_idf())), F.lit(1e-12)).alias("norm")
+        )
         asked = term_counts(questions.withColumn("_w", T.words(question, stopwords)), qid, T.word_grams("_w"), "tf")
         met = counts.join(asked.select("term").distinct(), "term", "left_semi")
         known = idf(met)
@@ -112,13 +128,18 @@ def unit(weights: DataFrame, key: str) -> DataFrame:
     return weights.withColumn("w", F.col("w") / F.greatest(norm, F.lit(1e-12)))
 
 
-def question_vectors(questions: DataFrame, idf: DataFrame, qid: str = "qid", text: str = "question", stopwords: Sequence[str] = T.VECTOR_STOPWORDS) -> DataFrame:
+def question_vectors(
+    questions: DataFrame, idf: DataFrame, qid: str = "qid", text: str = "question",
+    stopwords: Sequence[str] = T.VECTOR_STOPWORDS
+) -> DataFrame:
     """Unit vectors of questions; terms that no document has are dropped."""
     counts = tfidf_counts(questions, qid, text, stopwords)
     return unit(counts.join(idf, "term").select(qid, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), qid)
 
 
-def bm25_scores(questions: DataFrame, postings: DataFrame, key: str, qid: str = "qid", text: str = "question") -> DataFrame:
+def bm25_scores(
+    questions: DataFrame, postings: DataFrame, key: str, qid: str = "qid", text: str = "question"
+) -> DataFrame:
     """(qid, key, score): the sum over a question's distinct terms."""
     terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(text))).alias("term"))
     return terms.join(postings, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
@@ -126,7 +147,9 @@ def bm25_scores(questions: DataFrame, postings: DataFrame, key: str, qid: str =
 
 def cosine_scores(query: DataFrame, docs: DataFrame, key: str, qid: str = "qid") -> DataFrame:
     """(qid, key, score) of unit vectors in long form."""
-    return query.select(qid, "term", F.col("w").alias("_q")).join(docs, "term").groupBy(qid, key).agg(F.sum(F.col("_q") * F.col("w")).alias("score"))
+    return query.select(qid, "term", F.col("w").alias("_q")).join(docs, "term").groupBy(qid, key).agg(
+        F.sum(F.col("_q") * F.col("w")).alias("score")
+    )
 
 
 def _best(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +161,10 @@ def _best(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tup
     return asked[place < k], ids[place < k], scores[place < k]
 
 
-def dense_topk(questions: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, qid: str = "qid", asked: str = "qe", digits: int | None = None, block: int = 4_000) -> DataFrame:
+def dense_topk(
+    questions: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, qid: str = "qid", asked: str = "qe",
+    digits: int | None = None, block: int = 4_000
+) -> DataFrame:
     """(qid, key, score, rank): the ``k`` vectors of the highest cosine for each
     question but itself (an equal id). A block of questions, at most ``block``
     vectors, is sent to all tasks; a task multiplies its vectors by the block and
@@ -150,7 +176,9 @@ def dense_topk(questions: DataFrame, vectors: DataFrame, key: str, vector: str,
     with Scratch(spark) as tmp:
         out = None
         for b in range(blocks):
-            rows = questions.select(F.col(qid).cast("long").alias("q"), F.col(asked).cast("array<double>").alias("v")).where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b).collect()
+            rows = questions.select(
+                F.col(qid).cast("long").alias("q"), F.col(asked).cast("array<double>").alias("v")
+            ).where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b).collect()
             ids = np.array([r["q"] for r in rows], np.int64)
             m = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
             sent = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
@@ -168,10 +196,14 @@ def dense_topk(questions: DataFrame, vectors: DataFrame, key: str, vector: str,
                         c[own[:, None] == these] = -np.inf
                         least = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(own), -np.inf)
                         q, d = np.nonzero((c >= least[:, None]) & (c > 0))
-                        held = _best(*(np.concatenate(x) for x in zip(held, (own[q], these[d], c[q, d]), strict=True)), k)
+                        held = _best(
+                            *(np.concatenate(x) for x in zip(held, (own[q], these[d], c[q, d]), strict=True)), k
+                        )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["q", "d", "score"])
 
-            best = kept.mapInArrow(run, "q long, d long, score double").select(F.col("q").alias(qid), F.col("d").alias(key), "score")
+            best = kept.mapInArrow(run, "q long, d long, score double").select(
+                F.col("q").alias(qid), F.col("d").alias(key), "score"
+            )
             best = top_k(best, k, qid, key)
             out = best if blocks == 1 else tmp.table(best, "best", append=True)
         return cut(out)
@@ -190,7 +222,9 @@ def top_k(scores: DataFrame, k: int, by: str, tie: str, score: str = "score") ->
     return scores.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col(score) > 0))
 
 
-def fuse(ranked: DataFrame, s: Settings = DEFAULTS, qid: str = "qid", key: str = "clause_id", tie: str = "pos") -> DataFrame:
+def fuse(
+    ranked: DataFrame, s: Settings = DEFAULTS, qid: str = "qid", key: str = "clause_id", tie: str = "pos"
+) -> DataFrame:
     """Reciprocal rank fusion of rows (qid, list_no, rank, key, pos, score, retriever).
 
     A key that stands in one list twice counts twice. The representative is
@@ -201,15 +235,21 @@ def fuse(ranked: DataFrame, s: Settings = DEFAULTS, qid: str = "qid", key: str =
     best = F.struct("score", (-F.col("list_no")).alias("l"), (-F.col("rank")).alias("r"))
     g = ranked.groupBy(qid, key).agg(
         F.sum(1 / (s.rrf_k + F.col("rank"))).alias("rrf"), F.max_by(F.col(tie), best).alias(tie),
-        F.when(F.count_distinct("retriever") > 1, "hybrid").otherwise(F.min("retriever")).alias("retriever"), F.min(first).alias("_first"))
+        F.when(
+            F.count_distinct("retriever") > 1, "hybrid"
+        ).otherwise(F.min("retriever")).alias("retriever"), F.min(first).alias("_first"))
     w = Window.partitionBy(qid).orderBy(F.col("rrf").desc(), "_first")
-    return g.withColumn("rank", F.row_number().over(w)).select(qid, key, tie, F.col("rrf").alias("score"), "retriever", "rank")
+    return g.withColumn("rank", F.row_number().over(w)).select(
+        qid, key, tie, F.col("rrf").alias("score"), "retriever", "rank"
+    )
 
 
 def rerank_idf(docs: DataFrame, text: str) -> DataFrame:
     """(term, idf) over the distinct rerank tokens of all rows."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = docs.select(F.explode(F.array_distinct(T.rerank_tokens(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = docs.select(
+        F.explode(F.array_distinct(T.rerank_tokens(text))).alias("term")
+    ).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
 
 
@@ -222,10 +262,15 @@ def weighted_questions(questions: DataFrame, idf: DataFrame, qid: str = "qid", t
     """Questions with ``_terms`` (map of term to weight), ``_numbers`` and ``_refs``."""
     q = questions.select(qid, F.col(text).alias("_q"))
     terms = q.select(qid, F.explode(F.array_distinct(T.rerank_tokens("_q"))).alias("term"))
-    w = terms.join(idf, "term", "left").crossJoin(F.broadcast(default_idf(idf))).select(qid, "term", F.coalesce("idf", "default_idf").alias("w"))
+    w = terms.join(idf, "term", "left").crossJoin(F.broadcast(default_idf(idf))).select(
+        qid, "term", F.coalesce("idf", "default_idf").alias("w")
+    )
     maps = w.groupBy(qid).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "w")))).alias("_terms"))
     none = F.create_map().cast("map<string,double>")
-    return q.join(maps, qid, "left").select(qid, F.coalesce("_terms", none).alias("_terms"), T.numbers("_q").alias("_numbers"), T.clause_refs("_q", T.RERANK_REF).alias("_refs"))
+    return q.join(maps, qid, "left").select(
+        qid, F.coalesce("_terms", none).alias("_terms"), T.numbers("_q").alias("_numbers"),
+        T.clause_refs("_q", T.RERANK_REF).alias("_refs")
+    )
 
 
 def relevance(passage: Column, clause_id: Column, s: Settings = DEFAULTS) -> Column:
@@ -262,7 +307,9 @@ class TfidfEmbedding:
         return {"vectors": vectors, "vector_idf": idf}
 
     def scores(self, questions: DataFrame, tables: dict[str, DataFrame], k: int) -> DataFrame:
-        return cosine_scores(question_vectors(questions, tables["vector_idf"], stopwords=self.stopwords), tables["vectors"], "pos")
+        return cosine_scores(
+            question_vectors(questions, tables["vector_idf"], stopwords=self.stopwords), tables["vectors"], "pos"
+        )
 
 
 class DenseEmbedding:
@@ -280,18 +327,26 @@ class DenseEmbedding:
                 for at in range(0, b.num_rows, 256):
                     p = b.slice(at, 256)
                     rows = np.asarray(encode([t or "" for t in p.column(1).to_pylist()]), np.float64)
-                    yield pa.RecordBatch.from_arrays([p.column(0), pa.array(list(rows), pa.list_(pa.float64()))], names=["k", "v"])
+                    yield pa.RecordBatch.from_arrays(
+                        [p.column(0), pa.array(list(rows), pa.list_(pa.float64()))], names=["k", "v"]
+                    )
 
         kind = df.schema[key].dataType.simpleString()
         return df.select(key, text).mapInArrow(run, f"k {kind}, v array<double>")
 
     def index(self, docs: DataFrame) -> dict[str, DataFrame]:
-        return {"vectors": self._vectors(docs, "pos", "text").select(F.col("k").alias("pos"), F.col("v").alias("vector"))}
+        return {
+            "vectors": self._vectors(docs, "pos", "text").select(F.col("k").alias("pos"), F.col("v").alias("vector"))
+        }
 
     def scores(self, questions: DataFrame, tables: dict[str, DataFrame], k: int) -> DataFrame:
         q = cut(self._vectors(questions, "qid", "question").withColumn("n", -1 - F.monotonically_increasing_id()))  # numbers that no position has
-        best = dense_topk(q.select(F.col("n").alias("qid"), F.col("v").alias("qe")), tables["vectors"], "pos", "vector", k)
-        return best.join(q.select(F.col("n").alias("qid"), F.col("k").alias("_q")), "qid").select(F.col("_q").alias("qid"), F.col("pos").cast("int").alias("pos"), "score")
+        best = dense_topk(
+            q.select(F.col("n").alias("qid"), F.col("v").alias("qe")), tables["vectors"], "pos", "vector", k
+        )
+        return best.join(q.select(F.col("n").alias("qid"), F.col("k").alias("_q")), "qid").select(
+            F.col("_q").alias("qid"), F.col("pos").cast("int").alias("pos"), "score"
+        )
 
 
 class Scorer(Protocol):

@@ -21,7 +21,9 @@ STRIP = r"^\s+|\s+$"
 def line_kind(line: str | Column) -> Column:
     """``part``, ``section``, ``rule``, ``clause`` or ``text``."""
     c = col(line)
-    return F.when(c.rlike(PART), "part").when(c.rlike(SECTION), "section").when(c.rlike(RULE), "rule").when(c.rlike(CLAUSE), "clause").otherwise("text")
+    return F.when(c.rlike(PART), "part").when(
+        c.rlike(SECTION), "section"
+    ).when(c.rlike(RULE), "rule").when(c.rlike(CLAUSE), "clause").otherwise("text")
 
 
 def first_line(line: str | Column) -> Column:
@@ -34,7 +36,9 @@ def first_line(line: str | Column) -> Column:
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line): the lines of every text, numbered from 1."""
     body = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n$", "")
-    return df.select(F.col(key), F.posexplode(F.split(body, "\n", -1)).alias("_i", "line")).select(key, (F.col("_i") + 1).alias("line_no"), "line")
+    return df.select(
+        F.col(key), F.posexplode(F.split(body, "\n", -1)).alias("_i", "line")
+    ).select(key, (F.col("_i") + 1).alias("line_no"), "line")
 
 
 def segment(lines: DataFrame, key: str = "source") -> DataFrame:
@@ -50,13 +54,16 @@ def segment(lines: DataFrame, key: str = "source") -> DataFrame:
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     carried = lambda kind, pattern, g: F.coalesce(F.last(F.when(F.col("_kind") == kind, F.regexp_extract("line", pattern, g)), ignorenulls=True).over(w), F.lit(""))
     rows = rows.select(
-        "*", F.count_if(F.col("_kind") != "text").over(w).alias("_island"), F.count_if(F.col("_kind") == "clause").over(w).cast("int").alias("order"),
+        "*", F.count_if(F.col("_kind") != "text").over(w).alias("_island"),
+        F.count_if(F.col("_kind") == "clause").over(w).cast("int").alias("order"),
         carried("part", PART, 1).alias("part_number"), carried("part", PART, 2).alias("part_title"),
         carried("section", SECTION, 1).alias("section_number"), carried("section", SECTION, 2).alias("section_title"),
     )
     marker = F.col("_kind") == "clause"
     own = F.when(marker, first_line("line")).otherwise(F.col("line"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", own.alias("t")))), lambda x: x["t"]), "\n")
+    whole = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", own.alias("t")))), lambda x: x["t"]), "\n"
+    )
     out = rows.groupBy(key, "_island").agg(
         F.max(F.when(marker, F.regexp_extract("line", CLAUSE, 1))).alias("clause_id"),
         F.min("part_number").alias("part_number"), F.min("part_title").alias("part_title"),
@@ -64,7 +71,9 @@ def segment(lines: DataFrame, key: str = "source") -> DataFrame:
         F.regexp_replace(whole, STRIP, "").alias("text"), F.min("order").alias("order"),
         F.min("line_no").cast("int").alias("line_start"), F.max("line_no").cast("int").alias("line_end"),
     )
-    return out.where("clause_id is not null and text <> ''").drop("_island").withColumn("citation", F.concat(F.lit("§"), "clause_id"))
+    return out.where("clause_id is not null and text <> ''").drop("_island").withColumn(
+        "citation", F.concat(F.lit("§"), "clause_id")
+    )
 
 
 def fragments(text: str | Column, limit: int = DEFAULTS.max_clause_chars) -> Column:
@@ -76,7 +85,10 @@ def fragments(text: str | Column, limit: int = DEFAULTS.max_clause_chars) -> Col
     def step(acc: Column, p: Column) -> Column:
         full = (acc["buf"] != "") & (F.char_length(acc["buf"]) + F.char_length(p) + 2 > limit)
         joined = F.when(acc["buf"] != "", F.concat(acc["buf"], F.lit("\n\n"), p)).otherwise(p)
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["buf"]))).otherwise(acc["done"]).alias("done"), F.when(full, p).otherwise(joined).alias("buf"))
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["buf"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full, p).otherwise(joined).alias("buf")
+        )
 
     end = lambda a: F.when(a["buf"] != "", F.concat(a["done"], F.array(a["buf"]))).otherwise(a["done"])
     return F.transform(F.aggregate(parts, start, step, end), lambda x: F.regexp_replace(x, STRIP, ""))
@@ -93,9 +105,12 @@ def metadata(df: DataFrame) -> Column:
     names = {c for c in df.columns}
     opt = lambda c: F.col(c).cast("string") if c in names else F.lit(None).cast("string")
     pairs = {
-        "source": opt("source"), "clause": F.col("citation"), "clause_id": F.col("clause_id"), "section": F.col("section_number"),
-        "section_title": F.col("section_title"), "part": F.concat(F.lit("Part "), "part_number", F.lit(" — "), "part_title"),
-        "amendment_id": opt("amendment_id"), "effective_from": opt("effective_from"), "effective_to": opt("effective_to"),
+        "source": opt("source"), "clause": F.col("citation"), "clause_id": F.col("clause_id"),
+        "section": F.col("section_number"),
+        "section_title": F.col("section_title"),
+        "part": F.concat(F.lit("Part "), "part_number", F.lit(" — "), "part_title"),
+        "amendment_id": opt("amendment_id"), "effective_from": opt("effective_from"),
+        "effective_to": opt("effective_to"),
     }
     return F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
 

@@ -18,7 +18,9 @@ def relevant_date(condition: str | Column, ctx: str = "ctx") -> Column:
     the change alone, all others at the first date that is known."""
     c = F.col(condition) if isinstance(condition, str) else condition
     f = lambda n: F.col(f"{ctx}.{n}")
-    return F.when(c == "change_date", f("change_date")).otherwise(F.coalesce(f("determination_date"), f("change_date"), f("claim_date"), f("period_start")))
+    return F.when(c == "change_date", f("change_date")).otherwise(
+        F.coalesce(f("determination_date"), f("change_date"), f("claim_date"), f("period_start"))
+    )
 
 
 def uses_amended(date: Column, effective: Column) -> Column:
@@ -33,8 +35,14 @@ def first_per_key(hits: DataFrame, qid: str = "qid", key: str = "clause_id", ran
 def amended_versions(clauses: DataFrame) -> DataFrame:
     """(clause_id, original, amended, condition, effective, amendment_id) of amended clauses."""
     new = F.when(F.col("is_amended_version"), F.struct("pos", "date_condition_type", "effective_from", "amendment_id"))
-    g = clauses.groupBy("clause_id").agg(F.max(F.when(~F.col("is_amended_version"), F.col("pos"))).alias("original"), F.max_by(new, F.when(F.col("is_amended_version"), F.col("pos"))).alias("n"))
-    return g.where("n is not null").select("clause_id", "original", F.col("n.pos").alias("amended"), F.col("n.date_condition_type").alias("condition"), F.col("n.effective_from").alias("effective"), F.col("n.amendment_id").alias("amendment"))
+    g = clauses.groupBy("clause_id").agg(
+        F.max(F.when(~F.col("is_amended_version"), F.col("pos"))).alias("original"),
+        F.max_by(new, F.when(F.col("is_amended_version"), F.col("pos"))).alias("n")
+    )
+    return g.where("n is not null").select(
+        "clause_id", "original", F.col("n.pos").alias("amended"), F.col("n.date_condition_type").alias("condition"),
+        F.col("n.effective_from").alias("effective"), F.col("n.amendment_id").alias("amendment")
+    )
 
 
 def resolve(hits: DataFrame, contexts: DataFrame, clauses: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -44,24 +52,37 @@ def resolve(hits: DataFrame, contexts: DataFrame, clauses: DataFrame, s: Setting
     ``condition``, ``transitional`` (citation), ``note`` and ``kept``; a version
     keeps the score of the hit it replaces.
     """
-    h = first_per_key(hits).join(contexts.select("qid", "ctx"), "qid").join(amended_versions(clauses), "clause_id", "left")
+    h = first_per_key(hits).join(contexts.select("qid", "ctx"), "qid").join(
+        amended_versions(clauses), "clause_id", "left"
+    )
     date = relevant_date("condition")
     new, known = F.col("amended").isNotNull(), date.isNotNull()
     use = new & uses_amended(date, F.col("effective"))
-    para = F.when(F.col("condition") == "change_date", PARAGRAPHS["change_date"]).otherwise(PARAGRAPHS["determination_date"])
+    para = F.when(
+        F.col("condition") == "change_date", PARAGRAPHS["change_date"]
+    ).otherwise(PARAGRAPHS["determination_date"])
     cite = F.concat(F.lit("Amendment No. "), "amendment", F.lit(" §"), para)
     day = F.date_format("effective", "d MMMM yyyy")
-    note = F.when(use, F.concat(F.lit("Using post-amendment version of §"), "clause_id", F.lit(" (effective "), day, F.lit(")."))).when(
-        new & known, F.concat(F.lit("Using pre-amendment version of §"), "clause_id", F.lit(" (for date "), date.cast("string"), F.lit(").")))
+    note = F.when(
+        use, F.concat(F.lit("Using post-amendment version of §"), "clause_id", F.lit(" (effective "), day, F.lit(")."))
+    ).when(
+        new & known, F.concat(
+            F.lit("Using pre-amendment version of §"), "clause_id", F.lit(" (for date "), date.cast("string"),
+            F.lit(").")
+        ))
     w = Window.partitionBy("qid")
     other = F.max((F.col("clause_id") == s.suppressing_clause).cast("int")).over(w) == 1
     dropped = known & ~use & (F.col("condition") == "change_date") & (F.col("clause_id") == s.suppressed_clause) & other
     if s.strict_effective:
         dropped = dropped | (new & ~use & F.col("original").isNull())
     return h.select(
-        "qid", "clause_id", F.col("pos").alias("hit_pos"), F.when(use, F.col("amended")).when(new, F.coalesce("original", "pos")).otherwise(F.col("pos")).alias("pos"),
-        F.when(use, F.col("original")).when(new, F.col("amended")).alias("excluded_pos"), "score", "rank", "condition", new.alias("has_versions"),
-        (new & known).alias("dated"), use.alias("use_amended"), F.when(new & known, cite).alias("transitional"), note.alias("note"), (~F.coalesce(dropped, F.lit(False))).alias("kept"))
+        "qid", "clause_id", F.col("pos").alias("hit_pos"),
+        F.when(use, F.col("amended")).when(new, F.coalesce("original", "pos")).otherwise(F.col("pos")).alias("pos"),
+        F.when(use, F.col("original")).when(new, F.col("amended")).alias("excluded_pos"), "score", "rank", "condition",
+        new.alias("has_versions"),
+        (new & known).alias("dated"), use.alias("use_amended"), F.when(new & known, cite).alias("transitional"), note.alias("note"), (
+            ~F.coalesce(dropped, F.lit(False))
+        ).alias("kept"))
 
 
 def ordered(applicable: DataFrame) -> DataFrame:
@@ -74,24 +95,39 @@ def ordered(applicable: DataFrame) -> DataFrame:
 def with_fallback(applicable: DataFrame, hits: DataFrame) -> DataFrame:
     """Questions with no applicable hit keep their unresolved ones."""
     lost = hits.join(applicable.select("qid").distinct(), "qid", "left_anti")
-    return applicable.select("qid", "clause_id", "pos", "score", "rank").unionByName(lost.select("qid", "clause_id", "pos", "score", "rank"))
+    return applicable.select("qid", "clause_id", "pos", "score", "rank").unionByName(
+        lost.select("qid", "clause_id", "pos", "score", "rank")
+    )
 
 
 def missing_date(hits: DataFrame, contexts: DataFrame, clauses: DataFrame) -> DataFrame:
     """(qid, missing_type, missing_note) of undated questions that hit an amended clause."""
-    h = hits.join(contexts.where(~F.col("ctx.has_any_date")).select("qid"), "qid").join(amended_versions(clauses), "clause_id")
+    h = hits.join(
+        contexts.where(~F.col("ctx.has_any_date")).select("qid"), "qid"
+    ).join(amended_versions(clauses), "clause_id")
     g = h.groupBy("qid").agg(F.min_by(F.struct("clause_id", "condition", "amendment", "effective"), "rank").alias("a"))
     reporting = F.col("a.condition") == "change_date"
     note = F.when(reporting, "The reporting period depends on when the change of circumstances occurred.").otherwise(
-        F.concat(F.lit("§"), "a.clause_id", F.lit(" was amended by Amendment No. "), "a.amendment", F.lit(" effective "), F.date_format("a.effective", "d MMMM yyyy"), F.lit(". Applicability depends on determination date.")))
-    return g.select("qid", F.when(reporting, "change_date").otherwise("determination_date").alias("missing_type"), note.alias("missing_note"))
+        F.concat(
+            F.lit("§"), "a.clause_id", F.lit(" was amended by Amendment No. "), "a.amendment", F.lit(" effective "),
+            F.date_format("a.effective", "d MMMM yyyy"), F.lit(". Applicability depends on determination date.")
+        ))
+    return g.select(
+        "qid", F.when(reporting, "change_date").otherwise("determination_date").alias("missing_type"),
+        note.alias("missing_note")
+    )
 
 
 def transitional_citations(resolved: DataFrame, contexts: DataFrame, clauses: DataFrame) -> DataFrame:
     """(qid, transitional): distinct citations in order of first use."""
-    own = resolved.where("transitional is not null").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "transitional"))).alias("t"))
+    own = resolved.where("transitional is not null").groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "transitional"))).alias("t")
+    )
     last = clauses.agg(F.max("amendment_id").alias("_a"))
-    span = F.when(F.col("ctx.spans_boundary"), F.array(F.concat(F.lit("Amendment No. "), "_a", F.lit(" §" + PARAGRAPHS["spanning"])))).otherwise(F.array().cast("array<string>"))
+    span = F.when(
+        F.col("ctx.spans_boundary"),
+        F.array(F.concat(F.lit("Amendment No. "), "_a", F.lit(" §" + PARAGRAPHS["spanning"])))
+    ).otherwise(F.array().cast("array<string>"))
     j = contexts.join(own, "qid", "left").crossJoin(F.broadcast(last))
     mine = F.coalesce(F.transform("t", lambda x: x["transitional"]), F.array().cast("array<string>"))
     return j.select("qid", F.array_distinct(F.concat(mine, span)).alias("transitional"))

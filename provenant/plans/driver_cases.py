@@ -37,10 +37,22 @@ CASES = [
     (0, None, "ANSWER", None, REPORT_10, f"§4.3.2; {A52}"),
     (1, None, "ANSWER", None, f"{REPORT_14} [§4.3.2]\n\n{LATE_14} [§9.1.4]", f"§4.3.2; §9.1.4; {A52}"),
     (2, "What sum is the berth fee due for each month?", "ANSWER", None, FEE, "§1.2.2"),
-    (3, "How many days does a holder have to report a change of ownership?", "REFUSE", "MISSING_DATE_CONTEXT", render.REFUSALS["MISSING_DATE_CONTEXT"], ""),
-    (4, "Which choir performs the opera on Friday evening?", "REFUSE", "INSUFFICIENT_EVIDENCE", f"{render.REFUSALS['INSUFFICIENT_EVIDENCE']}\n\n({evidence.DETAIL_NONE})", ""),
-    (5, "Are apprentice skippers enrolled at the navigation school admitted?", "REFUSE", "AMBIGUOUS_POLICY", f"{render.REFUSALS['AMBIGUOUS_POLICY']}\n\n({GAP})", ""),
-    (6, "May a visiting yacht raft alongside a berth holder?", "REFUSE", "AMBIGUOUS_POLICY", f"{render.REFUSALS['AMBIGUOUS_POLICY']}\n\n({BARE})", ""),
+    (
+        3, "How many days does a holder have to report a change of ownership?", "REFUSE", "MISSING_DATE_CONTEXT",
+        render.REFUSALS["MISSING_DATE_CONTEXT"], ""
+    ),
+    (
+        4, "Which choir performs the opera on Friday evening?", "REFUSE", "INSUFFICIENT_EVIDENCE",
+        f"{render.REFUSALS['INSUFFICIENT_EVIDENCE']}\n\n({evidence.DETAIL_NONE})", ""
+    ),
+    (
+        5, "Are apprentice skippers enrolled at the navigation school admitted?", "REFUSE", "AMBIGUOUS_POLICY",
+        f"{render.REFUSALS['AMBIGUOUS_POLICY']}\n\n({GAP})", ""
+    ),
+    (
+        6, "May a visiting yacht raft alongside a berth holder?", "REFUSE", "AMBIGUOUS_POLICY",
+        f"{render.REFUSALS['AMBIGUOUS_POLICY']}\n\n({BARE})", ""
+    ),
     (7, "Which notice is late and incurs a penalty, for a determination made on 3 January 2026?", "CONFLICT", "CONFLICTING_POLICY",
      f"{render.CONFLICT_HEAD}§9.1.4 states: {LATE_30}\n\n§4.3.2 states: {REPORT_14}{render.CONFLICT_TAIL}", f"§9.1.4; §4.3.2; {A51}"),
     (8, SPAN_Q, "ANSWER", None, f"{TABLE} [§6.6.1]\n\n{RELIEF} [§6.4.1]", f"§6.6.1; §6.4.1; {A51}; {A53}"),
@@ -62,18 +74,24 @@ def answer_batch(spark, sf):
         ask = F.when(F.col("o_orderkey") % 8 == kind - 1, text).otherwise(ask)
     orders = table(spark, sf, "orders").select("o_orderkey", ask.alias("question"))
     a = engine.answer(orders.select("question").distinct().withColumn("qid", F.md5("question")), index)
-    return orders.join(a.drop("qid"), "question").select("o_orderkey", "question", "decision", "reason", "text", joined(F.col("citations"), "; ").alias("citations"))
+    return orders.join(a.drop("qid"), "question").select(
+        "o_orderkey", "question", "decision", "reason", "text", joined(F.col("citations"), "; ").alias("citations")
+    )
 
 
 _VIEW = [
-    ("fee", 1, "§1.2.2", "OK", ""), ("fee", 2, "§10.5.2", "insufficient", ""), ("fee", 3, "§2.1.1", "insufficient", ""), ("fee", 4, "§6.6.1", "insufficient", ""), ("fee", 5, "§6.4.1", "insufficient", ""),
+    ("fee", 1, "§1.2.2", "OK", ""), ("fee", 2, "§10.5.2", "insufficient", ""), ("fee", 3, "§2.1.1", "insufficient", ""),
+    ("fee", 4, "§6.6.1", "insufficient", ""), ("fee", 5, "§6.4.1", "insufficient", ""),
     ("gap", 1, "§2.1.2", "DEFERRED-UNRESOLVED", GAP),
-    ("bare", 1, "§2.1.3", "DEFERRED-UNRESOLVED", BARE), ("bare", 2, "§2.1.1", "insufficient", ""), ("bare", 3, "§2.1.2", "insufficient", ""),
+    ("bare", 1, "§2.1.3", "DEFERRED-UNRESOLVED", BARE), ("bare", 2, "§2.1.1", "insufficient", ""),
+    ("bare", 3, "§2.1.2", "insufficient", ""),
     ("both", 1, "§9.1.4", "OK", ""), ("both", 2, "§9.1.1", "OK", ""),
 ]
 
 
-@query(f"SELECT qid, CAST(rank AS INTEGER) AS rank, citation, state, notes FROM {sql_values(_VIEW, 'qid, rank, citation, state, notes')}")
+@query(
+    f"SELECT qid, CAST(rank AS INTEGER) AS rank, citation, state, notes FROM {sql_values(_VIEW, 'qid, rank, citation, state, notes')}"
+)
 def evidence_view(spark, sf):
     """What stands behind four answers: the evidence that was weighed, and its state."""
     asked = {"fee": 2, "gap": 5, "bare": 6, "both": 7}
@@ -92,7 +110,9 @@ CAST(8 * n_nationkey + 5 AS INTEGER) AS line_start, CAST(n_nationkey AS INTEGER)
 def manual_file(spark, sf):
     """A manual with a part for each nation, written as a file, read back and segmented."""
     with Scratch(spark) as tmp:
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.expr(_MANUAL).alias("t")))), lambda x: x["t"])
+        parts = F.transform(
+            F.array_sort(F.collect_list(F.struct("n_nationkey", F.expr(_MANUAL).alias("t")))), lambda x: x["t"]
+        )
         table(spark, sf, "nation").agg(joined(parts, "\n").alias("value")).coalesce(1).write.text(f"{tmp.path}/manual")
         c = sources.clause_table(sources.read_manuals(spark, f"{tmp.path}/manual"))
         return cut(c.select("clause_id", "section_title", "part_title", "text", "line_start", "pos"))
@@ -103,36 +123,59 @@ CASE WHEN n_regionkey = 0 THEN NULL ELSE n_regionkey || '.1.1' END AS clauses FR
 def questions_file(spark, sf):
     """Evaluation questions as one JSON array, written and read back."""
     row = F.struct(
-        F.expr("'Q' || n_nationkey").alias("id"), F.col("n_name").alias("category"), F.expr("'What of ' || n_name || '?'").alias("question"),
-        F.when(F.col("n_regionkey") == 0, "refuse").otherwise("answer").alias("expected_behavior"), F.when(F.col("n_regionkey") != 0, F.array(F.expr("n_regionkey || '.1.1'"))).alias("expected_clauses"))
+        F.expr("'Q' || n_nationkey").alias("id"), F.col("n_name").alias("category"),
+        F.expr("'What of ' || n_name || '?'").alias("question"),
+        F.when(F.col("n_regionkey") == 0, "refuse").otherwise("answer").alias("expected_behavior"), F.when(
+            F.col("n_regionkey") != 0, F.array(F.expr("n_regionkey || '.1.1'"))
+        ).alias("expected_clauses"))
     with Scratch(spark) as tmp:
-        table(spark, sf, "nation").agg(F.to_json(F.collect_list(row)).alias("value")).coalesce(1).write.text(f"{tmp.path}/questions")
+        table(spark, sf, "nation").agg(
+            F.to_json(F.collect_list(row)).alias("value")
+        ).coalesce(1).write.text(f"{tmp.path}/questions")
         q = sources.read_questions(spark, f"{tmp.path}/questions")
-        return cut(q.select("id", "category", "question", "expected_behavior", F.array_join("expected_clauses", " ").alias("clauses")))
+        return cut(
+            q.select(
+                "id", "category", "question", "expected_behavior",
+                F.array_join("expected_clauses", " ").alias("clauses")
+            )
+        )
 
 
 _RULES = [
-    ("2.1", "6.4.1", "$120", "$175", True, "determination_date"), ("2.2", "4.3.2", "10 calendar days", "14 calendar days", True, "change_date"),
-    ("2.3", "9.1.4", "30 days", "14 days", True, "change_date"), ("2.4", "10.5.2", "20 per cent", "15 per cent", False, "determination_date"),
+    ("2.1", "6.4.1", "$120", "$175", True, "determination_date"),
+    ("2.2", "4.3.2", "10 calendar days", "14 calendar days", True, "change_date"),
+    ("2.3", "9.1.4", "30 days", "14 days", True, "change_date"),
+    ("2.4", "10.5.2", "20 per cent", "15 per cent", False, "determination_date"),
 ]
 
 
-@query(f"SELECT paragraph, target, find, replacement, everywhere, condition, DATE '2026-03-01' AS effective_date FROM {sql_values(_RULES, 'paragraph, target, find, replacement, everywhere, condition')}")
+@query(
+    f"SELECT paragraph, target, find, replacement, everywhere, condition, DATE '2026-03-01' AS effective_date FROM {sql_values(_RULES, 'paragraph, target, find, replacement, everywhere, condition')}"
+)
 def amendment_rules(spark, sf):
     rule = sample.specs(spark).select("effective_date", F.explode("substitutions").alias("r"))
     return rule.select(
-        F.col("r.paragraph").alias("paragraph"), F.col("r.target_clause_id").alias("target"), F.col("r.find_text").alias("find"), F.col("r.replace_text").alias("replacement"),
+        F.col("r.paragraph").alias("paragraph"), F.col("r.target_clause_id").alias("target"),
+        F.col("r.find_text").alias("find"), F.col("r.replace_text").alias("replacement"),
         F.col("r.replace_all").alias("everywhere"), F.col("r.date_condition_type").alias("condition"), "effective_date")
 
 
 _PROVISIONS = [
-    ("A2026-01-5.1", A51, "Amended amounts apply to determinations made on or after the effective date.", "determination_date"),
-    ("A2026-01-5.2", A52, "The amended reporting period applies to changes occurring on or after the effective date.", "change_date"),
+    (
+        "A2026-01-5.1", A51, "Amended amounts apply to determinations made on or after the effective date.",
+        "determination_date"
+    ),
+    (
+        "A2026-01-5.2", A52,
+        "The amended reporting period applies to changes occurring on or after the effective date.", "change_date"
+    ),
     ("A2026-01-5.3", A53, "A period that spans the effective date is apportioned by day.", None),
 ]
 
 
-@query(f"SELECT clause_id, citation, text, condition, DATE '2026-03-01' AS effective_from FROM {sql_values(_PROVISIONS, 'clause_id, citation, text, condition')}")
+@query(
+    f"SELECT clause_id, citation, text, condition, DATE '2026-03-01' AS effective_from FROM {sql_values(_PROVISIONS, 'clause_id, citation, text, condition')}"
+)
 def transitional_rows(spark, sf):
     t = amend.transitional(sample.clauses(spark), sample.specs(spark))
     return t.select("clause_id", "citation", "text", F.col("date_condition_type").alias("condition"), "effective_from")
@@ -142,11 +185,15 @@ _SAVED = """SELECT CAST(p_partkey AS VARCHAR) AS clause_id, false AS is_amended_
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), true, p_type, 'Charge of ' || p_size || ' days' FROM part WHERE p_partkey BETWEEN 1 AND 40 UNION ALL SELECT '7A', true, p_type, 'inserted' FROM part WHERE p_partkey = 7"""
 
 
-@query(f"SELECT clause_id, is_amended_version, text, CAST(len(list_distinct({S.tokens('lexical')})) AS BIGINT) AS n_terms FROM (SELECT *, '§' || clause_id || ' ' || section_title || ' ' || text AS lexical FROM ({_SAVED}))")
+@query(
+    f"SELECT clause_id, is_amended_version, text, CAST(len(list_distinct({S.tokens('lexical')})) AS BIGINT) AS n_terms FROM (SELECT *, '§' || clause_id || ' ' || section_title || ' ' || text AS lexical FROM ({_SAVED}))"
+)
 def index_saved_and_loaded(spark, sf):
     """The index of a clause for each part, with amendments, written, read back and looked into."""
     with Scratch(spark) as tmp:
-        sources.save_index(engine.build_index(Q._clauses_of_parts(spark, sf), Q._rules_of_parts(spark)), f"{tmp.path}/index")
+        sources.save_index(
+            engine.build_index(Q._clauses_of_parts(spark, sf), Q._rules_of_parts(spark)), f"{tmp.path}/index"
+        )
         index = sources.load_index(spark, f"{tmp.path}/index")
         n = index["postings"].groupBy("pos").agg(F.count(F.lit(1)).alias("n_terms"))
         return cut(index["clauses"].join(n, "pos").select("clause_id", "is_amended_version", "text", "n_terms"))
@@ -157,7 +204,8 @@ def index_saved_and_loaded(spark, sf):
 _GRADED = "g AS (SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id, CASE n_nationkey % 3 WHEN 0 THEN 'answer' WHEN 1 THEN 'refuse' ELSE 'conflict' END AS e, CASE WHEN n_regionkey % 2 = 0 THEN 'answer' ELSE 'refuse' END AS a, n_nationkey % 2 = 0 AS has, n_nationkey % 4 <> 0 AS held FROM nation)"
 _RATES = " || ".join(
     f"'- {k}: ' || count(*) FILTER (WHERE {ok}) || '/' || count(*) FILTER (WHERE {among}) || chr(10)" for k, ok, among in (
-        ("total", "e = a AND (NOT has OR held)", "true"), ("answer", "e = a AND e = 'answer'", "e = 'answer'"), ("refuse", "e = a AND e = 'refuse'", "e = 'refuse'"),
+        ("total", "e = a AND (NOT has OR held)", "true"), ("answer", "e = a AND e = 'answer'", "e = 'answer'"),
+        ("refuse", "e = a AND e = 'refuse'", "e = 'refuse'"),
         ("conflict", "e = a AND e = 'conflict'", "e = 'conflict'"), ("citation", "has AND held", "has")))
 
 
@@ -168,8 +216,14 @@ def report_text(spark, sf):
     n, k = table(spark, sf, "nation"), F.col("n_nationkey")
     name = F.concat(F.lit("n"), F.lpad(k.cast("string"), 2, "0"))
     want = F.when(k % 3 == 0, "answer").when(k % 3 == 1, "refuse").otherwise("conflict")
-    cases = n.select(name.alias("id"), F.lit("c").alias("category"), want.alias("expected_behavior"), F.when(k % 2 == 0, F.array(F.lit("1.1.1"))).alias("expected_clauses"))
-    answers = n.select(name.alias("qid"), F.when(F.col("n_regionkey") % 2 == 0, "ANSWER").otherwise("REFUSE").alias("decision"), F.when(k % 4 != 0, F.array(F.lit("§1.1.1"))).otherwise(F.array(F.lit("§2.1.1"))).alias("citations"))
+    cases = n.select(
+        name.alias("id"), F.lit("c").alias("category"), want.alias("expected_behavior"),
+        F.when(k % 2 == 0, F.array(F.lit("1.1.1"))).alias("expected_clauses")
+    )
+    answers = n.select(
+        name.alias("qid"), F.when(F.col("n_regionkey") % 2 == 0, "ANSWER").otherwise("REFUSE").alias("decision"),
+        F.when(k % 4 != 0, F.array(F.lit("§1.1.1"))).otherwise(F.array(F.lit("§2.1.1"))).alias("citations")
+    )
     return spark.createDataFrame([(evaluate.report(evaluate.grade(cases, answers)),)], "report string")
 
 
@@ -178,8 +232,13 @@ FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orde
 def prompt_messages(spark, sf):
     """What a phrasing model would be asked: the question, and the cleaned evidence with its citations."""
     text = F.expr("'  The **' || l_returnflag || '**   rate' || chr(10) || chr(10) || 'is ' || l_suppkey")
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("text"), F.concat(F.lit("§"), F.col("l_partkey").cast("string")).alias("citation"))
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("i")).join(table(spark, sf, "orders"), "o_orderkey")
+    item = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"),
+        F.concat(F.lit("§"), F.col("l_partkey").cast("string")).alias("citation")
+    )
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(item)).alias("i")
+    ).join(table(spark, sf, "orders"), "o_orderkey")
     m = render.prompt(F.concat(F.lit("Why "), "o_orderpriority", F.lit("?")), F.col("i"))
     return g.select("o_orderkey", F.element_at(m, 2)["content"].alias("content"))
 
@@ -206,6 +265,9 @@ n AS (SELECT qid, bool_or(fails) AS unresolved, coalesce(string_agg(CASE WHEN NO
 SELECT x.qid, CASE WHEN k = 1 THEN true ELSE coalesce(n.unresolved, false) END AS unresolved, CASE WHEN k = 1 THEN '§own' || {S.lit(evidence.NOTE_BARE)} ELSE coalesce(n.notes, '') END AS notes FROM x LEFT JOIN n USING (qid)""")
 def deferrals_checked(spark, sf):
     """Clauses that defer to others which speak of the question, or do not, or do not exist."""
-    items = table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), F.expr(_ASK).alias("question"), F.lit(1).alias("pos"), F.lit("own").alias("clause_id"), F.expr(Q._DEFER).alias("text"))
+    items = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("qid"), F.expr(_ASK).alias("question"), F.lit(1).alias("pos"),
+        F.lit("own").alias("clause_id"), F.expr(Q._DEFER).alias("text")
+    )
     out = evidence.check_deferrals(items, Q._lookup(spark, sf), Settings())
     return out.select("qid", "unresolved", joined(F.col("notes"), "; ").alias("notes"))

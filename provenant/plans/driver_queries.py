@@ -58,20 +58,30 @@ def sql_values(rows: list[tuple], names: str) -> str:
 
 # ---------------------------------------------------------------- text
 
-@query(f"SELECT doc_id, CAST(len({S.raw_tokens('text')}) AS BIGINT) AS n_tokens, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents")
+@query(
+    f"SELECT doc_id, CAST(len({S.raw_tokens('text')}) AS BIGINT) AS n_tokens, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents"
+)
 def tokenize_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.raw_tokens("text")).cast("long").alias("n_tokens"), joined(T.tokens("text")).alias("tokens"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.size(T.raw_tokens("text")).cast("long").alias("n_tokens"), joined(T.tokens("text")).alias("tokens")
+    )
 
 
-@query(f"SELECT token, {S.stem('token')} AS stem, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({S.raw_tokens('text')}) AS token FROM documents) GROUP BY token")
+@query(
+    f"SELECT token, {S.stem('token')} AS stem, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({S.raw_tokens('text')}) AS token FROM documents) GROUP BY token"
+)
 def stem_vocab(spark, sf):
     t = table(spark, sf, "documents").select(F.explode(T.raw_tokens("text")).alias("token"))
-    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", T.stem(F.col("token")).alias("stem"), "n")
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(
+        "token", T.stem(F.col("token")).alias("stem"), "n"
+    )
 
 
 @query(f"SELECT doc_id, array_to_string({S.content_tokens('text')}, ' ') AS tokens FROM documents")
 def content_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", joined(F.array_sort(T.content_tokens("text"))).alias("tokens"))
+    return table(spark, sf, "documents").select(
+        "doc_id", joined(F.array_sort(T.content_tokens("text"))).alias("tokens")
+    )
 
 
 @query(f"SELECT doc_id, array_to_string({S.rerank_tokens('text')}, ' ') AS tokens FROM documents")
@@ -91,10 +101,15 @@ _REF_TEXT = "'Under § ' || (o_orderkey % 12 + 1) || '.' || (o_custkey % 9 + 1)
 array_to_string(regexp_extract_all(t, {S.lit(T.RERANK_REF)}, 1), ' ') AS loose_refs FROM (SELECT o_orderkey, {_REF_TEXT} AS t FROM orders)""")
 def clause_refs(spark, sf):
     t = table(spark, sf, "orders").select("o_orderkey", F.expr(_REF_TEXT).alias("t"))
-    return t.select("o_orderkey", joined(T.clause_refs("t")).alias("refs"), joined(T.clause_refs("t", T.RERANK_REF)).alias("loose_refs"))
+    return t.select(
+        "o_orderkey", joined(T.clause_refs("t")).alias("refs"),
+        joined(T.clause_refs("t", T.RERANK_REF)).alias("loose_refs")
+    )
 
 
-@query(f"SELECT o_orderkey, array_to_string(regexp_extract_all(t, {S.lit(T.CITATION)}, 1), ' ') AS refs FROM (SELECT o_orderkey, {_REF_TEXT} AS t FROM orders)")
+@query(
+    f"SELECT o_orderkey, array_to_string(regexp_extract_all(t, {S.lit(T.CITATION)}, 1), ' ') AS refs FROM (SELECT o_orderkey, {_REF_TEXT} AS t FROM orders)"
+)
 def extract_citations(spark, sf):
     t = table(spark, sf, "orders").select("o_orderkey", F.expr(_REF_TEXT).alias("t"))
     return t.select("o_orderkey", joined(T.citations("t")).alias("refs"))
@@ -125,20 +140,31 @@ def clean_text(spark, sf):
 FROM (SELECT conv_id, turn, '<think>' || role || '</think>' || text || CASE WHEN turn % 2 = 0 THEN '<think> open' ELSE '' END AS t FROM conversations)""")
 def strip_thinking(spark, sf):
     c = table(spark, sf, "conversations")
-    t = F.concat(F.lit("<think>"), "role", F.lit("</think>"), "text", F.when(F.col("turn") % 2 == 0, "<think> open").otherwise(""))
+    t = F.concat(
+        F.lit("<think>"), "role", F.lit("</think>"), "text",
+        F.when(F.col("turn") % 2 == 0, "<think> open").otherwise("")
+    )
     return c.select("conv_id", "turn", T.without_thinking(t).alias("answer"))
 
 
 @query(f"SELECT doc_id, source || '. ' || text AS embed_text, '§' || doc_id || ' ' || source || ' ' || text AS lexical_text FROM documents")  # noqa: F541
 def embed_text_concat(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", T.embed_text("source", "text").alias("embed_text"), T.lexical_text(F.concat(F.lit("§"), F.col("doc_id").cast("string")), "source", "text").alias("lexical_text"))
+    return d.select(
+        "doc_id", T.embed_text("source", "text").alias("embed_text"),
+        T.lexical_text(F.concat(F.lit("§"), F.col("doc_id").cast("string")), "source", "text").alias("lexical_text")
+    )
 
 
-@query(f"SELECT DISTINCT strftime(o_orderdate, '%B') AS name, CAST({S.month('o_m')} AS INTEGER) AS number, CAST({S.month('left(o_m, 3)')} AS INTEGER) AS short_number FROM (SELECT o_orderdate, strftime(o_orderdate, '%B') AS o_m FROM orders)")
+@query(
+    f"SELECT DISTINCT strftime(o_orderdate, '%B') AS name, CAST({S.month('o_m')} AS INTEGER) AS number, CAST({S.month('left(o_m, 3)')} AS INTEGER) AS short_number FROM (SELECT o_orderdate, strftime(o_orderdate, '%B') AS o_m FROM orders)"
+)
 def month_lookup(spark, sf):
     m = table(spark, sf, "orders").select(F.date_format("o_orderdate", "MMMM").alias("name")).distinct()
-    return m.select("name", D.month_number("name").alias("number"), D.month_number(F.concat(F.substring("name", 1, 3), F.lit("."))).alias("short_number"))
+    return m.select(
+        "name", D.month_number("name").alias("number"),
+        D.month_number(F.concat(F.substring("name", 1, 3), F.lit("."))).alias("short_number")
+    )
 
 
 # ---------------------------------------------------------------- segmentation
@@ -161,13 +187,24 @@ FROM w GROUP BY source, island HAVING max(CASE WHEN kind = 'clause' THEN 1 ELSE
 
 @query(_SEG_SQL)
 def segment_lines(spark, sf):
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_linestatus")])
-    lines = lines.select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line_no"), F.expr(_LINE).alias("line"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        *[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_linestatus")]
+    )
+    lines = lines.select(
+        F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line_no"), F.expr(_LINE).alias("line")
+    )
     s = segment.segment(lines)
-    return s.select("source", "clause_id", "part_title", "section_number", "text", F.col("order").alias("ord"), "line_start", "line_end")
+    return s.select(
+        "source", "clause_id", "part_title", "section_number", "text", F.col("order").alias("ord"), "line_start",
+        "line_end"
+    )
 
 
-_MARKERS = [(1, "# Part 4 — Duties"), (2, "# Part 5 - Fees  "), (3, "## 4.3 Reporting duties"), (4, "**4.3.2** A holder reports."), (5, "**1.4.3 Household** — all"), (6, "---"), (7, "--"), (8, "(a) item"), (9, "# Part x")]
+_MARKERS = [
+    (1, "# Part 4 — Duties"), (2, "# Part 5 - Fees  "), (3, "## 4.3 Reporting duties"),
+    (4, "**4.3.2** A holder reports."), (5, "**1.4.3 Household** — all"), (6, "---"), (7, "--"), (8, "(a) item"),
+    (9, "# Part x")
+]
 
 
 @query(rf"""SELECT i, CASE WHEN regexp_matches(line, '{segment.PART}') THEN 'part' WHEN regexp_matches(line, '{segment.SECTION}') THEN 'section' WHEN regexp_matches(line, '{segment.RULE}') THEN 'rule'
@@ -183,8 +220,11 @@ def marker_regexes(spark, sf):
 def clause_metadata(spark, sf):
     k = F.col("p_partkey").cast("string")
     p = table(spark, sf, "part").select(
-        "p_partkey", F.col("p_brand").alias("source"), F.concat(F.lit("§"), k, F.lit(".1.1")).alias("citation"), F.concat(k, F.lit(".1.1")).alias("clause_id"), F.concat(k, F.lit(".1")).alias("section_number"),
-        F.col("p_type").alias("section_title"), F.col("p_size").cast("string").alias("part_number"), F.col("p_name").alias("part_title"), F.when(F.col("p_size") % 2 == 0, "2026-01").alias("amendment_id"))
+        "p_partkey", F.col("p_brand").alias("source"), F.concat(F.lit("§"), k, F.lit(".1.1")).alias("citation"),
+        F.concat(k, F.lit(".1.1")).alias("clause_id"), F.concat(k, F.lit(".1")).alias("section_number"),
+        F.col("p_type").alias("section_title"), F.col("p_size").cast("string").alias("part_number"), F.col("p_name").alias("part_title"), F.when(
+            F.col("p_size") % 2 == 0, "2026-01"
+        ).alias("amendment_id"))
     pairs = F.transform(F.map_entries(segment.metadata(p)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return p.select("p_partkey", joined(pairs, ";").alias("meta"), segment.full_reference().alias("reference"))
 
@@ -196,8 +236,13 @@ step AS (SELECT doc_id, parts, 0 AS i, '' AS buf, CAST([] AS VARCHAR[]) AS done
 fin AS (SELECT doc_id, CASE WHEN buf <> '' THEN list_append(done, buf) ELSE done END AS done FROM step WHERE i = len(parts))
 SELECT doc_id, CAST(len(done) AS INTEGER) AS n_pieces, array_to_string(list_transform(done, lambda x: CAST(length(trim(x, ' ' || chr(10))) AS VARCHAR)), ' ') AS lengths FROM fin""")
 def split_oversized(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", segment.fragments(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("p"))
-    return d.select("doc_id", F.size("p").alias("n_pieces"), joined(F.transform("p", lambda x: F.char_length(x).cast("string"))).alias("lengths"))
+    d = table(spark, sf, "documents").select(
+        "doc_id", segment.fragments(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("p")
+    )
+    return d.select(
+        "doc_id", F.size("p").alias("n_pieces"),
+        joined(F.transform("p", lambda x: F.char_length(x).cast("string"))).alias("lengths")
+    )
 
 
 # ---------------------------------------------------------------- amendments
@@ -205,13 +250,17 @@ def split_oversized(spark, sf):
 _PART_TEXT = "'**' || p_type || '** of ' || p_type || ' at ' || p_size || ' days'"
 
 
-@query(f"SELECT p_partkey, replace(replace(t, '**' || p_type || '**', '**new ' || p_brand || '**'), p_type, 'new ' || p_brand) AS text FROM (SELECT *, {_PART_TEXT} AS t FROM part)")
+@query(
+    f"SELECT p_partkey, replace(replace(t, '**' || p_type || '**', '**new ' || p_brand || '**'), p_type, 'new ' || p_brand) AS text FROM (SELECT *, {_PART_TEXT} AS t FROM part)"
+)
 def substitute_all(spark, sf):
     p = table(spark, sf, "part").select("*", F.expr(_PART_TEXT).alias("t"))
     return p.select("p_partkey", amend.replaced_all("t", "p_type", F.concat(F.lit("new "), "p_brand")).alias("text"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN instr(t, p_type) > 0 THEN left(t, instr(t, p_type) - 1) || '$175' || substr(t, instr(t, p_type) + length(p_type)) ELSE t END AS text FROM (SELECT *, {_PART_TEXT} AS t FROM part)")
+@query(
+    f"SELECT p_partkey, CASE WHEN instr(t, p_type) > 0 THEN left(t, instr(t, p_type) - 1) || '$175' || substr(t, instr(t, p_type) + length(p_type)) ELSE t END AS text FROM (SELECT *, {_PART_TEXT} AS t FROM part)"
+)
 def substitute_first(spark, sf):
     p = table(spark, sf, "part").select("*", F.expr(_PART_TEXT).alias("t"))
     return p.select("p_partkey", amend.replaced_first("t", "p_type", F.lit("$175")).alias("text"))
@@ -230,29 +279,57 @@ def replace_table(spark, sf):
 def _clauses_of_parts(spark, sf) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     return table(spark, sf, "part").select(
-        k.alias("clause_id"), F.concat(F.lit("§"), k).alias("citation"), F.col("p_size").cast("string").alias("part_number"), F.col("p_brand").alias("part_title"), k.alias("section_number"), F.col("p_type").alias("section_title"),
-        F.concat(F.lit("Fee of "), F.col("p_size").cast("string"), F.lit(" days")).alias("text"), F.col("p_partkey").cast("int").alias("order"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("m").alias("source"),
-        F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.lit(None).cast("string").alias("amendment_id"), F.lit(None).cast("string").alias("amendment_paragraph"),
-        F.lit(False).alias("is_amended_version"), F.lit(None).cast("string").alias("date_condition_type"), F.col("p_partkey").cast("int").alias("pos"))
+        k.alias("clause_id"), F.concat(F.lit("§"), k).alias("citation"),
+        F.col("p_size").cast("string").alias("part_number"), F.col("p_brand").alias("part_title"),
+        k.alias("section_number"), F.col("p_type").alias("section_title"),
+        F.concat(F.lit("Fee of "), F.col("p_size").cast("string"), F.lit(" days")).alias("text"),
+        F.col("p_partkey").cast("int").alias("order"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"),
+        F.lit("m").alias("source"),
+        F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
+        F.lit(None).cast("string").alias("amendment_id"), F.lit(None).cast("string").alias("amendment_paragraph"),
+        F.lit(False).alias("is_amended_version"), F.lit(None).cast("string").alias(
+            "date_condition_type"
+        ), F.col("p_partkey").cast("int").alias("pos"))
 
 
 def _rules_of_parts(spark) -> DataFrame:
     from .. import sources
 
-    sub = [{"paragraph": f"2.{i}", "target_clause_id": str(i), "find_text": "Fee", "replace_text": "Charge", "replace_all": i % 2 == 0, "category": "c", "transitional_ref": "5.1", "date_condition_type": "change_date" if i % 2 else "determination_date"} for i in range(1, 41)]
-    ins = [{"paragraph": "4.1", "new_clause_id": "7A", "after_clause_id": "7", "text": "inserted", "category": "c", "transitional_ref": "5.1", "date_condition_type": "determination_date"}]
-    spec = {"amendment_id": "2026-01", "issued_date": "2026-02-12", "effective_date": "2026-03-01", "source_file": "a", "substitutions": sub, "table_replacements": [], "insertions": ins, "transitional_provisions": []}
+    sub = [
+        {
+            "paragraph": f"2.{i}", "target_clause_id": str(i), "find_text": "Fee", "replace_text": "Charge",
+            "replace_all": i % 2 == 0, "category": "c", "transitional_ref": "5.1",
+            "date_condition_type": "change_date" if i % 2 else "determination_date"
+        }
+        for i in range(1, 41)
+    ]
+    ins = [
+        {
+            "paragraph": "4.1", "new_clause_id": "7A", "after_clause_id": "7", "text": "inserted", "category": "c",
+            "transitional_ref": "5.1", "date_condition_type": "determination_date"
+        }
+    ]
+    spec = {
+        "amendment_id": "2026-01", "issued_date": "2026-02-12", "effective_date": "2026-03-01", "source_file": "a",
+        "substitutions": sub, "table_replacements": [], "insertions": ins, "transitional_provisions": []
+    }
     return sources.amendments(spark, [spec])
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS clause_id, CASE WHEN p_partkey BETWEEN 1 AND 40 THEN DATE '2026-02-28' END AS effective_to FROM part")
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS clause_id, CASE WHEN p_partkey BETWEEN 1 AND 40 THEN DATE '2026-02-28' END AS effective_to FROM part"
+)
 def supersede_versions(spark, sf):
     return amend.superseded(_clauses_of_parts(spark, sf), _rules_of_parts(spark)).select("clause_id", "effective_to")
 
 
-@query("""SELECT '7A' AS clause_id, p_brand AS part_title, p_type AS section_title, '7' AS part_number, CAST(9000 AS INTEGER) AS ord, DATE '2026-03-01' AS effective_from FROM part WHERE p_partkey = 7""")
+@query(
+    """SELECT '7A' AS clause_id, p_brand AS part_title, p_type AS section_title, '7' AS part_number, CAST(9000 AS INTEGER) AS ord, DATE '2026-03-01' AS effective_from FROM part WHERE p_partkey = 7"""
+)
 def insert_after(spark, sf):
-    return amend.insertions(_clauses_of_parts(spark, sf), _rules_of_parts(spark)).select("clause_id", "part_title", "section_title", "part_number", F.col("order").alias("ord"), "effective_from")
+    return amend.insertions(_clauses_of_parts(spark, sf), _rules_of_parts(spark)).select(
+        "clause_id", "part_title", "section_title", "part_number", F.col("order").alias("ord"), "effective_from"
+    )
 
 
 _VERSIONS = """SELECT CAST(p_partkey AS VARCHAR) AS clause_id, false AS is_amended_version, 'Fee of ' || p_size || ' days' AS text FROM part
@@ -261,18 +338,28 @@ UNION ALL SELECT CAST(p_partkey AS VARCHAR), true, 'Charge of ' || p_size || ' d
 
 @query(_VERSIONS)
 def union_versions(spark, sf):
-    return amend.versions(_clauses_of_parts(spark, sf), _rules_of_parts(spark)).select("clause_id", "is_amended_version", "text")
+    return amend.versions(
+        _clauses_of_parts(spark, sf), _rules_of_parts(spark)
+    ).select("clause_id", "is_amended_version", "text")
 
 
-@query(f"SELECT clause_id, max_by(text, is_amended_version) AS text, max(is_amended_version) AS is_amended_version FROM ({_VERSIONS}) GROUP BY clause_id")
+@query(
+    f"SELECT clause_id, max_by(text, is_amended_version) AS text, max(is_amended_version) AS is_amended_version FROM ({_VERSIONS}) GROUP BY clause_id"
+)
 def latest_version(spark, sf):
-    return amend.latest(amend.versions(_clauses_of_parts(spark, sf), _rules_of_parts(spark))).select("clause_id", "text", "is_amended_version")
+    return amend.latest(
+        amend.versions(_clauses_of_parts(spark, sf), _rules_of_parts(spark))
+    ).select("clause_id", "text", "is_amended_version")
 
 
 @query("""WITH v AS (SELECT l_orderkey % 500 AS clause_id, l_linenumber % 2 = 0 AS is_amended_version, l_orderkey * 10 + l_linenumber AS pos FROM lineitem)
 SELECT CAST(clause_id AS VARCHAR) AS clause_id, max(CASE WHEN NOT is_amended_version THEN pos END) AS original, max(CASE WHEN is_amended_version THEN pos END) AS amended FROM v GROUP BY clause_id""")
 def version_pairs(spark, sf):
-    v = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).cast("string").alias("clause_id"), (F.col("l_linenumber") % 2 == 0).alias("is_amended_version"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    v = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 500).cast("string").alias("clause_id"),
+        (F.col("l_linenumber") % 2 == 0).alias("is_amended_version"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")
+    )
     return amend.version_pairs(v)
 
 
@@ -284,17 +371,25 @@ df AS (SELECT term, count(*) AS df FROM f GROUP BY 1), st AS (SELECT count(*) AS
 post AS (SELECT f.doc_id, f.term, f.f, df.df, ln(1 + (n - df.df + 0.5) / (df.df + 0.5)) * f.f * 2.5 / (f.f + 1.5 * (0.25 + 0.75 * dl.dl / a)) AS w FROM f JOIN dl USING (doc_id) JOIN df USING (term) CROSS JOIN st)"""
 
 
-@query(f"WITH {_BM25} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(w), 3) AS total, round(max(w), 5) AS top FROM post GROUP BY doc_id")
+@query(
+    f"WITH {_BM25} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(w), 3) AS total, round(max(w), 5) AS top FROM post GROUP BY doc_id"
+)
 def bm25_postings(spark, sf):
     p = retrieve.bm25_postings(table(spark, sf, "documents"), "doc_id", "text")
-    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), r(F.sum("w"), 3).alias("total"), r(F.max("w")).alias("top"))
+    return p.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), r(F.sum("w"), 3).alias("total"), r(F.max("w")).alias("top")
+    )
 
 
-@query(f"WITH {_BM25} SELECT term, CAST(df AS BIGINT) AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st")
+@query(
+    f"WITH {_BM25} SELECT term, CAST(df AS BIGINT) AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st"
+)
 def bm25_df_idf(spark, sf):
     d = table(spark, sf, "documents")
     df = retrieve.document_frequency(retrieve.term_counts(d, "doc_id", T.tokens("text")))
-    return df.crossJoin(d.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", r(retrieve.bm25_idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return df.crossJoin(d.agg(F.count(F.lit(1)).alias("n"))).select(
+        "term", "df", r(retrieve.bm25_idf(F.col("n"), F.col("df")), 6).alias("idf")
+    )
 
 
 _TOPK = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)"
@@ -332,11 +427,18 @@ def max_default_idf(spark, sf):
 _GRAMS = f"SELECT doc_id, unnest({S.grams('w')}) AS term FROM (SELECT doc_id, {S.words('text')} AS w FROM documents)"
 
 
-@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_grams, CAST(count(DISTINCT term) AS BIGINT) AS n_distinct, CAST(sum(length(term)) AS BIGINT) AS n_chars FROM ({_GRAMS}) GROUP BY doc_id")
+@query(
+    f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_grams, CAST(count(DISTINCT term) AS BIGINT) AS n_distinct, CAST(sum(length(term)) AS BIGINT) AS n_chars FROM ({_GRAMS}) GROUP BY doc_id"
+)
 def bigrams(spark, sf):
-    g = table(spark, sf, "documents").select("doc_id", T.words("text").alias("w")).select("doc_id", F.explode(T.word_grams("w")).alias("term"))
+    g = table(spark, sf, "documents").select("doc_id", T.words("text").alias("w")).select(
+        "doc_id", F.explode(T.word_grams("w")).alias("term")
+    )
     one = g.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return one.groupBy("doc_id").agg(F.sum("n").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"), F.sum(F.col("n") * F.char_length("term")).alias("n_chars"))
+    return one.groupBy("doc_id").agg(
+        F.sum("n").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"),
+        F.sum(F.col("n") * F.char_length("term")).alias("n_chars")
+    )
 
 
 _VEC = f"""g AS ({_GRAMS}), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), gdf AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -344,10 +446,14 @@ idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 A
 raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), vec AS (SELECT doc_id, term, w / greatest(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 1e-12) AS w FROM raw)"""
 
 
-@query(f"WITH {_VEC} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(w), 3) AS total, round(max(w), 5) AS top FROM vec GROUP BY doc_id")
+@query(
+    f"WITH {_VEC} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(w), 3) AS total, round(max(w), 5) AS top FROM vec GROUP BY doc_id"
+)
 def tfidf_weights(spark, sf):
     v, _ = retrieve.tfidf_vectors(table(spark, sf, "documents"), "doc_id", "text")
-    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), r(F.sum("w"), 3).alias("total"), r(F.max("w")).alias("top"))
+    return v.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), r(F.sum("w"), 3).alias("total"), r(F.max("w")).alias("top")
+    )
 
 
 def _vector_hits(spark, sf, k):
@@ -383,7 +489,9 @@ fused AS (SELECT qid, key, doc_id, rrf, retriever, CAST(row_number() OVER (PARTI
 
 def _fused(spark, sf, key: Column) -> DataFrame:
     cols = lambda df, no, name: df.select("qid", F.lit(no).alias("list_no"), "rank", "doc_id", "score", F.lit(name).alias("retriever"))
-    hits = cols(_vector_hits(spark, sf, 12), 0, "vector").unionByName(cols(_bm25_hits(spark, sf, 12), 1, "bm25")).withColumn("key", key)
+    hits = cols(_vector_hits(spark, sf, 12), 0, "vector").unionByName(
+        cols(_bm25_hits(spark, sf, 12), 1, "bm25")
+    ).withColumn("key", key)
     f = retrieve.fuse(hits, SET, key="key", tie="doc_id")
     return f.select("qid", "key", "doc_id", r("score", 8).alias("rrf"), "retriever", "rank")
 
@@ -407,39 +515,66 @@ qt AS (SELECT qid, sum(w) AS total, count(*) AS n FROM qw GROUP BY qid),
 mt AS (SELECT lex.qid, lex.doc_id, count(rt.term) AS k, coalesce(sum(CASE WHEN rt.term IS NOT NULL THEN w END), 0) AS m FROM lex JOIN qw ON qw.qid = lex.qid LEFT JOIN rt ON rt.doc_id = lex.doc_id AND rt.term = qw.term GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_BM25}, {_BM25_HITS}, {_RERANK} SELECT mt.qid, mt.doc_id, round(least(0.7 * CASE WHEN k < 2 AND n > 1 THEN 0 ELSE m / total END + CASE WHEN list_has_any({S.numbers('b.text')}, {S.numbers('d.text')}) THEN 0.2 ELSE 0 END, 1.0), 5) AS score FROM mt JOIN qt USING (qid) JOIN benchmark b ON b.item_id = mt.qid JOIN documents d ON d.doc_id = mt.doc_id")
+@query(
+    f"WITH {_BM25}, {_BM25_HITS}, {_RERANK} SELECT mt.qid, mt.doc_id, round(least(0.7 * CASE WHEN k < 2 AND n > 1 THEN 0 ELSE m / total END + CASE WHEN list_has_any({S.numbers('b.text')}, {S.numbers('d.text')}) THEN 0.2 ELSE 0 END, 1.0), 5) AS score FROM mt JOIN qt USING (qid) JOIN benchmark b ON b.item_id = mt.qid JOIN documents d ON d.doc_id = mt.doc_id"
+)
 def rerank_scores(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", "source", "text").alias("p"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     hits = _bm25_hits(spark, sf, 12).select("qid", "doc_id")
     w = retrieve.weighted_questions(q, retrieve.rerank_idf(d, "p"))
     # the figures of a source's name ("src3") stand inside a word and are no numbers
-    return hits.join(d, "doc_id").join(w, "qid").select("qid", "doc_id", r(retrieve.relevance(F.col("p"), F.col("doc_id").cast("string"))).alias("score"))
+    return hits.join(d, "doc_id").join(w, "qid").select(
+        "qid", "doc_id", r(retrieve.relevance(F.col("p"), F.col("doc_id").cast("string"))).alias("score")
+    )
 
 
 @query(f"""SELECT o_orderkey, CASE WHEN list_has_any({S.numbers('q')}, {S.numbers('p')}) THEN 0.2 ELSE 0.0 END AS bonus, CASE WHEN list_contains(regexp_extract_all(q, {S.lit(T.RERANK_REF)}, 1), id) THEN 0.4 ELSE 0.0 END AS ref_bonus
 FROM (SELECT o_orderkey, 'within ' || (o_orderkey % 9) || ' days of §4.3.' || (o_orderkey % 4) AS q, 'pay 1,' || (o_custkey % 900 + 100) || ' in ' || (o_custkey % 9) || ' days' AS p, '4.3.' || (o_custkey % 4) AS id FROM orders)""")
 def number_bonus(spark, sf):
-    t = table(spark, sf, "orders").selectExpr("o_orderkey", "'within ' || (o_orderkey % 9) || ' days of §4.3.' || (o_orderkey % 4) AS q", "'pay 1,' || (o_custkey % 900 + 100) || ' in ' || (o_custkey % 9) || ' days' AS p", "'4.3.' || (o_custkey % 4) AS id")
-    return t.select("o_orderkey", F.when(F.arrays_overlap(T.numbers("q"), T.numbers("p")), 0.2).otherwise(0.0).alias("bonus"), F.when(F.array_contains(T.clause_refs("q", T.RERANK_REF), F.col("id")), 0.4).otherwise(0.0).alias("ref_bonus"))
-
-
-@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS INTEGER) AS rank FROM lineitem) WHERE rank <= 6 AND l_extendedprice > 0")
+    t = table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "'within ' || (o_orderkey % 9) || ' days of §4.3.' || (o_orderkey % 4) AS q",
+        "'pay 1,' || (o_custkey % 900 + 100) || ' in ' || (o_custkey % 9) || ' days' AS p",
+        "'4.3.' || (o_custkey % 4) AS id"
+    )
+    return t.select(
+        "o_orderkey", F.when(F.arrays_overlap(T.numbers("q"), T.numbers("p")), 0.2).otherwise(0.0).alias("bonus"),
+        F.when(F.array_contains(T.clause_refs("q", T.RERANK_REF), F.col("id")), 0.4).otherwise(0.0).alias("ref_bonus")
+    )
+
+
+@query(
+    "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS INTEGER) AS rank FROM lineitem) WHERE rank <= 6 AND l_extendedprice > 0"
+)
 def topk_per_key(spark, sf):
-    t = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    t = table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("score"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")
+    )
     return retrieve.top_k(t, SET.rerank_top_k, "l_suppkey", "pos").drop("pos")
 
 
 # ---------------------------------------------------------------- dates
 
 _FORMS = {
-    "date_iso": ("iso", "'Filed ' || {iso} || ' and 2026-02-30'", None), "date_dmy": ("dmy", "'Filed on ' || {d} || ' ' || {B} || ', ' || {Y} || ' and 31 June 2026'", None),
-    "date_mdy": ("mdy", "'Filed ' || {B} || ' ' || {d} || 'th, ' || {Y}", None), "date_short_mdy": ("short_mdy", "'Filed ' || {b} || '. ' || {d} || ' ' || {Y}", None),
-    "date_slash": ("slash", "'Filed ' || {d} || '/' || {m} || '/' || {Y}", None), "date_month_year": ("month_year", "'In ' || {B} || ' ' || {Y} || ' or ' || {d} || ' ' || {B} || ' ' || {Y}", None),
-    "date_short_month_year": ("short_month_year", "'In ' || {b} || '. ' || {Y}", None), "date_no_year": ("month_day", "'By ' || {B} || ' ' || {d} || ', and not ' || {B} || ' 3, ' || {Y}", None),
+    "date_iso": ("iso", "'Filed ' || {iso} || ' and 2026-02-30'", None),
+    "date_dmy": ("dmy", "'Filed on ' || {d} || ' ' || {B} || ', ' || {Y} || ' and 31 June 2026'", None),
+    "date_mdy": ("mdy", "'Filed ' || {B} || ' ' || {d} || 'th, ' || {Y}", None),
+    "date_short_mdy": ("short_mdy", "'Filed ' || {b} || '. ' || {d} || ' ' || {Y}", None),
+    "date_slash": ("slash", "'Filed ' || {d} || '/' || {m} || '/' || {Y}", None),
+    "date_month_year": ("month_year", "'In ' || {B} || ' ' || {Y} || ' or ' || {d} || ' ' || {B} || ' ' || {Y}", None),
+    "date_short_month_year": ("short_month_year", "'In ' || {b} || '. ' || {Y}", None),
+    "date_no_year": ("month_day", "'By ' || {B} || ' ' || {d} || ', and not ' || {B} || ' 3, ' || {Y}", None),
+}
+_SPARK = {
+    "iso": "date_format(o_orderdate, 'yyyy-MM-dd')", "d": "date_format(o_orderdate, 'd')",
+    "B": "date_format(o_orderdate, 'MMMM')", "b": "date_format(o_orderdate, 'MMM')",
+    "m": "date_format(o_orderdate, 'M')", "Y": "date_format(o_orderdate, 'yyyy')"
+}
+_DUCK = {
+    "iso": "strftime(o_orderdate, '%Y-%m-%d')", "d": "strftime(o_orderdate, '%-d')", "B": "strftime(o_orderdate, '%B')",
+    "b": "strftime(o_orderdate, '%b')", "m": "strftime(o_orderdate, '%-m')", "Y": "strftime(o_orderdate, '%Y')"
 }
-_SPARK = {"iso": "date_format(o_orderdate, 'yyyy-MM-dd')", "d": "date_format(o_orderdate, 'd')", "B": "date_format(o_orderdate, 'MMMM')", "b": "date_format(o_orderdate, 'MMM')", "m": "date_format(o_orderdate, 'M')", "Y": "date_format(o_orderdate, 'yyyy')"}
-_DUCK = {"iso": "strftime(o_orderdate, '%Y-%m-%d')", "d": "strftime(o_orderdate, '%-d')", "B": "strftime(o_orderdate, '%B')", "b": "strftime(o_orderdate, '%b')", "m": "strftime(o_orderdate, '%-m')", "Y": "strftime(o_orderdate, '%Y')"}
 
 
 def _dates_shown(c: Column) -> Column:
@@ -452,7 +587,9 @@ def _date_query(name: str, family: str, form: str) -> None:
         return t.select("o_orderkey", _dates_shown(D.families("t")[family]).alias("dates"))
 
     run.__name__ = name
-    query(f"SELECT o_orderkey, {S.shown(S.families('t')[family])} AS dates FROM (SELECT o_orderkey, {form.format(**_DUCK)} AS t FROM orders)")(run)
+    query(
+        f"SELECT o_orderkey, {S.shown(S.families('t')[family])} AS dates FROM (SELECT o_orderkey, {form.format(**_DUCK)} AS t FROM orders)"
+    )(run)
 
 
 for _name, (_family, _form, _) in _FORMS.items():
@@ -471,20 +608,28 @@ def dates_all(spark, sf):
 
 _QUESTION = """CASE o_orderkey % 6 WHEN 0 THEN 'How many days to report a change occurring on {x}?' WHEN 1 THEN 'What income threshold applies to a determination made on {x}, ?'
 WHEN 2 THEN 'What is due for a claim period running from {x} through 15 March 2026?' WHEN 3 THEN 'Is a report due as of {x}?' WHEN 4 THEN 'What is the fee on {x}?' ELSE 'What is the fee?' END"""
-_Q_SPARK = _QUESTION.replace("{x}", "' || " + _SPARK["d"] + " || ' ' || " + _SPARK["B"] + " || ' ' || " + _SPARK["Y"] + " || '")
-_Q_DUCK = _QUESTION.replace("{x}", "' || " + _DUCK["d"] + " || ' ' || " + _DUCK["B"] + " || ' ' || " + _DUCK["Y"] + " || '")
+_Q_SPARK = _QUESTION.replace(
+    "{x}", "' || " + _SPARK["d"] + " || ' ' || " + _SPARK["B"] + " || ' ' || " + _SPARK["Y"] + " || '"
+)
+_Q_DUCK = _QUESTION.replace(
+    "{x}", "' || " + _DUCK["d"] + " || ' ' || " + _DUCK["B"] + " || ' ' || " + _DUCK["Y"] + " || '"
+)
 
 
 def _questions(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.expr(_Q_SPARK).alias("question"))
 
 
-@query(f"SELECT o_orderkey, {S.date_type('question')} AS date_type FROM (SELECT o_orderkey, {_Q_DUCK} AS question FROM orders)")
+@query(
+    f"SELECT o_orderkey, {S.date_type('question')} AS date_type FROM (SELECT o_orderkey, {_Q_DUCK} AS question FROM orders)"
+)
 def date_type(spark, sf):
     return _questions(spark, sf).select("o_orderkey", D.date_type("question").alias("date_type"))
 
 
-@query(f"SELECT o_orderkey, {S.without_dates('question')} AS cleaned FROM (SELECT o_orderkey, {_Q_DUCK} AS question FROM orders)")
+@query(
+    f"SELECT o_orderkey, {S.without_dates('question')} AS cleaned FROM (SELECT o_orderkey, {_Q_DUCK} AS question FROM orders)"
+)
 def clean_dates(spark, sf):
     return _questions(spark, sf).select("o_orderkey", D.without_dates("question").alias("cleaned"))
 
@@ -498,17 +643,28 @@ CASE WHEN kind = 'period' THEN ds[1] END AS period_start, CASE WHEN kind = 'peri
 coalesce(change_date, determination_date, period_start) AS primary_date, CASE WHEN len(ds) > 0 THEN {S.without_dates('question')} ELSE question END AS cleaned FROM c""")
 def date_context(spark, sf):
     q = _questions(spark, sf).withColumn("d", D.dates("question")).withColumn("ctx", D.context("question", F.col("d")))
-    return q.select("o_orderkey", "ctx.change_date", "ctx.determination_date", "ctx.period_start", F.col("ctx.date_type_explicit").alias("explicit"), "ctx.has_any_date", "ctx.primary_date", F.col("ctx.cleaned_question").alias("cleaned"))
+    return q.select(
+        "o_orderkey", "ctx.change_date", "ctx.determination_date", "ctx.period_start",
+        F.col("ctx.date_type_explicit").alias("explicit"), "ctx.has_any_date", "ctx.primary_date",
+        F.col("ctx.cleaned_question").alias("cleaned")
+    )
 
 
 
 
-@query("""SELECT o_orderkey, coalesce(s < DATE '1996-03-01' AND e >= DATE '1996-03-01', false) AS spans FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_custkey % 400 AS INTEGER) AS e FROM orders)""")
+@query(
+    """SELECT o_orderkey, coalesce(s < DATE '1996-03-01' AND e >= DATE '1996-03-01', false) AS spans FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_custkey % 400 AS INTEGER) AS e FROM orders)"""
+)
 def period_spans(spark, sf):
     from dataclasses import replace
     from datetime import date
 
-    p = table(spark, sf, "orders").select("o_orderkey", F.array(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 400).cast("int"))).alias("d"))
+    p = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.array(
+            F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 400).cast("int"))
+        ).alias("d")
+    )
     ctx = D.context(F.lit("the claim period covers these days"), F.col("d"), replace(SET, boundary=date(1996, 3, 1)))
     return p.select("o_orderkey", ctx["spans_boundary"].alias("spans"))
 
@@ -521,7 +677,9 @@ _PLACE = "l_linenumber * CAST(10000000000 AS BIGINT) + l_partkey * 10000 + l_sup
 
 def _hits(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("qid"), F.concat(F.lit("c"), (F.col("l_partkey") % 7).cast("string")).alias("clause_id"), (F.col("l_partkey") % 7).cast("int").alias("pos"),
+        F.col("l_orderkey").alias("qid"),
+        F.concat(F.lit("c"), (F.col("l_partkey") % 7).cast("string")).alias("clause_id"),
+        (F.col("l_partkey") % 7).cast("int").alias("pos"),
         (F.col("l_discount") + 0.1).alias("score"), F.expr(_PLACE).alias("rank"))
 
 
@@ -532,16 +690,27 @@ def _hit_contexts(spark, sf) -> DataFrame:
     on = lambda k, name: F.when(kind == k, day).otherwise(none).alias(name)
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), F.struct(
         on(0, "change_date"), on(1, "determination_date"), on(3, "claim_date"), on(4, "period_start"),
-        (kind != 2).alias("has_any_date"), ((kind == 4) & (F.col("o_custkey") % 2 == 0)).alias("spans_boundary")).alias("ctx"))
+        (kind != 2).alias("has_any_date"), (
+            (kind == 4) & (F.col("o_custkey") % 2 == 0)
+        ).alias("spans_boundary")).alias("ctx"))
 
 
 #: c0 and c1 have a change-dated version, c2 and c3 a determination-dated one, c4 only an inserted one.
-_VERSION_ROWS = [("c0", False, None, 0), ("c1", False, None, 1), ("c2", False, None, 2), ("c3", False, None, 3), ("c5", False, None, 5), ("c6", False, None, 6), ("c0", True, "change_date", 10), ("c1", True, "change_date", 11), ("c2", True, "determination_date", 12), ("c3", True, "determination_date", 13), ("c4", True, "determination_date", 14)]
+_VERSION_ROWS = [
+    ("c0", False, None, 0), ("c1", False, None, 1), ("c2", False, None, 2), ("c3", False, None, 3),
+    ("c5", False, None, 5), ("c6", False, None, 6), ("c0", True, "change_date", 10), ("c1", True, "change_date", 11),
+    ("c2", True, "determination_date", 12), ("c3", True, "determination_date", 13),
+    ("c4", True, "determination_date", 14)
+]
 
 
 def _hit_clauses(spark) -> DataFrame:
-    v = values(spark, _VERSION_ROWS, "clause_id string, is_amended_version boolean, date_condition_type string, pos int")
-    return v.withColumn("effective_from", F.when(F.col("is_amended_version"), F.to_date(F.lit("1996-03-01")))).withColumn("amendment_id", F.when(F.col("is_amended_version"), F.lit("1996-01")))
+    v = values(
+        spark, _VERSION_ROWS, "clause_id string, is_amended_version boolean, date_condition_type string, pos int"
+    )
+    return v.withColumn(
+        "effective_from", F.when(F.col("is_amended_version"), F.to_date(F.lit("1996-03-01")))
+    ).withColumn("amendment_id", F.when(F.col("is_amended_version"), F.lit("1996-01")))
 
 
 _RES = f"""v AS (SELECT * FROM {sql_values(_VERSION_ROWS, 'clause_id, amended, cond, pos')}),
@@ -557,12 +726,19 @@ fin AS (SELECT *, CASE WHEN use_amended THEN new_ WHEN new_ IS NOT NULL THEN coa
 def _resolved(spark, sf):
     from dataclasses import replace
 
-    return temporal.resolve(_hits(spark, sf), _hit_contexts(spark, sf), _hit_clauses(spark), replace(SET, suppressed_clause="c0", suppressing_clause="c1"))
+    return temporal.resolve(
+        _hits(spark, sf), _hit_contexts(spark, sf), _hit_clauses(spark),
+        replace(SET, suppressed_clause="c0", suppressing_clause="c1")
+    )
 
 
-@query(f"WITH {_RES} SELECT qid, clause_id, chosen AS pos, coalesce(excluded, -1) AS excluded_pos, use_amended FROM fin")
+@query(
+    f"WITH {_RES} SELECT qid, clause_id, chosen AS pos, coalesce(excluded, -1) AS excluded_pos, use_amended FROM fin"
+)
 def asof_version(spark, sf):
-    return _resolved(spark, sf).select("qid", "clause_id", "pos", F.coalesce("excluded_pos", F.lit(-1)).alias("excluded_pos"), "use_amended")
+    return _resolved(spark, sf).select(
+        "qid", "clause_id", "pos", F.coalesce("excluded_pos", F.lit(-1)).alias("excluded_pos"), "use_amended"
+    )
 
 
 @query(f"""WITH {_RES} SELECT qid, clause_id, cond AS condition, CASE WHEN new_ IS NOT NULL AND day IS NOT NULL THEN 'Amendment No. 1996-01 §' || CASE WHEN cond = 'change_date' THEN '5.2' ELSE '5.1' END END AS transitional,
@@ -576,17 +752,23 @@ def first_hit_per_key(spark, sf):
     return temporal.first_per_key(_hits(spark, sf)).select("qid", "clause_id", "rank", "score")
 
 
-@query(f"WITH {_RES}, s AS (SELECT *, NOT coalesce(day IS NOT NULL AND NOT use_amended AND cond = 'change_date' AND clause_id = 'c0' AND max(CASE WHEN clause_id = 'c1' THEN 1 ELSE 0 END) OVER (PARTITION BY qid) = 1, false) AS kept FROM fin) SELECT qid, clause_id, kept FROM s")
+@query(
+    f"WITH {_RES}, s AS (SELECT *, NOT coalesce(day IS NOT NULL AND NOT use_amended AND cond = 'change_date' AND clause_id = 'c0' AND max(CASE WHEN clause_id = 'c1' THEN 1 ELSE 0 END) OVER (PARTITION BY qid) = 1, false) AS kept FROM fin) SELECT qid, clause_id, kept FROM s"
+)
 def suppress_pair(spark, sf):
     return _resolved(spark, sf).select("qid", "clause_id", "kept")
 
 
-@query(f"WITH {_RES} SELECT qid, clause_id, chosen AS pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) AS rank FROM (SELECT *, NOT coalesce(day IS NOT NULL AND NOT use_amended AND cond = 'change_date' AND clause_id = 'c0' AND max(CASE WHEN clause_id = 'c1' THEN 1 ELSE 0 END) OVER (PARTITION BY qid) = 1, false) AS kept FROM fin) WHERE kept")
+@query(
+    f"WITH {_RES} SELECT qid, clause_id, chosen AS pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) AS rank FROM (SELECT *, NOT coalesce(day IS NOT NULL AND NOT use_amended AND cond = 'change_date' AND clause_id = 'c0' AND max(CASE WHEN clause_id = 'c1' THEN 1 ELSE 0 END) OVER (PARTITION BY qid) = 1, false) AS kept FROM fin) WHERE kept"
+)
 def final_order(spark, sf):
     return temporal.ordered(_resolved(spark, sf)).select("qid", "clause_id", "pos", "rank")
 
 
-@query(f"WITH {_RES}, ap AS (SELECT qid, clause_id, chosen AS pos, score, rank FROM fin WHERE use_amended) SELECT * FROM ap UNION ALL SELECT qid, clause_id, pos, score, rank FROM h WHERE qid NOT IN (SELECT qid FROM ap)")
+@query(
+    f"WITH {_RES}, ap AS (SELECT qid, clause_id, chosen AS pos, score, rank FROM fin WHERE use_amended) SELECT * FROM ap UNION ALL SELECT qid, clause_id, pos, score, rank FROM h WHERE qid NOT IN (SELECT qid FROM ap)"
+)
 def temporal_fallback(spark, sf):
     return temporal.with_fallback(_resolved(spark, sf).where("use_amended"), _hits(spark, sf))
 
@@ -612,7 +794,10 @@ def append_citations(spark, sf):
 # ---------------------------------------------------------------- evidence
 
 def _items(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").cast("int").alias("rank"), r(F.col("l_discount") * 8, 4).alias("score"), (F.col("l_partkey") % 5 == 0).alias("unresolved"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("qid"), F.col("l_linenumber").cast("int").alias("rank"),
+        r(F.col("l_discount") * 8, 4).alias("score"), (F.col("l_partkey") % 5 == 0).alias("unresolved")
+    )
 
 
 _ITEMS = "i AS (SELECT l_orderkey AS qid, CAST(l_linenumber AS INTEGER) AS rank, round(l_discount * 8, 4) AS score, l_partkey % 5 = 0 AS unresolved FROM lineitem)"
@@ -628,13 +813,19 @@ def relevance_gate(spark, sf):
 
 @query(f"WITH {_JUDGED} SELECT qid, rank, support AS support_score, supporting FROM j")
 def support_margin(spark, sf):
-    return evidence.judge(_items(spark, sf)).select("qid", "rank", r("support_score", 6).alias("support_score"), "supporting")
+    return evidence.judge(_items(spark, sf)).select(
+        "qid", "rank", r("support_score", 6).alias("support_score"), "supporting"
+    )
 
 
-@query(f"WITH {_JUDGED} SELECT qid, bool_or(guard) AS guarded, CAST(sum(CASE WHEN supporting THEN 1 ELSE 0 END) AS BIGINT) AS n_supporting FROM j GROUP BY qid")
+@query(
+    f"WITH {_JUDGED} SELECT qid, bool_or(guard) AS guarded, CAST(sum(CASE WHEN supporting THEN 1 ELSE 0 END) AS BIGINT) AS n_supporting FROM j GROUP BY qid"
+)
 def deferred_guard(spark, sf):
     j = evidence.judge(_items(spark, sf))
-    return j.groupBy("qid").agg(F.max("guarded").alias("guarded"), F.count_if(F.col("supporting")).alias("n_supporting"))
+    return j.groupBy("qid").agg(
+        F.max("guarded").alias("guarded"), F.count_if(F.col("supporting")).alias("n_supporting")
+    )
 
 
 @query(f"""WITH {_JUDGED}, one AS (SELECT qid, rank, min(unresolved) AS unresolved, max(supporting) AS s, bool_or(unresolved) AS u FROM j WHERE score >= 0.12 GROUP BY qid, rank),
@@ -645,21 +836,35 @@ SELECT o_orderkey AS qid, coalesce(g.s, false) AS sufficient, CASE WHEN g.s IS N
 CASE WHEN g.s IS NULL THEN {S.lit(evidence.DETAIL_NONE)} WHEN NOT g.s AND g.u THEN d.gap WHEN NOT g.s THEN {S.lit(evidence.DETAIL_WEAK)} END AS detail FROM orders LEFT JOIN g ON g.qid = o_orderkey LEFT JOIN d ON d.qid = o_orderkey""")
 def evidence_outcome(spark, sf):
     """The first two notes of an order's items, by rank, are the gap that it states."""
-    j = evidence.judge(_items(spark, sf)).where(F.col("score") >= 0.12).groupBy("qid", "rank").agg(F.max("supporting").alias("supporting"), F.max("unresolved").alias("unresolved"))
+    j = evidence.judge(_items(spark, sf)).where(F.col("score") >= 0.12).groupBy("qid", "rank").agg(
+        F.max("supporting").alias("supporting"), F.max("unresolved").alias("unresolved")
+    )
     of = lambda what: F.concat(F.lit(f"{what} of "), F.col("rank").cast("string"))
-    j = j.withColumn("notes", F.when(F.col("unresolved"), F.array(of("first"), of("second"))).otherwise(F.array(of("aside"))))
+    j = j.withColumn(
+        "notes", F.when(F.col("unresolved"), F.array(of("first"), of("second"))).otherwise(F.array(of("aside")))
+    )
     return evidence.assess(table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid")), j)
 
 
 _DEFER = "'Where a claim is ' || CASE o_orderkey % 4 WHEN 0 THEN 'late (see §' || (o_custkey % 9 + 1) || '.' || (o_orderkey % 5) || '), it is dealt with separately' WHEN 1 THEN 'large; it is addressed separately.' WHEN 2 THEN 'Treated separately under §3.2.' || (o_custkey % 7) || ' and §5.1' ELSE 'small, nothing more' END"
-_PHRASES = [f"list_transform(range(1, len(regexp_extract_all(lower(t), {S.lit(p)}, 0)) + 1), lambda i: regexp_extract_all({S.window('t', S.start_of('lower(t)', p, 'i'), S.start_of('lower(t)', p, 'i') + ' + 40')}, {S.lit(T.CLAUSE_REF)}, 1))" for p in T.DEFERRALS]
-_BARE = " OR ".join(f"(instr(lower(t), {S.lit(p)}) > 0 AND NOT contains({S.window('t', f'instr(lower(t), {S.lit(p)}) - 6', f'instr(lower(t), {S.lit(p)}) + 39')}, '§'))" for p in T.BARE_DEFERRALS)
-
-
-@query(f"SELECT o_orderkey, array_to_string(flatten({' || '.join(_PHRASES)}), ' ') AS targets, ({_BARE}) AS bare FROM (SELECT o_orderkey, {_DEFER} AS t FROM orders)")
+_PHRASES = [
+    f"list_transform(range(1, len(regexp_extract_all(lower(t), {S.lit(p)}, 0)) + 1), lambda i: regexp_extract_all({S.window('t', S.start_of('lower(t)', p, 'i'), S.start_of('lower(t)', p, 'i') + ' + 40')}, {S.lit(T.CLAUSE_REF)}, 1))"
+    for p in T.DEFERRALS
+]
+_BARE = " OR ".join(
+    f"(instr(lower(t), {S.lit(p)}) > 0 AND NOT contains({S.window('t', f'instr(lower(t), {S.lit(p)}) - 6', f'instr(lower(t), {S.lit(p)}) + 39')}, '§'))"
+    for p in T.BARE_DEFERRALS
+)
+
+
+@query(
+    f"SELECT o_orderkey, array_to_string(flatten({' || '.join(_PHRASES)}), ' ') AS targets, ({_BARE}) AS bare FROM (SELECT o_orderkey, {_DEFER} AS t FROM orders)"
+)
 def deferral_targets(spark, sf):
     t = table(spark, sf, "orders").select("o_orderkey", F.expr(_DEFER).alias("t"))
-    return t.select("o_orderkey", joined(evidence.deferral_targets("t")).alias("targets"), evidence.bare_deferral("t").alias("bare"))
+    return t.select(
+        "o_orderkey", joined(evidence.deferral_targets("t")).alias("targets"), evidence.bare_deferral("t").alias("bare")
+    )
 
 
 _COND_TEXT = "'The rule is plain. Where the ' || o_orderpriority || ' claim, if late, is made by a child; or for a ' || o_orderstatus || ' claim (see §7.1) it is heard'"
@@ -678,7 +883,14 @@ def _lookup(spark, sf) -> DataFrame:
     """A clause for each part: sections of five, ids like 3.4.2."""
     k = F.col("p_partkey")
     section = F.concat((F.floor(k / 50) + 1).cast("string"), F.lit("."), (F.floor(k / 5) % 10 + 1).cast("string"))
-    return table(spark, sf, "part").select(F.concat(section, F.lit("."), (k % 5 + 1).cast("string")).alias("clause_id"), section.alias("section_number"), F.col("p_type").alias("section_title"), F.concat(F.lit("Pay within "), F.col("p_size").cast("string"), F.lit(" days for "), F.col("p_name")).alias("text"), k.cast("int").alias("pos"))
+    return table(spark, sf, "part").select(
+        F.concat(section, F.lit("."), (k % 5 + 1).cast("string")).alias("clause_id"), section.alias("section_number"),
+        F.col("p_type").alias("section_title"),
+        F.concat(
+            F.lit("Pay within "), F.col("p_size").cast("string"), F.lit(" days for "), F.col("p_name")
+        ).alias("text"),
+        k.cast("int").alias("pos")
+    )
 
 
 _LOOKUP = "lk AS (SELECT (p_partkey // 50 + 1) || '.' || (p_partkey // 5 % 10 + 1) || '.' || (p_partkey % 5 + 1) AS clause_id, (p_partkey // 50 + 1) || '.' || (p_partkey // 5 % 10 + 1) AS section, 'Pay within ' || p_size || ' days for ' || p_name AS text, CAST(p_partkey AS INTEGER) AS pos, p_size FROM part)"
@@ -687,23 +899,35 @@ _TARGETS = f"rf AS (SELECT o_orderkey AS qid, {_REF} AS ref FROM orders), tg AS
 
 
 def _ref_items(spark, sf) -> DataFrame:
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), F.lit(1).alias("rank"), F.lit("own").alias("clause_id"), F.concat(F.lit("A notice given after the "), (F.col("o_custkey") % 50).cast("string"), F.lit(" days required under §"), F.expr(_REF), F.lit(" is late.")).alias("text"))
-
-
-@query(f"WITH {_LOOKUP}, {_TARGETS} SELECT qid, ref, clause_id AS t_id FROM tg UNION ALL SELECT qid, ref, NULL FROM rf WHERE qid NOT IN (SELECT qid FROM tg)")
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("qid"), F.lit(1).alias("rank"), F.lit("own").alias("clause_id"),
+        F.concat(
+            F.lit("A notice given after the "), (F.col("o_custkey") % 50).cast("string"),
+            F.lit(" days required under §"), F.expr(_REF), F.lit(" is late.")
+        ).alias("text")
+    )
+
+
+@query(
+    f"WITH {_LOOKUP}, {_TARGETS} SELECT qid, ref, clause_id AS t_id FROM tg UNION ALL SELECT qid, ref, NULL FROM rf WHERE qid NOT IN (SELECT qid FROM tg)"
+)
 def section_prefix(spark, sf):
     refs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), F.expr(_REF).alias("ref"))
     return evidence.targets_of(refs, _lookup(spark, sf)).select("qid", "ref", "t_id")
 
 
-@query(f"WITH {_LOOKUP}, {_TARGETS} SELECT qid, clause_id FROM tg WHERE clause_id NOT LIKE '1.%' UNION ALL SELECT o_orderkey, 'own' FROM orders")
+@query(
+    f"WITH {_LOOKUP}, {_TARGETS} SELECT qid, clause_id FROM tg WHERE clause_id NOT LIKE '1.%' UNION ALL SELECT o_orderkey, 'own' FROM orders"
+)
 def xref_expand(spark, sf):
     items, lookup = _ref_items(spark, sf), _lookup(spark, sf)
     excluded = items.select("qid").crossJoin(F.broadcast(lookup.where("clause_id like '1.%'").select("clause_id")))
     return contradict.expand(items, lookup, excluded).select("qid", "clause_id")
 
 
-@query(f"WITH {_LOOKUP}, {_TARGETS} SELECT qid, clause_id AS b_id, 'day' AS unit, CAST(o_custkey % 50 AS VARCHAR) AS value_a, CAST(p_size AS VARCHAR) AS value_b FROM tg JOIN orders ON o_orderkey = qid WHERE p_size <> o_custkey % 50")
+@query(
+    f"WITH {_LOOKUP}, {_TARGETS} SELECT qid, clause_id AS b_id, 'day' AS unit, CAST(o_custkey % 50 AS VARCHAR) AS value_a, CAST(p_size AS VARCHAR) AS value_b FROM tg JOIN orders ON o_orderkey = qid WHERE p_size <> o_custkey % 50"
+)
 def assertion_mismatch(spark, sf):
     c = _ref_items(spark, sf).withColumn("idx", F.col("rank"))
     return contradict.asserted(c, _lookup(spark, sf)).select("qid", "b_id", "unit", "value_a", "value_b")
@@ -719,20 +943,37 @@ p AS (SELECT a.qid, a.clause_id AS a_id, b.clause_id AS b_id, a.v AS value_a, b.
 
 
 def _pair_candidates(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("idx"), F.col("l_linenumber").cast("string").alias("clause_id"), F.expr(_PAIR_TEXT).alias("text"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("idx"),
+        F.col("l_linenumber").cast("string").alias("clause_id"), F.expr(_PAIR_TEXT).alias("text")
+    )
 
 
-@query(f"WITH {_PAIRS} SELECT qid, a_id, b_id, 'day' AS unit, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b")
+@query(
+    f"WITH {_PAIRS} SELECT qid, a_id, b_id, 'day' AS unit, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b"
+)
 def numeric_mismatch_pairs(spark, sf):
     """Wordings on both sides of the overlap that counts, with and without modifiers."""
     none = values(spark, [], "qid long, a_id string, b_id string")
-    return contradict.mismatched(_pair_candidates(spark, sf), none).select("qid", "a_id", "b_id", "unit", "value_a", "value_b")
+    return contradict.mismatched(_pair_candidates(spark, sf), none).select(
+        "qid", "a_id", "b_id", "unit", "value_a", "value_b"
+    )
 
 
-@query(f"WITH {_PAIRS} SELECT qid, a_id, b_id, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b AND NOT (qid % 2 = 0 AND (a_id, b_id) IN (('1', '2'), ('3', '4')))")
+@query(
+    f"WITH {_PAIRS} SELECT qid, a_id, b_id, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b AND NOT (qid % 2 = 0 AND (a_id, b_id) IN (('1', '2'), ('3', '4')))"
+)
 def found_pairs_left_out(spark, sf):
     """Pairs that were found before, in either order of their ids, do not come again."""
-    found = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("qid"), F.explode(F.array(F.struct(F.lit("2").alias("a_id"), F.lit("1").alias("b_id")), F.struct(F.lit("3").alias("a_id"), F.lit("4").alias("b_id")))).alias("p")).select("qid", "p.*")
+    found = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(
+        F.col("o_orderkey").alias("qid"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("2").alias("a_id"), F.lit("1").alias("b_id")),
+                F.struct(F.lit("3").alias("a_id"), F.lit("4").alias("b_id"))
+            )
+        ).alias("p")
+    ).select("qid", "p.*")
     return contradict.mismatched(_pair_candidates(spark, sf), found).select("qid", "a_id", "b_id", "value_a", "value_b")
 
 
@@ -743,24 +984,42 @@ SELECT a, b, round(k / (len(x.t) + len(y.t) - k), 6) AS jaccard FROM p JOIN t x
 def jaccard_pairs(spark, sf):
     """Benchmark texts and beginnings of them, of one to four fifths."""
     t = table(spark, sf, "benchmark").select("item_id", "text")
-    part = t.select((F.col("item_id") + 1_000_000).alias("item_id"), F.expr("substring(text, 1, cast(char_length(text) * (item_id % 4 + 1) div 5 as int))").alias("text"))
-    tail = F.when(F.col("item_id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), (F.col("item_id") % 5).cast("string"), F.lit("th clause")))
+    part = t.select(
+        (F.col("item_id") + 1_000_000).alias("item_id"),
+        F.expr("substring(text, 1, cast(char_length(text) * (item_id % 4 + 1) div 5 as int))").alias("text")
+    )
+    tail = F.when(F.col("item_id") % 3 == 0, "").otherwise(
+        F.concat(F.lit(" "), (F.col("item_id") % 5).cast("string"), F.lit("th clause"))
+    )
     t = t.unionByName(part).select("item_id", T.content_tokens(F.concat("text", tail)).alias("t"))
     return contradict.overlapping(t, "item_id", "t").select("a", "b", r("jaccard", 6).alias("jaccard"))
 
 
 # ---------------------------------------------------------------- decisions and texts
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'CONFLICT' WHEN o_custkey % 2 = 0 THEN 'ANSWER' ELSE 'REFUSE' END AS decision FROM orders")
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'CONFLICT' WHEN o_custkey % 2 = 0 THEN 'ANSWER' ELSE 'REFUSE' END AS decision FROM orders"
+)
 def decision_precedence(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", render.decision(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") % 2 == 0).alias("decision"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", render.decision(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") % 2 == 0).alias("decision")
+    )
 
 
 @query("""SELECT l_orderkey, CASE WHEN count(*) = 1 THEN max(t) ELSE string_agg(t || ' [§' || l_partkey || ']', chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) END AS text
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'The ' || l_returnflag || ' rate' || chr(10) || 'is ' || l_suppkey AS t FROM lineitem) GROUP BY l_orderkey""")
 def render_answer(spark, sf):
     text = F.expr("'  The **' || l_returnflag || '**   rate' || chr(10) || chr(10) || 'is ' || l_suppkey")
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("text"), F.concat(F.lit("§"), F.col("l_partkey").cast("string")).alias("citation")))).alias("i"))
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"),
+                    F.concat(F.lit("§"), F.col("l_partkey").cast("string")).alias("citation")
+                )
+            )
+        ).alias("i")
+    )
     return g.select("l_orderkey", render.answer_text("i").alias("text"))
 
 
@@ -770,7 +1029,10 @@ _REASON = "CASE o_orderkey % 5 WHEN 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN 1 THEN '
 @query(f"""SELECT o_orderkey, CASE reason {' '.join(f'WHEN {S.lit(k)} THEN {S.lit(v)}' for k, v in render.refusals('Harbour').items())} ELSE {S.lit(render.REFUSALS['INSUFFICIENT_EVIDENCE'])} END
 || CASE WHEN o_custkey % 2 = 0 AND reason <> 'MISSING_DATE_CONTEXT' THEN chr(10) || chr(10) || '(' || o_orderpriority || ')' ELSE '' END AS text FROM (SELECT *, {_REASON} AS reason FROM orders)""")
 def refusal_text(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.expr(_REASON).alias("reason"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).alias("detail"))
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.expr(_REASON).alias("reason"),
+        F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).alias("detail")
+    )
     return o.select("o_orderkey", render.refusal_text("reason", "detail", "Harbour").alias("text"))
 
 
@@ -780,9 +1042,14 @@ SELECT p.qid, CAST(count(*) AS BIGINT) AS n_blocks, (SELECT string_agg('§' || c
 def conflict_texts(spark, sf):
     a, b = (F.col("l_partkey") % 4).cast("string"), (F.col("l_suppkey") % 4).cast("string")
     f = table(spark, sf, "lineitem").where("l_partkey % 4 <> l_suppkey % 4").select(
-        F.col("l_orderkey").alias("qid"), F.lit(0).alias("stage"), F.lpad(F.expr(_PLACE).cast("string"), 20, "0").alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(0).alias("o4"), a.alias("a_id"), F.lit("x").alias("a_text"), b.alias("b_id"), F.lit("y").alias("b_text"))
+        F.col("l_orderkey").alias("qid"), F.lit(0).alias("stage"), F.lpad(
+            F.expr(_PLACE).cast("string"), 20, "0"
+        ).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(0).alias("o4"), a.alias("a_id"), F.lit("x").alias("a_text"), b.alias("b_id"), F.lit("y").alias("b_text"))
     t = render.conflict_texts(f)
-    return t.select("qid", (F.size(F.split("conflict_text", " states: ")) / 2).cast("long").alias("n_blocks"), joined(F.col("conflict_citations")).alias("citations"))
+    return t.select(
+        "qid", (F.size(F.split("conflict_text", " states: ")) / 2).cast("long").alias("n_blocks"),
+        joined(F.col("conflict_citations")).alias("citations")
+    )
 
 
 @query(f"""WITH {_LOOKUP}, a AS (SELECT o_orderkey AS qid, (o_custkey % 4 + 1) || '.1.' || (o_orderkey % 7 + 1) AS c1, (o_custkey % 4 + 1) || '.2' AS c2, (o_custkey % 4 + 1) || '.1.1' AS own FROM orders),
@@ -793,7 +1060,11 @@ SELECT qid, string_agg(c, ' ' ORDER BY i) AS checked, coalesce(string_agg(c, ' '
 count(*) FILTER (WHERE NOT known OR NOT held) = 0 AS valid FROM s GROUP BY qid""")
 def validate_citations(spark, sf):
     base = "(o_custkey % 4 + 1)"
-    a = table(spark, sf, "orders").selectExpr("o_orderkey AS qid", f"'By §' || {base} || '.1.' || (o_orderkey % 7 + 1) || ' and § ' || {base} || '.2' AS text", f"array({base} || '.1.1') AS supporting")
+    a = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS qid",
+        f"'By §' || {base} || '.1.' || (o_orderkey % 7 + 1) || ' and § ' || {base} || '.2' AS text",
+        f"array({base} || '.1.1') AS supporting"
+    )
     lookup = _lookup(spark, sf).withColumn("amendment_paragraph", F.lit(None).cast("string"))
     v = render.validate_citations(a, lookup)
     return v.select("qid", *[joined(F.col(c)).alias(c) for c in ("checked", "invalid", "unsupported")], "valid")
@@ -806,8 +1077,17 @@ CAST(count(*) FILTER (WHERE has AND cit) AS BIGINT) AS citation_ok, CAST(count(*
 def grade_metrics(spark, sf):
     t = table(spark, sf, "labels")
     kind = F.when(F.col("doc_id") % 3 == 0, "answer").when(F.col("doc_id") % 3 == 1, "refuse").otherwise("conflict")
-    cases = t.select(F.col("doc_id").cast("string").alias("id"), F.lit("c").alias("category"), kind.alias("expected_behavior"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("1.1.1"))).alias("expected_clauses"))
-    answers = t.select(F.col("doc_id").cast("string").alias("qid"), F.when(F.col("quality") == 1, "ANSWER").otherwise("REFUSE").alias("decision"), F.when(F.col("toxic") == 0, F.array(F.lit("§1.1.1"), F.lit("§2.1.1"))).otherwise(F.array(F.lit("§2.1.1"))).alias("citations"))
+    cases = t.select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("c").alias("category"), kind.alias("expected_behavior"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("1.1.1"))).alias("expected_clauses")
+    )
+    answers = t.select(
+        F.col("doc_id").cast("string").alias("qid"),
+        F.when(F.col("quality") == 1, "ANSWER").otherwise("REFUSE").alias("decision"),
+        F.when(
+            F.col("toxic") == 0, F.array(F.lit("§1.1.1"), F.lit("§2.1.1"))
+        ).otherwise(F.array(F.lit("§2.1.1"))).alias("citations")
+    )
     return evaluate.metrics(evaluate.grade(cases, answers))
 
 
@@ -818,9 +1098,13 @@ def ordered_distinct(spark, sf):
     return d.where(F.size("t") > 0).select("doc_id", joined(F.col("t")).alias("tokens"))
 
 
-@query("SELECT CAST(count(DISTINCT source) AS BIGINT) AS n_sources, CAST(count(DISTINCT lang) AS BIGINT) AS n_langs FROM documents")
+@query(
+    "SELECT CAST(count(DISTINCT source) AS BIGINT) AS n_sources, CAST(count(DISTINCT lang) AS BIGINT) AS n_langs FROM documents"
+)
 def part_count(spark, sf):
-    return table(spark, sf, "documents").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_langs"))
+    return table(spark, sf, "documents").agg(
+        F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_langs")
+    )
 
 
 from . import driver_cases  # noqa: E402, F401  registers its queries here

@@ -103,23 +103,59 @@ End of the consolidated text.
 """
 
 AMENDMENT = {
-    "amendment_id": "2026-01", "issued_date": "2026-02-12", "effective_date": "2026-03-01", "source_file": "Amendment No. 2026-01.md",
+    "amendment_id": "2026-01", "issued_date": "2026-02-12", "effective_date": "2026-03-01",
+    "source_file": "Amendment No. 2026-01.md",
     "substitutions": [
-        {"paragraph": "2.1", "target_clause_id": "6.4.1", "find_text": "$120", "replace_text": "$175", "replace_all": True, "category": "fees", "transitional_ref": "5.1", "date_condition_type": "determination_date"},
-        {"paragraph": "2.2", "target_clause_id": "4.3.2", "find_text": "10 calendar days", "replace_text": "14 calendar days", "replace_all": True, "category": "reporting", "transitional_ref": "5.2", "date_condition_type": "change_date"},
-        {"paragraph": "2.3", "target_clause_id": "9.1.4", "find_text": "30 days", "replace_text": "14 days", "replace_all": True, "category": "reporting", "transitional_ref": "5.2", "date_condition_type": "change_date"},
-        {"paragraph": "2.4", "target_clause_id": "10.5.2", "find_text": "20 per cent", "replace_text": "15 per cent", "replace_all": False, "category": "sanctions", "transitional_ref": "5.1", "date_condition_type": "determination_date"},
+        {
+            "paragraph": "2.1", "target_clause_id": "6.4.1", "find_text": "$120", "replace_text": "$175",
+            "replace_all": True, "category": "fees", "transitional_ref": "5.1",
+            "date_condition_type": "determination_date"
+        },
+        {
+            "paragraph": "2.2", "target_clause_id": "4.3.2", "find_text": "10 calendar days",
+            "replace_text": "14 calendar days", "replace_all": True, "category": "reporting", "transitional_ref": "5.2",
+            "date_condition_type": "change_date"
+        },
+        {
+            "paragraph": "2.3", "target_clause_id": "9.1.4", "find_text": "30 days", "replace_text": "14 days",
+            "replace_all": True, "category": "reporting", "transitional_ref": "5.2",
+            "date_condition_type": "change_date"
+        },
+        {
+            "paragraph": "2.4", "target_clause_id": "10.5.2", "find_text": "20 per cent", "replace_text": "15 per cent",
+            "replace_all": False, "category": "sanctions", "transitional_ref": "5.1",
+            "date_condition_type": "determination_date"
+        },
     ],
     "table_replacements": [
-        {"paragraph": "3.1", "target_clause_id": "6.6.1", "new_table": "| Length | Fee |\n|---|---|\n| up to 6 m | $1,225 |\n| over 6 m | $1,510 |", "category": "fees", "transitional_ref": "5.1", "date_condition_type": "determination_date"},
+        {
+            "paragraph": "3.1", "target_clause_id": "6.6.1",
+            "new_table": "| Length | Fee |\n|---|---|\n| up to 6 m | $1,225 |\n| over 6 m | $1,510 |",
+            "category": "fees", "transitional_ref": "5.1", "date_condition_type": "determination_date"
+        },
     ],
     "insertions": [
-        {"paragraph": "4.1", "new_clause_id": "10.5.3A", "after_clause_id": "10.5.3", "text": "A suspension is waived where the breach was caused by a rescue at sea.", "category": "sanctions", "transitional_ref": "5.1", "date_condition_type": "determination_date"},
+        {
+            "paragraph": "4.1", "new_clause_id": "10.5.3A", "after_clause_id": "10.5.3",
+            "text": "A suspension is waived where the breach was caused by a rescue at sea.", "category": "sanctions",
+            "transitional_ref": "5.1", "date_condition_type": "determination_date"
+        },
     ],
     "transitional_provisions": [
-        {"provision_id": "5.1", "text": "Amended amounts apply to determinations made on or after the effective date.", "applies_to_categories": ["fees", "sanctions"], "date_condition_type": "determination_date"},
-        {"provision_id": "5.2", "text": "The amended reporting period applies to changes occurring on or after the effective date.", "applies_to_categories": ["reporting"], "date_condition_type": "change_date"},
-        {"provision_id": "5.3", "text": "A period that spans the effective date is apportioned by day.", "applies_to_categories": ["fees"], "date_condition_type": None},
+        {
+            "provision_id": "5.1",
+            "text": "Amended amounts apply to determinations made on or after the effective date.",
+            "applies_to_categories": ["fees", "sanctions"], "date_condition_type": "determination_date"
+        },
+        {
+            "provision_id": "5.2",
+            "text": "The amended reporting period applies to changes occurring on or after the effective date.",
+            "applies_to_categories": ["reporting"], "date_condition_type": "change_date"
+        },
+        {
+            "provision_id": "5.3", "text": "A period that spans the effective date is apportioned by day.",
+            "applies_to_categories": ["fees"], "date_condition_type": None
+        },
     ],
 }
 
@@ -135,7 +171,10 @@ QUESTIONS = [
     ("gap", "Are apprentice skippers enrolled at the navigation school admitted?"),
     ("bare", "May a visiting yacht raft alongside a berth holder?"),
     ("rescue", "Is a suspension waived for a breach caused by a rescue at sea, determination made on 10 April 2026?"),
-    ("span", "What is the monthly berth fee by length for a claim period running from 15 February 2026 to 15 March 2026?"),
+    (
+        "span",
+        "What is the monthly berth fee by length for a claim period running from 15 February 2026 to 15 March 2026?"
+    ),
 ]
 
 

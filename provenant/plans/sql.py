@@ -94,7 +94,10 @@ def families(x: str) -> dict[str, str]:
         "dmy": family(x, D.DMY, 3, day("<c>", month("<b>"), "<a>")),
         "mdy": family(x, D.MDY, 3, day("<c>", month("<a>"), "<b>")),
         "short_mdy": family(x, D.SHORT_MDY, 3, day("<c>", month("<a>"), "<b>")),
-        "slash": family(x, D.SLASH, 3, f"CASE WHEN CAST(<a> AS INT) > 12 THEN {day('<c>', '<b>', '<a>')} ELSE {day('<c>', '<a>', '<b>')} END"),
+        "slash": family(
+            x, D.SLASH, 3,
+            f"CASE WHEN CAST(<a> AS INT) > 12 THEN {day('<c>', '<b>', '<a>')} ELSE {day('<c>', '<a>', '<b>')} END"
+        ),
         "month_year": family(x, D.MONTH_YEAR, 2, day("<b>", month("<a>"), "'15'")),
         "short_month_year": family(x, D.SHORT_MONTH_YEAR, 2, day("<b>", month("<a>"), "'15'")),
         "month_day": family(rest, yearless, 2, day("'2026'", month("<a>"), "<b>")),

@@ -29,7 +29,9 @@ def read_manuals(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of each file; any store that Spark reads."""
     if not any(c in path for c in "*{[") and not _exists(spark, path):
         raise ManualNotFoundError(f"manual not found: {path}")
-    out = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"), F.col("value").alias("text"))
+    out = spark.read.text(path, wholetext=True).select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"), F.col("value").alias("text")
+    )
     if not out.where(F.regexp_replace("text", r"\s", "") != "").limit(1).count():
         raise ManualNotFoundError(f"manual not found or blank: {path}")
     return out
@@ -41,9 +43,13 @@ def clause_table(manuals: DataFrame) -> DataFrame:
     w = Window.partitionBy("source").orderBy("line_start", "order")
     none = lambda t: F.lit(None).cast(t)
     return c.select(
-        "clause_id", "citation", "part_number", "part_title", "section_number", "section_title", "text", "order", "line_start", "line_end", "source",
-        none("date").alias("effective_from"), none("date").alias("effective_to"), none("string").alias("amendment_id"), none("string").alias("amendment_paragraph"),
-        F.lit(False).alias("is_amended_version"), none("string").alias("date_condition_type"), (F.row_number().over(w) - 1).cast("int").alias("pos"))
+        "clause_id", "citation", "part_number", "part_title", "section_number", "section_title", "text", "order",
+        "line_start", "line_end", "source",
+        none("date").alias("effective_from"), none("date").alias("effective_to"), none("string").alias("amendment_id"),
+        none("string").alias("amendment_paragraph"),
+        F.lit(False).alias("is_amended_version"), none("string").alias("date_condition_type"), (
+            F.row_number().over(w) - 1
+        ).cast("int").alias("pos"))
 
 
 def amendments(spark: SparkSession, specs: Iterable[dict]) -> DataFrame:

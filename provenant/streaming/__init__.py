@@ -17,7 +17,9 @@ from ..plans.engine import answer
 DEFAULTS = Settings()
 
 
-def answer_stream(questions: DataFrame, index: dict[str, DataFrame], sink: Callable[[DataFrame, int], None], s: Settings = DEFAULTS) -> DataStreamWriter:
+def answer_stream(
+    questions: DataFrame, index: dict[str, DataFrame], sink: Callable[[DataFrame, int], None], s: Settings = DEFAULTS
+) -> DataStreamWriter:
     """A writer (not yet started) that hands each batch's answers to ``sink``."""
 
     def batch(df: DataFrame, number: int) -> None:

@@ -13,8 +13,16 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "4g").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        SparkSession.builder.master("local[4]").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
+        .config("spark.driver.memory", "4g").config(
+            "spark.cleaner.referenceTracking.cleanCheckpoints", "true"
+        ).config("spark.sql.session.timeZone", "UTC").config(
+            "spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))
+        )
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

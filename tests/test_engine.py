@@ -39,7 +39,9 @@ def test_versions(index):
 
 
 @pytest.mark.parametrize(("qid", "decision", "reason"), [
-    ("direct", "ANSWER", None), ("out", "REFUSE", "INSUFFICIENT_EVIDENCE"), ("undated", "REFUSE", "MISSING_DATE_CONTEXT"), ("gap", "REFUSE", "AMBIGUOUS_POLICY"), ("bare", "REFUSE", "AMBIGUOUS_POLICY"),
+    ("direct", "ANSWER", None), ("out", "REFUSE", "INSUFFICIENT_EVIDENCE"),
+    ("undated", "REFUSE", "MISSING_DATE_CONTEXT"), ("gap", "REFUSE", "AMBIGUOUS_POLICY"),
+    ("bare", "REFUSE", "AMBIGUOUS_POLICY"),
 ])
 def test_decisions(answers, qid, decision, reason):
     assert (answers[qid]["decision"], answers[qid]["reason"]) == (decision, reason)
@@ -55,7 +57,9 @@ def test_same_question_two_dates(answers):
 
 def test_refusals_escalate(answers):
     refused = [a for a in answers.values() if a["decision"] == "REFUSE"]
-    assert refused and all("Please consult the appropriate policy administrator" in a["text"] and not a["citations"] for a in refused)
+    assert refused and all(
+        "Please consult the appropriate policy administrator" in a["text"] and not a["citations"] for a in refused
+    )
 
 
 def test_blank_question(spark, index):
@@ -67,7 +71,9 @@ def test_contradiction_sweep(spark, index):
     from provenant.operators import amend
 
     clauses = index["clauses"]
-    found = contradict.contradictions(clauses.select(F.lit("all").alias("qid"), F.col("pos").alias("idx"), "clause_id", "text"), amend.latest(clauses)).collect()
+    found = contradict.contradictions(
+        clauses.select(F.lit("all").alias("qid"), F.col("pos").alias("idx"), "clause_id", "text"), amend.latest(clauses)
+    ).collect()
     pairs = {tuple(sorted((r["a_id"], r["b_id"]))) for r in found}
     assert ("4.3.2", "9.1.4") in pairs and ("4.3.2", "4.3.3") not in pairs and len(pairs) <= 3
 
@@ -89,8 +95,17 @@ def test_manual_file(spark, tmp_path):
 
 
 def test_evaluation(spark, answers):
-    cases = spark.createDataFrame([("direct", "d", "q", "answer", ["1.2.2"]), ("out", "o", "q", "refuse", None), ("gap", "g", "q", "answer", ["9.9.9"])], "id string, category string, question string, expected_behavior string, expected_clauses array<string>")
-    a = spark.createDataFrame([(k, v["decision"], v["citations"]) for k, v in answers.items()], "qid string, decision string, citations array<string>")
+    cases = spark.createDataFrame(
+        [
+            ("direct", "d", "q", "answer", ["1.2.2"]), ("out", "o", "q", "refuse", None),
+            ("gap", "g", "q", "answer", ["9.9.9"])
+        ],
+        "id string, category string, question string, expected_behavior string, expected_clauses array<string>"
+    )
+    a = spark.createDataFrame(
+        [(k, v["decision"], v["citations"]) for k, v in answers.items()],
+        "qid string, decision string, citations array<string>"
+    )
     m = evaluate.metrics(evaluate.grade(cases, a)).first()
     assert (m["total_ok"], m["total_n"], m["citation_ok"], m["citation_n"]) == (2, 3, 1, 2)
     assert "2/3" in evaluate.report(evaluate.grade(cases, a))

@@ -7,7 +7,11 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-FAST = ["stem_vocab", "clause_refs", "numeric_claims", "segment_lines", "substitute_first", "bm25_topk", "rrf_duplicate_keys", "dates_all", "date_context", "asof_version", "support_margin", "deferral_targets", "assertion_mismatch", "validate_citations"]
+FAST = [
+    "stem_vocab", "clause_refs", "numeric_claims", "segment_lines", "substitute_first", "bm25_topk",
+    "rrf_duplicate_keys", "dates_all", "date_context", "asof_version", "support_margin", "deferral_targets",
+    "assertion_mismatch", "validate_citations"
+]
 
 
 def rows(df):

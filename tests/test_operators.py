@@ -14,7 +14,9 @@ def one(spark, c, text="x", **cols):
 
 
 def test_tokens_and_stems(spark):
-    assert one(spark, T.tokens("t"), "Policies, boxes §4.3.2 4,000 determinations passed glass") == ["policy", "box", "§4.3.2", "4", "000", "determination", "pass", "glass"]
+    assert one(
+        spark, T.tokens("t"), "Policies, boxes §4.3.2 4,000 determinations passed glass"
+    ) == ["policy", "box", "§4.3.2", "4", "000", "determination", "pass", "glass"]
 
 
 def test_spans(spark):
@@ -29,25 +31,40 @@ def test_claims(spark):
 
 
 def test_citations(spark):
-    assert one(spark, T.citations("t"), "See §4.3.2 and Amendment No. 2026-01 §10.5.3A, §9.1.4") == ["4.3.2", "10.5.3A", "9.1.4"]
+    assert one(
+        spark, T.citations("t"), "See §4.3.2 and Amendment No. 2026-01 §10.5.3A, §9.1.4"
+    ) == ["4.3.2", "10.5.3A", "9.1.4"]
 
 
 def test_dates(spark):
     d = lambda *a: dt.date(*a)
-    assert one(spark, D.dates("t"), "from February 20, 2026 to 2026-03-05 or 31/01/2026, 2026-02-30") == [d(2026, 3, 5), d(2026, 2, 20), d(2026, 1, 31)]
+    assert one(
+        spark, D.dates("t"), "from February 20, 2026 to 2026-03-05 or 31/01/2026, 2026-02-30"
+    ) == [d(2026, 3, 5), d(2026, 2, 20), d(2026, 1, 31)]
     assert one(spark, D.dates("t"), "20 February 2026") == [d(2026, 2, 20), d(2026, 2, 15)]
     assert one(spark, D.dates("t"), "by March 1") == [d(2026, 3, 1)]
-    assert one(spark, D.without_dates("t"), "What is due for a change occurring on 20 February 2026?") == "What is due for a change ?"
+    assert one(
+        spark, D.without_dates("t"), "What is due for a change occurring on 20 February 2026?"
+    ) == "What is due for a change ?"
 
 
 def test_fusion(spark):
-    rows = [("q", 0, 1, "a", 0, 0.9, "vector"), ("q", 0, 2, "b", 1, 0.8, "vector"), ("q", 1, 1, "b", 1, 5.0, "bm25"), ("q", 1, 2, "c", 2, 4.0, "bm25")]
-    got = retrieve.fuse(spark.createDataFrame(rows, "qid string, list_no int, rank int, clause_id string, pos int, score double, retriever string")).orderBy("rank").collect()
+    rows = [
+        ("q", 0, 1, "a", 0, 0.9, "vector"), ("q", 0, 2, "b", 1, 0.8, "vector"), ("q", 1, 1, "b", 1, 5.0, "bm25"),
+        ("q", 1, 2, "c", 2, 4.0, "bm25")
+    ]
+    got = retrieve.fuse(
+        spark.createDataFrame(
+            rows, "qid string, list_no int, rank int, clause_id string, pos int, score double, retriever string"
+        )
+    ).orderBy("rank").collect()
     assert [r["clause_id"] for r in got] == ["b", "a", "c"] and got[0]["retriever"] == "hybrid"
 
 
 def test_fragments(spark):
-    assert one(spark, segment.fragments("t", 10), "aaaa\n\nbbbb\n\ncccc\n\n" + "d" * 30) == ["aaaa\n\nbbbb", "cccc", "d" * 30]
+    assert one(
+        spark, segment.fragments("t", 10), "aaaa\n\nbbbb\n\ncccc\n\n" + "d" * 30
+    ) == ["aaaa\n\nbbbb", "cccc", "d" * 30]
 
 
 def test_replacements_are_literal(spark):
@@ -59,19 +76,35 @@ def test_replacements_are_literal(spark):
 def test_deferrals(spark):
     assert one(spark, evidence.deferral_targets("t"), "it is dealt with separately (see §7.1)") == ["7.1", "7.1"]
     assert one(spark, evidence.bare_deferral("t"), "it is addressed separately.") is True
-    assert one(spark, evidence.preceding_condition("t", F.lit("7.1")), "If so, for a child (see §7.1)") == " for a child "
+    assert one(
+        spark, evidence.preceding_condition("t", F.lit("7.1")), "If so, for a child (see §7.1)"
+    ) == " for a child "
 
 
 def test_citation_check(spark):
-    lookup = spark.createDataFrame([("4.3.2", "4.3", None), ("6.1.1", "6.1", None)], "clause_id string, section_number string, amendment_paragraph string")
-    a = spark.createDataFrame([("bad", "by §99.9.9", ["4.3.2"]), ("other", "by §6.1.1", ["4.3.2"]), ("none", "nothing", ["4.3.2"]), ("ok", "by §4.3.2", ["4.3.2"])], "qid string, text string, supporting array<string>")
+    lookup = spark.createDataFrame(
+        [("4.3.2", "4.3", None), ("6.1.1", "6.1", None)],
+        "clause_id string, section_number string, amendment_paragraph string"
+    )
+    a = spark.createDataFrame(
+        [
+            ("bad", "by §99.9.9", ["4.3.2"]), ("other", "by §6.1.1", ["4.3.2"]), ("none", "nothing", ["4.3.2"]),
+            ("ok", "by §4.3.2", ["4.3.2"])
+        ],
+        "qid string, text string, supporting array<string>"
+    )
     got = {r["qid"]: r for r in render.validate_citations(a, lookup).collect()}
     assert got["bad"]["invalid"] == ["99.9.9"] and got["other"]["unsupported"] == ["6.1.1"]
     assert got["none"]["valid"] and got["ok"]["valid"] and not got["bad"]["valid"] and "does not exist" in got["bad"]["issues"][0]
 
 
 def test_settings():
-    s = from_env({"PROVENANT_RRF_K": "30", "PROVENANT_BM25_B": "bad", "PROVENANT_LLM_ENABLED": "Yes", "PROVENANT_BOUNDARY": "2027-01-01"})
+    s = from_env(
+        {
+            "PROVENANT_RRF_K": "30", "PROVENANT_BM25_B": "bad", "PROVENANT_LLM_ENABLED": "Yes",
+            "PROVENANT_BOUNDARY": "2027-01-01"
+        }
+    )
     assert (s.rrf_k, s.bm25_b, s.llm_enabled, s.boundary) == (30, Settings().bm25_b, True, dt.date(2027, 1, 1))
 
 
@@ -85,7 +118,10 @@ def test_bm25_by_hand(spark):
 
 
 def test_amended_rows_are_numbered_in_order(spark):
-    rows = [("A2", 1, 9000, "1"), ("A1", None, 9000, "2"), ("A1", 5, 9000, "1"), ("A1", 4, 9000, "1"), (None, 7, 9000, "1"), ("A1", 4, 9000, "0")]
+    rows = [
+        ("A2", 1, 9000, "1"), ("A1", None, 9000, "2"), ("A1", 5, 9000, "1"), ("A1", 4, 9000, "1"), (None, 7, 9000, "1"),
+        ("A1", 4, 9000, "0")
+    ]
     df = spark.createDataFrame(rows, "amendment_id string, pos int, order int, amendment_paragraph string")
     got = amend.numbered(df, rows=2).orderBy("_at").collect()
     assert [r["_at"] for r in got] == list(range(6))

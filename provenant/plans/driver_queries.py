@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import amend, contradict, evidence, render, retrieve, segment, temporal
+from ..operators import amend, contradict, evidence, postings, render, retrieve, segment, temporal
 from . import engine, evaluate, sample
 from . import sql as S
+from .storage import Scratch, cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,6 +411,37 @@ def bm25_topk(spark, sf):
     return _bm25_hits(spark, sf, SET.retrieval_top_k).select("qid", "doc_id", "score", "rank")
 
 
+@query(f"WITH {_BM25}, {_BM25_HITS} SELECT qid, doc_id, score, rank FROM lex")
+def bm25_index_topk(spark, sf):
+    """The same hits from an index in files, which skips blocks."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    with Scratch(spark) as tmp:
+        postings.LexicalIndex.build(table(spark, sf, "documents"), "doc_id", "text", f"{tmp.path}/index")
+        saved = postings.LexicalIndex.open(spark, f"{tmp.path}/index")
+        return saved.topk(q, SET.retrieval_top_k, digits=6).select("qid", F.col("key").alias("doc_id"), "score", "rank")
+
+
+_LEFT = """documents_left AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'amended ' || source || ' ' || text ELSE text END AS text
+FROM documents WHERE doc_id % 7 <> 0)"""
+
+
+@query(
+    f"WITH {_LEFT}, {_BM25.replace('documents', 'documents_left')} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(w), 3) AS total, round(max(w), 5) AS top FROM post GROUP BY doc_id"
+)
+def bm25_index_upkeep(spark, sf):
+    """The weights of an index after an insertion, amendments and deletions: those of
+    an index of what is left."""
+    d = table(spark, sf, "documents")
+    with Scratch(spark) as tmp:
+        index = postings.LexicalIndex.build(d.where("doc_id % 3 <> 0"), "doc_id", "text", f"{tmp.path}/index")
+        index = index.insert(d.where("doc_id % 3 = 0"), "doc_id")
+        amended = d.where("doc_id % 10 = 4").select("doc_id", F.concat_ws(" ", F.lit("amended"), "source", "text").alias("text"))
+        index = index.amend(amended, "doc_id").delete(d.where("doc_id % 7 = 0"), "doc_id")
+        return cut(index.postings().groupBy(F.col("key").alias("doc_id")).agg(
+            F.count(F.lit(1)).alias("n_terms"), r(F.sum("w"), 3).alias("total"), r(F.max("w")).alias("top")
+        ))
+
+
 @query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({S.rerank_tokens("source || ' ' || text")})) AS term FROM documents)
 SELECT term, round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM t GROUP BY term""")
 def smooth_idf(spark, sf):

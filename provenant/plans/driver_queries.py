@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import amend, contradict, evidence, postings, render, retrieve, segment, temporal
+from ..operators import amend, contradict, evidence, postings, render, retrieve, segment, temporal, vectors
 from . import engine, evaluate, sample
 from . import sql as S
 from .storage import Scratch, cut
@@ -514,6 +514,16 @@ def dense_cosine_topk(spark, sf):
     return retrieve.dense_topk(asked, e, "vec_id", "embedding", SET.retrieval_top_k, digits=6)
 
 
+@query(ORACLE["dense_cosine_topk"])
+def dense_index_topk(spark, sf):
+    """The same hits from the cells of an inverted file."""
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
+    with Scratch(spark) as tmp:
+        index = vectors.VectorIndex.build(e, "vec_id", "embedding", f"{tmp.path}/index")
+        return index.topk(asked, SET.retrieval_top_k, digits=6, exact=True).withColumnRenamed("key", "vec_id")
+
+
 _RRF = """rows_ AS (SELECT qid, 0 AS l, rank, doc_id, score, 'vector' AS r FROM dense UNION ALL SELECT qid, 1, rank, doc_id, score, 'bm25' FROM lex),
 fu AS (SELECT qid, {key} AS key, round(sum(1.0 / (60 + rank)), 8) AS rrf, max_by(doc_id, row(score, -l, -rank)) AS doc_id, CASE WHEN count(DISTINCT r) > 1 THEN 'hybrid' ELSE min(r) END AS retriever, min(l * 1000 + rank) AS first FROM rows_ GROUP BY 1, 2),
 fused AS (SELECT qid, key, doc_id, rrf, retriever, CAST(row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS INTEGER) AS rank FROM fu)"""

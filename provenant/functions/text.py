@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,26 +132,47 @@ def citations(c: str | Column) -> Column:
     return F.regexp_extract_all(col(c), F.lit(CITATION), F.lit(1))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(a: Column, join: Callable[[Column, Column], Column], none: Column) -> Column:
+    """Running totals of an array by ``join``, whose neutral value is ``none``: as many
+    passes as the length has binary digits, each joining what lies 1, 2, 4 .. apart."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(a), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        n = F.size(acc)
+        apart = F.least(F.call_function("shiftleft", F.lit(1), k), n)
+        return F.zip_with(F.concat(F.array_repeat(none, apart), F.slice(acc, F.lit(1), n - apart)), acc, join)
+
+    return F.aggregate(passes, a, step)
+
+
 def spans(c: str | Column, pattern: str, groups: int = 0) -> Column:
     """Matches as structs (start, end, text, g1 ..), 0-based, end exclusive.
 
-    There is no function for match positions; they follow from the lengths of
-    the pieces between matches and of the matches themselves.
+    There is no function for match positions; they are running totals of the
+    lengths of the pieces between matches and of the matches themselves.
     """
     c = col(c)
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.split(c, pattern, -1)
-    total = lambda a: F.aggregate(F.transform(a, F.char_length), F.lit(0), lambda x, y: x + y)
-    caught = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
-
-    def one(m: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-        return F.struct(
-            start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("text"),
-            *[F.get(g, i).alias(f"g{k + 1}") for k, g in enumerate(caught)]
+    caught = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
+    pieces = F.struct(found.alias("text"), F.split(c, pattern, -1).alias("gaps"), *caught)
+
+    def placed(p: Column) -> Column:
+        both = F.zip_with(
+            F.slice(p["gaps"], F.lit(1), F.size(p["text"])), p["text"], lambda x, y: F.char_length(x) + F.char_length(y)
         )
+        ends = running(both, lambda x, y: x + y, F.lit(0)).alias("end")
+        rows = F.arrays_zip(ends, p["text"].alias("text"), *[p[f"g{g}"].alias(f"g{g}") for g in range(1, groups + 1)])
+        return F.transform(rows, lambda m: F.struct(
+            (m["end"] - F.char_length(m["text"])).alias("start"), m["end"], m["text"],
+            *[m[f"g{g}"] for g in range(1, groups + 1)]
+        ))
 
-    return F.transform(found, one)
+    return let(pieces, placed)
 
 
 def window(c: Column, start: Column, end: Column) -> Column:
@@ -160,6 +181,22 @@ def window(c: Column, start: Column, end: Column) -> Column:
     return F.substring(c, lo + 1, F.greatest(end - lo, F.lit(0)))
 
 
+CHUNK = 256
+
+
+def chunks(c: str | Column) -> Column:
+    """A text in parts of equal length, for :func:`near`."""
+    return F.regexp_extract_all(col(c), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def near(parts: Column, start: Column, end: Column) -> Column:
+    """:func:`window` of a text in parts: its cost does not grow with the text."""
+    lo = F.greatest(start, F.lit(0))
+    first = F.floor(lo / CHUNK).cast("int")
+    n = F.greatest(F.floor((end - 1) / CHUNK).cast("int") - first + 1, F.lit(0))
+    return window(F.array_join(F.slice(parts, first + 1, n), ""), lo - first * CHUNK, end - first * CHUNK)
+
+
 def unit_family(u: str | Column) -> Column:
     u = F.replace(F.lower(col(u)), F.lit(" "))
     known = F.when(F.startswith(u, F.lit("day")), "day")
@@ -172,15 +209,18 @@ def claims(c: str | Column, s: Settings = DEFAULTS) -> Column:
     """Numbers with a unit: structs (value, unit, has_modifier, context)."""
     c = col(c)
 
-    def one(m: Column) -> Column:
-        before = F.lower(window(c, m["start"] - s.modifier_window, m["start"]))
-        modified = F.exists(texts(MODIFIERS), lambda p: F.contains(before, p))
-        return F.struct(
-            F.replace(m["g1"], F.lit(",")).alias("value"), unit_family(m["g2"]).alias("unit"),
-            modified.alias("has_modifier"),
-            F.trim(window(c, m["start"] - 40, m["end"] + 10)).alias("context"))
+    def told(v: Column) -> Column:
+        def one(m: Column) -> Column:
+            before = F.lower(near(v["parts"], m["start"] - s.modifier_window, m["start"]))
+            modified = F.exists(texts(MODIFIERS), lambda p: F.contains(before, p))
+            return F.struct(
+                F.replace(m["g1"], F.lit(",")).alias("value"), unit_family(m["g2"]).alias("unit"),
+                modified.alias("has_modifier"), F.trim(near(v["parts"], m["start"] - 40, m["end"] + 10)).alias("context")
+            )
+
+        return F.transform(v["found"], one)
 
-    return F.transform(spans(c, UNIT_NUMBER, 2), one)
+    return let(F.struct(spans(c, UNIT_NUMBER, 2).alias("found"), chunks(c).alias("parts")), told)
 
 
 def cleaned(c: str | Column) -> Column:

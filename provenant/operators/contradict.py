@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..plans.storage import cut
 from .evidence import targets_of
 
 DEFAULTS = Settings()
@@ -42,16 +43,38 @@ def assertions(c: str | Column) -> Column:
     """What a text says another clause requires: (ref, value, unit, context),
     the figure being the nearest one with a unit before the reference."""
     c = T.col(c)
+    read = F.struct(
+        T.spans(c, T.UNIT_NUMBER, 2).alias("figures"), T.spans(c, T.ASSERTION_REF, 1).alias("mentions"),
+        T.chunks(c).alias("parts")
+    )
+    none = F.lit(-1)
+
+    def told(v: Column) -> Column:
+        # figures and mentions in order of where the one ends and the other begins; the
+        # last figure so far is a running maximum
+        marks = F.array_sort(F.concat(
+            F.transform(v["figures"], lambda m, i: F.struct(m["end"].alias("at"), i.alias("figure"), none.alias("mention"))),
+            F.transform(v["mentions"], lambda m, i: F.struct(m["start"].alias("at"), F.lit(2**31 - 1).alias("figure"), i.alias("mention")))
+        ))
+
+        def joined(m: Column) -> Column:
+            own = F.transform(m, lambda x: F.when(x["mention"] < 0, x["figure"]).otherwise(none))
+            last = T.running(own, lambda x, y: F.greatest(x, y), none)
+            return F.filter(
+                F.arrays_zip(m.alias("m"), last.alias("last")), lambda x: (x["m"]["mention"] >= 0) & (x["last"] >= 0)
+            )
+
+        def one(x: Column) -> Column:
+            m, figure = F.get(v["mentions"], x["m"]["mention"]), F.get(v["figures"], x["last"])
+            return F.struct(
+                m["g1"].alias("ref"), F.replace(figure["g1"], F.lit(",")).alias("value"),
+                T.unit_family(figure["g2"]).alias("unit"),
+                F.trim(T.near(v["parts"], figure["start"] - 30, m["end"] + 5)).alias("context")
+            )
 
-    def one(m: Column) -> Column:
-        figure = F.try_element_at(T.spans(T.window(c, F.lit(0), m["start"]), T.UNIT_NUMBER, 2), F.lit(-1))
-        return F.struct(
-            m["g1"].alias("ref"), F.replace(figure["g1"], F.lit(",")).alias("value"),
-            T.unit_family(figure["g2"]).alias("unit"),
-            F.trim(T.window(c, figure["start"] - 30, m["end"] + 5)).alias("context")
-        )
+        return F.transform(T.let(marks, joined), one)
 
-    return F.filter(F.transform(T.spans(c, T.ASSERTION_REF, 1), one), lambda a: a["value"].isNotNull())
+    return T.let(read, told)
 
 
 def asserted(candidates: DataFrame, lookup: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -95,35 +118,63 @@ def overlapping(rows: DataFrame, key: str, tokens: str, s: Settings = DEFAULTS)
     return j.where(F.col("jaccard") >= s.jaccard_min).select("a", "b", "jaccard")
 
 
-def mismatched(candidates: DataFrame, found: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Findings between candidates of one question whose texts overlap and whose
-    unmodified figures of one unit differ; pairs already ``found`` are left out.
-    A question has at most its few candidates, so the pairs stay few."""
+def mismatched(
+    candidates: DataFrame, found: DataFrame, s: Settings = DEFAULTS, counted: dict | None = None
+) -> DataFrame:
+    """Findings between candidates (qid, idx, clause_id, text) of one question, or of a
+    whole corpus under one qid, whose texts overlap and whose unmodified figures of
+    one unit differ. Pairs of ids already ``found`` are left out; of several pairs of
+    one pair of ids, as versions of clauses make them, the first with a finding
+    counts. Where a clause id comes more than once, its last text says what the
+    clause is about.
+
+    Only texts with figures of one unit that share one of their rarest tokens meet
+    (see :func:`overlapping`), and only if the places of this token and the sizes of
+    the sets leave room for the overlap. ``counted``, if given, is told how many
+    pairs met, and how many overlap.
+    """
+    t = s.jaccard_min
     c = candidates.select(
-        "qid", "idx", "clause_id", "text", T.content_tokens("text").alias("_t"),
+        "qid", "idx", "clause_id", "text", T.content_tokens("text").alias("_own"),
         F.filter(T.claims("text", s), lambda x: ~x["has_modifier"]).alias("_c")
     )
-    a, b = c.select(
-        *[F.col(x).alias(f"a_{x}") for x in c.columns]
-    ), c.select(*[F.col(x).alias(f"b_{x}") for x in c.columns])
-    p = a.join(
-        b,
-        (F.col("a_qid") == F.col("b_qid")) & (F.col("a_idx") < F.col("b_idx"))
-        & (F.col("a_clause_id") != F.col("b_clause_id"))
+    last = Window.partitionBy("qid", "clause_id").orderBy(F.col("idx").desc())
+    c = cut(c.withColumn("_t", F.first("_own").over(last)).drop("_own").where(F.size("_c") > 0))
+    words = c.select("qid", "idx", F.explode("_t").alias("w"))
+    df = words.groupBy("qid", "w").agg(F.count(F.lit(1)).alias("df"))
+    sets = words.join(df, ["qid", "w"]).groupBy("qid", "idx").agg(
+        F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s")
+    )
+    n = F.size("s")
+    kept = F.slice("s", F.lit(1), n - F.ceil(n * t - 1e-9).cast("int") + 1)
+    units = c.select("qid", "idx", F.array_distinct(F.transform("_c", lambda x: x["unit"])).alias("units"))
+    seeds = sets.join(units, ["qid", "idx"]).select(
+        "qid", "idx", "units", n.alias("n"), F.posexplode(F.transform(kept, lambda x: x["w"])).alias("at", "w")
+    ).select("qid", "idx", "n", "at", "w", F.explode("units").alias("unit"))
+    side = lambda x: seeds.select("qid", "unit", "w", *[F.col(k).alias(f"{x}_{k}") for k in ("idx", "n", "at")])
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))  # this token and all behind it
+    met = side("a").join(side("b"), ["qid", "unit", "w"]).where("a_idx < b_idx").where(
+        room * (1 + t) >= t * (F.col("a_n") + F.col("b_n")) - 1e-9
+    ).select("qid", "a_idx", "b_idx").distinct()
+    of = lambda x: c.select("qid", *[F.col(k).alias(f"{x}_{k}") for k in ("idx", "clause_id", "text", "_t", "_c")])
+    p = met.join(of("a"), ["qid", "a_idx"]).join(of("b"), ["qid", "b_idx"]).where("a_clause_id <> b_clause_id")
+    if counted is not None:
+        counted["met"] = met.count()
+        counted["overlap"] = p.where(T.jaccard(F.col("a__t"), F.col("b__t")) >= t).count()
+    p = p.where(T.jaccard(F.col("a__t"), F.col("b__t")) >= t).withColumn("_k", pair_key("a_clause_id", "b_clause_id"))
+    seen = found.select("qid", pair_key("a_id", "b_id").alias("_k")).distinct()
+    p = p.join(seen, ["qid", "_k"], "left_anti")
+    out = p.select("*", F.posexplode("a__c").alias("o3", "x")).select("*", F.posexplode("b__c").alias("o4", "y")).where(
+        "x.unit = y.unit and x.value <> y.value"
     )
-    p = p.where(
-        T.jaccard(F.col("a__t"), F.col("b__t")) >= s.jaccard_min
-    ).withColumn("_k", pair_key("a_clause_id", "b_clause_id"))
-    seen = found.select(F.col("qid").alias("a_qid"), pair_key("a_id", "b_id").alias("_k")).distinct()
-    p = p.join(seen, ["a_qid", "_k"], "left_anti")
-    out = p.select(
-        "*", F.posexplode("a__c").alias("o3", "x")
-    ).select("*", F.posexplode("b__c").alias("o4", "y")).where("x.unit = y.unit and x.value <> y.value")
+    first = Window.partitionBy("qid", "_k").orderBy("a_idx", "b_idx")  # a pair of ids has as many pairs as versions
+    out = out.withColumn("_p", F.dense_rank().over(first)).where("_p = 1")
     return out.select(
-        F.col("a_qid").alias("qid"), F.lit(1).alias("stage"),
-        F.concat_ws("/", F.col("a_idx").cast("string"), F.col("b_idx").cast("string")).alias("o1"),
+        "qid", F.lit(1).alias("stage"), F.concat_ws("/", F.col("a_idx").cast("string"), F.col("b_idx").cast("string")).alias("o1"),
         F.lit(0).alias("o2"), "o3", "o4", F.col("a_clause_id").alias("a_id"), "a_text",
-        F.col("b_clause_id").alias("b_id"), "b_text", F.col("x.unit").alias("unit"), F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b"), F.col("x.context").alias("context_a"), F.col("y.context").alias("context_b"))
+        F.col("b_clause_id").alias("b_id"), "b_text", F.col("x.unit").alias("unit"), F.col("x.value").alias("value_a"),
+        F.col("y.value").alias("value_b"), F.col("x.context").alias("context_a"), F.col("y.context").alias("context_b")
+    )
 
 
 def contradictions(candidates: DataFrame, lookup: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -22,13 +22,13 @@ def deferral_targets(c: str | Column, s: Settings = DEFAULTS) -> Column:
     """References close behind a deferral phrase, phrase by phrase."""
     c = T.col(c)
     low = F.lower(c)
-    per = [
-        F.transform(
-            T.spans(low, rf"\Q{p}\E"), lambda m: T.clause_refs(T.window(c, m["start"], m["start"] + s.deferral_window))
+    behind = lambda p: F.flatten(T.let(
+        F.struct(T.spans(low, rf"\Q{p}\E").alias("found"), T.chunks(c).alias("parts")),
+        lambda v: F.transform(
+            v["found"], lambda m: T.clause_refs(T.near(v["parts"], m["start"], m["start"] + s.deferral_window))
         )
-        for p in T.DEFERRALS
-    ]
-    return F.flatten(F.concat(*per))
+    ))
+    return F.concat(*[F.when(F.contains(low, F.lit(p)), behind(p)).otherwise(F.array().cast("array<string>")) for p in T.DEFERRALS])
 
 
 def bare_deferral(c: str | Column, s: Settings = DEFAULTS) -> Column:

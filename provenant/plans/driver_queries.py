@@ -978,24 +978,29 @@ def assertion_mismatch(spark, sf):
 #: Two wordings of a fee and one of something else; one in seven figures is modified.
 _PAIR_TEXT = """CASE l_suppkey % 3 WHEN 0 THEN 'Pay the berth fee within ' || (l_partkey % 3 + 5) || ' days of notice' WHEN 1 THEN 'Pay each mooring charge within ' || (l_partkey % 3 + 5) || ' days of notice'
 ELSE 'Surveyors inspect hulls once, the term ' || CASE WHEN l_partkey % 7 = 0 THEN 'extended to ' ELSE 'being ' END || (l_partkey % 3 + 5) || ' days' END"""
-_PAIRS = f"""c AS (SELECT l_orderkey AS qid, l_linenumber AS idx, CAST(l_linenumber AS VARCHAR) AS clause_id, text, {S.content_tokens('text')} AS t, CAST(l_partkey % 3 + 5 AS VARCHAR) AS v, l_suppkey % 3 = 2 AND l_partkey % 7 = 0 AS modified
-  FROM (SELECT *, {_PAIR_TEXT} AS text FROM lineitem)),
-p AS (SELECT a.qid, a.clause_id AS a_id, b.clause_id AS b_id, a.v AS value_a, b.v AS value_b, a.modified OR b.modified AS modified, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) AS jaccard
-  FROM c a JOIN c b ON a.qid = b.qid AND a.idx < b.idx)"""
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+_PAIRS = f"""c AS (SELECT l_orderkey AS qid, idx, CAST(l_linenumber AS VARCHAR) AS clause_id, text, last(own) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t,
+  CAST(l_partkey % 3 + 5 AS VARCHAR) AS v, l_suppkey % 3 = 2 AND l_partkey % 7 = 0 AS modified
+  FROM (SELECT *, {S.content_tokens('text')} AS own, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) AS idx FROM (SELECT *, {_PAIR_TEXT} AS text FROM lineitem))),
+p AS (SELECT a.qid, a.idx AS i, b.idx AS j, a.clause_id AS a_id, b.clause_id AS b_id, a.v AS value_a, b.v AS value_b FROM c a JOIN c b ON a.qid = b.qid AND a.idx < b.idx AND a.clause_id <> b.clause_id
+  WHERE NOT a.modified AND NOT b.modified AND a.v <> b.v AND len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) >= 0.4)"""
+_FIRST_PAIR = "QUALIFY row_number() OVER (PARTITION BY qid, least(a_id, b_id), greatest(a_id, b_id) ORDER BY i, j) = 1"
 
 
 def _pair_candidates(spark, sf) -> DataFrame:
+    own = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("idx"),
+        F.col("l_orderkey").alias("qid"), F.row_number().over(own).alias("idx"),
         F.col("l_linenumber").cast("string").alias("clause_id"), F.expr(_PAIR_TEXT).alias("text")
     )
 
 
 @query(
-    f"WITH {_PAIRS} SELECT qid, a_id, b_id, 'day' AS unit, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b"
+    f"WITH {_PAIRS} SELECT qid, a_id, b_id, 'day' AS unit, value_a, value_b FROM p {_FIRST_PAIR}"
 )
 def numeric_mismatch_pairs(spark, sf):
-    """Wordings on both sides of the overlap that counts, with and without modifiers."""
+    """Wordings on both sides of the overlap that counts, with and without modifiers,
+    and some clause ids more than once."""
     none = values(spark, [], "qid long, a_id string, b_id string")
     return contradict.mismatched(_pair_candidates(spark, sf), none).select(
         "qid", "a_id", "b_id", "unit", "value_a", "value_b"
@@ -1003,7 +1008,7 @@ def numeric_mismatch_pairs(spark, sf):
 
 
 @query(
-    f"WITH {_PAIRS} SELECT qid, a_id, b_id, value_a, value_b FROM p WHERE jaccard >= 0.4 AND NOT modified AND value_a <> value_b AND NOT (qid % 2 = 0 AND (a_id, b_id) IN (('1', '2'), ('3', '4')))"
+    f"WITH {_PAIRS} SELECT qid, a_id, b_id, value_a, value_b FROM p WHERE NOT (qid % 2 = 0 AND (least(a_id, b_id), greatest(a_id, b_id)) IN (('1', '2'), ('3', '4'))) {_FIRST_PAIR}"
 )
 def found_pairs_left_out(spark, sf):
     """Pairs that were found before, in either order of their ids, do not come again."""
@@ -1019,6 +1024,31 @@ def found_pairs_left_out(spark, sf):
     return contradict.mismatched(_pair_candidates(spark, sf), found).select("qid", "a_id", "b_id", "value_a", "value_b")
 
 
+_SWEPT = """SELECT CAST(doc_id // 2 AS VARCHAR) AS clause_id, doc_id AS idx, text || ' Notice of ' || (doc_id % 4 + 3) || CASE WHEN doc_id % 3 = 0 THEN ' weeks is due' ELSE ' days is due' END AS text FROM documents"""
+
+
+@query(f"""WITH d AS ({_SWEPT}),
+t AS (SELECT *, last({S.content_tokens('text')}) OVER (PARTITION BY clause_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM d),
+e AS (SELECT idx, unnest(t) AS w FROM t), n AS (SELECT idx, clause_id, len(t) AS n FROM t),
+k AS (SELECT a.idx AS i, b.idx AS j, count(*) AS k FROM e a JOIN e b ON a.w = b.w AND a.idx < b.idx GROUP BY 1, 2),
+o AS (SELECT i, j, x.clause_id AS a_id, y.clause_id AS b_id FROM k JOIN n x ON x.idx = i JOIN n y ON y.idx = j WHERE x.clause_id <> y.clause_id AND k / (x.n + y.n - k) >= 0.4),
+m AS (SELECT idx, unnest(regexp_extract_all(text, {S.lit(T.UNIT_NUMBER)}, 0)) AS m, unnest(range(1, len(regexp_extract_all(text, {S.lit(T.UNIT_NUMBER)}, 0)) + 1)) AS ord, text FROM d),
+c AS (SELECT idx, replace(regexp_extract(m, {S.lit(T.UNIT_NUMBER)}, 1), ',', '') AS v, {S.unit_family(f"regexp_extract(m, {S.lit(T.UNIT_NUMBER)}, 2)")} AS unit
+  FROM m WHERE NOT {S.modified('lower(' + S.window('text', S.start_of('text', T.UNIT_NUMBER, 'ord') + ' - 25', S.start_of('text', T.UNIT_NUMBER, 'ord')) + ')')}),
+f AS (SELECT i, j, a_id, b_id, x.unit, x.v AS value_a, y.v AS value_b FROM o JOIN c x ON x.idx = i JOIN c y ON y.idx = j AND y.unit = x.unit WHERE x.v <> y.v)
+SELECT a_id, b_id, unit, value_a, value_b, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM f QUALIFY dense_rank() OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id) ORDER BY i, j) = 1) GROUP BY i, j, a_id, b_id, unit, value_a, value_b""")
+def contradiction_sweep(spark, sf):
+    """Every text of a corpus against every other: two texts to a clause id, and a
+    figure in each."""
+    c = table(spark, sf, "documents").select(
+        F.lit(0).alias("qid"), F.col("doc_id").alias("idx"), F.expr("cast(doc_id div 2 as string)").alias("clause_id"),
+        F.expr("text || ' Notice of ' || (doc_id % 4 + 3) || if(doc_id % 3 = 0, ' weeks is due', ' days is due')").alias("text")
+    )
+    none = values(spark, [], "qid int, a_id string, b_id string")
+    f = contradict.mismatched(c, none)
+    return f.groupBy("a_id", "b_id", "unit", "value_a", "value_b").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH t AS (SELECT item_id, {S.content_tokens("text || CASE WHEN item_id % 3 = 0 THEN '' ELSE ' ' || item_id % 5 || 'th clause' END")} AS t FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, left(text, length(text) * (item_id % 4 + 1) // 5) FROM benchmark)),
 e AS (SELECT item_id, unnest(t) AS w FROM t),
 p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM e a JOIN e b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2)

@@ -40,7 +40,9 @@ class Settings:
     mid_month: int = 15
     suppressed_clause: str = "9.1.4"
     suppressing_clause: str = "4.3.2"
+    apportioning_clause: str = "7.4.3"
     strict_effective: bool = False
+    version_chain: bool = False
     jurisdiction: str = ""
     llm_enabled: bool = False
 

@@ -833,6 +833,48 @@ def append_citations(spark, sf):
     return t.select("qid", joined(render.append_citations(own, "transitional"), ";").alias("citations"))
 
 
+@query(f"""WITH {_RES}, u AS (SELECT h.qid, min_by(h.clause_id, h.rank) AS clause_id FROM h JOIN a USING (clause_id) WHERE h.qid % 5 = 2 GROUP BY 1),
+m AS (SELECT qid, CASE WHEN cond = 'change_date' THEN 'The reporting period depends on when the change of circumstances occurred.'
+  ELSE '§' || clause_id || ' was amended by Amendment No. 1996-01 effective 1 March 1996. Applicability depends on determination date.' END AS note FROM u JOIN a USING (clause_id)),
+n AS (SELECT qid, rank, CASE WHEN use_amended THEN 'Using post-amendment version of §' || clause_id || ' (effective 1 March 1996).' ELSE 'Using pre-amendment version of §' || clause_id || ' (for date ' || strftime(day, '%Y-%m-%d') || ').' END AS note
+  FROM fin WHERE new_ IS NOT NULL AND day IS NOT NULL),
+e AS (SELECT qid, 0 AS k, 0 AS rank, note FROM m UNION ALL SELECT qid, 1, rank, note FROM n UNION ALL
+  SELECT o_orderkey, 2, 0, 'Claim period spans 1 March 1996. Under Amendment No. 1996-01 §5.3, the applicable figures are those in force on each day of the period, and the award is apportioned accordingly under §7.4.3.' FROM orders WHERE o_orderkey % 5 = 4 AND o_custkey % 2 = 0)
+SELECT o_orderkey AS qid, coalesce(string_agg(note, '; ' ORDER BY k, rank), '') AS notes FROM orders LEFT JOIN e ON e.qid = o_orderkey GROUP BY 1""")
+def temporal_notes(spark, sf):
+    from dataclasses import replace
+    from datetime import date
+
+    hits, ctx, clauses = _hits(spark, sf), _hit_contexts(spark, sf), _hit_clauses(spark)
+    n = temporal.notes(_resolved(spark, sf), ctx, clauses, hits, replace(SET, boundary=date(1996, 3, 1)))
+    return n.select("qid", joined(F.col("notes"), "; ").alias("notes"))
+
+
+#: Each order's clerk is a clause; suppliers' line items amend it, one version for each day of shipping.
+_CHAIN = """ver AS (SELECT l_suppkey AS clause_id, l_shipdate::DATE AS day, max(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_CHAIN}, q AS (SELECT o_orderkey AS qid, o_custkey % (SELECT count(*) FROM supplier) + 1 AS clause_id, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT q.qid, CAST(q.clause_id AS VARCHAR) AS clause_id, CAST(coalesce(v.pos, -1) AS BIGINT) AS pos, coalesce(strftime(v.day, '%Y-%m-%d'), '') AS since FROM q ASOF LEFT JOIN ver v ON q.clause_id = v.clause_id AND q.day >= v.day""")
+def asof_chain(spark, sf):
+    """The version in force on each order's day, of clauses that were amended many times."""
+    one = table(spark, sf, "lineitem").where("l_linenumber = 1").select(
+        F.col("l_suppkey").cast("string").alias("clause_id"), F.lit(True).alias("is_amended_version"),
+        F.to_date("l_shipdate").alias("effective_from"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.lit("a").alias("amendment_id")
+    )
+    n = table(spark, sf, "supplier").count()
+    q = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % n + 1).cast("string").alias("clause_id"),
+        F.to_date("o_orderdate").alias("day")
+    )
+    met = temporal.asof_join(q, temporal.validity(one), "clause_id", "day")
+    return met.select(
+        "qid", "clause_id", F.coalesce("v_pos", F.lit(-1)).cast("long").alias("pos"),
+        F.coalesce(F.date_format("v_from", "yyyy-MM-dd"), F.lit("")).alias("since")
+    )
+
+
 # ---------------------------------------------------------------- evidence
 
 def _items(spark, sf) -> DataFrame:

@@ -84,7 +84,7 @@ def answer(
     embedding: retrieve.Embedding | None = None, scorer: retrieve.Scorer | None = None
 ) -> DataFrame:
     """(qid, question, decision, reason, text, citations, related, missing_type,
-    transitional, n_vector, n_bm25, n_fused) of every question of (qid, question).
+    transitional, n_vector, n_bm25, n_fused, notes) of every question of (qid, question).
 
     ``embedding`` and ``scorer`` may be others than the default ones.
 
@@ -127,6 +127,7 @@ def answer(
         conflict, "qid", "left"
     ).join(undated, "qid", "left").join(top, "qid", "left")
     j = j.join(temporal.transitional_citations(resolved, ctx, clauses), "qid", "left")
+    j = j.join(temporal.notes(resolved, ctx, clauses, ranked, s), "qid", "left")
     for df, name in (
         (hits.where("list_no = 0"), "n_vector"), (hits.where("list_no = 1"), "n_bm25"), (fused_all, "n_fused")
     ):
@@ -170,7 +171,7 @@ def answer(
             F.col("_missing"), none
         ).otherwise(cited("_all")).alias("related"), "missing_type", F.coalesce(
             "transitional", none
-        ).alias("transitional"), "n_vector", "n_bm25", "n_fused")
+        ).alias("transitional"), "n_vector", "n_bm25", "n_fused", "notes")
 
 
 def evidence_items(

@@ -14,10 +14,11 @@ hashes).
 
 What a document loses: holders, reference counts and the filter of a shard meet
 in one task (the filter first, then the counts, then the holders one batch
-after another), the filter screens the holders and the counts settle what it
-reports, so the result is exact. No filter is collected or sent about. A key
-that holds more than a 1024th of all rows is not dealt by shard: there are
-fewer than 1024 of these, and their rows are settled where they lie.
+after another). Every holder is asked of the filter; what the filter reports is
+settled by the counts, so the result is exact, and what it does not report is
+kept. No filter is collected. A shard that a frequent key swells is cut into
+slices by document: each slice has its part of the holders, and the shard's
+filter and counts, which are small, go to every slice.
 
 A key is the line stripped of ``[\\x20\\x09-\\x0D]`` and with A-Z lower-cased; it
 is held as its 128-bit digest. A key of at least ``min_chars`` code points
@@ -261,6 +262,14 @@ class LineIndex:
         # a document that repeats a line within itself has emitted it once;
         # distinct() joins rows that share an id
         store = Scratch(docs.sparkSession)
+        try:
+            return cls._made(store, docs, order, min_docs, min_chars, shard_rows, lasting)
+        except BaseException:
+            store.__exit__()
+            raise
+
+    @classmethod
+    def _made(cls, store, docs, order, min_docs, min_chars, shard_rows, lasting) -> LineIndex:
         keep = store.table if lasting else (lambda df, name: df)
         held = store.table(order(holders(docs, min_chars).distinct()), "holders")
         refs = keep(order(_refs(held)), "refs")
@@ -385,32 +394,31 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """(doc_id, _keys): the keys whose lines that document loses."""
-        repeated = self.refs.where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "n_docs", "keep_doc")
-        least = self.rows // 1024
-        rows = [tuple(r) for r in repeated.where(F.col("n_docs") > least).drop("n_docs").collect()]  # fewer than 1024
-        hot = repeated.sparkSession.createDataFrame(rows, "k1 long, k2 long, keep_doc long")
-        lost = self.held.join(F.broadcast(hot), ["k1", "k2"]).where(
-            ~F.col("doc_id").eqNullSafe(F.col("keep_doc"))
-        ).select("k1", "k2", "doc_id")
-        none = lambda t: F.lit(None).cast(t)
+        repeated = self.refs.where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "keep_doc")
         shard = shard_of("k2", self.bits).alias("shard")
-        rows = self.filters.select(
-            "shard", F.lit(0).alias("kind"), none("long").alias("k1"), none("long").alias("k2"),
-            none("long").alias("doc_id"), "filter"
-        )
-        rows = rows.unionByName(
-            repeated.where(F.col("n_docs") <= least).select(
-                shard, F.lit(1).alias("kind"), "k1", "k2", F.col("keep_doc").alias("doc_id"),
-                none("binary").alias("filter")
+        room = bucket_rows(self.rows, self.shard_rows)
+        # shards of more than twice their rows; each has more than ``room``, so there are
+        # fewer than the root of all rows
+        swollen = F.broadcast(
+            self.held.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * room).select(
+                "shard", F.ceil(F.col("n") / room).cast("int").alias("slices")
             )
         )
-        rest = self.held.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
-        rows = rows.unionByName(
-            rest.select(shard, F.lit(2).alias("kind"), "k1", "k2", "doc_id", none("binary").alias("filter"))
-        )
-        lost = lost.unionByName(
-            rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_settle, HOLDERS)
+        cut_up = lambda df: df.join(swollen, "shard", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        one = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice")
+        none = lambda t: F.lit(None).cast(t)
+        rows = cut_up(self.filters).select(
+            "shard", every, F.lit(0).alias("kind"), none("long").alias("k1"), none("long").alias("k2"),
+            none("long").alias("doc_id"), "filter"
         )
+        rows = rows.unionByName(cut_up(repeated.select(shard, "k1", "k2", F.col("keep_doc").alias("doc_id"))).select(
+            "shard", every, F.lit(1).alias("kind"), "k1", "k2", "doc_id", none("binary").alias("filter")
+        ))
+        rows = rows.unionByName(cut_up(self.held.select(shard, "k1", "k2", "doc_id")).select(
+            "shard", one, F.lit(2).alias("kind"), "k1", "k2", "doc_id", none("binary").alias("filter")
+        ))
+        lost = rows.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind").mapInArrow(_settle, HOLDERS)
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
@@ -445,32 +453,33 @@ def _common(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Holders that lose their lines. A shard's rows come as its filters (kind 0),
-    the counts of its repeated keys (1, the document to keep in ``doc_id``), and
-    its holders (2); only the filters and repeated keys of one shard are held."""
+    """Holders that lose their lines. The rows of a slice of a shard come as its filters
+    (kind 0), the counts of its repeated keys (1, the document to keep in ``doc_id``),
+    and its holders (2); only the filters and repeated keys of one shard are held."""
     now, screen, keep = None, None, {}
     for b in batches:
-        shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
+        kind = b.column(2).to_numpy()
+        of = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
+        cuts = np.flatnonzero((np.diff(of) != 0).any(axis=0) | (np.diff(kind) != 0)) + 1
         lost = []
-        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(shard)], strict=True):
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(kind)], strict=True):
             if e == s:
                 continue
-            if shard[s] != now:
-                now, screen, keep = shard[s], ShardFilter([]), {}
+            if tuple(of[:, s]) != now:
+                now, screen, keep = tuple(of[:, s]), ShardFilter([]), {}
             part = b.slice(s, e - s)
             if kind[s] == 0:
-                screen.parts += [CuckooFilter(data=bytes(x)) for x in part.column(5).to_pylist()]
+                screen.parts += [CuckooFilter(data=bytes(x)) for x in part.column(6).to_pylist()]
             elif kind[s] == 1:
                 keep.update(
                     zip(
-                        zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True),
-                        part.column(4).to_pylist(), strict=True
+                        zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True),
+                        part.column(5).to_pylist(), strict=True
                     )
                 )
-            elif keep:
-                hit = part.filter(pa.array(screen.contains(part.column(2).to_numpy().astype(np.uint64))))
-                k1, k2, doc = (hit.column(i).to_pylist() for i in (2, 3, 4))
+            else:
+                hit = part.filter(pa.array(screen.contains(part.column(3).to_numpy().astype(np.uint64))))
+                k1, k2, doc = (hit.column(i).to_pylist() for i in (3, 4, 5))
                 lost += [x for x in zip(k1, k2, doc, strict=True) if x[:2] in keep and keep[x[:2]] != x[2]]
         cols = list(zip(*lost, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "doc_id"])

@@ -509,3 +509,19 @@ def test_hash_of_texts(spark):
         F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("h")
     ).where(F.col("h") == hashlib.sha256(b"").hexdigest()).count()
     assert n >= 2
+
+
+@pytest.mark.parametrize("n", [50, 50_000])
+def test_every_dropped_line_was_reported_by_a_filter(spark, n):
+    """At every size all holders are asked: without filters nothing is dropped, and a key
+    that most rows hold is dealt over slices of its shard."""
+    df = spark.range(n).selectExpr(
+        "id as doc_id", "concat('a line that most documents have, of more than forty', '\n', 'one of a few lines, also longer than "
+        "forty, number ', id % 7, '\n', id) as text"
+    )
+    index = linededup.LineIndex.build(df, lasting=False)
+    lost = index.drops().selectExpr("sum(size(_keys))").first()[0]
+    assert lost == (n - 1) + (n - 7)
+    index._filters = linededup._Table(index.store, "filters", [(index.filters.limit(0), set())])
+    assert index.drops().count() == 0
+    index.close()

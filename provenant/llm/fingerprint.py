@@ -30,6 +30,7 @@ from .common import bucket_rows, free_name
 
 FRACTION_BITS = 3  # the lowest 2**-3 of all hashes is kept
 WORDS = 5
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def with_sketch(
@@ -42,7 +43,7 @@ def with_sketch(
     # a word is hashed once, and a shingle from the hashes of its words
     df = df.withColumn(
         f"{own}_w",
-        F.transform(F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+"), lambda w: F.xxhash64(w))
+        F.transform(F.split(F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(BLANK)), r"\s+"), lambda w: F.xxhash64(w))
     )
     at = F.sequence(F.lit(0), F.greatest(F.size(f"{own}_w") - words, F.lit(0)))
     hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col(f"{own}_w"), i + k) for k in range(words)]))

@@ -21,7 +21,6 @@ column can clash.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +34,14 @@ from .common import crc_mod, order_hash, texts
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
 PER_CLASS, TOTAL, MAX_CLASSES, WINDOWS_EACH = 1_000, 20_000, 512, 3
-_LETTER = re.compile(r"[^\W\d_]").search
 _SPAN = max(WIDTHS)
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter (Unicode category L): no figure, fraction or sign is."""
+    return any(map(str.isalpha, text))
+
+
 def windows(data: bytes) -> np.ndarray:
     """The bytes as rows of a fixed length, the last one filled up with zeros."""
     n = max(1, -(-len(data) // WINDOW))
@@ -127,7 +130,7 @@ def drawn(text: str, windows_each: int) -> list[tuple[int, np.ndarray]]:
     for i in sorted(range(len(w)), key=codes.__getitem__):
         if len(out) == windows_each:
             break
-        if _LETTER(w[i].tobytes().decode("utf-8", "ignore")):
+        if has_letter(w[i].tobytes().decode("utf-8", "ignore")):
             out.append((codes[i], w[i]))
     return out
 
@@ -202,7 +205,7 @@ def predict(docs: DataFrame, model: tuple[list[str], Net | None]) -> DataFrame:
 
             held = 0
             for i, t in enumerate(texts(b.column(1), 100)):
-                if net is None or not t or not _LETTER(t):
+                if net is None or not t or not has_letter(t):
                     continue
                 data = t.lower().encode("utf-8", "replace")
                 w = windows(data)

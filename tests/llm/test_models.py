@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import re
+import time
 import zlib
 
 import numpy as np
@@ -321,3 +323,44 @@ def test_scores_keep_other_columns(spark, op):
     got = op.score(docs, op.train(docs, labels), "mine")
     assert got.columns == [*docs.columns, "mine"] and [tuple(r)[2:4] for r in got.orderBy("doc_id").collect()] == [(7, "a"), (8, "b"), (9, "c")]
     assert op.score(docs, op.train(docs, labels)).columns == ["doc_id", "text", "a.b", "score"]
+
+
+CONTRACT = {
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+}
+
+
+def contract_spans(text):
+    """The contract's own patterns, leftmost without overlap; failing matches are dropped."""
+    digits = lambda m: "".join(c for c in m[0] if c in "0123456789")
+    good = {
+        "ip": lambda m: all(int(p) <= 255 for p in m[0].split(".")),
+        "card": lambda m: 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m)), "phone": lambda m: 8 <= len(digits(m)) <= 15
+    }
+    return {k: [m.span() for m in p.finditer(text) if good[k](m)] for k, p in CONTRACT.items()}
+
+
+def test_base_kinds_by_the_contract():
+    rng = np.random.default_rng(4)
+    for _ in range(4000):
+        parts = rng.choice(["1", "9", "25", "255", "256", "00", "4111111111111111", ".", ".", "..", "-", " ", "+", "(", ")", "x", "\n"], 14)
+        text = "".join(parts)
+        got = pii.base_spans(text)
+        assert {k: got[k] for k in CONTRACT} == contract_spans(text), text
+
+
+@pytest.mark.parametrize("part", ["7", "1.", "1.1", "255.", "+1", "1 ", "a@", "1-1+"])
+def test_base_spans_of_a_megabyte(part):
+    text = part * (1_000_000 // len(part))
+    start = time.perf_counter()
+    pii.base_spans(text)
+    pii.failed_spans(text)
+    assert time.perf_counter() - start < 4
+
+
+def test_letters_are_letters():
+    from provenant.llm import langid
+
+    assert not any(map(langid.has_letter, ["½ ② 12", "²³", "①", "_", "", "٣", "$ 5"]))
+    assert all(map(langid.has_letter, ["é", "1ª", "日", "½a"]))

@@ -193,3 +193,11 @@ def test_sketch_estimates(spark):
         ).collect()
     }
     assert abs(got[1, 2][2] - 0.5) < 0.1 and got[2, 1][3] > 0.95 and got[1, 3][2] < 0.02 and got[1, 1][2] == 1
+
+
+def test_white_space_at_the_ends(spark):
+    """Blanks, tabs and newlines around and between words make no difference."""
+    texts = ["one two three four five six", "\n one\ttwo three\r\nfour five six \x0b", "\t\none two  three four five six\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = fingerprint.with_sketch(rows, "t", "s", words=3, fraction_bits=1).collect()
+    assert len({(tuple(r["s"]), r["s_whole"]) for r in got}) == 1

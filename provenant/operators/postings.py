@@ -15,12 +15,14 @@ that documents may come and go without touching them:
 * amending is both at once; :meth:`LexicalIndex.compact` writes what is left as
   one segment. A segment counts once its last table is there.
 
-A search reads blocks in three steps. The terms of the highest bounds give some
-candidates, whose exact k-th score is a floor. Terms whose bounds cannot reach
-the floor together are left out, and with them every document that has no other
-term; of the rest, ranges whose blocks cannot reach it. Only for candidates that
-still can, the blocks of the terms left out are looked up, the stronger half first. The result is that of
-:func:`retrieve.bm25_topk` over the same documents.
+A search goes in two steps. The terms of the highest bounds give some candidates,
+whose exact k-th score is a floor. Then blocks and questions meet by range, where
+a document lies as a whole: ranges whose blocks cannot reach the floor together
+are left out, and so are, in the others, blocks of terms that no document needs to
+reach it, unless a document found by other terms still can. A task returns at most
+``k`` rows of a question and those equal to the last. The result is that of
+:func:`retrieve.bm25_topk` over the same documents. A task holds a range: of very
+long documents, fewer should make a range (``RANGE_BITS``).
 
 Keys should be unique; every row is a document. A null text has no tokens and
 does not count for the mean length; an empty index finds nothing.
@@ -30,6 +32,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -232,17 +236,18 @@ class LexicalIndex:
 
     def topk(
         self, questions: DataFrame, k: int, s: Settings = DEFAULTS, qid: str = "qid", question: str = "question",
-        digits: int | None = None, seed_rows: int = 5_000, counted: dict | None = None
+        digits: int | None = None, seed_rows: int = 1_000, block: int = 2_000, counted: dict | None = None
     ) -> DataFrame:
         """(qid, key, score, rank): the best ``k`` documents of each question. Terms of
-        the highest bounds are read first until they have ``seed_rows`` postings.
-        ``counted``, if given, is told how many (question, block) pairs there are and
-        how many were read, and the same of blocks."""
+        the highest bounds are read first until they have ``seed_rows`` postings; a task
+        has the blocks of one range, and at most some ``block`` questions. ``counted``,
+        if given, is told how many pairs of a question and a block there are, and how
+        many were read for the second step."""
         if not self._added:
             none = questions.select(F.col(qid), F.lit(None).cast("string").alias("key"), F.lit(0.0).alias("score"))
             return none.limit(0).withColumn("rank", F.lit(0))
         n, mean = self.stats()
-        slack = lambda c: c * (1 - 1e-9) - (10.0**-digits if digits is not None else 0.0)
+        slack = 10.0**-digits if digits is not None else 0.0
         with Scratch(self.spark) as tmp:
             asked = questions.select(F.col(qid).alias("q"), F.explode(F.array_distinct(T.tokens(question))).alias("term"))
             idf = bm25_idf(F.lit(n), F.col("df"))
@@ -255,69 +260,130 @@ class LexicalIndex:
             few = [r[0] for r in asked.select("term").distinct().limit(FEW + 1).collect()]
             if len(few) <= FEW:  # a filter that Bloom filters and statistics of the files serve
                 blocks = blocks.where(F.col("term").isin(few))
-            weight = F.col("idf") * tf_part(F.col("f"), F.col("dl"), mean, s)
-
-            def scored(wanted: DataFrame, *on: str) -> DataFrame:
-                """(q, doc, s) over the blocks of wanted (q, term, idf, ..)"""
-                met = self._postings(blocks.join(wanted, list(on)), "q", "idf")
-                return self._alive(met.groupBy("q", "doc").agg(F.sum(weight).alias("s")))
-
-            def looked_up(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-                """(q, doc, s, range) with the parts of these terms added to s."""
-                at = F.array_position("docs", F.col("doc").bitwiseAND(F.lit(RANGE - 1)).cast("int")).cast("int")
-                pick = lambda c: F.element_at(c, F.col("_i")).alias(c)
-                want = pairs.join(terms.select("q", "term", "idf"), "q")
-                met = want.join(blocks, ["term", "range"]).withColumn("_i", at).where("_i > 0").select(
-                    "q", "doc", "idf", pick("tf").alias("f"), pick("dl")
-                )
-                more = met.groupBy("q", "doc").agg(F.sum(weight).alias("_m"))
-                return pairs.join(more, ["q", "doc"], "left").select(
-                    "q", "doc", (F.col("s") + F.coalesce("_m", F.lit(0.0))).alias("s"), "range"
-                )
-
-            # some candidates, and the k-th of their exact scores
-            strong = Window.partitionBy("q").orderBy(F.col("bound").desc(), "term")
-            before = F.coalesce(F.sum("df").over(strong.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            ordered = asked.withColumn("first", before < seed_rows)
-            some = top_k(scored(ordered.where("first").select("q", "term", "idf"), "term"), 4 * k, "q", "doc", "s")
-            some = tmp.table(some.select("q", "doc", "s", range_of("doc").alias("range")), "some")
-            known = looked_up(some, ordered.where("not first"))
-            floor = top_k(known, k, "q", "doc", "s").where(F.col("rank") == k).select("q", slack(F.col("s")).alias("floor"))
-            # step 0: terms that some document needs to reach the floor; 1 and 2: terms that
-            # are looked up for candidates, the weakest last
-            reached = F.sum("bound").over(Window.partitionBy("q").orderBy("bound", "term"))
-            step = F.when(F.col("floor").isNull() | (reached >= F.col("floor")), 0).when(2 * reached >= F.col("floor"), 1)
-            asked = tmp.table(
-                asked.join(floor, "q", "left").withColumn("step", step.otherwise(2)).withColumn(
-                    "floor", F.coalesce("floor", F.lit(0.0))
-                ), "judged"
-            )
-            later = lambda n: asked.where(F.col("step") == n)
+            asked = tmp.table(self._judged(asked, blocks, k, mean, s, slack, seed_rows, tmp), "judged")
+            # what a range can add at most, of all terms and of those that are looked up
             heads = blocks.select("term", "range", "max_tf", "min_ratio").join(
                 asked.select("q", "term", "idf", "step", "floor"), "term"
             ).withColumn("ub", F.col("idf") * tf_bound("max_tf", "min_ratio", mean, s))
             rest = lambda n: F.coalesce(F.sum(F.when(F.col("step") >= n, F.col("ub"))), F.lit(0.0)).alias(f"rest{n}")
             reach = heads.groupBy("q", "range").agg(F.sum("ub").alias("top"), rest(1), rest(2), F.first("floor").alias("floor"))
-            reach = tmp.table(reach.where("top >= floor").drop("top"), "reach")
-            live = heads.where("step = 0").select("q", "term", "range", "idf")
-            live = tmp.table(live.join(reach.select("q", "range"), ["q", "range"], "left_semi"), "live")
-            found = scored(live, "term", "range").withColumn("range", range_of("doc")).join(reach, ["q", "range"])
-            found = tmp.table(found.where("s + rest1 >= floor").select("q", "doc", "s", "range"), "found")
-            nearer = looked_up(found, later(1)).join(reach, ["q", "range"]).where("s + rest2 >= floor")
-            nearer = tmp.table(nearer.select("q", "doc", "s", "range"), "nearer")
+            reach = reach.where("top >= floor").drop("top")
+            live = tmp.table(
+                heads.select("q", "range", "term", "idf", "step").join(reach, ["q", "range"]), "live"
+            )
+            parts = max(1, -(-asked.select("q").distinct().count() // block))
+            every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+            wanted = blocks.join(live.select("term", "range").distinct(), ["term", "range"], "left_semi").select(
+                "range", every, "term", "docs", "tf", "dl"
+            )
+            if self._gone:
+                none = F.array().cast("array<int>")
+                gone = self._read("docs", self._gone).groupBy(range_of("doc").alias("range")).agg(
+                    F.collect_list(F.col("doc").bitwiseAND(F.lit(RANGE - 1)).cast("int")).alias("docs")
+                )
+                wanted = wanted.unionByName(gone.select(
+                    "range", every, F.lit(None).cast("string").alias("term"), "docs", none.alias("tf"), none.alias("dl")
+                ))
+            mine = live.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
+            kind = asked.schema["q"].dataType.simpleString()
+            run = _best_of_range(RANGE, RANGE_BITS, k, mean, s, slack)
+            hits = wanted.groupBy("range", "part").cogroup(mine.groupBy("range", "part")).applyInArrow(
+                run, f"q {kind}, doc long, s double"
+            )
+            hits = tmp.table(hits, "hits")
             if counted is not None:
-                tried = [(some, ordered.where("not first")), (found, later(1)), (nearer, later(2))]
-                blocks_of_pairs = [d.join(t.select("q", "term"), "q").select("q", "term", "range").distinct() for d, t in tried]
-                seeds = blocks.select("term", "range").join(ordered.where("first").select("q", "term"), "term")
-                read = reduce(DataFrame.unionByName, blocks_of_pairs).join(
-                    blocks.select("term", "range"), ["term", "range"], "left_semi"
-                ).unionByName(live.select("q", "term", "range")).unionByName(seeds.select("q", "term", "range"))
-                counted |= {
-                    "pairs": heads.count(), "pairs_read": read.distinct().count(),
-                    "blocks": heads.select("term", "range").distinct().count(),
-                    "blocks_read": read.select("term", "range").distinct().count()
-                }
-            total = looked_up(nearer, later(2))
+                counted |= {"pairs": heads.count(), "pairs_read": int(hits.where("doc < 0").agg(F.sum("s")).first()[0] or 0)}
             score = F.round("s", digits) if digits is not None else F.col("s")
-            out = total.join(self.docs().select("doc", "key"), "doc").select(F.col("q").alias(qid), "key", score.alias("score"))
-            return cut(top_k(out, k, qid, "key"))
+            out = hits.where("doc >= 0").join(self.docs().select("doc", "key"), "doc")
+            return cut(top_k(out.select(F.col("q").alias(qid), "key", score.alias("score")), k, qid, "key"))
+
+    def _judged(self, asked, blocks, k, mean, s, slack, seed_rows, tmp) -> DataFrame:
+        """``asked`` with the floor of each question, a score that its k-th document
+        reaches, and the step in which a term is read: 0 for terms that some document
+        needs to reach the floor, 1 and 2 for those that candidates are looked up in,
+        the weakest last."""
+        weight = F.col("idf") * tf_part(F.col("f"), F.col("dl"), mean, s)
+        strong = Window.partitionBy("q").orderBy(F.col("bound").desc(), "term")
+        place = F.row_number().over(strong)
+        ordered = asked.withColumn("first", (F.sum("df").over(strong) <= seed_rows) | (place == 1))
+        seeds = ordered.where("first").select("q", "term", "idf")
+        met = self._postings(blocks.join(seeds, "term"), "q", "idf")
+        some = self._alive(met.groupBy("q", "doc").agg(F.sum(weight).alias("s")))
+        some = tmp.table(
+            top_k(some, 4 * k, "q", "doc", "s").select("q", "doc", "s", range_of("doc").alias("range")), "some"
+        )
+        at = F.array_position("docs", F.col("doc").bitwiseAND(F.lit(RANGE - 1)).cast("int")).cast("int")
+        pick = lambda c: F.element_at(c, F.col("_i")).alias(c)
+        want = some.join(ordered.where("not first").select("q", "term", "idf"), "q")
+        more = want.join(blocks, ["term", "range"]).withColumn("_i", at).where("_i > 0").select(
+            "q", "doc", "idf", pick("tf").alias("f"), pick("dl")
+        ).groupBy("q", "doc").agg(F.sum(weight).alias("_m"))
+        known = some.join(more, ["q", "doc"], "left").withColumn("s", F.col("s") + F.coalesce("_m", F.lit(0.0)))
+        floor = top_k(known, k, "q", "doc", "s").where(F.col("rank") == k).select(
+            "q", (F.col("s") * (1 - 1e-9) - slack).alias("floor")
+        )
+        reached = F.sum("bound").over(Window.partitionBy("q").orderBy("bound", "term"))
+        step = F.when(F.col("floor").isNull() | (reached >= F.col("floor")), 0).when(2 * reached >= F.col("floor"), 1)
+        return asked.join(floor, "q", "left").withColumn("step", step.otherwise(2)).withColumn(
+            "floor", F.coalesce("floor", F.lit(0.0))
+        )
+
+
+def _best_of_range(size: int, bits: int, k: int, mean: float, s: Settings, slack: float):
+    """Scores of the documents of one range, for a group of questions: the blocks of
+    step 0 in full, the others only as long as a document can still reach the floor."""
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        hits_q, hits_doc, hits_s, read = [], [], [], 0
+        kind = asked.schema.field("q").type
+        names = blocks["term"].to_pylist()
+        lists = {c: blocks[c].combine_chunks() for c in ("docs", "tf", "dl")} if blocks.num_rows else {}
+        at = {t: i for i, t in enumerate(names) if t is not None}
+        gone = [x for i, t in enumerate(names) if t is None for x in lists["docs"][i].as_py()]
+
+        def part(row: int) -> tuple[np.ndarray, np.ndarray]:
+            docs, f, dl = (lists[c][row].values.to_numpy(zero_copy_only=False) for c in ("docs", "tf", "dl"))
+            return docs, f * (s.bm25_k1 + 1) / (f + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * dl / mean))
+
+        decoded: dict[int, tuple] = {}
+        asked = asked.sort_by([("q", "ascending"), ("step", "ascending")])
+        q, step, term, idf = (asked[c].to_pylist() for c in ("q", "step", "term", "idf"))
+        start = 0
+        while start < len(q):
+            end = start
+            while end < len(q) and q[end] == q[start]:
+                end += 1
+            floor, rest = asked["floor"][start].as_py(), [asked[c][start].as_py() for c in ("rest1", "rest2")] + [0.0]
+            score, live = np.zeros(size), None
+            for now in (0, 1, 2):
+                if live is not None and not live.any():
+                    break
+                for i in range(start, end):
+                    if step[i] == now:
+                        row = at[term[i]]
+                        if row not in decoded:
+                            decoded[row] = part(row)
+                        docs, w = decoded[row]
+                        score[docs] += idf[i] * w
+                        read += 1
+                if live is None:
+                    live = score > 0
+                    live[gone] = False
+                live &= score + rest[now] >= floor
+            found = np.flatnonzero(live)
+            if len(found) > k:  # rows that may be equal to the k-th stay
+                own = score[found]
+                found = found[own >= np.partition(own, -k)[-k] * (1 - 1e-9) - slack]
+            hits_q += [q[start]] * len(found)
+            hits_doc.append(found)
+            hits_s.append(score[found])
+            start = end
+        doc = np.concatenate(hits_doc) if hits_doc else np.zeros(0, np.int64)
+        if len(q):
+            doc = (asked["range"][0].as_py() << bits) + doc
+        return pa.table({
+            "q": pa.array([*hits_q, None], kind), "doc": pa.array(np.append(doc, -1).astype(np.int64)),
+            "s": pa.array(np.append(np.concatenate(hits_s) if hits_s else np.zeros(0), float(read)))
+        })
+
+    return run

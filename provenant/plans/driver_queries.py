@@ -1066,29 +1066,33 @@ def found_pairs_left_out(spark, sf):
     return contradict.mismatched(_pair_candidates(spark, sf), found).select("qid", "a_id", "b_id", "value_a", "value_b")
 
 
-_SWEPT = """SELECT CAST(doc_id // 2 AS VARCHAR) AS clause_id, doc_id AS idx, text || ' Notice of ' || (doc_id % 4 + 3) || CASE WHEN doc_id % 3 = 0 THEN ' weeks is due' ELSE ' days is due' END AS text FROM documents"""
+_SWEPT = """SELECT l_orderkey || '.' || (l_linenumber // 2) AS clause_id, row_number() OVER (ORDER BY l_orderkey, {order}) AS idx,
+'o' || l_orderkey || ' q' || l_orderkey || ' k' || l_orderkey || ' r' || l_partkey || ' l' || l_orderkey || 'n' || l_linenumber || ' within ' || (l_partkey % 4 + 3) || CASE WHEN l_suppkey % 5 = 0 THEN ' weeks' ELSE ' days' END AS text FROM lineitem""".format(order=", ".join(_LINE_ORDER))
 
 
 @query(f"""WITH d AS ({_SWEPT}),
-t AS (SELECT *, last({S.content_tokens('text')}) OVER (PARTITION BY clause_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM d),
-e AS (SELECT idx, unnest(t) AS w FROM t), n AS (SELECT idx, clause_id, len(t) AS n FROM t),
-k AS (SELECT a.idx AS i, b.idx AS j, count(*) AS k FROM e a JOIN e b ON a.w = b.w AND a.idx < b.idx GROUP BY 1, 2),
-o AS (SELECT i, j, x.clause_id AS a_id, y.clause_id AS b_id FROM k JOIN n x ON x.idx = i JOIN n y ON y.idx = j WHERE x.clause_id <> y.clause_id AND k / (x.n + y.n - k) >= 0.4),
-m AS (SELECT idx, unnest(regexp_extract_all(text, {S.lit(T.UNIT_NUMBER)}, 0)) AS m, unnest(range(1, len(regexp_extract_all(text, {S.lit(T.UNIT_NUMBER)}, 0)) + 1)) AS ord, text FROM d),
-c AS (SELECT idx, replace(regexp_extract(m, {S.lit(T.UNIT_NUMBER)}, 1), ',', '') AS v, {S.unit_family(f"regexp_extract(m, {S.lit(T.UNIT_NUMBER)}, 2)")} AS unit
-  FROM m WHERE NOT {S.modified('lower(' + S.window('text', S.start_of('text', T.UNIT_NUMBER, 'ord') + ' - 25', S.start_of('text', T.UNIT_NUMBER, 'ord')) + ')')}),
-f AS (SELECT i, j, a_id, b_id, x.unit, x.v AS value_a, y.v AS value_b FROM o JOIN c x ON x.idx = i JOIN c y ON y.idx = j AND y.unit = x.unit WHERE x.v <> y.v)
-SELECT a_id, b_id, unit, value_a, value_b, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM f QUALIFY dense_rank() OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id) ORDER BY i, j) = 1) GROUP BY i, j, a_id, b_id, unit, value_a, value_b""")
+t AS (SELECT *, last({S.content_tokens('text')}) OVER (PARTITION BY clause_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t,
+  regexp_extract(text, 'within ([0-9]+) ([a-z]+)s$', 1) AS v, regexp_extract(text, 'within ([0-9]+) ([a-z]+)s$', 2) AS unit FROM d),
+e AS (SELECT idx, unnest(t) AS w FROM t),
+m AS (SELECT DISTINCT a.idx AS i, b.idx AS j FROM e a JOIN e b ON a.w = b.w AND a.idx < b.idx WHERE a.w NOT IN ('within', 'days', 'weeks', 'week')),
+f AS (SELECT i, j, x.clause_id AS a_id, y.clause_id AS b_id, x.unit, x.v AS value_a, y.v AS value_b FROM m JOIN t x ON x.idx = i JOIN t y ON y.idx = j
+  WHERE x.clause_id <> y.clause_id AND x.unit = y.unit AND x.v <> y.v AND len(list_intersect(x.t, y.t)) / len(list_distinct(x.t || y.t)) >= 0.4)
+SELECT a_id, b_id, unit, value_a, value_b FROM f QUALIFY row_number() OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id) ORDER BY i, j) = 1""")
 def contradiction_sweep(spark, sf):
-    """Every text of a corpus against every other: two texts to a clause id, and a
-    figure in each."""
-    c = table(spark, sf, "documents").select(
-        F.lit(0).alias("qid"), F.col("doc_id").alias("idx"), F.expr("cast(doc_id div 2 as string)").alias("clause_id"),
-        F.expr("text || ' Notice of ' || (doc_id % 4 + 3) || if(doc_id % 3 = 0, ' weeks is due', ' days is due')").alias("text")
+    """Every text of a corpus against every other, without questions: two or more texts
+    to some clause ids, and a figure in each."""
+    text = F.expr(
+        "'o' || l_orderkey || ' q' || l_orderkey || ' k' || l_orderkey || ' r' || l_partkey || ' l' || l_orderkey || 'n' || l_linenumber "
+        "|| ' within ' || (l_partkey % 4 + 3) || if(l_suppkey % 5 = 0, ' weeks', ' days')"
+    )
+    c = table(spark, sf, "lineitem").select(
+        F.lit(0).alias("qid"), F.struct("l_orderkey", F.row_number().over(
+            Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
+        ).alias("n")).alias("idx"),
+        F.expr("l_orderkey || '.' || (l_linenumber div 2)").alias("clause_id"), text.alias("text")
     )
     none = values(spark, [], "qid int, a_id string, b_id string")
-    f = contradict.mismatched(c, none)
-    return f.groupBy("a_id", "b_id", "unit", "value_a", "value_b").agg(F.count(F.lit(1)).alias("n"))
+    return contradict.mismatched(c, none).select("a_id", "b_id", "unit", "value_a", "value_b")
 
 
 @query(f"""WITH t AS (SELECT item_id, {S.content_tokens("text || CASE WHEN item_id % 3 = 0 THEN '' ELSE ' ' || item_id % 5 || 'th clause' END")} AS t FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, left(text, length(text) * (item_id % 4 + 1) // 5) FROM benchmark)),

@@ -43,7 +43,8 @@ from ..plans.storage import Scratch, cut
 from .retrieve import bm25_idf, top_k
 
 DEFAULTS = Settings()
-RANGE_BITS, SEGMENT_BITS = 12, 50
+RANGE_BITS, SEGMENT_BITS = 11, 50
+TF_BITS = DL_BITS = 26  # a count is at most a length
 RANGE = 1 << RANGE_BITS
 #: Parquet's own delta encoding for whole numbers, and Bloom filters on terms.
 PACKED = {
@@ -71,26 +72,31 @@ def tf_bound(max_tf: str, min_ratio: str, mean: float, s: Settings) -> Column:
 
 def blocks_of(numbered: DataFrame, text: str) -> DataFrame:
     """(term, range, n, max_tf, min_ratio, docs, tf, dl) of documents (doc, text).
-    Texts are dealt by number once; the counts of a document then need no shuffle."""
-    raw = numbered.select("doc", T.raw_tokens(text).alias("_a")).repartition("doc")
-    each = raw.select("doc", F.size("_a").alias("dl"), F.explode("_a").alias("_t")).select(
-        "doc", "dl", T.stem(F.col("_t")).alias("term")
+    Texts are dealt by range, once; nothing else is shuffled."""
+    dealt = numbered.select(range_of("doc").alias("range"), "doc", text).repartition("range")
+    raw = dealt.select("range", "doc", T.raw_tokens(text).alias("_a"))
+    each = raw.select("range", "doc", F.size("_a").alias("dl"), F.explode("_a").alias("_t")).select(
+        "range", "doc", "dl", T.stem(F.col("_t")).alias("term")
     )
-    counts = each.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("f"))
-    return blocks_from(counts)
+    return blocks_from(each.groupBy("range", "doc", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("f")))
 
 
 def blocks_from(counts: DataFrame) -> DataFrame:
-    """Blocks of (doc, dl, term, f); a group has at most ``RANGE`` rows."""
-    packed = counts.groupBy("term", range_of("doc").alias("range")).agg(
+    """Blocks of (range, doc, dl, term, f). A group has at most ``RANGE`` rows, a posting
+    is a number in it: its document's place, its count and its document's length."""
+    place = F.col("doc").bitwiseAND(F.lit(RANGE - 1))
+    long_one = F.raise_error(F.lit(f"a document has more than {2**DL_BITS - 1} tokens"))
+    dl = F.when(F.col("dl") < 2**DL_BITS, F.col("dl").cast("long")).otherwise(long_one.cast("long"))
+    number = F.shiftleft(place, TF_BITS + DL_BITS) + F.shiftleft(F.col("f").cast("long"), DL_BITS) + dl
+    packed = counts.groupBy("range", "term").agg(
         F.count(F.lit(1)).cast("int").alias("n"), F.max("f").alias("max_tf"), F.min(F.col("dl") / F.col("f")).alias("min_ratio"),
-        F.sort_array(F.collect_list(F.struct(
-            F.col("doc").bitwiseAND(F.lit(RANGE - 1)).cast("int").alias("doc"), "f", "dl"
-        ))).alias("p")
+        F.sort_array(F.collect_list(number)).alias("p")
     )
+    part = lambda take: F.transform("p", lambda x: take(x).cast("int"))
     return packed.select(
-        "term", "range", "n", "max_tf", "min_ratio", F.col("p.doc").alias("docs"), F.col("p.f").alias("tf"),
-        F.col("p.dl").alias("dl")
+        "term", "range", "n", "max_tf", "min_ratio", part(lambda x: F.shiftright(x, TF_BITS + DL_BITS)).alias("docs"),
+        part(lambda x: F.shiftright(x, DL_BITS).bitwiseAND(F.lit(2**TF_BITS - 1))).alias("tf"),
+        part(lambda x: x.bitwiseAND(F.lit(2**DL_BITS - 1))).alias("dl")
     )
 
 
@@ -183,7 +189,7 @@ class LexicalIndex:
         """What is left, as one segment of another folder."""
         out = LexicalIndex(self.spark, path, [])
         live = self._alive(self._postings(self._read("blocks", self._added)))
-        blocks = out._write(blocks_from(live.select("doc", "dl", "term", "f")).sortWithinPartitions("term"), "000000-added", "blocks")
+        blocks = out._write(blocks_from(live.select(range_of("doc").alias("range"), "doc", "dl", "term", "f")).sortWithinPartitions("term"), "000000-added", "blocks")
         return out._finished("000000-added", blocks, out._write(self.docs(), "000000-added", "docs"))
 
     # ---- what it says

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import col
+from . import scan
+from .scan import CHUNK
 
 DEFAULTS = Settings()
 
@@ -41,23 +43,41 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     ).select(key, (F.col("_i") + 1).alias("line_no"), "line")
 
 
-def segment(lines: DataFrame, key: str = "source") -> DataFrame:
-    """Clauses of every document of (key, line_no, line).
+def segment(lines: DataFrame, key: str = "source", chunk: int = CHUNK) -> DataFrame:
+    """Clauses of every document of (key, line_no, line), lines numbered from 1.
 
-    One window per document in line order: markers, headings and rules begin
-    islands, headings are carried forward, and islands that begin with a
-    marker are the clauses. Documents are independent, so any number of them
-    is spread over tasks.
+    Markers, headings and rules begin islands, headings are carried forward, and
+    islands that begin with a marker are the clauses. The lines of a document are
+    dealt in chunks of ``chunk``: counts and headings of the earlier chunks come
+    from one row a chunk, so that one very long manual is spread over as many
+    tasks as many short ones. A clause is a row, and must fit one.
     """
     line = F.regexp_replace("line", r"\s+$", "")
-    rows = lines.select(key, "line_no", line.alias("line")).withColumn("_kind", line_kind("line"))
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda kind, pattern, g: F.coalesce(F.last(F.when(F.col("_kind") == kind, F.regexp_extract("line", pattern, g)), ignorenulls=True).over(w), F.lit(""))
+    rows = lines.select(key, "line_no", line.alias("line")).withColumn("_kind", line_kind("line")).withColumn(
+        "_chunk", F.floor((F.col("line_no") - 1) / chunk)
+    )
+    heading = lambda kind, pattern: F.when(F.col("_kind") == kind, F.struct(
+        F.regexp_extract("line", pattern, 1).alias("number"), F.regexp_extract("line", pattern, 2).alias("title")
+    ))
+    kinds = {"part": heading("part", PART), "section": heading("section", SECTION)}
+    starts, markers = F.count_if(F.col("_kind") != "text"), F.count_if(F.col("_kind") == "clause")
+    ends = rows.groupBy(key, "_chunk").agg(
+        starts.alias("starts"), markers.alias("markers"),
+        *[F.max_by(h, F.when(h.isNotNull(), F.col("line_no"))).alias(kind) for kind, h in kinds.items()]
+    )
+    prior = scan.before(ends, key, "_chunk", ["starts", "markers"], ["part", "section"])
+    w = Window.partitionBy(key, "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(
-        "*", F.count_if(F.col("_kind") != "text").over(w).alias("_island"),
-        F.count_if(F.col("_kind") == "clause").over(w).cast("int").alias("order"),
-        carried("part", PART, 1).alias("part_number"), carried("part", PART, 2).alias("part_title"),
-        carried("section", SECTION, 1).alias("section_number"), carried("section", SECTION, 2).alias("section_title"),
+        "*", starts.over(w).alias("_starts"), markers.over(w).alias("_markers"),
+        *[F.last(h, ignorenulls=True).over(w).alias(f"_{kind}") for kind, h in kinds.items()]
+    )
+    carried = lambda kind, field: F.coalesce(
+        F.coalesce(f"_{kind}", f"_before_{kind}")[field], F.lit("")
+    ).alias(f"{kind}_{field}")
+    rows = scan.with_before(rows, key, "_chunk", prior).select(
+        key, "line_no", "line", "_kind", (F.col("_before_starts") + F.col("_starts")).alias("_island"),
+        (F.col("_before_markers") + F.col("_markers")).cast("int").alias("order"),
+        carried("part", "number"), carried("part", "title"), carried("section", "number"), carried("section", "title"),
     )
     marker = F.col("_kind") == "clause"
     own = F.when(marker, first_line("line")).otherwise(F.col("line"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import scan
 from ..operators import segment as seg
 
 
@@ -37,19 +38,41 @@ def read_manuals(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def read_manual_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source, line_no, line) of each file, as :func:`segment.lines_of` numbers them,
+    though no task reads a whole file: a split numbers its own lines, and what the
+    splits before it hold, one row a split, is added. An empty file has no lines."""
+    if not any(c in path for c in "*{[") and not _exists(spark, path):
+        raise ManualNotFoundError(f"manual not found: {path}")
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    splits = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    prior = scan.before(splits, "file", "split", ["n"], own=["first"])
+    return scan.with_before(rows, "file", "split", prior).select(
+        F.element_at(F.split("file", "/"), -1).alias("source"),
+        (F.col("_before_n") + F.col("at") - F.col("first") + 1).alias("line_no"), "line"
+    )
+
+
 def clause_table(manuals: DataFrame) -> DataFrame:
     """The clause table of (source, text), positions counted from 0 by source."""
-    c = seg.split_oversized(seg.segment(seg.lines_of(manuals, "source", "text")))
-    w = Window.partitionBy("source").orderBy("line_start", "order")
+    return clauses_of_lines(seg.lines_of(manuals, "source", "text"))
+
+
+def clauses_of_lines(lines: DataFrame) -> DataFrame:
+    """The same of (source, line_no, line)."""
+    c = seg.split_oversized(seg.segment(lines))
+    c = scan.numbered(c, "source", F.floor(F.col("order") / scan.CHUNK), ["line_start", "order"], "_n")
     none = lambda t: F.lit(None).cast(t)
     return c.select(
         "clause_id", "citation", "part_number", "part_title", "section_number", "section_title", "text", "order",
         "line_start", "line_end", "source",
         none("date").alias("effective_from"), none("date").alias("effective_to"), none("string").alias("amendment_id"),
         none("string").alias("amendment_paragraph"),
-        F.lit(False).alias("is_amended_version"), none("string").alias("date_condition_type"), (
-            F.row_number().over(w) - 1
-        ).cast("int").alias("pos"))
+        F.lit(False).alias("is_amended_version"), none("string").alias("date_condition_type"),
+        (F.col("_n") - 1).cast("int").alias("pos"))
 
 
 def amendments(spark: SparkSession, specs: Iterable[dict]) -> DataFrame:

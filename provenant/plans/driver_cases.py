@@ -89,15 +89,21 @@ _VIEW = [
 ]
 
 
-@query(
-    f"SELECT qid, CAST(rank AS INTEGER) AS rank, citation, state, notes FROM {sql_values(_VIEW, 'qid, rank, citation, state, notes')}"
-)
+@query(f"""SELECT o_orderkey, CAST(rank AS INTEGER) AS rank, citation, state, notes
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'fee' WHEN 1 THEN 'gap' WHEN 2 THEN 'bare' ELSE 'both' END AS qid FROM orders) JOIN {sql_values(_VIEW, 'qid, rank, citation, state, notes')} USING (qid)""")
 def evidence_view(spark, sf):
-    """What stands behind four answers: the evidence that was weighed, and its state."""
+    """Every order asks one of four questions; what stands behind the answer, the
+    evidence that was weighed and its state, is made once a question and joined back."""
     asked = {"fee": 2, "gap": 5, "bare": 6, "both": 7}
-    q = spark.createDataFrame([(name, CASES[k][1]) for name, k in asked.items()], "qid string, question string")
+    place = F.array(*[F.lit(CASES[k][1]) for k in asked.values()])
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.element_at(place, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("question")
+    )
+    q = orders.select("question").distinct().withColumn("qid", F.md5("question"))
     e = engine.evidence_items(q, engine.build_index(sample.clauses(spark), sample.specs(spark)))
-    return e.select("qid", "rank", "citation", "state", joined(F.col("notes")).alias("notes"))
+    return orders.withColumn("qid", F.md5("question")).join(e, "qid").select(
+        "o_orderkey", "rank", "citation", "state", joined(F.col("notes")).alias("notes")
+    )
 
 
 # ---------------------------------------------------------------- files
@@ -141,44 +147,32 @@ def questions_file(spark, sf):
         )
 
 
-_RULES = [
-    ("2.1", "6.4.1", "$120", "$175", True, "determination_date"),
-    ("2.2", "4.3.2", "10 calendar days", "14 calendar days", True, "change_date"),
-    ("2.3", "9.1.4", "30 days", "14 days", True, "change_date"),
-    ("2.4", "10.5.2", "20 per cent", "15 per cent", False, "determination_date"),
-]
+_PART_CONDITION = "CASE WHEN p_size % 2 = 0 THEN 'change_date' ELSE 'determination_date' END"
 
 
-@query(
-    f"SELECT paragraph, target, find, replacement, everywhere, condition, DATE '2026-03-01' AS effective_date FROM {sql_values(_RULES, 'paragraph, target, find, replacement, everywhere, condition')}"
-)
+@query(f"""SELECT {Q._OF_PART} AS amendment, '2.' || p_partkey AS paragraph, CAST(p_partkey AS VARCHAR) AS target, 'Fee' AS find, 'Charge ' || p_name AS replacement, p_size % 3 = 0 AS everywhere,
+{_PART_CONDITION} AS condition, {Q._PART_DAY} AS effective_date FROM part""")
 def amendment_rules(spark, sf):
-    rule = sample.specs(spark).select("effective_date", F.explode("substitutions").alias("r"))
-    return rule.select(
-        F.col("r.paragraph").alias("paragraph"), F.col("r.target_clause_id").alias("target"),
-        F.col("r.find_text").alias("find"), F.col("r.replace_text").alias("replacement"),
-        F.col("r.replace_all").alias("everywhere"), F.col("r.date_condition_type").alias("condition"), "effective_date")
-
-
-_PROVISIONS = [
-    (
-        "A2026-01-5.1", A51, "Amended amounts apply to determinations made on or after the effective date.",
-        "determination_date"
-    ),
-    (
-        "A2026-01-5.2", A52,
-        "The amended reporting period applies to changes occurring on or after the effective date.", "change_date"
-    ),
-    ("A2026-01-5.3", A53, "A period that spans the effective date is apportioned by day.", None),
-]
-
-
-@query(
-    f"SELECT clause_id, citation, text, condition, DATE '2026-03-01' AS effective_from FROM {sql_values(_PROVISIONS, 'clause_id, citation, text, condition')}"
-)
+    """The rules of amendments that were read from JSON files, a rule for each part."""
+    with Scratch(spark) as tmp:
+        specs = Q.amendments_of_parts(spark, sf, f"{tmp.path}/amendments")
+        rule = specs.select("amendment_id", "effective_date", F.explode("substitutions").alias("r"))
+        return cut(rule.select(
+            F.col("amendment_id").alias("amendment"), F.col("r.paragraph").alias("paragraph"),
+            F.col("r.target_clause_id").alias("target"), F.col("r.find_text").alias("find"),
+            F.col("r.replace_text").alias("replacement"), F.col("r.replace_all").alias("everywhere"),
+            F.col("r.date_condition_type").alias("condition"), "effective_date"
+        ))
+
+
+@query(f"""SELECT 'A' || {Q._OF_PART} || '-5.' || p_partkey AS clause_id, 'Amendment No. ' || {Q._OF_PART} || ' §5.' || p_partkey AS citation, 'For ' || p_name AS text,
+{_PART_CONDITION} AS condition, {Q._PART_DAY} AS effective_from FROM part""")
 def transitional_rows(spark, sf):
-    t = amend.transitional(sample.clauses(spark), sample.specs(spark))
-    return t.select("clause_id", "citation", "text", F.col("date_condition_type").alias("condition"), "effective_from")
+    with Scratch(spark) as tmp:
+        t = amend.transitional(Q._clauses_of_parts(spark, sf), Q.amendments_of_parts(spark, sf, f"{tmp.path}/amendments"))
+        return cut(t.select(
+            "clause_id", "citation", "text", F.col("date_condition_type").alias("condition"), "effective_from"
+        ))
 
 
 _SAVED = """SELECT CAST(p_partkey AS VARCHAR) AS clause_id, false AS is_amended_version, p_type AS section_title, 'Fee of ' || p_size || ' days' AS text FROM part

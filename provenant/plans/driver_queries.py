@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..config import Settings
 from ..functions import dates as D
 from ..functions import text as T
@@ -201,18 +202,15 @@ def segment_lines(spark, sf):
     )
 
 
-_MARKERS = [
-    (1, "# Part 4 — Duties"), (2, "# Part 5 - Fees  "), (3, "## 4.3 Reporting duties"),
-    (4, "**4.3.2** A holder reports."), (5, "**1.4.3 Household** — all"), (6, "---"), (7, "--"), (8, "(a) item"),
-    (9, "# Part x")
-]
+# a line of each order's line: every kind of marker, and lines that nearly are one
+_MARKER = "CASE l_partkey % 10 WHEN 0 THEN '# Part ' || l_linenumber || ' — Duties of ' || l_suppkey WHEN 1 THEN '# Part ' || l_linenumber || ' - Fees  ' WHEN 2 THEN '## ' || l_linenumber || '.' || l_suppkey || ' Reporting duties' WHEN 3 THEN '**' || l_linenumber || '.3.' || l_suppkey || '** A holder reports.' WHEN 4 THEN '**1.4.' || l_linenumber || ' Household** — all' WHEN 5 THEN '---' WHEN 6 THEN '--' WHEN 7 THEN '(a) item ' || l_suppkey WHEN 8 THEN '# Part x' ELSE '**' || l_linenumber || '.' || l_suppkey || '** short' END"
 
 
 @query(rf"""SELECT i, CASE WHEN regexp_matches(line, '{segment.PART}') THEN 'part' WHEN regexp_matches(line, '{segment.SECTION}') THEN 'section' WHEN regexp_matches(line, '{segment.RULE}') THEN 'rule'
 WHEN regexp_matches(line, '{segment.CLAUSE}') THEN 'clause' ELSE 'text' END AS kind, CASE WHEN regexp_extract(line, '{segment.CLAUSE}', 2) <> '' THEN trim(regexp_extract(line, '{segment.CLAUSE}', 2) || ' ' || regexp_extract(line, '{segment.CLAUSE}', 3))
-ELSE regexp_extract(line, '{segment.CLAUSE}', 3) END AS first_line FROM {sql_values(_MARKERS, 'i, line')}""")
+ELSE regexp_extract(line, '{segment.CLAUSE}', 3) END AS first_line FROM (SELECT l_orderkey AS i, {_MARKER} AS line FROM lineitem)""")
 def marker_regexes(spark, sf):
-    v = values(spark, _MARKERS, "i int, line string")
+    v = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("i"), F.expr(_MARKER).alias("line"))
     return v.select("i", segment.line_kind("line").alias("kind"), segment.first_line("line").alias("first_line"))
 
 
@@ -294,8 +292,6 @@ def _clauses_of_parts(spark, sf) -> DataFrame:
 
 
 def _rules_of_parts(spark) -> DataFrame:
-    from .. import sources
-
     sub = [
         {
             "paragraph": f"2.{i}", "target_clause_id": str(i), "find_text": "Fee", "replace_text": "Charge",
@@ -324,13 +320,52 @@ def supersede_versions(spark, sf):
     return amend.superseded(_clauses_of_parts(spark, sf), _rules_of_parts(spark)).select("clause_id", "effective_to")
 
 
-@query(
-    """SELECT '7A' AS clause_id, p_brand AS part_title, p_type AS section_title, '7' AS part_number, CAST(9000 AS INTEGER) AS ord, DATE '2026-03-01' AS effective_from FROM part WHERE p_partkey = 7"""
-)
-def insert_after(spark, sf):
-    return amend.insertions(_clauses_of_parts(spark, sf), _rules_of_parts(spark)).select(
-        "clause_id", "part_title", "section_title", "part_number", F.col("order").alias("ord"), "effective_from"
+def amendments_of_parts(spark, sf, path: str) -> DataFrame:
+    """Amendments of 50 parts each, which rewrite, insert and provide for each of them,
+    written as JSON files of at most 200 amendments and read back."""
+    k = F.col("p_partkey").cast("string")
+    kind = F.when(F.col("p_size") % 2 == 0, "change_date").otherwise("determination_date")
+    rule = {"category": F.col("p_brand"), "transitional_ref": F.lit("5.1"), "date_condition_type": kind}
+    entry = lambda **own: F.sort_array(F.collect_list(F.struct(
+        *[v.alias(n) for n, v in own.items()]
+    )))
+    parts = table(spark, sf, "part").withColumn("_a", F.floor(F.col("p_partkey") / 50))
+    one = parts.groupBy("_a").agg(
+        entry(
+            paragraph=F.concat(F.lit("2."), k), target_clause_id=k, find_text=F.lit("Fee"),
+            replace_text=F.concat(F.lit("Charge "), "p_name"), replace_all=F.col("p_size") % 3 == 0, **rule
+        ).alias("substitutions"),
+        entry(
+            paragraph=F.concat(F.lit("4."), k), new_clause_id=F.concat(k, F.lit("A")), after_clause_id=k,
+            text=F.concat(F.lit("New "), "p_name"), **rule
+        ).alias("insertions"),
+        entry(
+            provision_id=F.concat(F.lit("5."), k), text=F.concat(F.lit("For "), "p_name"),
+            applies_to_categories=F.array("p_brand"), date_condition_type=kind
+        ).alias("transitional_provisions")
+    )
+    day = F.date_add(F.lit("2026-03-01").cast("date"), (F.col("_a") % 28).cast("int"))
+    one = one.select(
+        F.floor(F.col("_a") / 200).alias("file"), F.struct(
+            F.concat(F.lit("2026-"), F.col("_a").cast("string")).alias("amendment_id"), day.alias("effective_date"),
+            F.lit("amendments.json").alias("source_file"), "substitutions", "insertions", "transitional_provisions"
+        ).alias("row")
     )
+    one.groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("file").text(path)
+    return sources.read_amendments(spark, path).drop("file")
+
+
+_OF_PART = "'2026-' || (p_partkey // 50)"
+_PART_DAY = "CAST(DATE '2026-03-01' + CAST((p_partkey // 50) % 28 AS INTEGER) AS DATE)"
+
+
+@query(f"""SELECT p_partkey || 'A' AS clause_id, p_brand AS part_title, p_type AS section_title, CAST(p_partkey AS VARCHAR) AS part_number, CAST(9000 AS INTEGER) AS ord, {_PART_DAY} AS effective_from FROM part""")
+def insert_after(spark, sf):
+    with Scratch(spark) as tmp:
+        specs = amendments_of_parts(spark, sf, f"{tmp.path}/amendments")
+        return cut(amend.insertions(_clauses_of_parts(spark, sf), specs).select(
+            "clause_id", "part_title", "section_title", "part_number", F.col("order").alias("ord"), "effective_from"
+        ))
 
 
 _VERSIONS = """SELECT CAST(p_partkey AS VARCHAR) AS clause_id, false AS is_amended_version, 'Fee of ' || p_size || ' days' AS text FROM part

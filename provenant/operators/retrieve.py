@@ -15,9 +15,8 @@ from ..functions import text as T
 from ..plans.storage import Scratch, cut
 
 DEFAULTS = Settings()
-#: So many of the most frequent terms are sent to all tasks. A term that is not among
-#: the first ``HOT`` has at most one in ``HOT`` of all postings.
-HOT = 4_096
+#: A term with at least one in ``HOT`` of all postings is frequent; there are at most ``HOT``.
+HOT = 65_536
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column, many: str = "f") -> DataFrame:
@@ -37,32 +36,34 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def frequent(terms: DataFrame, first: Column, hot: int = HOT) -> DataFrame:
-    """The ``hot`` rows of (term, ..) that come first: a table of that size at most."""
-    return terms.where("term is not null").orderBy(first, "term").limit(hot)  # as joins have it: one plan for all
+def by_frequency(terms: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """The frequent and the rare rows of (term, df, ..). Frequent is what has at least
+    one in ``hot`` of all postings, so that these are never more than ``hot`` rows."""
+    known = terms.where("term is not null")  # as joins have it: counts are made by one plan for all
+    n = known.agg(F.sum("df").alias("_n"))
+    told = known.crossJoin(F.broadcast(n)).withColumn("_hot", F.col("df") * hot >= F.col("_n")).drop("_n")
+    return told.where("_hot").drop("_hot"), told.where("not _hot").drop("_hot")
 
 
-def rare(counts: DataFrame, most: DataFrame) -> DataFrame:
+def rare_postings(counts: DataFrame, most: DataFrame) -> DataFrame:
     # not an anti join, which would be moved beneath the counting and have it done twice
     told = most.select("term", F.lit(True).alias("_hot"))
     return counts.join(F.broadcast(told), "term", "left").where("_hot is null").drop("_hot")
 
 
-def join_terms(counts: DataFrame, terms: DataFrame, first: Column, hot: int = HOT) -> DataFrame:
-    """``counts`` of (.., term) beside the row of their term in (term, ..).
+def join_terms(counts: DataFrame, terms: DataFrame, hot: int = HOT) -> DataFrame:
+    """``counts`` of (.., term) beside the row of their term in (term, df, ..).
 
-    Words are so uneven that a few terms hold most postings. The ``hot`` most
-    frequent, those that ``first`` orders to the front, go to where the postings are:
-    a table of at most ``hot`` rows, whatever the corpus. Only postings of the other
-    terms are shuffled by term, and none of these can fill a task. It takes two passes
-    over the counts, which pays where a whole corpus is indexed; with ``hot`` 0 it is
-    a plain join, whose uneven tasks are left to be split as they run."""
+    Words are so uneven that few terms hold most postings. The frequent ones go to
+    where the postings are: a table of at most ``hot`` rows, whatever the corpus. Only
+    postings of the rare terms are shuffled by term, and none of these has enough to
+    fill a task. It takes two passes over the counts, which pays where a whole corpus
+    is indexed; with ``hot`` 0 it is a plain join, whose uneven tasks are left to be
+    split as they run."""
     if not hot:
         return counts.join(terms, "term")
-    most = frequent(terms, first, hot)
-    return counts.join(F.broadcast(most), "term").unionByName(
-        rare(counts, most).join(rare(terms, most), "term")
-    )
+    most, least = by_frequency(terms, hot)
+    return counts.join(F.broadcast(most), "term").unionByName(rare_postings(counts, most).join(least, "term"))
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -80,7 +81,7 @@ def bm25_weights(counts: DataFrame, docs: DataFrame, key: str, text: str, s: Set
         F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))).alias("avg_dl")
     )
     df = counts.groupBy("term").agg(F.sum((F.col("f") > 0).cast("long")).alias("df"))
-    j = join_terms(counts, df, F.desc("df"), hot).crossJoin(F.broadcast(stats))  # one row
+    j = join_terms(counts, df, hot).crossJoin(F.broadcast(stats))  # one row
     mean = F.when(F.coalesce(F.col("avg_dl"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("avg_dl"))
     tf = F.col("f") * (s.bm25_k1 + 1) / (F.col("f") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / mean))
     return j.select(key, "term", (bm25_idf(F.col("n"), F.col("df")) * tf).alias("w"))
@@ -127,9 +128,9 @@ def tfidf_vectors(
     counts = tfidf_counts(docs, key, text, stopwords)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = document_frequency(counts).crossJoin(F.broadcast(n)).select(
-        "term", smooth_idf(F.col("n"), F.col("df")).alias("idf")
+        "term", "df", smooth_idf(F.col("n"), F.col("df")).alias("idf")
     )
-    return unit(join_terms(counts, idf, F.asc("idf")).select(key, "term", _tf_idf().alias("w")), key), idf
+    return unit(join_terms(counts, idf).select(key, "term", _tf_idf().alias("w")), key), idf.drop("df")
 
 
 def tfidf_topk(

@@ -25,13 +25,14 @@ def test_no_task_of_a_term_join_reads_over_twice_the_median(spark):
     docs = zipf(spark)
     counts = retrieve.stemmed(docs, "doc", "text").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("f"))
     df = retrieve.document_frequency(counts)
-    most = retrieve.frequent(df, F.desc("df"), 256)
-    plain, even = sizes(counts), sizes(retrieve.rare(counts, most))
+    most, least = retrieve.by_frequency(df, 4_096)
+    plain, even = sizes(counts), sizes(retrieve.rare_postings(counts, most))
     assert plain[-1] > 1.3 * plain[PARTS // 2]  # the corpus is uneven
     assert even[-1] <= 1.2 * even[PARTS // 2] and sum(even) < 0.6 * sum(plain)
     # what stays is bounded by the number of frequent terms
-    least = sum(plain) / 256
-    assert retrieve.rare(df, most).agg(F.max("df")).first()[0] <= least
+    n = sum(plain)
+    assert 0 < most.count() <= 4_096 and most.agg(F.min("df")).first()[0] >= n / 4_096
+    assert least.agg(F.max("df")).first()[0] < n / 4_096 and most.count() + least.count() == df.count()
 
 
 def test_every_posting_meets_its_term_once(spark):
@@ -40,6 +41,6 @@ def test_every_posting_meets_its_term_once(spark):
     df = retrieve.document_frequency(counts)
     want = sorted(map(tuple, counts.join(df, "term").select("doc", "term", "f", "df").collect()))
     for hot in (1, 50, 1_000_000):
-        got = retrieve.join_terms(counts, df, F.desc("df"), hot).select("doc", "term", "f", "df").collect()
+        got = retrieve.join_terms(counts, df, hot).select("doc", "term", "f", "df").collect()
         assert sorted(map(tuple, got)) == want
-    assert retrieve.join_terms(counts.limit(0), df.limit(0), F.desc("df")).count() == 0
+    assert retrieve.join_terms(counts.limit(0), df.limit(0)).count() == 0

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Files of shuffles go when the action that made them ends, not some time after."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written for one call, as Parquet in the shared folder: they cut the
     lineage, survive the loss of any executor, and go when the call ends."""
@@ -42,10 +56,13 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self._delete(self.path)
 
-    def table(self, df: DataFrame, name: str, append: bool = False) -> DataFrame:
-        """``df`` as a new table, or at the end of the one of that name."""
+    def table(self, df: DataFrame, name: str, append: bool = False, brief: bool = False) -> DataFrame:
+        """``df`` as a new table, or at the end of the one of that name. ``brief`` spares
+        disk: dense files, and what was shuffled for them is deleted at once."""
         path = f"{self.path}/{name}" if append else f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.mode("append" if append else "errorifexists").parquet(path)
+        with brief_shuffles(self.spark) if brief else contextlib.nullcontext():
+            out = df.write.option("compression", "zstd") if brief else df.write
+            out.mode("append" if append else "errorifexists").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pv_path = path
         return out

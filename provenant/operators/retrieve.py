@@ -17,6 +17,8 @@ from ..plans.storage import Scratch, cut
 DEFAULTS = Settings()
 #: A term with at least one in ``HOT`` of all postings is frequent; there are at most ``HOT``.
 HOT = 65_536
+#: Rounds over which the terms of a corpus are dealt.
+PASSES = 4
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column, many: str = "f") -> DataFrame:
@@ -82,9 +84,14 @@ def bm25_weights(counts: DataFrame, docs: DataFrame, key: str, text: str, s: Set
     )
     df = counts.groupBy("term").agg(F.sum((F.col("f") > 0).cast("long")).alias("df"))
     j = join_terms(counts, df, hot).crossJoin(F.broadcast(stats))  # one row
+    return j.select(key, "term", _bm25_weight(s).alias("w"))
+
+
+def _bm25_weight(s: Settings) -> Column:
+    """Of a row with ``f``, ``dl``, ``df``, ``n`` and ``avg_dl``."""
     mean = F.when(F.coalesce(F.col("avg_dl"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("avg_dl"))
     tf = F.col("f") * (s.bm25_k1 + 1) / (F.col("f") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / mean))
-    return j.select(key, "term", (bm25_idf(F.col("n"), F.col("df")) * tf).alias("w"))
+    return bm25_idf(F.col("n"), F.col("df")) * tf
 
 
 def bm25_postings(docs: DataFrame, key: str, text: str, s: Settings = DEFAULTS) -> DataFrame:
@@ -101,13 +108,23 @@ def bm25_topk(
     questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, s: Settings = DEFAULTS, qid: str = "qid",
     question: str = "question", digits: int | None = None
 ) -> DataFrame:
-    """The best ``k`` documents of each question, without an index: tokens that no
-    question has are left before anything is shuffled."""
-    terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(question))).alias("term"))
-    met = stemmed(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi")
-    w = bm25_weights(met.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("f")), docs, key, text, s)
-    scores = terms.join(w, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
-    return top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
+    """The best ``k`` documents of each question, without an index. The frequencies of the
+    questions' terms are counted first; then texts are dealt by key, once, and what a
+    document scores with any question is made where its text is."""
+    with Scratch(docs.sparkSession) as tmp:
+        terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(question))).alias("term"))
+        each = docs.select(F.explode(F.array_distinct(T.tokens(text))).alias("term"))
+        stats = docs.agg(
+            F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))).alias("avg_dl")
+        )
+        df = document_frequency(each.join(terms.select("term").distinct(), "term", "left_semi"))
+        known = tmp.table(df.crossJoin(F.broadcast(stats)), "terms", brief=True)
+        met = stemmed(docs.select(key, text).repartition(key), key, text).join(known, "term", "left_semi")
+        counts = met.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+        w = counts.join(known, "term").select(key, "term", _bm25_weight(s).alias("w"))
+        scores = w.join(terms, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
+        best = top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
+        return cut(tmp.table(best, "best", brief=True))
 
 
 def tfidf_counts(docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = T.VECTOR_STOPWORDS) -> DataFrame:
@@ -133,26 +150,57 @@ def tfidf_vectors(
     return unit(counts.join(idf, "term").select(key, "term", _tf_idf().alias("w")), key), idf
 
 
+def tfidf_sums(
+    docs: DataFrame, key: str, text: str, tmp: Scratch, stopwords: Sequence[str] = T.VECTOR_STOPWORDS,
+    passes: int = PASSES
+) -> DataFrame:
+    """(key, n_terms, total, top, norm) of the vectors of :func:`tfidf_vectors` before they have
+    unit length, without making them. Every term meets its document frequency; terms are dealt
+    over ``passes`` rounds, of which each leaves a row a document in ``tmp``, so that only one
+    round's terms are on disk at once. The texts are read once a round."""
+    n = F.lit(docs.count())
+    for k in range(passes):
+        own = F.filter(T.word_grams("_w"), lambda t: F.pmod(F.xxhash64(t), F.lit(passes)) == k)
+        terms = docs.select(key, T.words(text, stopwords).alias("_w")).select(key, F.explode_outer(own).alias("term"))
+        # dealt by term before they are counted, for the count and the frequency need no other order
+        counts = terms.where("term is not null").repartition("term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        idf = document_frequency(counts).select("term", smooth_idf(n, F.col("df")).alias("idf"))
+        parts = counts.join(idf, "term").select(key, _tf_idf().alias("w")).groupBy(key).agg(
+            F.count(F.lit(1)).alias("n_terms"), F.sum("w").alias("total"), F.max("w").alias("top"),
+            F.sum(F.col("w") * F.col("w")).alias("squares")
+        )
+        out = tmp.table(parts, "sums", append=True, brief=True)
+    return out.groupBy(key).agg(
+        F.sum("n_terms").alias("n_terms"), F.sum("total").alias("total"), F.max("top").alias("top"),
+        F.greatest(F.sqrt(F.sum("squares")), F.lit(1e-12)).alias("norm")
+    )
+
+
 def tfidf_topk(
     questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, qid: str = "qid", question: str = "question",
     stopwords: Sequence[str] = T.VECTOR_STOPWORDS, digits: int | None = None
 ) -> DataFrame:
     """The best ``k`` documents of each question by cosine, without an index. Of the
-    postings that no question asks for only the sum of squares per document is made."""
+    terms that no question asks for only the sum of squares per document is made
+    (:func:`tfidf_sums`); what the questions ask for is counted where a document's text is."""
     with Scratch(docs.sparkSession) as tmp:
-        counts = tmp.table(tfidf_counts(docs, key, text, stopwords), "counts")
-        n = F.lit(docs.count())
-        idf = lambda c: document_frequency(c).select("term", smooth_idf(n, F.col("df")).alias("idf"))
-        norm = counts.join(idf(counts), "term").groupBy(key).agg(
-            F.greatest(F.sqrt(F.sum(_tf_idf() * _tf_idf())), F.lit(1e-12)).alias("norm")
+        norm = tfidf_sums(docs, key, text, tmp, stopwords).select(key, "norm")
+        asked = tmp.table(
+            term_counts(questions.withColumn("_w", T.words(question, stopwords)), qid, T.word_grams("_w"), "tf"), "asked", brief=True
         )
-        asked = term_counts(questions.withColumn("_w", T.words(question, stopwords)), qid, T.word_grams("_w"), "tf")
-        met = counts.join(asked.select("term").distinct(), "term", "left_semi")
-        known = idf(met)
+        grams = T.word_grams("_w")
+        each = docs.select(T.words(text, stopwords).alias("_w")).select(F.explode(F.array_distinct(grams)).alias("term"))
+        df = document_frequency(each.join(asked.select("term").distinct(), "term", "left_semi"))
+        known = tmp.table(df.select("term", smooth_idf(F.lit(docs.count()), F.col("df")).alias("idf")), "terms", brief=True)
         query = unit(asked.join(known, "term").select(qid, "term", _tf_idf().alias("w")), qid)
-        hits = cosine_scores(query, met.join(known, "term").select(key, "term", _tf_idf().alias("w")), key, qid)
-        scores = hits.join(norm, key).select(qid, key, (F.col("score") / F.col("norm")).alias("score"))
-        return cut(top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key))
+        query = tmp.table(query, "query", brief=True)
+        own = docs.select(key, text).repartition(key).select(key, T.words(text, stopwords).alias("_w"))
+        met = own.select(key, F.explode(grams).alias("term")).join(known, "term", "left_semi")
+        counts = met.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        hits = cosine_scores(query, counts.join(known, "term").select(key, "term", _tf_idf().alias("w")), key, qid)
+        scores = hits.join(norm.hint("shuffle_hash"), key).select(qid, key, (F.col("score") / F.col("norm")).alias("score"))
+        best = top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
+        return cut(tmp.table(best, "best", brief=True))
 
 
 def unit(weights: DataFrame, key: str) -> DataFrame:

@@ -17,8 +17,11 @@ from ..plans.storage import Scratch, cut
 DEFAULTS = Settings()
 #: A term with at least one in ``HOT`` of all postings is frequent; there are at most ``HOT``.
 HOT = 65_536
-#: Rounds over which the terms of a corpus are dealt.
+#: Rounds over which the terms of a corpus are dealt, at least.
 PASSES = 4
+#: What is dealt of a corpus is dealt in a round for each so many characters of text, so that
+#: the disk it takes at once does not grow with the corpus.
+ROUND_CHARS = 400_000_000
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column, many: str = "f") -> DataFrame:
@@ -104,27 +107,51 @@ def bm25_postings(docs: DataFrame, key: str, text: str, s: Settings = DEFAULTS)
     return bm25_weights(counts, docs, key, text, s, HOT)
 
 
+def _rounds(chars: int | None, least: int = 1) -> int:
+    return max(least, -(-(chars or 0) // ROUND_CHARS))
+
+
+def _in_round(c: str | Column, i: int, rounds: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(rounds)) == i if rounds > 1 else F.lit(True)
+
+
 def bm25_topk(
     questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, s: Settings = DEFAULTS, qid: str = "qid",
     question: str = "question", digits: int | None = None
 ) -> DataFrame:
     """The best ``k`` documents of each question, without an index. The frequencies of the
     questions' terms are counted first; then texts are dealt by key, once, and what a
-    document scores with any question is made where its text is."""
+    document scores with any question is made where its text is. Of a large corpus a part
+    of the documents is dealt in each of some rounds, which leaves its best ``k``."""
     with Scratch(docs.sparkSession) as tmp:
         terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(question))).alias("term"))
         each = docs.select(F.explode(F.array_distinct(T.tokens(text))).alias("term"))
-        stats = docs.agg(
-            F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))).alias("avg_dl")
-        )
+        n, avg_dl, chars = docs.agg(
+            F.count(F.lit(1)), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))), F.sum(F.char_length(text))
+        ).first()
         df = document_frequency(each.join(terms.select("term").distinct(), "term", "left_semi"))
-        known = tmp.table(df.crossJoin(F.broadcast(stats)), "terms", brief=True)
-        met = stemmed(docs.select(key, text).repartition(key), key, text).join(known, "term", "left_semi")
-        counts = met.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
-        w = counts.join(known, "term").select(key, "term", _bm25_weight(s).alias("w"))
-        scores = w.join(terms, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
-        best = top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
-        return cut(tmp.table(best, "best", brief=True))
+        stats = F.lit(n).cast("long").alias("n"), F.lit(avg_dl).cast("double").alias("avg_dl")
+        known = tmp.table(df.select("*", *stats), "terms", brief=True)
+        rounds = _rounds(chars)
+
+        def best(i: int) -> DataFrame:
+            own = docs.select(key, text).where(_in_round(key, i, rounds)).repartition(key)
+            met = stemmed(own, key, text).join(known, "term", "left_semi")
+            counts = met.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+            w = counts.join(known, "term").select(key, "term", _bm25_weight(s).alias("w"))
+            scores = w.join(terms, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
+            return top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
+
+        return _best_of_rounds(best, rounds, k, qid, key, tmp)
+
+
+def _best_of_rounds(
+    best: Callable[[int], DataFrame], rounds: int, k: int, qid: str, key: str, tmp: Scratch
+) -> DataFrame:
+    """The best ``k`` of each question from those of each round, which no key shares with another."""
+    for i in range(rounds):
+        out = tmp.table(best(i), "best", append=True, brief=True)
+    return cut(out if rounds == 1 else tmp.table(top_k(out.drop("rank"), k, qid, key), "all", brief=True))
 
 
 def tfidf_counts(docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = T.VECTOR_STOPWORDS) -> DataFrame:
@@ -152,28 +179,31 @@ def tfidf_vectors(
 
 def tfidf_sums(
     docs: DataFrame, key: str, text: str, tmp: Scratch, stopwords: Sequence[str] = T.VECTOR_STOPWORDS,
-    passes: int = PASSES
+    passes: int = PASSES, sums: Sequence[str] = ("n_terms", "total", "top")
 ) -> DataFrame:
-    """(key, n_terms, total, top, norm) of the vectors of :func:`tfidf_vectors` before they have
-    unit length, without making them. Every term meets its document frequency; terms are dealt
-    over ``passes`` rounds, of which each leaves a row a document in ``tmp``, so that only one
+    """(key, n_terms, total, top, norm), or those of ``sums`` and the norm, of the vectors of
+    :func:`tfidf_vectors` before they have unit length, without making them. Every term meets its
+    document frequency; terms are dealt over ``passes`` rounds or, in a large corpus, over as many
+    as keep a round small, of which each leaves a row a document in ``tmp``, so that only one
     round's terms are on disk at once. The texts are read once a round."""
-    n = F.lit(docs.count())
-    for k in range(passes):
-        own = F.filter(T.word_grams("_w"), lambda t: F.pmod(F.xxhash64(t), F.lit(passes)) == k)
+    made = {
+        "n_terms": (F.count(F.lit(1)), F.sum("n_terms")), "total": (F.sum("w"), F.sum("total")),
+        "top": (F.max("w"), F.max("top")),
+        "squares": (F.sum(F.col("w") * F.col("w")), F.greatest(F.sqrt(F.sum("squares")), F.lit(1e-12))),
+    }
+    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.char_length(text))).first()
+    passes = _rounds(chars, passes)
+    for i in range(passes):
+        own = F.filter(T.word_grams("_w"), lambda t: _in_round(t, i, passes))
         terms = docs.select(key, T.words(text, stopwords).alias("_w")).select(key, F.explode_outer(own).alias("term"))
         # dealt by term before they are counted, for the count and the frequency need no other order
         counts = terms.where("term is not null").repartition("term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-        idf = document_frequency(counts).select("term", smooth_idf(n, F.col("df")).alias("idf"))
+        idf = document_frequency(counts).select("term", smooth_idf(F.lit(n), F.col("df")).alias("idf"))
         parts = counts.join(idf, "term").select(key, _tf_idf().alias("w")).groupBy(key).agg(
-            F.count(F.lit(1)).alias("n_terms"), F.sum("w").alias("total"), F.max("w").alias("top"),
-            F.sum(F.col("w") * F.col("w")).alias("squares")
+            *[made[c][0].alias(c) for c in (*sums, "squares")]
         )
         out = tmp.table(parts, "sums", append=True, brief=True)
-    return out.groupBy(key).agg(
-        F.sum("n_terms").alias("n_terms"), F.sum("total").alias("total"), F.max("top").alias("top"),
-        F.greatest(F.sqrt(F.sum("squares")), F.lit(1e-12)).alias("norm")
-    )
+    return out.groupBy(key).agg(*[made[c][1].alias(c) for c in sums], made["squares"][1].alias("norm"))
 
 
 def tfidf_topk(
@@ -182,25 +212,32 @@ def tfidf_topk(
 ) -> DataFrame:
     """The best ``k`` documents of each question by cosine, without an index. Of the
     terms that no question asks for only the sum of squares per document is made
-    (:func:`tfidf_sums`); what the questions ask for is counted where a document's text is."""
+    (:func:`tfidf_sums`); what the questions ask for is counted where a document's text is,
+    in rounds over the documents if they are many."""
     with Scratch(docs.sparkSession) as tmp:
-        norm = tfidf_sums(docs, key, text, tmp, stopwords).select(key, "norm")
+        norm = tmp.table(tfidf_sums(docs, key, text, tmp, stopwords, sums=()), "norms", brief=True)
         asked = tmp.table(
             term_counts(questions.withColumn("_w", T.words(question, stopwords)), qid, T.word_grams("_w"), "tf"), "asked", brief=True
         )
+        n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.char_length(text))).first()
         grams = T.word_grams("_w")
         each = docs.select(T.words(text, stopwords).alias("_w")).select(F.explode(F.array_distinct(grams)).alias("term"))
         df = document_frequency(each.join(asked.select("term").distinct(), "term", "left_semi"))
-        known = tmp.table(df.select("term", smooth_idf(F.lit(docs.count()), F.col("df")).alias("idf")), "terms", brief=True)
+        known = tmp.table(df.select("term", smooth_idf(F.lit(n), F.col("df")).alias("idf")), "terms", brief=True)
         query = unit(asked.join(known, "term").select(qid, "term", _tf_idf().alias("w")), qid)
         query = tmp.table(query, "query", brief=True)
-        own = docs.select(key, text).repartition(key).select(key, T.words(text, stopwords).alias("_w"))
-        met = own.select(key, F.explode(grams).alias("term")).join(known, "term", "left_semi")
-        counts = met.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-        hits = cosine_scores(query, counts.join(known, "term").select(key, "term", _tf_idf().alias("w")), key, qid)
-        scores = hits.join(norm.hint("shuffle_hash"), key).select(qid, key, (F.col("score") / F.col("norm")).alias("score"))
-        best = top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
-        return cut(tmp.table(best, "best", brief=True))
+        rounds = _rounds(chars)
+
+        def best(i: int) -> DataFrame:
+            own = docs.select(key, text).where(_in_round(key, i, rounds)).repartition(key)
+            met = own.select(key, T.words(text, stopwords).alias("_w")).select(key, F.explode(grams).alias("term"))
+            counts = met.join(known, "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+            hits = cosine_scores(query, counts.join(known, "term").select(key, "term", _tf_idf().alias("w")), key, qid)
+            lengths = norm.where(_in_round(key, i, rounds)).hint("shuffle_hash")
+            scores = hits.join(lengths, key).select(qid, key, (F.col("score") / F.col("norm")).alias("score"))
+            return top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
+
+        return _best_of_rounds(best, rounds, k, qid, key, tmp)
 
 
 def unit(weights: DataFrame, key: str) -> DataFrame:

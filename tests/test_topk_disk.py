@@ -55,3 +55,18 @@ def test_brief_tables_leave_no_shuffle(spark):
         before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
         t = tmp.table(spark.range(1_000).repartition(3, "id"), "t", brief=True)
         assert t.count() == 1_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_large_corpora_are_dealt_in_more_rounds(spark, monkeypatch):
+    docs, q = corpus(spark)
+    names, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a, **k: names.append(name) or table(self, df, name, *a, **k))
+    chars = docs.agg(F.sum(F.char_length("text"))).first()[0]
+    for run, each in ((retrieve.bm25_topk, ["best"]), (retrieve.tfidf_topk, ["best", "sums"])):
+        found = {}
+        for most in (chars, chars // 5):
+            names.clear()
+            monkeypatch.setattr(retrieve, "ROUND_CHARS", most)
+            found[most] = rows(run(q, docs, "doc", "text", 5, digits=9), "qid", "doc", "score", "rank")
+            assert most == chars or all(names.count(x) >= 5 for x in each)
+        assert found[chars] == found[chars // 5] and found[chars]

@@ -120,6 +120,14 @@ def word_grams(w: str | Column) -> Column:
     return F.concat(w, pairs)
 
 
+def word_grams_of(w: str | Column, keep: Callable[[Column], Column]) -> Column:
+    """Those of :func:`word_grams` whose first word is one to ``keep``; the pair that the
+    last word lacks is null. Pairs that are not kept are not made."""
+    w = col(w)
+    own = F.transform(w, lambda t, i: F.when(keep(t), F.array(t, F.concat(t, F.lit(" "), F.get(w, i + 1)))))
+    return F.flatten(F.filter(own, lambda x: x.isNotNull()))
+
+
 def numbers(c: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(c), F.lit(NUMBER), F.lit(0)))
 

@@ -184,7 +184,7 @@ def tfidf_sums(
     """(key, n_terms, total, top, norm), or those of ``sums`` and the norm, of the vectors of
     :func:`tfidf_vectors` before they have unit length, without making them. Every term meets its
     document frequency; terms are dealt over ``passes`` rounds or, in a large corpus, over as many
-    as keep a round small, of which each leaves a row a document in ``tmp``, so that only one
+    as keep a round small, with their first word, of which each leaves a row a document in ``tmp``, so that only one
     round's terms are on disk at once. The texts are read once a round."""
     made = {
         "n_terms": (F.count(F.lit(1)), F.sum("n_terms")), "total": (F.sum("w"), F.sum("total")),
@@ -194,7 +194,7 @@ def tfidf_sums(
     n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.char_length(text))).first()
     passes = _rounds(chars, passes)
     for i in range(passes):
-        own = F.filter(T.word_grams("_w"), lambda t: _in_round(t, i, passes))
+        own = T.word_grams_of("_w", lambda t: _in_round(t, i, passes))
         terms = docs.select(key, T.words(text, stopwords).alias("_w")).select(key, F.explode_outer(own).alias("term"))
         # dealt by term before they are counted, for the count and the frequency need no other order
         counts = terms.where("term is not null").repartition("term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))

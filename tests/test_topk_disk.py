@@ -4,6 +4,7 @@ import os
 import random
 
 from provenant.operators import retrieve
+from provenant.plans import driver_queries
 from provenant.plans.storage import Scratch
 from pyspark.sql import functions as F
 
@@ -70,3 +71,12 @@ def test_large_corpora_are_dealt_in_more_rounds(spark, monkeypatch):
             found[most] = rows(run(q, docs, "doc", "text", 5, digits=9), "qid", "doc", "score", "rank")
             assert most == chars or all(names.count(x) >= 5 for x in each)
         assert found[chars] == found[chars // 5] and found[chars]
+
+
+def test_fused_ranks_are_the_same_in_rounds(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = rows(driver_queries.rrf_duplicate_keys(spark, sf), "*")
+    monkeypatch.setattr(retrieve, "ROUND_CHARS", 100_000)
+    names, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a, **k: names.append(name) or table(self, df, name, *a, **k))
+    assert rows(driver_queries.rrf_duplicate_keys(spark, sf), "*") == want and names.count("best") > 2 and want

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..plans.storage import Scratch, cut
+from . import grams
 
 DEFAULTS = Settings()
 #: A term with at least one in ``HOT`` of all postings is frequent; there are at most ``HOT``.
@@ -182,28 +183,17 @@ def tfidf_sums(
     passes: int = PASSES, sums: Sequence[str] = ("n_terms", "total", "top")
 ) -> DataFrame:
     """(key, n_terms, total, top, norm), or those of ``sums`` and the norm, of the vectors of
-    :func:`tfidf_vectors` before they have unit length, without making them. Every term meets its
-    document frequency; terms are dealt over ``passes`` rounds or, in a large corpus, over as many
-    as keep a round small, with their first word, of which each leaves a row a document in ``tmp``, so that only one
-    round's terms are on disk at once. The texts are read once a round."""
-    made = {
-        "n_terms": (F.count(F.lit(1)), F.sum("n_terms")), "total": (F.sum("w"), F.sum("total")),
-        "top": (F.max("w"), F.max("top")),
-        "squares": (F.sum(F.col("w") * F.col("w")), F.greatest(F.sqrt(F.sum("squares")), F.lit(1e-12))),
-    }
+    :func:`tfidf_vectors` before they have unit length, without making them. The texts are read
+    once and packed (:mod:`.grams`); their terms meet, and documents get their sums, in ``passes``
+    rounds or, in a large corpus, in as many as keep a round small, so that only one round's
+    shuffle is on disk at once."""
     n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.char_length(text))).first()
-    passes = _rounds(chars, passes)
-    for i in range(passes):
-        own = T.word_grams_of("_w", lambda t: _in_round(t, i, passes))
-        terms = docs.select(key, T.words(text, stopwords).alias("_w")).select(key, F.explode_outer(own).alias("term"))
-        # dealt by term before they are counted, for the count and the frequency need no other order
-        counts = terms.where("term is not null").repartition("term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-        idf = document_frequency(counts).select("term", smooth_idf(F.lit(n), F.col("df")).alias("idf"))
-        parts = counts.join(idf, "term").select(key, _tf_idf().alias("w")).groupBy(key).agg(
-            *[made[c][0].alias(c) for c in (*sums, "squares")]
-        )
-        out = tmp.table(parts, "sums", append=True, brief=True)
-    return out.groupBy(key).agg(*[made[c][1].alias(c) for c in sums], made["squares"][1].alias("norm"))
+    rounds = _rounds(chars, passes)
+    with Scratch(docs.sparkSession) as parts:
+        g = grams.Grams(docs, key, text, parts, stopwords, n, chars, rounds)
+        for i in range(rounds):
+            out = tmp.table(g.totals(i, sums), "sums", append=True, brief=True)
+    return out
 
 
 def tfidf_topk(

@@ -56,12 +56,13 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self._delete(self.path)
 
-    def table(self, df: DataFrame, name: str, append: bool = False, brief: bool = False) -> DataFrame:
+    def table(self, df: DataFrame, name: str, append: bool = False, brief: bool = False, by: str | None = None) -> DataFrame:
         """``df`` as a new table, or at the end of the one of that name. ``brief`` spares
-        disk: dense files, and what was shuffled for them is deleted at once."""
+        disk: dense files, and what was shuffled for them is deleted at once. Each value of ``by`` has its own folder."""
         path = f"{self.path}/{name}" if append else f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         with brief_shuffles(self.spark) if brief else contextlib.nullcontext():
             out = df.write.option("compression", "zstd") if brief else df.write
+            out = out.partitionBy(by) if by else out
             out.mode("append" if append else "errorifexists").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pv_path = path

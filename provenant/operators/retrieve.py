@@ -200,34 +200,23 @@ def tfidf_topk(
     questions: DataFrame, docs: DataFrame, key: str, text: str, k: int, qid: str = "qid", question: str = "question",
     stopwords: Sequence[str] = T.VECTOR_STOPWORDS, digits: int | None = None
 ) -> DataFrame:
-    """The best ``k`` documents of each question by cosine, without an index. Of the
-    terms that no question asks for only the sum of squares per document is made
-    (:func:`tfidf_sums`); what the questions ask for is counted where a document's text is,
-    in rounds over the documents if they are many."""
+    """The best ``k`` documents of each question by cosine, without an index. Documents and
+    questions are read once and packed (:mod:`.grams`); what a document scores is made where its
+    terms are, in rounds over the documents if they are many."""
     with Scratch(docs.sparkSession) as tmp:
-        norm = tmp.table(tfidf_sums(docs, key, text, tmp, stopwords, sums=()), "norms", brief=True)
-        asked = tmp.table(
-            term_counts(questions.withColumn("_w", T.words(question, stopwords)), qid, T.word_grams("_w"), "tf"), "asked", brief=True
-        )
         n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.char_length(text))).first()
-        grams = T.word_grams("_w")
-        each = docs.select(T.words(text, stopwords).alias("_w")).select(F.explode(F.array_distinct(grams)).alias("term"))
-        df = document_frequency(each.join(asked.select("term").distinct(), "term", "left_semi"))
-        known = tmp.table(df.select("term", smooth_idf(F.lit(n), F.col("df")).alias("idf")), "terms", brief=True)
-        query = unit(asked.join(known, "term").select(qid, "term", _tf_idf().alias("w")), qid)
-        query = tmp.table(query, "query", brief=True)
-        rounds = _rounds(chars)
+        rounds = _rounds(chars, PASSES)
+        g = grams.Grams(docs, key, text, tmp, stopwords, n, chars, rounds, (questions, qid, question))
+        query = tmp.table(g.query(), "query", brief=True)
+        blocks = max(1, -(-query.select("q").distinct().count() // grams.ASKED))
+        within = 10.0 ** -digits if digits is not None else 0.0
 
         def best(i: int) -> DataFrame:
-            own = docs.select(key, text).where(_in_round(key, i, rounds)).repartition(key)
-            met = own.select(key, T.words(text, stopwords).alias("_w")).select(key, F.explode(grams).alias("term"))
-            counts = met.join(known, "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-            hits = cosine_scores(query, counts.join(known, "term").select(key, "term", _tf_idf().alias("w")), key, qid)
-            lengths = norm.where(_in_round(key, i, rounds)).hint("shuffle_hash")
-            scores = hits.join(lengths, key).select(qid, key, (F.col("score") / F.col("norm")).alias("score"))
+            own = query.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i % blocks).toArrow()
+            scores = g.best(i // blocks, own, k, within) if own.num_rows else g.none()
             return top_k(scores.withColumn("score", F.round("score", digits)) if digits else scores, k, qid, key)
 
-        return _best_of_rounds(best, rounds, k, qid, key, tmp)
+        return _best_of_rounds(best, rounds * blocks, k, qid, key, tmp)
 
 
 def unit(weights: DataFrame, key: str) -> DataFrame:

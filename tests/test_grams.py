@@ -34,6 +34,11 @@ def test_sums_and_cosines_are_those_of_the_vectors(spark, monkeypatch, words):
     with Scratch(spark) as tmp:
         got = rows(retrieve.tfidf_sums(docs, "doc", "text", tmp, passes=3), "doc", "n_terms", F.round("total", 8), F.round("top", 8))
     assert got == want and len(got) == 141
+    q = docs.where("doc % 20 = 3").select(F.col("doc").alias("qid"), F.concat_ws(" ", "text", F.lit("unheard")).alias("question"))
+    q = q.dropDuplicates(["qid"])
+    scores = retrieve.cosine_scores(retrieve.question_vectors(q, idf), retrieve.unit(raw, "doc"), "doc").withColumn("score", F.round("score", 6))
+    best = retrieve.tfidf_topk(q, docs, "doc", "text", 5, digits=6)
+    assert rows(best, "qid", "doc", "score", "rank") == rows(retrieve.top_k(scores, 5, "qid", "doc"), "qid", "doc", "score", "rank")
 
 
 def test_texts_are_read_once_however_many_rounds(spark, monkeypatch):
@@ -45,6 +50,10 @@ def test_texts_are_read_once_however_many_rounds(spark, monkeypatch):
     with Scratch(spark) as tmp:
         assert retrieve.tfidf_sums(docs, "doc", "text", tmp, passes=6).count() == 141
     assert sum("regexp_extract_all" in p for p in plans) == 1
+    plans.clear()
+    q = docs.where("doc < 3").select(F.col("doc").alias("qid"), F.col("text").alias("question"))
+    assert retrieve.tfidf_topk(q, docs, "doc", "text", 5).count() == 15
+    assert sum("regexp_extract_all" in p for p in plans) == 2  # the documents, and the questions
 
 
 def test_terms_of_one_hash_are_told_by_the_other():

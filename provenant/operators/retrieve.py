@@ -126,7 +126,8 @@ def bm25_topk(
     of the documents is dealt in each of some rounds, which leaves its best ``k``."""
     with Scratch(docs.sparkSession) as tmp:
         terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(question))).alias("term"))
-        each = docs.select(F.explode(F.array_distinct(T.tokens(text))).alias("term"))
+        # outer, for a condition on an array that is exploded would have it made twice; no term is null
+        each = docs.select(F.explode_outer(F.array_distinct(T.tokens(text))).alias("term"))
         n, avg_dl, chars = docs.agg(
             F.count(F.lit(1)), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(T.TOKEN))), F.sum(F.char_length(text))
         ).first()
@@ -137,7 +138,9 @@ def bm25_topk(
 
         def best(i: int) -> DataFrame:
             own = docs.select(key, text).where(_in_round(key, i, rounds)).repartition(key)
-            met = stemmed(own, key, text).join(known, "term", "left_semi")
+            raw = own.select(key, T.raw_tokens(text).alias("_a"))
+            each = raw.select(key, F.size("_a").alias("dl"), F.explode_outer("_a").alias("_t"))
+            met = each.select(key, "dl", T.stem(F.col("_t")).alias("term")).join(known, "term", "left_semi")
             counts = met.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
             w = counts.join(known, "term").select(key, "term", _bm25_weight(s).alias("w"))
             scores = w.join(terms, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
